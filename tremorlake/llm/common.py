@@ -98,3 +98,72 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weights: np.nda
 
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def class_counts(labels: DataFrame, target: str, held: tuple[int, int] | None) -> tuple[int, int]:
+    """Labelled training ids with label 0 and with label 1 (no texts are read)."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
+    if held:
+        rows = rows.where(crc_mod(F.col("doc_id"), held[0]) != held[1])
+    got = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
+    return got.get(0, 0), got.get(1, 0)
+
+
+class WordHash(dict):
+    """64-bit hashes of words, remembered for at most ``bound`` words."""
+
+    bound = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.bound:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each window of ``width`` neighbouring values; none when there are fewer."""
+    m = len(h) - width + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    out = mix(h[:m])
+    for i in range(1, width):
+        out = mix(out + h[i : i + m])
+    return out
+
+
+def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -> DataFrame:
+    """One output row per document, whole texts in Arrow batches.
+
+    ``make()`` runs once per task and returns a function from a text (null read as empty) to the tuple of
+    the columns of ``schema``.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    full = f"{keep}, {schema}"
+    arrow = to_arrow_schema(_parse_datatype_string(full))
+
+    def run(batches):
+        import pyarrow as pa
+
+        fn = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                rows = [fn(t or "") for t in part.column(1).to_pylist()]
+                columns = [part.column(0), *([r[i] for r in rows] for i in range(len(arrow) - 1))]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, full)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import compression_quality, license_scan, quality_rules, warc
 
-QUERIES = {"op5_warc": warc.op5_warc}
+QUERIES = {
+    "op1_compression": compression_quality.op1_compression,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_warc": warc.op5_warc,
+    "op8_license": license_scan.op8_license,
+}
 ORACLE_SQL = {"op5_warc": warc.OP5_SQL}
