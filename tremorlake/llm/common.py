@@ -49,8 +49,8 @@ def crc_rest(doc_id, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held: tuple[int, int] | None) -> list[tuple[str, int]]:
-    """At most ``per_class`` training texts of either label, chosen by the smallest hash of their id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held: tuple[int, int] | None) -> list[tuple[int, str, int]]:
+    """Id, text and label of at most ``per_class`` training rows of either label, chosen by the smallest hash of their id.
 
     ``held`` is (modulus, remainder) of the held-out rows. The bound holds for what is broadcast
     (2 * per_class ids) and for what reaches the driver (as many texts). Ids with a null id or label
@@ -74,10 +74,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     for doc_id, text, y in got:  # one row of an id that the table repeats
         if doc_id not in seen:
             seen.add(doc_id)
-            out.append((text, y))
+            out.append((doc_id, text, y))
     return out
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held: tuple[int, int] | None) -> list[tuple[str, int]]:
+    return [(text, y) for _, text, y in labelled_rows(docs, labels, target, per_class, held)]
+
+
+def alnum_words(text: str) -> list[bytes]:
+    return text.encode().translate(ALNUM_TABLE).split()
+
+
+def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], terms_of=alnum_words) -> dict[bytes, int]:
+    """In how many of all documents each term of a bounded vocabulary occurs."""
+
+    def count(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+
+        total: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    total.update(vocabulary.intersection(terms_of(text)))
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+
+    rows = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return {bytes(r[0]): r[1] for r in rows}
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weights: np.ndarray | None = None, steps: int = 60) -> np.ndarray:
     """Newton's method for a logistic regression with few columns; the last coefficient is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])

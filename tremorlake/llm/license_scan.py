@@ -17,9 +17,8 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, map_texts, table
+from .common import ALNUM_TABLE, document_frequencies, map_texts, table
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -73,29 +72,13 @@ class TemplateIndex:
         return out
 
 
-def template_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
-    """In how many documents each word of the templates occurs; the vocabulary is that of the templates, so the result is bounded."""
-    vocabulary = frozenset(w for _, text in templates for w in text.encode().translate(ALNUM_TABLE).split())
-
-    def count(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-
-        total: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    total.update(vocabulary.intersection(text.encode().translate(ALNUM_TABLE).split()))
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
-
-    rows = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r[0]): r[1] for r in rows}
+def template_words(templates=TEMPLATES) -> frozenset[bytes]:
+    return frozenset(w for _, text in templates for w in text.encode().translate(ALNUM_TABLE).split())
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: word count, places of the phrases, labels, score and the matched blocks (label, first word, share)."""
-    index = TemplateIndex(templates, template_frequencies(docs, templates), threshold)
+    index = TemplateIndex(templates, document_frequencies(docs, template_words(templates)), threshold)
     needles = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
     def make():

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression_quality, license_scan, quality_rules, warc
+from . import compression_quality, decontamination, license_scan, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_compression": compression_quality.op1_compression,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_warc": warc.op5_warc,
     "op8_license": license_scan.op8_license,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
-ORACLE_SQL = {"op5_warc": warc.OP5_SQL}
+ORACLE_SQL = {"op5_warc": warc.OP5_SQL, "op10_decontamination": decontamination.OP10_SQL}
