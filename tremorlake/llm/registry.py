@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, compression_quality, decontamination, license_scan, quality_rules, toxicity, warc
+from . import bpe, compression_quality, decontamination, language_model, license_scan, quality_rules, toxicity, warc
 
 QUERIES = {
     "op1_compression": compression_quality.op1_compression,
     "op2_bpe": bpe.op2_bpe,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_language_model": language_model.op4_language_model,
     "op5_warc": warc.op5_warc,
     "op8_license": license_scan.op8_license,
     "op9_toxicity": toxicity.op9_toxicity,
