@@ -8,8 +8,6 @@ are put together by position. Decoding joins ids with the token-byte table (fixe
 task). So a hot word costs one request per block, not one per place, no group grows with a word's
 frequency, and the text itself is shuffled once, compressed.
 
-The number of buckets follows ``spark.sql.shuffle.partitions``, so a bucket stays below a partition.
-
 Defined edge cases: a null text is empty (no ids, no bytes); a text of white space only, or a single very
 long word, is encoded like any other; repeated rows each give a row; an empty table gives no rows.
 """
@@ -22,10 +20,10 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import bucket_count, pack, unpack
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 4 << 20
 #: Joins the words of a request; no UTF-8 text has this byte.
 _BREAK = b"\xff"
 
@@ -59,49 +57,10 @@ class Tokenizer:
         return out
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block, payload``: documents in compressed Arrow streams; a block's number is the hash of its payload."""
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
-        out = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
-
-        def block(parts):
-            sink = pa.BufferOutputStream()
-            whole = pa.Table.from_batches(parts).combine_chunks()
-            with pa.ipc.new_stream(sink, whole.schema, options=options) as stream:
-                stream.write_table(whole)
-            payload = sink.getvalue().to_pybytes()
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(payload) - (1 << 63)], pa.int64()), pa.array([payload], pa.binary())], schema=out)
-
-        parts, held = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                parts.append(part := batch.slice(at, 256))
-                held += part.get_total_buffer_size() if batch.num_rows <= 256 else sum(len(t or "") for t in part.column(1).to_pylist())
-                if held >= block_bytes:
-                    yield block(parts)
-                    parts, held = [], 0
-        if parts:
-            yield block(parts)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "block bigint, payload binary")
-
-
-def unpack(payload: bytes):
-    import pyarrow as pa
-
-    whole = pa.ipc.open_stream(payload).read_all()
-    return whole.column(0).to_pylist(), [t or "" for t in whole.column(1).to_pylist()]
-
-
 def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded``: the token ids of each whole text, and the bytes that the ids decode to."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(docs)
     shared = spark.sparkContext.broadcast((ranks, pattern))  # the rank file, of a fixed size
     blocks = pack(docs).repartition("block")
 
