@@ -19,8 +19,8 @@ def bucket_count(docs: DataFrame) -> int:
     return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block, payload``: documents in compressed Arrow streams; a block's number is the hash of its payload."""
+def pack(docs: DataFrame, *extra: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``block, payload``: doc_id, text and extra columns in compressed Arrow streams; a block's number is the hash of its payload."""
 
     def run(batches):
         import pyarrow as pa
@@ -48,14 +48,16 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if parts:
             yield block(parts)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "block bigint, payload binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra).mapInArrow(run, "block bigint, payload binary")
 
 
-def unpack(payload: bytes):
+def unpack(payload) -> list[list]:
+    """The columns of a block; a null text is empty."""
     import pyarrow as pa
 
-    whole = pa.ipc.open_stream(payload).read_all()
-    return whole.column(0).to_pylist(), [t or "" for t in whole.column(1).to_pylist()]
+    columns = [c.to_pylist() for c in pa.ipc.open_stream(payload).read_all().columns]
+    columns[1] = [t or "" for t in columns[1]]
+    return columns
 
 
 def squeeze(values) -> bytes:

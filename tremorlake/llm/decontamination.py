@@ -90,7 +90,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         rare = stage(anchored(docs, windows), "anchors")
         index = stage(postings(docs, rare.select("term").distinct()), "postings")
         start = F.col("pos") - F.col("off")
-        here = F.slice("context", start - F.col("first") + 1, F.size("phrase"))
+        here = F.slice("context", F.greatest(start - F.col("first") + 1, F.lit(1)), F.size("phrase"))  # Spark may slice before it filters by start
         equal = F.size(F.filter(F.zip_with(here, F.col("phrase"), lambda a, b: a == b), lambda x: x))
         part = (
             index.join(F.broadcast(rare), "term")
@@ -142,6 +142,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents without an exact phrase of the benchmark, with all their columns."""
+    hit = matches(docs.select("doc_id", "text"), items).where("exact").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_mark")).distinct()
+    marked = docs.withColumn("_at", F.xxhash64("text"))
+    return marked.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_mark")), "left_anti").drop("_at")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 

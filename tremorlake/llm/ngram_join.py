@@ -61,11 +61,11 @@ def need(n: int) -> int:
 
 
 def block_sets(payload, hashed: WordHash):
-    """The ids of a block's documents, their sets and nodes, and the distinct non-empty sets by node."""
-    ids, texts = unpack(payload)
+    """The ids and marks of a block's documents, their sets and nodes, and the distinct non-empty sets by node."""
+    ids, texts, marks = unpack(payload)
     sets = [shingle_set(t, hashed) for t in texts]
     nodes = [set_node(s) for s in sets]
-    return ids, sets, nodes, {n: s for n, s in zip(nodes, sets) if len(s)}
+    return ids, marks, sets, nodes, {n: s for n, s in zip(nodes, sets) if len(s)}
 
 
 def asked(distinct: dict[int, np.ndarray], buckets: int):
@@ -80,9 +80,9 @@ def asked(distinct: dict[int, np.ndarray], buckets: int):
 
 
 def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, n_shingles, node`` of all documents; ``node, n, shared`` of the sets that may link, shared shingles rarest first)."""
+    """(``doc_id, mark, n_shingles, node`` of all documents; ``node, n, shared`` of the sets that may link, shared shingles rarest first)."""
     buckets = bucket_count(docs)
-    blocks = pack(docs).repartition("block")
+    blocks = pack(docs.withColumn("mark", F.xxhash64("text")), "mark").repartition("block")
 
     def ask(batches):
         import pyarrow as pa
@@ -90,7 +90,7 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hashed = WordHash()
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, names, parts = asked(block_sets(payload.as_buffer(), hashed)[3], buckets)
+                _, names, parts = asked(block_sets(payload.as_buffer(), hashed)[4], buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "block": pa.array([number] * len(names), pa.int64()), "hashes": pa.array([squeeze(p) for p in parts], pa.binary())})
 
     def answer(requests):
@@ -108,7 +108,7 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         replies = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
         rows = []
         for payload in packed.column("payload"):
-            ids, sets, nodes, distinct = block_sets(payload.as_buffer(), hashed)
+            ids, marks, sets, nodes, distinct = block_sets(payload.as_buffer(), hashed)
             order, names, parts = asked(distinct, buckets)
             counts = np.empty(len(order), np.int64)
             counts[order] = np.concatenate([np.empty(0, np.uint64), *(stretch(replies[b]) for b in names)]).astype(np.int64)
@@ -119,15 +119,15 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 if (c > 1).sum() >= need(len(s)):
                     by = np.lexsort((s, c))
                     shared[node] = s[by[(c[by] > 1)]].view(np.int64)
-            rows += [(i, len(s), n, shared.pop(n, None)) for i, s, n in zip(ids, sets, nodes)]  # each set once
-        return pa.table({n: pa.array(c, t) for n, t, c in zip(("doc_id", "n_shingles", "node", "shared"), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), zip(*rows))})
+            rows += [(i, m, len(s), n, shared.pop(n, None)) for i, m, s, n in zip(ids, marks, sets, nodes)]  # each set once
+        return pa.table({n: pa.array(c, t) for n, t, c in zip(("doc_id", "mark", "n_shingles", "node", "shared"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), zip(*rows))})
 
     answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, counts binary")
-    rows = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, n_shingles bigint, node bigint, shared array<bigint>"), "sets")
+    rows = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, mark bigint, n_shingles bigint, node bigint, shared array<bigint>"), "sets")
     held = rows.where("shared is not null")
     first = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # equal sets of several blocks: one row
     sets = held.join(first, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "shared")
-    return rows.select("doc_id", "n_shingles", "node"), sets
+    return rows.select("doc_id", "mark", "n_shingles", "node"), sets
 
 
 class Lists:
@@ -233,17 +233,26 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+    """``doc_id, mark, n_shingles, component_id, root`` of every document; ``mark`` is xxhash64 of the text, ``root`` the component's node."""
     keys, sets = shared_sets(docs)
     sets = stage(sets, "candidates")
     roots = connected_components(links(sets))
     nodes = keys.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = nodes.join(least, "root").select("node", "component_id")
+    component = nodes.join(least, "root").select("node", "component_id", "root")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    return keys.join(component, "node", "left").select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+    return keys.join(component, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the smallest doc_id, with all its columns; every document without a word stays."""
+    word = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = ngram_components(docs).where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.mark").alias("_mark"))
+    marked = docs.withColumn("_at", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_mark"))
+    return marked.where(word).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_at"]).drop("_at").unionByName(docs.where(~word))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+    return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, compression_quality, decontamination, language_model, license_scan, ngram_join, quality_rules, toxicity, warc
+from . import bpe, compression_quality, decontamination, language_model, license_scan, ngram_join, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_compression": compression_quality.op1_compression,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_language_model": language_model.op4_language_model,
     "op5_warc": warc.op5_warc,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_license": license_scan.op8_license,
     "op9_toxicity": toxicity.op9_toxicity,

@@ -14,13 +14,13 @@ share of label 1 among such texts; repeated rows each give a row; without exampl
 score is 0.
 """
 
-from __future__ import annotations
-
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     terms = choose_terms(sample)
     if not terms:
         return None
-    frequency, n = document_frequencies(docs, frozenset(terms), terms_of), docs.count()
+    known = KnownWords({w: w for w in terms})
+    frequency, n = document_frequencies(docs, frozenset(terms), lambda text: set(chain.from_iterable(map(known.__getitem__, alnum_words(text))))), docs.count()
     idf = [math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in terms]
     index = BlockMaxIndex(terms, idf, [], [])
     vectors = [index.vector(alnum_words(t)) for _, t, _ in sample]
@@ -178,9 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     return index, w, blank, [sample[i][0] for i in kept]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] | None = HELD, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """``doc_id, score, evidence``: the evidence is the nearest three examples with their cosines and labels."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target, held, per_class))  # bounded by the sample
+def scorer(shared):
+    """Scores and evidence of texts by the broadcast model, remembered per vector."""
 
     def make():
         model, known = shared.value, {}
@@ -205,7 +205,26 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", h
 
         return score
 
-    return map_texts(docs, make, "score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
+    return make
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] | None = HELD, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+    """``doc_id, score, evidence``: the evidence is the nearest three examples with their cosines and labels."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target, held, per_class))  # bounded by the sample
+    return map_texts(docs, scorer(shared), "score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] | None = HELD, per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score stays below the threshold, with all their columns."""
+    make = scorer(docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target, held, per_class)))
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fn = make()
+        for texts in batches:
+            yield pd.Series([fn(t or "")[0] for t in texts], dtype="float64")
+
+    return docs.where(score("text") < threshold)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
