@@ -46,11 +46,11 @@ class Tokenizer:
             except UnicodeDecodeError:
                 pass
 
-    def asked(self, texts: list[str], buckets: int) -> dict[int, list[bytes]]:
-        """The distinct pre-tokens of a block that need merging, by bucket and in order."""
+    def asked(self, pieces: list[list[str]], buckets: int) -> dict[int, list[bytes]]:
+        """The distinct ones of a block's pre-tokens that need merging, by bucket and in order."""
         import xxhash
 
-        words = set(chain.from_iterable(map(self.split, texts))).difference(self.whole)
+        words = set(chain.from_iterable(pieces)).difference(self.whole)
         out: dict[int, list[bytes]] = {}
         for w in sorted(map(str.encode, words)):
             out.setdefault(xxhash.xxh32_intdigest(w) % buckets, []).append(w)
@@ -70,7 +70,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         tokens = Tokenizer(*shared.value)
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                asked = tokens.asked(unpack(payload.as_buffer())[1], buckets)
+                asked = tokens.asked([tokens.split(t) for t in unpack(payload.as_buffer())[1]], buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(asked), pa.int32()), "block": pa.array([number] * len(asked), pa.int64()), "words": pa.array([_BREAK.join(w) for w in asked.values()], pa.binary())})
 
     known: dict = {}  # one tokenizer per task
@@ -104,16 +104,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         doc_ids, ids, decoded = [], [], []
         for payload in packed.column("payload"):
             numbers, texts = unpack(payload.as_buffer())
+            pieces = [tokens.split(t) for t in texts]
             table = dict(tokens.whole)
-            for bucket, words in tokens.asked(texts, buckets).items():
+            for bucket, words in tokens.asked(pieces, buckets).items():
                 flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[bucket]), np.uint32)
                 ends = np.cumsum(flat[: len(words)]).tolist()
                 flat, at = flat[len(words) :].tolist(), 0
                 for w, end in zip(words, ends):
                     table[w.decode()] = flat[at:end]
                     at = end
-            for number, text in zip(numbers, texts):
-                got = list(chain.from_iterable(map(table.__getitem__, tokens.split(text))))
+            for number, words in zip(numbers, pieces):
+                got = list(chain.from_iterable(map(table.__getitem__, words)))
                 doc_ids.append(number)
                 ids.append(np.array(got, np.int32))
                 decoded.append(b"".join(map(tokens.bytes.__getitem__, got)))
