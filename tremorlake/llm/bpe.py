@@ -15,8 +15,11 @@ long word, is encoded like any other; repeated rows each give a row; an empty ta
 from __future__ import annotations
 
 import base64
-from itertools import chain
+import zlib
+from functools import cached_property
+from itertools import chain, filterfalse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,30 +36,60 @@ class Tokenizer:
 
     def __init__(self, table: bytes, pattern: str):
         import regex
-        import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
+        self.pattern = pattern
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
         self.split = regex.compile(pattern).findall
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.whole, self.bytes = {}, {}
-        for token, i in ranks.items():
-            self.bytes[i] = token
+        self.whole = {}
+        for token, i in self.ranks.items():
             try:
                 self.whole[token.decode()] = (i,)
             except UnicodeDecodeError:
                 pass
 
-    def asked(self, pieces: list[list[str]], buckets: int) -> dict[int, list[bytes]]:
-        """The distinct ones of a block's pre-tokens that need merging, by bucket and in order."""
-        import xxhash
+    @cached_property
+    def byte_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens' bytes in a row, where each starts, and how many it has, by id."""
+        by_id = {i: token for token, i in self.ranks.items()}
+        sizes = np.array([len(by_id.get(i, b"")) for i in range(max(by_id, default=-1) + 1)], np.int64)
+        return np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    @cached_property
+    def encode(self):
+        import tiktoken
+
+        return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+
 
-        words = set(chain.from_iterable(pieces)).difference(self.whole)
+class Pieces:
+    """A block's texts as pre-tokens: the distinct ones, and every place's number among them."""
+
+    def __init__(self, tokens: Tokenizer, texts: list[str]):
+        rows = [tokens.split(t) for t in texts]
+        self.ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        places = list(chain.from_iterable(rows))
+        number = dict.fromkeys(places)
+        self.distinct = list(number)
+        number.update(zip(self.distinct, range(len(self.distinct))))
+        self.places = np.fromiter(map(number.__getitem__, places), np.int64, len(places))
+
+    def asked(self, tokens: Tokenizer, buckets: int) -> dict[int, list[bytes]]:
+        """The distinct pre-tokens that need merging, by bucket and in order."""
         out: dict[int, list[bytes]] = {}
-        for w in sorted(map(str.encode, words)):
-            out.setdefault(xxhash.xxh32_intdigest(w) % buckets, []).append(w)
+        for w in map(str.encode, filterfalse(tokens.whole.__contains__, self.distinct)):
+            out.setdefault(zlib.crc32(w) % buckets, []).append(w)
+        for words in out.values():
+            words.sort()
         return out
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches flat[start:start + size] of the given numbers one after another, and where each ends."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)], ends
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded``: the token ids of each whole text, and the bytes that the ids decode to."""
     spark = docs.sparkSession
@@ -70,13 +103,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         tokens = Tokenizer(*shared.value)
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                asked = tokens.asked([tokens.split(t) for t in unpack(payload.as_buffer())[1]], buckets)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(asked), pa.int32()), "block": pa.array([number] * len(asked), pa.int64()), "words": pa.array([_BREAK.join(w) for w in asked.values()], pa.binary())})
+                want = Pieces(tokens, unpack(payload.as_buffer())[1]).asked(tokens, buckets)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(want), pa.int32()), "block": pa.array([number] * len(want), pa.int64()), "words": pa.array([_BREAK.join(w) for w in want.values()], pa.binary())})
 
     known: dict = {}  # one tokenizer per task
 
     def answer(requests):
-        import numpy as np
         import pyarrow as pa
         import zstandard
 
@@ -95,31 +127,33 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     def assemble(packed, answers):
-        import numpy as np
         import pyarrow as pa
         import zstandard
 
         tokens = known.get(0) or known.setdefault(0, Tokenizer(*shared.value))
         replies = dict(zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()))
-        doc_ids, ids, decoded = [], [], []
+        out = []
         for payload in packed.column("payload"):
             numbers, texts = unpack(payload.as_buffer())
-            pieces = [tokens.split(t) for t in texts]
-            table = dict(tokens.whole)
-            for bucket, words in tokens.asked(pieces, buckets).items():
+            pieces = Pieces(tokens, texts)
+            merged: dict[str, list[int]] = {}
+            for bucket, words in pieces.asked(tokens, buckets).items():
                 flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[bucket]), np.uint32)
                 ends = np.cumsum(flat[: len(words)]).tolist()
                 flat, at = flat[len(words) :].tolist(), 0
                 for w, end in zip(words, ends):
-                    table[w.decode()] = flat[at:end]
+                    merged[w.decode()] = flat[at:end]
                     at = end
-            for number, words in zip(numbers, pieces):
-                got = list(chain.from_iterable(map(table.__getitem__, words)))
-                doc_ids.append(number)
-                ids.append(np.array(got, np.int32))
-                decoded.append(b"".join(map(tokens.bytes.__getitem__, got)))
-        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": flat, "decoded": pa.array(decoded, pa.binary())})
+            table = [tokens.whole.get(w) or merged[w] for w in pieces.distinct]
+            sizes = np.fromiter(map(len, table), np.int64, len(table))
+            ids, word_ends = gather(np.fromiter(chain.from_iterable(table), np.int32), np.cumsum(sizes) - sizes, sizes, pieces.places)
+            id_ends = np.append(0, word_ends)[pieces.ends]
+            raw, token_ends = gather(*tokens.byte_table, ids)
+            byte_ends = np.append(0, token_ends)[id_ends]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, id_ends), pa.int32()), pa.array(ids, pa.int32()))
+            decoded = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(np.append(0, byte_ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+            out.append(pa.table({"doc_id": pa.array(numbers, pa.int64()), "ids": lists, "decoded": decoded}))
+        return pa.concat_tables(out).combine_chunks()
 
     answers = blocks.mapInArrow(ask, "bucket int, block bigint, words binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, ids binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids array<int>, decoded binary")
