@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.columns import below_hinge
 from ..functions.dense import cusum_threshold
 from ..operators import calibration, detectors, segments, statistics
@@ -60,15 +62,43 @@ def score_arm(name: str, train: DataFrame, rows: DataFrame, features: list[str],
     return detectors.Mahalanobis.fit(baseline.residuals(train), features).score(baseline.residuals(rows))
 
 
+#: A reference period of more hours is not sent to tasks; its folds are then Spark fits of their own.
+FOLD_ROWS = 500_000
+
+
 def left_out_days(name: str, train: DataFrame, days: DataFrame, features: list[str], environment: list[str] = ()) -> DataFrame:
     """``day, score``: the median score of each reference day from an arm that was fitted without it.
 
     Plain Mahalanobis folds come from one aggregation. The other arms have a baseline or a standardisation
-    to refit, so each day is a fold of its own Spark jobs; the folds are as many as reference days.
+    to refit: the days are spread over tasks, which get the reference hours (a few thousand a year) by
+    broadcast, behind a check of their number.
     """
     if name == "raw_frequencies":
         scored = detectors.leave_groups_out(train.withColumn("day", F.to_date("ts")), "day", features)
         return scored.join(days, "day", "left_semi").groupBy("day").agg(F.median("score").alias("score"))
+    hours = train.select(F.unix_timestamp("ts").alias("s"), "temperature_c", *environment, *features)
+    if hours.count() > FOLD_ROWS:
+        return _left_out_by_spark(name, train, days, features, environment)
+    spark, width = train.sparkSession, len(environment)
+    matrix = hours.orderBy("s").toPandas().to_numpy(float)
+    shared = spark.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        import pandas as pd
+
+        m = shared.value
+        for pdf in batches:
+            scores = []
+            for day in pdf["s"]:
+                out = (m[:, 0] >= day) & (m[:, 0] < day + 86400)
+                scores.append(float(np.median(folds.fold_scores(name, m[:, 0], m[:, 1], m[:, 2 : 2 + width], m[:, 2 + width :], out))))
+            yield pd.DataFrame({"day": pdf["day"], "score": scores})
+
+    spread = days.select("day", F.unix_timestamp(F.col("day").cast("timestamp")).alias("s")).repartition(spark.sparkContext.defaultParallelism, "day")
+    return spread.mapInPandas(run, "day date, score double")
+
+
+def _left_out_by_spark(name: str, train: DataFrame, days: DataFrame, features: list[str], environment: list[str]) -> DataFrame:
     out, day = None, F.to_date("ts")
     for (d,) in days.orderBy("day").collect():
         part = score_arm(name, train.where(day != F.lit(d)), train.where(day == F.lit(d)), features, environment).agg(F.lit(d).alias("day"), F.median("score").alias("score"))
