@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, stage, table
 
 WINDOW = 10
 NEAR_TERMS = 8
@@ -53,17 +53,19 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """The windows with their rarest term and its offset; a term's count is that of its places in all documents."""
+    """The windows with their rarest term and its offset; a term's count is that of its places in all documents.
+
+    A window of which so many terms occur nowhere that it can't even match in proximity goes.
+    """
     places = windows.select("item_id", "window", "phrase", F.posexplode("phrase").alias("_off", "term"))
     terms = places.select("term").distinct()
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("_n"))
+    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     return (
         places.join(counts, "term", "left")
         .groupBy("item_id", "window", "phrase")
-        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_off", "term")).alias("_rare"))
-        .select("item_id", "phrase", F.col("_rare._off").alias("off"), F.col("_rare.term").alias("term"), F.col("_rare.n").alias("n"))
-        .where("n > 0")
-        .drop("n")
+        .agg(F.min(F.when(F.col("n") > 0, F.struct("n", F.col("_off").alias("off"), "term"))).alias("_rare"), F.count("n").alias("_present"))
+        .where((F.col("_present") == F.size("phrase")) | (F.col("_present") >= NEAR_TERMS))
+        .select("item_id", "phrase", "_rare.off", "_rare.term")
     )
 
 
@@ -144,9 +146,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without an exact phrase of the benchmark, with all their columns."""
-    hit = matches(docs.select("doc_id", "text"), items).where("exact").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_mark")).distinct()
-    marked = docs.withColumn("_at", F.xxhash64("text"))
-    return marked.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_mark")), "left_anti").drop("_at")
+    i, m, at = fresh(docs, "_id", "_mark", "_at")
+    hit = matches(docs.select("doc_id", "text"), items).where("exact").select(F.col("doc_id").alias(i), F.col("text_hash").alias(m)).distinct()
+    return docs.withColumn(at, F.xxhash64("text")).join(hit, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(at) == F.col(m)), "left_anti").drop(at)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import bucket_count, pack, squeeze, stretch, unpack
-from .common import WordHash, mix, stage, table, window_hashes
+from .common import WordHash, fresh, mix, stage, table, window_hashes
 from .components import connected_components
 
 WIDTH = 5
@@ -248,10 +248,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with all its columns; every document without a word stays."""
     word = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = ngram_components(docs).where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("_k")).select(F.col("_k.doc_id").alias("_id"), F.col("_k.mark").alias("_mark"))
-    marked = docs.withColumn("_at", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_mark"))
-    return marked.where(word).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_at"]).drop("_at").unionByName(docs.where(~word))
+    i, m, at = fresh(docs, "_id", "_mark", "_at")
+    kept = ngram_components(docs).where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.mark").alias(m))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(at) == F.col(m))
+    return docs.withColumn(at, F.xxhash64("text")).where(word).join(kept, same, "left_semi").dropDuplicates(["doc_id", at]).drop(at).unionByName(docs.where(~word))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,8 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         import pyarrow as pa
 
+        if partition is None:  # Spark's way to read a folder without archives
+            return
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
         fs, _ = _filesystem(self.path)
         rows, held = [], 0
