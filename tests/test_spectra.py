@@ -199,3 +199,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["alarmed"] for r in spark.table("levels").orderBy("day").collect()] == [False, True, True, True]
+
+
+def test_recordings_and_manifest(spark, tmp_path):
+    from tremorlake.sources import recordings
+
+    np.savez(tmp_path / "r1.npz", force=np.arange(50.0), plate=np.arange(20.0).reshape(10, 2))
+    got = recordings.read_npz(spark, str(tmp_path / "r1.npz")).cache()
+    assert {(r["sensor"], len(r["samples"])) for r in got.collect()} == {("force", 50), ("plate_0", 10), ("plate_1", 10)}
+    manifest = recordings.manifest(got)
+    assert texts.verified_samples(got.drop("sha256"), manifest).count() == 3
+    changed = got.drop("sha256").withColumn("samples", F.when(F.col("sensor") == "force", F.reverse("samples")).otherwise(F.col("samples")))
+    with pytest.raises(Exception, match="force"):
+        texts.verified_samples(changed, manifest).collect()
+    pairs = spark.createDataFrame([("r1", "rate", "100"), ("r1", "unit", "g")], "recording string, name string, value string")
+    assert recordings.attributes(pairs).first()["attributes"] == {"rate": "100", "unit": "g"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,6 @@ def verified(files: DataFrame, digests: DataFrame, algorithm: str = "md5") -> Da
 
 def verified_samples(recordings: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows of ``recordings(recording, sensor, samples)`` whose SHA-256 over the samples' little-endian doubles is the manifest's."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(samples: pd.Series) -> pd.Series:
         import hashlib
