@@ -25,8 +25,8 @@ def conformal_p(scores: DataFrame, keys: list[str] = (), calibration: DataFrame
     """Adds ``p_value`` = (1 + reference scores of at least this one) / (reference scores + 1), within ``keys``.
 
     ``scores`` has ``is_ref``; the reference scores are those rows, or the rows of ``calibration`` (keys, score).
-    Scores are counted per value first, so the running sum goes over distinct values in ranges, not in one task:
-    with few keys the totals of value ranges are small and are joined back.
+    The window of a key runs over its distinct scores, counted first: days or samples, thousands of them, not the
+    rows they were made from. Rows get their rank by a join on the score.
     """
     keys = list(keys)
     reference = (scores.where("is_ref").select(*keys, "score") if calibration is None else calibration.select(*keys, "score")).where(F.col("score").isNotNull())
