@@ -537,7 +537,7 @@ def shear_frequencies(spark, sf_dir):
     return physical.natural_frequencies(models).select("s_suppkey", r(F.col("frequencies_hz")[0]).alias("f1"), r(F.col("frequencies_hz")[1]).alias("f2"))
 
 
-@query("SELECT s_suppkey, 2.0 * (1 + s_suppkey % 7) AS k00, -1.0 * (1 + s_suppkey % 7) AS k01, 1.0 * (1 + s_suppkey % 7) AS k11 FROM supplier")
+@query("SELECT s_suppkey, CAST(2 * (1 + s_suppkey % 7) AS DOUBLE) AS k00, CAST(-1 * (1 + s_suppkey % 7) AS DOUBLE) AS k01, CAST(1 + s_suppkey % 7 AS DOUBLE) AS k11 FROM supplier")
 def stiffness_matrix(spark, sf_dir):
     k = (1 + F.col("s_suppkey") % 7).cast("double")
     out = physical.stiffness_matrix(read(spark, sf_dir, "supplier").select("s_suppkey", F.array(k, k).alias("stiffness")))
