@@ -61,7 +61,7 @@ def anchored(docs: DataFrame, windows: DataFrame) -> DataFrame:
     terms = places.select("term").distinct()
     counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
     return (
-        places.join(counts, "term", "left")
+        places.join(F.broadcast(counts), "term", "left")  # a row per term of the block at most
         .groupBy("item_id", "window", "phrase")
         .agg(F.min(F.when(F.col("n") > 0, F.struct("n", F.col("_off").alias("off"), "term"))).alias("_rare"), F.count("n").alias("_present"))
         .where((F.col("_present") == F.size("phrase")) | (F.col("_present") >= NEAR_TERMS))
