@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK_BYTES = 4 << 20
 
 
@@ -48,7 +50,7 @@ def pack(docs: DataFrame, *extra: str, block_bytes: int = BLOCK_BYTES) -> DataFr
         if parts:
             yield block(parts)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra).mapInArrow(run, "block bigint, payload binary")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra).mapInArrow(run, "block bigint, payload binary")
 
 
 def unpack(payload) -> list[list]:

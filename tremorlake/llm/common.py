@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lower-cases A-Z; every other byte stays.
-WORD_BYTES = "[^\\x20\\x09-\\x0D]+"
+#: Texts per Arrow batch; long texts come a few at a time.
+BATCH_BYTES = 16 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Lower-cases A-Z and turns every ASCII byte that is neither a letter nor a digit into a space.
 ALNUM_TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -151,7 +152,7 @@ def class_counts(labels: DataFrame, target: str, held: tuple[int, int] | None) -
 class WordHash(dict):
     """64-bit hashes of words, remembered for at most ``bound`` words."""
 
-    bound = 400_000
+    bound = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -182,6 +183,13 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The table; from now on its session sends at most ``BATCH_BYTES`` to a Python worker at once, unless it has a limit of its own."""
+    if df.sparkSession.conf.get(_BATCH_LIMIT, None) is None:
+        df.sparkSession.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -> DataFrame:
     """One output row per document, whole texts in Arrow batches.
 
@@ -205,4 +213,4 @@ def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -
                 columns = [part.column(0), *([r[i] for r in rows] for i in range(len(arrow) - 1))]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, full)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, full)

@@ -239,7 +239,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     roots = connected_components(links(sets))
     nodes = keys.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     nodes = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    nodes = stage(nodes, "nodes")
+    least = stage(nodes.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # a plain join follows, whose hot roots Spark can split
     component = nodes.join(least, "root").select("node", "component_id", "root")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id"))
     return keys.join(component, "node", "left").select("doc_id", "mark", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))
@@ -256,3 +257,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+), m AS (
+  SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""

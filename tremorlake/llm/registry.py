@@ -16,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
 }
-ORACLE_SQL = {"op5_warc": warc.OP5_SQL, "op10_decontamination": decontamination.OP10_SQL}
+ORACLE_SQL = {"op5_warc": warc.OP5_SQL, "op7_ngram_join": ngram_join.OP7_SQL, "op10_decontamination": decontamination.OP10_SQL}
