@@ -1,8 +1,9 @@
 """N-gram Jaccard join: which documents' sets of word shingles overlap by 75 % or more, and their components.
 
-1. Documents are packed into blocks; every block asks, bucket by bucket, in how many block-wise distinct
-   sets each of its shingles occurs (equal sets of a block count once). Only 32 bits of a shingle's hash
-   travel beside its bucket: a collision can only make a unique shingle look shared.
+1. Documents are packed into blocks; every block asks once for each of its distinct shingles, bucket by
+   bucket, in how many block-wise distinct sets it occurs (equal sets of a block count once), and says how
+   many of its own hold it. So a line that a third of all documents hold costs one request per block. Only
+   32 bits of a shingle's hash travel beside its bucket: a collision can only make a unique shingle look shared.
 2. A set less than 75 % of whose shingles are shared cannot link with another set and goes no further
    (most do). The others keep their shared shingles, rarest first - a global order, so two sets that link
    share one of the first n - ceil(0.75 n) + 1 of their order (prefix filter). The components of "share
@@ -69,14 +70,18 @@ def block_sets(payload, hashed: WordHash):
 
 
 def asked(distinct: dict[int, np.ndarray], buckets: int):
-    """The shingles of a block by bucket: hashes' low 32 bits, ascending; also the order that puts answers back."""
+    """The distinct shingles of a block by bucket, ascending, as their hashes' low 32 bits, and how many of its sets hold each.
+
+    The first value is the place of each set's shingles among them, which puts answers back.
+    """
     flat = np.concatenate([*distinct.values(), np.empty(0, np.uint64)])
     key = ((mix(flat) >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, place, counts = np.unique(key, return_inverse=True, return_counts=True)
     bucket = (key >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return order, bucket[edges].tolist(), np.split(key & np.uint64(0xFFFFFFFF), edges[1:]) if len(key) else []
+    if not len(key):
+        return place, [], [], []
+    return place, bucket[edges].tolist(), np.split(key & np.uint64(0xFFFFFFFF), edges[1:]), np.split(counts, edges[1:])
 
 
 def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,15 +95,21 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         hashed = WordHash()
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, names, parts = asked(block_sets(payload.as_buffer(), hashed)[4], buckets)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "block": pa.array([number] * len(names), pa.int64()), "hashes": pa.array([squeeze(p) for p in parts], pa.binary())})
+                _, names, parts, held = asked(block_sets(payload.as_buffer(), hashed)[4], buckets)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "block": pa.array([number] * len(names), pa.int64()), "hashes": pa.array([squeeze(p) for p in parts], pa.binary()), "held": pa.array([squeeze(h) for h in held], pa.binary())})
 
     def answer(requests):
         import pyarrow as pa
 
-        parts = [stretch(x) for x in requests.column("hashes").to_pylist()]
-        flat = np.sort(np.concatenate(parts))
-        out = [squeeze(np.searchsorted(flat, p, "right") - np.searchsorted(flat, p, "left")) for p in parts]
+        parts, held = ([stretch(x) for x in requests.column(c).to_pylist()] for c in ("hashes", "held"))
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        flat = np.concatenate(parts)
+        order = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[order][1:] != flat[order][:-1]
+        total = np.empty(len(flat), np.uint64)
+        total[order] = np.add.reduceat(np.concatenate(held)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        out = [squeeze(x) for x in np.split(total, ends)]
         return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "counts": pa.array(out, pa.binary())})
 
     def assemble(packed, answers):
@@ -109,9 +120,8 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = []
         for payload in packed.column("payload"):
             ids, marks, sets, nodes, distinct = block_sets(payload.as_buffer(), hashed)
-            order, names, parts = asked(distinct, buckets)
-            counts = np.empty(len(order), np.int64)
-            counts[order] = np.concatenate([np.empty(0, np.uint64), *(stretch(replies[b]) for b in names)]).astype(np.int64)
+            place, names, _, _ = asked(distinct, buckets)
+            counts = np.concatenate([np.empty(0, np.uint64), *(stretch(replies[b]) for b in names)]).astype(np.int64)[place]
             at, shared = 0, {}
             for node, s in distinct.items():
                 c = counts[at : at + len(s)]
@@ -122,7 +132,7 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows += [(i, m, len(s), n, shared.pop(n, None)) for i, m, s, n in zip(ids, marks, sets, nodes)]  # each set once
         return pa.table({n: pa.array(c, t) for n, t, c in zip(("doc_id", "mark", "n_shingles", "node", "shared"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), zip(*rows))})
 
-    answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, counts binary")
+    answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, held binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, counts binary")
     rows = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, mark bigint, n_shingles bigint, node bigint, shared array<bigint>"), "sets")
     held = rows.where("shared is not null")
     first = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # equal sets of several blocks: one row
