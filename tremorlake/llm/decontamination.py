@@ -88,7 +88,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     blocks = max(1, -(-n // BLOCK_WINDOWS), -(-size // BLOCK_BYTES))
     found = None
     for b in range(blocks):
-        windows = all_windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b) if blocks > 1 else all_windows
+        windows = all_windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == b) if blocks > 1 else all_windows
         rare = stage(anchored(docs, windows), "anchors")
         index = stage(postings(docs, rare.select("term").distinct()), "postings")
         start = F.col("pos") - F.col("off")
