@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremorlake.llm import components, decontamination, ngram_join, substring_dedup, warc
+from tremorlake.llm import blocks, components, decontamination, ngram_join, substring_dedup, warc
 from tremorlake.llm.common import alnum_words, shared_dir
 
 EXTRA = {"lang": "xx", "source": "s", "n_chars": 0, "block": 2, "mark": "m", "node": 1, "_at": 4, "_id": 5}
@@ -121,6 +121,19 @@ def test_repeated_passages(spark):
     assert {(r["doc_id"], r["first_word"], r["n_words"], tuple(r["holders"])) for r in got} == {(9, 50, 60, (3,)), (20, 50, 60, (3,)), (12, 70, 80, (5,))}
 
 
+@pytest.mark.parametrize("block_bytes", [1, 1 << 30])
+def test_size_of_blocks_does_not_matter(spark, monkeypatch, block_bytes):
+    """A block sends what its documents share once; a block per row and one block of all rows agree with brute force."""
+    for module in (ngram_join, substring_dedup):
+        monkeypatch.setattr(module, "pack", lambda df, *extra: blocks.pack(df.repartition(64) if block_bytes == 1 else df.coalesce(1), *extra, block_bytes=block_bytes))
+    line = " ".join(f"line{i}" for i in range(60))
+    texts = [f"{line} " + " ".join(f"d{d}w{i}" for i in range(10)) for d in range(12)] + ["alone " * 3, None]
+    got = substring_dedup.merged_passages(substring_dedup.repeated_passages(docs(spark, texts))).collect()
+    assert {(r["doc_id"], r["first_word"], r["n_words"], tuple(r["holders"])) for r in got} == {(d, 0, 60, (0,)) for d in range(1, 12)}
+    found = ngram_join.ngram_components(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["n_shingles"], r["component_id"]) for r in found] == brute_components(texts)
+
+
 def test_cutting_passages(spark):
     texts = planted(1)
     df = docs(spark, texts)
@@ -175,6 +188,8 @@ def test_blocks_of_benchmark_agree(spark, monkeypatch):
     df, bench = docs(spark, [items[i][1] for i in (0, 3)] + ["none"]), spark.createDataFrame(items, "item_id bigint, text string")
     monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 7)
     assert [r["n_items"] for r in decontamination.contamination(df, bench).orderBy("doc_id").collect()] == [1, 1, 0]
+    shared = spark.createDataFrame([(i, items[0][1]) for i in range(9)], "item_id bigint, text string")  # one window, many items
+    assert [r["n_items"] for r in decontamination.contamination(df, shared).orderBy("doc_id").collect()] == [9, 0, 0]
 
 
 def test_warc(spark):
