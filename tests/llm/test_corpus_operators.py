@@ -121,6 +121,21 @@ def test_repeated_passages(spark):
     assert {(r["doc_id"], r["first_word"], r["n_words"], tuple(r["holders"])) for r in got} == {(9, 50, 60, (3,)), (20, 50, 60, (3,)), (12, 70, 80, (5,))}
 
 
+def spans_of(spark, texts):
+    got = substring_dedup.merged_passages(substring_dedup.repeated_passages(docs(spark, texts))).collect()
+    return {(r["doc_id"], r["first_word"], r["n_words"], tuple(r["holders"])) for r in got}
+
+
+def test_second_copy_of_a_passage(spark):
+    rng = np.random.default_rng(8)
+    passage, a, b, c = words(rng, 80), words(rng, 90, 10**6), words(rng, 70, 10**6), words(rng, 60, 10**6)
+    line = passage[10:40]  # stands in the document before the passage
+    texts = [" ".join(a + passage), " ".join(b + passage + c + passage), " ".join(c[:30] + line + b[:20] + passage), " ".join(["x", "y"] * 300 + a[:5]), " ".join(["x", "y"] * 300 + b[:5])]
+    got = spans_of(spark, texts)
+    assert {(1, 70, 80, (0,)), (1, 210, 80, (0,)), (2, 80, 80, (0,))} <= got
+    assert any(d == 4 and n >= 590 for d, _, n, _ in got)
+
+
 @pytest.mark.parametrize("block_bytes", [1, 1 << 30])
 def test_size_of_blocks_does_not_matter(spark, monkeypatch, block_bytes):
     """A block sends what its documents share once; a block per row and one block of all rows agree with brute force."""
