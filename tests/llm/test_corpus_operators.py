@@ -136,6 +136,25 @@ def test_second_copy_of_a_passage(spark):
     assert any(d == 4 and n >= 590 for d, _, n, _ in got)
 
 
+@pytest.mark.parametrize("change", ["insert", "delete"])
+def test_passages_with_inserted_and_deleted_words(spark, change):
+    rng = np.random.default_rng(9)
+    texts, want = [], {}
+    for n, every in ((60, 30), (80, 40), (86, 43), (400, 40)):
+        for _ in range(5):
+            passage, (a, b, c) = words(rng, n, 10**6), (words(rng, 60, 10**6) for _ in range(3))
+            edited = list(passage)
+            for at in range(n - every, 0, -every):
+                edited[at : at + (change == "delete")] = ["new"] if change == "insert" else []
+            texts += [" ".join(a + passage), " ".join(b[:40] + edited + c)]
+            want[len(texts) - 1] = (40, len(edited))
+    got = defaultdict(list)
+    for d, first, n, holders in spans_of(spark, texts):
+        assert holders == (d - 1,) and want[d][0] <= first and first + n <= sum(want[d])
+        got[d].append((first, n))
+    assert sum(got[d] == [w] for d, w in want.items()) >= 17  # the min-hashes of a few differ
+
+
 @pytest.mark.parametrize("block_bytes", [1, 1 << 30])
 def test_size_of_blocks_does_not_matter(spark, monkeypatch, block_bytes):
     """A block sends what its documents share once; a block per row and one block of all rows agree with brute force."""
