@@ -155,6 +155,18 @@ def test_passages_with_inserted_and_deleted_words(spark, change):
     assert sum(got[d] == [w] for d, w in want.items()) >= 17  # the min-hashes of a few differ
 
 
+def test_earlier_document_with_a_part(spark):
+    """The first holder of most min-hashes holds 40 of 50 words; the passage is verbatim in two later documents."""
+    rng = np.random.default_rng(10)
+    texts, want = [], set()
+    for n, part in ((50, 40), (50, 35), (60, 40)):
+        for _ in range(8):
+            passage, (a, b, c) = words(rng, n, 10**6), (words(rng, 60, 10**6) for _ in range(3))
+            texts += [" ".join(a + passage[:part]), " ".join(b + passage), " ".join(c[:30] + passage + c[30:])]
+            want.add((len(texts) - 1, 30, n, (len(texts) - 2,)))
+    assert {x for x in spans_of(spark, texts) if len(x[3]) == 1 and x[3][0] % 3 == 1} == want
+
+
 @pytest.mark.parametrize("block_bytes", [1, 1 << 30])
 def test_size_of_blocks_does_not_matter(spark, monkeypatch, block_bytes):
     """A block sends what its documents share once; a block per row and one block of all rows agree with brute force."""
