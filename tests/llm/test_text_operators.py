@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import textwrap
 import zlib
 from collections import Counter
 
@@ -132,6 +133,16 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped at 40 columns, anywhere in a long text."""
+    texts, want = [], []
+    for n, (label, template) in enumerate(license_scan.TEMPLATES):
+        texts.append("\n".join(textwrap.wrap(" ".join(f"w{i}" for i in range(17 * n)) + " " + template + " " + "tail " * 90, 40)))
+        want.append(label)
+    got = license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert all(label in r["labels"].split(",") and r["score"] == 1.0 for label, r in zip(want, got))
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
     vectors = []

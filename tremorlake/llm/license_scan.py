@@ -1,7 +1,8 @@
 """License scan: exact set containment of license templates in blocks of text.
 
-A block is a line; a line of more than ``BLOCK_WORDS`` words is cut into windows of that many words that
-overlap by half, so every window of half that length lies in a block and whole texts are covered. A block
+Blocks are windows of ``BLOCK_WORDS`` words of the whole text, across line breaks, that overlap by half, so every
+stretch of half that length lies in a block, notices that are wrapped over lines too; each line is a block
+besides, a longer one in windows that overlap by half. A block
 meets a template when it holds at least ``THRESHOLD`` of the template's distinct words. The search is an
 exact set-similarity join: template words are ordered by their document frequency over the whole corpus
 (one aggregation over the bounded template vocabulary), a block is compared only with templates one of
@@ -15,6 +16,7 @@ rows each give a row; equal labels from several blocks are listed once; an empty
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,15 +97,14 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
                     at = joined.find(needle, at + 1)
             found: dict[tuple[str, int], float] = {}
             if not index.prefix_words.isdisjoint(words):
-                first = 0
-                for line in raw.split(b"\n"):
-                    line = line.split()
-                    half = BLOCK_WORDS // 2
+                half = BLOCK_WORDS // 2
+                lines = [line.split() for line in raw.split(b"\n")]
+                starts = [0, *accumulate(map(len, lines))]
+                for first, line in [(0, words), *(x for x in zip(starts, lines) if len(x[1]) < len(words))]:
                     for at in range(0, max(1, len(line) - half), half) if len(line) > BLOCK_WORDS else (0,):
                         for t, share in index.matches(line[at : at + BLOCK_WORDS]).items():
                             key = (index.labels[t], first + at)
                             found[key] = max(share, found.get(key, 0))
-                    first += len(line)
             labels = sorted(base | {label for label, _ in found})
             score = 1.0 if base else max(found.values(), default=0.0)
             blocks = [{"label": k[0], "first_word": k[1], "containment": v} for k, v in sorted(found.items())]
