@@ -2,8 +2,9 @@
 
 An operator that needs, for each of many small values in a text, something that only the whole corpus
 knows (an id, a count, a first holder) sends each distinct value of a block to the bucket of its hash,
-gets one answer per request back, and reads it beside the text. The text is shuffled once, compressed;
-what travels otherwise is bounded by the distinct values per block.
+gets one answer per request back, and reads it beside the block. What a block needs afterwards is shuffled
+once, compressed; what travels otherwise is bounded by the distinct values per block. A cell between a block
+and a bucket is made only where the block has a value for the bucket, so there are never more cells than values.
 """
 
 from __future__ import annotations
@@ -11,14 +12,130 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 BLOCK_BYTES = 4 << 20
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Several buckets per shuffle partition, so that one bucket is a fraction of a task's share at any size."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text whose values meet in a bucket, on average.
+BUCKET_BYTES = 4 << 20
+
+
+def bucket_count(docs: DataFrame, buckets_bytes: int | None = None) -> int:
+    """Several buckets per shuffle partition, and so many that a bucket keeps its size as the texts grow (one sum over their lengths)."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (buckets_bytes or BUCKET_BYTES)))
+
+
+def blocks_of(batches, block_bytes: int):
+    """The columns of neighbouring rows as lists, about ``block_bytes`` of text at a time; a null text is empty."""
+    columns, held = None, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                columns = columns or [[] for _ in row]
+                for c, x in zip(columns, row):
+                    c.append(x)
+                columns[1][-1] = row[1] or ""
+                held += len(columns[1][-1])
+                if held >= block_bytes:
+                    yield columns
+                    columns, held = None, 0
+    if columns:
+        yield columns
+
+
+def cells(docs: DataFrame, cut, *extra: str, block_bytes: int | None = None) -> DataFrame:
+    """``key, block, data``: what ``cut(ids, texts, *extra)`` keeps of each block (under a negative key) and asks of each bucket (under the bucket's number).
+
+    ``cut`` returns bytes and a dictionary from buckets to bytes. Both kinds of rows go through one exchange,
+    which ``answered`` and ``assembled`` share, so a text is read and cut once.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for columns in blocks_of(batches, block_bytes or BLOCK_BYTES):
+            kept, asked = cut(*columns)
+            number = -(xxhash.xxh64_intdigest(kept) >> 1) - 1
+            yield pa.RecordBatch.from_pydict({"key": pa.array([number, *asked], pa.int64()), "block": pa.array([number] * (1 + len(asked)), pa.int64()), "data": pa.array([kept, *asked.values()], pa.binary())})
+        release()
+
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra).mapInArrow(run, "key bigint, block bigint, data binary").repartition("key")
+
+
+def answered(asked: DataFrame, answer) -> DataFrame:
+    """``key, bucket, data``: for each request to a bucket its answer, under the block's key. ``answer`` gets all requests of a bucket."""
+
+    def run(group):
+        import pyarrow as pa
+
+        if group.column("key")[0].as_py() < 0:
+            group = group.slice(0, 0)
+        out = answer(group.column("data").to_pylist()) if group.num_rows else []
+        return pa.table({"key": group.column("block"), "bucket": group.column("key"), "data": pa.array(out, pa.binary())})
+
+    return asked.groupBy("key").applyInArrow(run, "key bigint, bucket bigint, data binary")
+
+
+def assembled(kept: DataFrame, answers: DataFrame, assemble, schema: str) -> DataFrame:
+    """What ``assemble(data, answers by bucket)`` makes of each block, as Arrow tables of ``schema``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(mine, replies):
+        import pyarrow as pa
+
+        if not mine.num_rows or mine.column("key")[0].as_py() >= 0:
+            return arrow.empty_table()
+        found = dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist()))
+        return pa.concat_tables([assemble(data, found).cast(arrow) for data in mine.column("data").to_pylist()]).combine_chunks()
+
+    return kept.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(run, schema)
+
+
+def bundle(*arrays) -> bytes:
+    """Number arrays as compressed bytes, bytes of equal weight together."""
+    import struct
+
+    import numpy as np
+    import zstandard
+
+    parts = []
+    for x in arrays:
+        parts += [struct.pack("<cBQ", x.dtype.kind.encode(), x.dtype.itemsize, len(x)), np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unbundle(data: bytes) -> list:
+    import struct
+
+    import numpy as np
+    import zstandard
+
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        kind, size, n = struct.unpack_from("<cBQ", raw, at)
+        at += 10
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(f"{kind.decode()}{size}"))
+        at += n * size
+    return out
+
+
+def numbers(ids: list) -> tuple:
+    """Ids that may be null as two arrays, for ``bundle``."""
+    import numpy as np
+
+    return np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids], np.uint8)
+
+
+def nullable(values, null):
+    import pyarrow as pa
+
+    return pa.array(values, pa.int64(), mask=null.astype(bool))
 
 
 def pack(docs: DataFrame, *extra: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -49,6 +166,7 @@ def pack(docs: DataFrame, *extra: str, block_bytes: int = BLOCK_BYTES) -> DataFr
                     parts, held = [], 0
         if parts:
             yield block(parts)
+        release()
 
     return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *extra).mapInArrow(run, "block bigint, payload binary")
 

@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
-Documents are packed into compressed blocks of a few MB. Each block is split into pre-tokens with their
-positions; a pre-token that is itself an entry of the rank table needs no merging, and of the others each
-block sends every distinct one to the bucket of its hash. A bucket gathers what all blocks ask for, encodes
-each distinct word once, and answers each block. The answers are joined back to the blocks, where the ids
-are put together by position. Decoding joins ids with the token-byte table (fixed size, known to every
+Documents are taken in blocks of a few MB. Each block is split into pre-tokens once and keeps, for every position,
+the number of its pre-token, and nothing else of the text. A pre-token that is itself an entry of the rank table needs
+no merging; of the others each block sends every distinct one to the bucket of its hash. A bucket gathers what all
+blocks ask for, encodes each distinct word once, and answers each block. The answers are joined back to the blocks'
+positions, which puts the ids together. Decoding joins ids with the token-byte table (fixed size, known to every
 task). So a hot word costs one request per block, not one per place, no group grows with a word's
-frequency, and the text itself is shuffled once, compressed.
+frequency, and positions are shuffled once, compressed.
 
-Defined edge cases: a null text is empty (no ids, no bytes); a text of white space only, or a single very
-long word, is encoded like any other; repeated rows each give a row; an empty table gives no rows.
+Defined edge cases: a null text is empty (no ids, no bytes); a null doc_id stays null; a text of white space only, a
+single very long word or a very long text (a block of its own) is encoded like any other; repeated rows each give a row;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from __future__ import annotations
 import base64
 import zlib
 from functools import cached_property
-from itertools import chain, filterfalse
+from itertools import chain, count, filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, pack, unpack
+from .blocks import answered, assembled, bucket_count, bundle, cells, nullable, numbers, unbundle
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -43,7 +44,7 @@ class Tokenizer:
         self.whole = {}
         for token, i in self.ranks.items():
             try:
-                self.whole[token.decode()] = (i,)
+                self.whole[token.decode()] = i
             except UnicodeDecodeError:
                 pass
 
@@ -61,28 +62,6 @@ class Tokenizer:
         return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
 
 
-class Pieces:
-    """A block's texts as pre-tokens: the distinct ones, and every place's number among them."""
-
-    def __init__(self, tokens: Tokenizer, texts: list[str]):
-        rows = [tokens.split(t) for t in texts]
-        self.ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-        places = list(chain.from_iterable(rows))
-        number = dict.fromkeys(places)
-        self.distinct = list(number)
-        number.update(zip(self.distinct, range(len(self.distinct))))
-        self.places = np.fromiter(map(number.__getitem__, places), np.int64, len(places))
-
-    def asked(self, tokens: Tokenizer, buckets: int) -> dict[int, list[bytes]]:
-        """The distinct pre-tokens that need merging, by bucket and in order."""
-        out: dict[int, list[bytes]] = {}
-        for w in map(str.encode, filterfalse(tokens.whole.__contains__, self.distinct)):
-            out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-        for words in out.values():
-            words.sort()
-        return out
-
-
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches flat[start:start + size] of the given numbers one after another, and where each ends."""
     n = sizes[at]
@@ -92,71 +71,58 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarr
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded``: the token ids of each whole text, and the bytes that the ids decode to."""
-    spark = docs.sparkSession
     buckets = bucket_count(docs)
-    shared = spark.sparkContext.broadcast((ranks, pattern))  # the rank file, of a fixed size
-    blocks = pack(docs).repartition("block")
-
-    def ask(batches):
-        import pyarrow as pa
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # the rank file, of a fixed size
+    known: dict = {}  # one tokenizer per task
 
-        tokens = Tokenizer(*shared.value)
-        for batch in batches:
-            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                want = Pieces(tokens, unpack(payload.as_buffer())[1]).asked(tokens, buckets)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(want), pa.int32()), "block": pa.array([number] * len(want), pa.int64()), "words": pa.array([_BREAK.join(w) for w in want.values()], pa.binary())})
+    def tokenizer() -> Tokenizer:
+        return known.get(0) or known.setdefault(0, Tokenizer(*shared.value))
 
-    known: dict = {}  # one tokenizer per task
+    def cut(ids, texts):
+        tokens = tokenizer()
+        rows = [tokens.split(t) for t in texts]
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        number = dict.fromkeys(chain.from_iterable(rows))
+        asked: dict[int, list[bytes]] = {}
+        for w in filterfalse(tokens.whole.__contains__, number):
+            raw = w.encode()
+            asked.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+        # words are numbered by bucket, those that need no merging after them
+        asked = dict(sorted(asked.items()))
+        number.update(zip((w.decode() for words in asked.values() for w in words), count()))
+        whole = [w for w, i in number.items() if i is None]
+        number.update(zip(whole, count(len(number) - len(whole))))
+        places = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.uint32, ends[-1])
+        return bundle(*numbers(ids), ends, np.array([tokens.whole[w] for w in whole], np.uint32), places), {b: _BREAK.join(words) for b, words in asked.items()}
 
     def answer(requests):
-        import pyarrow as pa
-        import zstandard
-
-        tokens = known.get(0) or known.setdefault(0, Tokenizer(*shared.value))
+        tokens = tokenizer()
         ids: dict[bytes, list[int]] = {}
-        zipped = zstandard.ZstdCompressor(level=1)
         out = []
-        for words in requests.column("words").to_pylist():
+        for words in requests:
             words = words.split(_BREAK)
             for w in words:
                 if w not in ids:
                     ids[w] = tokens.encode(w.decode())
             found = [ids[w] for w in words]
-            flat = np.fromiter(chain.from_iterable(found), np.uint32)
-            out.append(zipped.compress(np.concatenate([np.fromiter(map(len, found), np.uint32, len(found)), flat]).tobytes()))
-        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "ids": pa.array(out, pa.binary())})
+            out.append(bundle(np.fromiter(map(len, found), np.uint32, len(found)), np.fromiter(chain.from_iterable(found), np.uint32)))
+        return out
 
-    def assemble(packed, answers):
+    def assemble(kept, answers):
         import pyarrow as pa
-        import zstandard
 
-        tokens = known.get(0) or known.setdefault(0, Tokenizer(*shared.value))
-        replies = dict(zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()))
-        out = []
-        for payload in packed.column("payload"):
-            numbers, texts = unpack(payload.as_buffer())
-            pieces = Pieces(tokens, texts)
-            merged: dict[str, list[int]] = {}
-            for bucket, words in pieces.asked(tokens, buckets).items():
-                flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(replies[bucket]), np.uint32)
-                ends = np.cumsum(flat[: len(words)]).tolist()
-                flat, at = flat[len(words) :].tolist(), 0
-                for w, end in zip(words, ends):
-                    merged[w.decode()] = flat[at:end]
-                    at = end
-            table = [tokens.whole.get(w) or merged[w] for w in pieces.distinct]
-            sizes = np.fromiter(map(len, table), np.int64, len(table))
-            ids, word_ends = gather(np.fromiter(chain.from_iterable(table), np.int32), np.cumsum(sizes) - sizes, sizes, pieces.places)
-            id_ends = np.append(0, word_ends)[pieces.ends]
-            raw, token_ends = gather(*tokens.byte_table, ids)
-            byte_ends = np.append(0, token_ends)[id_ends]
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, id_ends), pa.int32()), pa.array(ids, pa.int32()))
-            decoded = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(np.append(0, byte_ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
-            out.append(pa.table({"doc_id": pa.array(numbers, pa.int64()), "ids": lists, "decoded": decoded}))
-        return pa.concat_tables(out).combine_chunks()
-
-    answers = blocks.mapInArrow(ask, "bucket int, block bigint, words binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, ids binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, ids array<int>, decoded binary")
+        doc, null, ends, whole, places = unbundle(kept)
+        parts = [unbundle(answers[b]) for b in sorted(answers)]
+        sizes = np.concatenate([*(n for n, _ in parts), np.ones(len(whole), np.uint32)]).astype(np.int64)
+        ids, word_ends = gather(np.concatenate([*(i for _, i in parts), whole]).astype(np.int32), np.cumsum(sizes) - sizes, sizes, places)
+        id_ends = np.append(0, np.append(0, word_ends)[ends])
+        raw, token_ends = gather(*tokenizer().byte_table, ids)
+        byte_ends = np.append(0, token_ends)[id_ends]
+        decoded = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(byte_ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+        return pa.table({"doc_id": nullable(doc, null), "ids": pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), pa.array(ids, pa.int32())), "decoded": decoded})
+
+    blocks = cells(docs, cut)
+    return assembled(blocks, answered(blocks, answer), assemble, "doc_id bigint, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:

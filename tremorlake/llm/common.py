@@ -190,6 +190,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give memory that a finished task doesn't need any more back to the system; Python workers outlive tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -> DataFrame:
     """One output row per document, whole texts in Arrow batches.
 
@@ -212,5 +224,6 @@ def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -
                 rows = [fn(t or "") for t in part.column(1).to_pylist()]
                 columns = [part.column(0), *([r[i] for r in rows] for i in range(len(arrow) - 1))]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+        release()
 
     return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, full)
