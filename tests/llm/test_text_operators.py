@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tremorlake.llm import bpe, compression_quality, language_model, license_scan, quality_rules, toxicity
+from tremorlake.llm import blocks, bpe, compression_quality, language_model, license_scan, quality_rules, toxicity
 from tremorlake.llm.common import alnum_words
 
 P = pytest.importorskip("public_tokenizers")
@@ -174,31 +174,59 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.toxicity_scores(docs(spark, texts[:3]), label_table(spark, [], "toxic")).collect()} == {0.0}
 
 
-def test_language_model(spark):
+class BruteModel:
+    """Word, pair and triple counts in dictionaries, and the backoff recursion as the docstring states it."""
+
+    def __init__(self, texts):
+        self.c = Counter()
+        for t in texts:
+            w = [language_model.START, *language_model.tokens(t)]
+            for n in (1, 2, 3):
+                self.c.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        self.words = {g[0]: c for g, c in self.c.items() if len(g) == 1 and g[0] != language_model.START}
+        self.n, self.below = sum(self.words.values()), sum(self.words.values()) + 0.5 * (len(self.words) + 1)
+
+    def p(self, context, w):
+        if not context:
+            return (self.words.get(w, 0) + 0.5) / self.below
+        c, k = self.c[context], language_model.KAPPA[len(context) - 1]
+        lower = self.p(context[1:], w)
+        return lower if c < 2 else ((c - 1) * self.c[(*context, w)] / c + k * lower) / (c - 1 + k)
+
+    def score(self, text):
+        w = [language_model.START, *language_model.tokens(text)]
+        return sum(math.log10(self.p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
+
+
+def test_language_model(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
     rng = np.random.default_rng(4)
     base = ["the cat sat on the mat", "a dog ran in the park", "The Cat ran"]
     texts = EDGES + [" ".join(rng.choice(base, 4)) + f" rare{i}" for i in range(60)]
-    df = docs(spark, texts)
-    training = df.where("doc_id % 5 <> 1")
-    counts = Counter(w for i, t in enumerate(texts) if i % 5 != 1 for w in language_model.tokens(t))
-    n, v = sum(counts.values()), len(counts)
-    got = {r["doc_id"]: r for r in language_model.language_model_scores(df, training).collect()}
+    texts += [" ".join(f"v{x}" for x in rng.integers(0, 400, 80)) for _ in range(20)]
+    texts.append(texts[-1])  # occurs twice
+    df, held = docs(spark, texts), F.col("doc_id") % 5 == 1
+    model = BruteModel([t for i, t in enumerate(texts) if i % 5 != 1])
+    got = {r["doc_id"]: r for r in language_model.language_model_scores(df, held).collect()}
+    assert sorted(got) == list(range(len(texts)))
     for i, t in enumerate(texts):
         w = language_model.tokens(t)
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
-        assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum(x in model.words for x in w), model.n)
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10(model.p((), x)) for x in w))
+        assert got[i]["score"] == pytest.approx(model.score(t))
     # every context's probabilities, the unseen word included, sum to one
-    automaton, *_ = language_model.fit(training)
-    unseen = 0.5 / (n + 0.5 * (v + 1))
-    for words in (["the"], ["the", "cat"], ["zzz"], []):
-        state = automaton.first
-        total = 0.0
-        for nxt in range(len(automaton.number)):
-            ids = [automaton.number.get(x.encode(), -1) for x in words]
-            total += 10 ** (automaton.traverse([*ids, nxt]) - automaton.traverse(ids))
-        total += unseen * 10 ** (automaton.traverse([*ids, -1]) - automaton.traverse(ids))
-        assert total == pytest.approx(1, abs=1e-6)
-    empty = language_model.language_model_scores(df, training.where("false")).collect()
-    assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in empty)
-    assert language_model.language_model_scores(docs(spark, []), training).count() == 0
+    for context in ((b"the",), (b"the", b"cat"), (b"zzz",), (language_model.START, b"the"), ()):
+        assert sum(model.p(context, w) for w in [*model.words, b"never seen"]) == pytest.approx(1)
+    last = len(texts) - 1
+    once = max(got[i]["score"] / got[i]["n_tokens"] for i in range(len(EDGES) + 60, last - 1))
+    assert got[last]["score"] / got[last]["n_tokens"] > once + 0.3
+    # rows without an id, repeated rows, blocks of any size, nothing to learn from, nothing to score
+    more = df.unionByName(df.where("doc_id = 30")).unionByName(docs(spark, ["the cat"]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 100)
+    small = language_model.language_model_scores(df.repartition(5), held).collect()
+    assert {(r["doc_id"], round(r["score"], 6)) for r in small} == {(i, round(r["score"], 6)) for i, r in got.items()}
+    assert language_model.language_model_scores(more, F.coalesce(held, F.lit(False))).count() == len(texts) + 2
+    none = language_model.language_model_scores(docs(spark, ["a b", None]), F.lit(True)).collect()
+    assert {(r["n_known"], r["train_tokens"], round(r["score"], 9)) for r in none} == {(0, 0, 0.0)}
+    assert language_model.language_model_scores(docs(spark, []), held).count() == 0

@@ -1,39 +1,47 @@
-"""Language-model scores from a weighted backoff automaton over word n-grams.
-
-Training counts every word of every training document (one aggregation over all of them) and, order by
-order, every n-gram whose two (n-1)-grams were kept; an n-gram is kept when it makes up at least
-``NGRAM_SHARE`` of the training tokens, so at most 1 / NGRAM_SHARE per order can be kept at any corpus
-size. Kept n-grams are smoothed by absolute discounting and become arcs of an automaton: a state is a
-context with kept continuations, its failure arc leads to the next shorter context at the cost of its
-backoff weight, and the root has the unigrams, additively smoothed over all words. One left-to-right
-traversal carries the state and adds up log-probabilities.
-
-The root's arcs for words of at least ``WORD_SHARE`` of the tokens (at most 1 / WORD_SHARE words) are
-part of the broadcast automaton. All other words have no n-gram either, so a traversal only follows
-failure arcs to the root there, and their unigram terms are added by a join on the word with the table of
-all counts, from one row per document and distinct word. No word is dropped: every count is exact.
-
-Defined edge cases: a null or empty text is one end token; repeated rows each give a row; without
-training documents every count is 0 and the smoothed unigrams decide (N = V = 0).
+"""Language-model scores from a weighted backoff automaton over word n-grams of the whole corpus.
+
+Every word, word pair and word triple of the training documents is counted, none is left out. The automaton's
+states are the contexts (one or two words) that occur twice or more, the start of a document among them, and the root.
+A state's arc for a word w has the probability ((c - 1) * c(context, w) / c + k * below(w)) / (c - 1 + k),
+c being the context's count, k the ``KAPPA`` of its length, and ``below`` the next shorter context's probability; its failure arc leads to
+that context at the weight k / (c - 1 + k). A context that occurs once is no state: all that it would predict is
+the text that it was counted in. The root has the unigrams, additively smoothed over all words. So all
+probabilities of a state add up to one, and an arc needs the counts of its own n-gram and context only.
+
+The automaton is never in one place: its arcs lie in buckets by the hash of their n-gram. Blocks of documents
+send each distinct word, pair and triple once, with its count in the block's training documents; a bucket adds the counts
+up and answers every request; a block then holds all arcs that its own texts can take, and
+traverses them from left to right. The state after a word depends on the last two words alone, so the places of all
+texts of a block are traversed at once, carrying each place's state to the next, and log-probabilities are summed by
+document. A hot n-gram is one request per block. Words travel as they are; pairs and triples as
+64-bit hashes, of which ``VALUE_BITS`` stay beside the bucket's number (two of a bucket's million n-grams are taken
+for one with a chance of one in a million).
+
+Defined edge cases: a null or empty text is one end token; a null doc_id stays null and is in the training set as the
+contract's hash of an empty text says; repeated rows each give a row and each count; a very long text is a block of its
+own; other columns are ignored, whatever their names; without training documents every count is 0 and the smoothed
+unigrams decide (N = V = 0); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import chain, count
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stage, table
+from .blocks import answered, assembled, bucket_count, bundle, cells, nullable, numbers, unbundle
+from .common import crc_mod, fresh, mix, small_batches, table
 
-ORDER = 3
-WORD_SHARE = 1e-6
-NGRAM_SHARE = 1e-5
-DISCOUNT = 0.5
+#: The weight of what lies below contexts of one word and of two, in occurrences (held-out texts and texts that occur twice decided).
+KAPPA = (300.0, 3.0)
 HELD = (5, 1)
-END = b""
+END, START = b"", b" "
+VALUE_BITS = 40
 _FLUSH = 400_000
+#: Joins the words of a request; no UTF-8 text has this byte.
+_BREAK = b"\xff"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,8 +50,8 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """``word, c`` over all training tokens, aggregated in the tasks before the shuffle."""
+def training_size(training: DataFrame) -> tuple[int, int]:
+    """N and V: all and distinct training tokens; counts are aggregated in the tasks before the shuffle."""
 
     def run(batches):
         from collections import Counter
@@ -62,208 +70,138 @@ def word_counts(training: DataFrame) -> DataFrame:
                     counts.clear()
         yield out()
 
-    return training.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
-
-
-class Levels:
-    """Kept n-grams by order: sorted keys, each (number of its first n-1 words) * width + last word."""
-
-    def __init__(self, words: list[bytes], start: int):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.start, self.width = start, start + 1
-        self.keys: list[np.ndarray] = []
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """The start, then each token's number, -1 for a word that isn't in the automaton."""
-        get = self.number.get
-        return np.array([self.start, *[get(w, -1) for w in tokens(text)]], np.int64)
-
-    def find(self, level: int, keys: np.ndarray) -> np.ndarray:
-        known = self.keys[level]
-        if not len(known):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, at, -1)
-
-    def runs(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """For each place, the number of the kept n-gram that starts there, or -1 (n = 1: the word)."""
-        at = ids
-        for k in range(2, n + 1):
-            ok = (at[:-1] >= 0) & (ids[k - 1 :] >= 0)
-            at = np.where(ok, self.find(k - 2, np.where(ok, at[:-1] * self.width + ids[k - 1 :], -1)), -1)
-        return at
-
-
-def ngram_counts(training: DataFrame, levels: Levels, n: int) -> DataFrame:
-    """``key, c`` of the n-grams whose first and last n-1 words are kept."""
-    shared = training.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches):
+    words = small_batches(training).select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return tuple(words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+
+
+class Grams:
+    """The pairs and triples of a block's tokens, by where they end, and their places in the buckets' order."""
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray, start: int, buckets: int):
+        h = hashes[words]
+        first = words == start
+        #: places of the second word of each pair and of the third word of each triple
+        self.pair_at = np.flatnonzero(~first)
+        self.triple_at = self.pair_at[~first[self.pair_at - 1]]
+        pair = np.zeros(len(h), np.uint64)
+        pair[1:] = mix(mix(h[:-1]) + h[1:])
+        triple = mix(pair[self.triple_at - 1] + h[self.triple_at])
+        low = np.uint64(VALUE_BITS)
+        self.pairs, self.triples = (((g >> low) % np.uint64(buckets)) << low | g & ((np.uint64(1) << low) - np.uint64(1)) for g in (pair[self.pair_at], triple))
+
+
+def summed(keys: np.ndarray, ones: np.ndarray, buckets: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The distinct keys by bucket: differences of their values, and the sums of their ones."""
+    keys = np.sort(keys << np.uint64(1) | ones.astype(np.uint64))
+    at = np.flatnonzero(np.diff(keys >> np.uint64(1), prepend=~np.uint64(0)))
+    if not len(at):
+        return {}
+    n = np.add.reduceat(keys & np.uint64(1), at)
+    keys = keys[at] >> np.uint64(1)
+    bucket = (keys >> np.uint64(VALUE_BITS)).astype(np.int64)
+    value = keys & np.uint64((1 << VALUE_BITS) - 1)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return dict(zip(bucket[edges].tolist(), zip(np.split(value, edges[1:]), np.split(n, edges[1:]))))
+
+
+def totals(values: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each array of values, the sums of all counts of the equal ones."""
+    value, n = np.concatenate(values), np.concatenate(counts)
+    if not len(value):
+        return values
+    order = np.argsort(value)
+    new = np.diff(value[order], prepend=~value[order[:1]]) != 0
+    out = np.empty(len(n), np.uint64)
+    out[order] = np.add.reduceat(n[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return np.split(out, np.cumsum([len(v) for v in values])[:-1])
+
+
+def arc(context: np.ndarray, together: np.ndarray, below: np.ndarray, kappa: float) -> np.ndarray:
+    """Probabilities from the counts of contexts and n-grams; a context that occurs less than twice fails over at no cost."""
+    weight = np.maximum(context - 1, 0.0)
+    return (weight * together / np.maximum(context, 1) + kappa * below) / (weight + kappa)
+
+
+def traverse(c1: np.ndarray, words: np.ndarray, grams: Grams, c2: np.ndarray, c3: np.ndarray, below: float, kappa: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the root's and of the automaton's probability at each place (0 where a text starts); c2 and c3 are the counts at pair_at and triple_at."""
+    base = (c1[words] + 0.5) / below
+    p = base.copy()
+    p[grams.pair_at] = arc(c1[words[grams.pair_at - 1]], c2, base[grams.pair_at], kappa[0])
+    pairs = np.zeros(len(words))
+    pairs[grams.pair_at] = c2
+    p[grams.triple_at] = arc(pairs[grams.triple_at - 1], c3, p[grams.triple_at], kappa[1])
+    start = np.ones(len(words), bool)
+    start[grams.pair_at] = False
+    base[start] = p[start] = 1
+    return np.log10(base), np.log10(p)
+
+
+def language_model_scores(docs: DataFrame, held: Column, kappa: tuple[float, float] = KAPPA) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every document by a model of those that aren't held out."""
+    import xxhash
+
+    total, vocabulary = training_size(docs.where(~held))
+    below = total + 0.5 * (vocabulary + 1)
+    buckets = bucket_count(docs)
+    flag = fresh(docs, "_held")[0]
+
+    def word_hashes(words):
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def cut(ids, texts, held):
+        rows = [[START, *tokens(t)] for t in texts]
+        sizes = np.array([len(r) for r in rows], np.int64)
+        number = dict.fromkeys(chain.from_iterable(rows))
+        words, h = list(number), word_hashes(number)
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        words, h, bucket = [words[i] for i in order.tolist()], h[order], bucket[order]
+        number.update(zip(words, count()))
+        places = np.fromiter(map(number.__getitem__, chain.from_iterable(rows)), np.uint32, sizes.sum())
+        trained = np.repeat(~np.array(held, bool), sizes)
+        known = np.bincount(places, trained, len(words)).astype(np.uint64)
+        grams = Grams(h, places, number[START], buckets)
+        pairs, triples = summed(grams.pairs, trained[grams.pair_at], buckets), summed(grams.triples, trained[grams.triple_at], buckets)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        spans = dict(zip(bucket[edges].tolist(), zip(edges, [*edges[1:], len(words)])))
+        none = np.empty(0, np.uint64)
+        asked = {}
+        for b in sorted({*spans, *pairs, *triples}):
+            (lo, hi), (v2, n2), (v3, n3) = spans.get(b, (0, 0)), pairs.get(b, (none, none)), triples.get(b, (none, none))
+            asked[b] = bundle(np.frombuffer(_BREAK.join(words[lo:hi]), np.uint8), known[lo:hi], np.diff(v2, prepend=np.uint64(0)), n2, np.diff(v3, prepend=np.uint64(0)), n3)
+        return bundle(*numbers(ids), sizes, np.array([number[START]]), places, np.frombuffer(_BREAK.join(words), np.uint8)), asked
+
+    def answer(requests):
         import pyarrow as pa
 
-        levels, parts, held = shared.value, [], 0
-
-        def out():
-            key, count = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "n": pa.array(count, pa.int64())})
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = levels.ids(text)
-                shorter = levels.runs(ids, n - 1)
-                ok = (shorter[:-1] >= 0) & (shorter[1:] >= 0)
-                parts.append((shorter[:-1] * levels.width + ids[n - 1 :])[ok])
-                held += int(ok.sum())
-                if held > 10 * _FLUSH:
-                    yield out()
-                    parts, held = [], 0
-        if parts:
-            yield out()
-
-    return training.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
-
-
-class Automaton:
-    """Arcs by state * width + word, as (log10 probability, next state); failure arcs and their log10 weights by state."""
-
-    def __init__(self, levels: Levels, counts: list[np.ndarray], total: int, vocabulary: int, word_counts: np.ndarray, documents: int):
-        self.number, self.start, self.width = levels.number, levels.start, levels.width
-        bottom = total + 0.5 * (vocabulary + 1)
-        self.unigram = np.log10((word_counts + 0.5) / bottom)
-        self.known = word_counts + 0.5
-        # a kept n-gram as its words, with its count
-        grams: dict[tuple[int, ...], int] = {(w,): int(c) for w, c in enumerate(word_counts)} | {(self.start,): documents}
-        previous = [(w,) for w in range(self.width)]
-        followers: dict[tuple[int, ...], list[int]] = {}
-        for keys, cs in zip(levels.keys, counts):
-            here = []
-            for key, c in zip(keys.tolist(), cs.tolist()):
-                gram = previous[key // self.width] + (key % self.width,)
-                here.append(gram)
-                grams[gram] = c
-                followers.setdefault(gram[:-1], []).append(gram[-1])
-            previous = here
-        states = {(): 0}
-        for context in sorted(followers, key=lambda g: (len(g), g)):
-            states[context] = len(states)
-        suffix = lambda g: next(g[i:] for i in range(len(g) + 1) if g[i:] in states)
-        self.arcs: dict[int, tuple[float, int]] = {w: (float(p), states[suffix((w,))]) for w, p in enumerate(self.unigram)}
-        self.fail, self.weight = [0] * len(states), [0.0] * len(states)
-        lower = {(): {w: 10 ** float(p) for w, p in enumerate(self.unigram)}}
-        for context, s in list(states.items())[1:]:
-            back = suffix(context[1:])
-            self.fail[s] = states[back]
-            c = grams[context]
-            p = {w: (grams[context + (w,)] - DISCOUNT) / c for w in followers[context]}
-            rest = 1 - sum(p.values())
-            below = 1 - sum(self._probability(lower, states, back, w) for w in p)
-            self.weight[s] = math.log10(max(rest, 1e-12) / max(below, 1e-12))
-            lower[context] = p
-            for w, x in p.items():
-                self.arcs[s * self.width + w] = (math.log10(x), states[suffix(context + (w,))])
-        self.to_root = [0.0] * len(states)
-        for s in range(1, len(states)):  # shorter contexts come first
-            self.to_root[s] = self.weight[s] + self.to_root[self.fail[s]]
-        self.first = states[suffix((self.start,))]
-
-    def _probability(self, lower, states, context, w) -> float:
-        scale = 1.0
-        while w not in lower[context]:
-            s = states[context]
-            scale *= 10 ** self.weight[s]
-            context = next(c for c in (context[i:] for i in range(1, len(context) + 1)) if c in states)
-        return scale * lower[context][w]
-
-    def traverse(self, ids: list[int]) -> float:
-        """log10 probability of the numbered tokens without the root's terms of those numbered -1."""
-        arcs, fail, weight, width = self.arcs.get, self.fail, self.weight, self.width
-        state, total = self.first, 0.0
-        for w in ids:
-            if w < 0:
-                total += self.to_root[state]
-                state = 0
-                continue
-            arc = arcs(state * width + w)
-            while arc is None:
-                total += weight[state]
-                state = fail[state]
-                arc = arcs(state * width + w)
-            total += arc[0]
-            state = arc[1]
-        return total
-
-
-def fit(training: DataFrame, order: int = ORDER, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE) -> tuple[Automaton, DataFrame, int, int]:
-    """The automaton, the table of all word counts, N and V."""
-    counts = stage(word_counts(training), "word-counts")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    end = F.col("word") == F.lit(END)
-    rows = counts.where((F.col("c") >= word_share * total) | end).collect()  # at most 1 / word_share words, and the end
-    hot = sorted(((bytes(w), c) for w, c in rows), key=lambda x: (-x[1], x[0]))
-    documents = next((c for w, c in hot if w == END), 0)
-    levels = Levels([w for w, _ in hot], len(hot))
-    kept = []
-    for n in range(2, order + 1):
-        found = ngram_counts(training, levels, n).where(F.col("c") >= max(2, ngram_share * total)).collect() if total else []  # at most 1 / ngram_share
-        found.sort()
-        levels.keys.append(np.array([k for k, _ in found], np.int64))
-        kept.append(np.array([c for _, c in found], np.int64))
-    return Automaton(levels, kept, total, vocabulary, np.array([c for _, c in hot], float), documents), counts, total, vocabulary
-
-
-def language_model_scores(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every document."""
-    automaton, counts, total, vocabulary = fit(training, order)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)  # bounded by both shares
-    bottom = math.log10(total + 0.5 * (vocabulary + 1))
-
-    def run(batches):
-        from collections import Counter
+        texts, n1, d2, n2, d3, n3 = zip(*map(unbundle, requests))
+        words = [t.tobytes().split(_BREAK) if len(n) else [] for t, n in zip(texts, n1)]
+        at = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode().indices.to_numpy()
+        sums = np.bincount(at, np.concatenate(n1)).astype(np.uint64)
+        c1 = np.split(sums[at], np.cumsum([len(n) for n in n1])[:-1])
+        c2, c3 = (totals([np.cumsum(d, dtype=np.uint64) for d in ds], ns) for ds, ns in ((d2, n2), (d3, n3)))
+        return [bundle(*x) for x in zip(c1, c2, c3)]
 
+    def assemble(kept, answers):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        a, row = shared.value, TaskContext.get().partitionId() << 33
-        get = a.number.get
-        logs = np.log10(a.known)
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("base", pa.float64()), ("walk", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = tokens(text)
-                    ids = [get(w, -1) for w in words]
-                    hot = np.array(ids)
-                    hot = hot[hot >= 0]
-                    rare = Counter([w for w, i in zip(words, ids) if i < 0])
-                    out.append((row, doc_id, len(ids), len(hot), float(logs[hot].sum()), a.traverse(ids), [{"word": w, "n": n} for w, n in rare.items()]))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    # staged, so that the numbers of the rows stay as they are and the texts are walked once
-    walked = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_hot bigint, base double, walk double, rare array<struct<word:binary,n:int>>"), "walked")
-    c = F.coalesce("c", F.lit(0))
-    rare = (
-        walked.select("row", F.explode("rare").alias("r"))
-        .select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-        .join(counts, "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rare"), F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_logs"), F.sum("n").alias("n_all"))
-    )
-    none = F.lit(0)
-    return walked.drop("rare").join(rare, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_hot") + F.coalesce("n_rare", none)).alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_logs", none) - F.col("n_tokens") * bottom).alias("base_score"),
-        (F.col("walk") + F.coalesce("rare_logs", none) - F.coalesce("n_all", none) * bottom).alias("score"),
-    )
+        doc, null, sizes, start, places, raw = unbundle(kept)
+        c1, c2, c3 = (np.concatenate(x).astype(float) for x in zip(*(unbundle(answers[b]) for b in sorted(answers))))
+        grams = Grams(word_hashes(raw.tobytes().split(_BREAK)), places, int(start[0]), buckets)
+        # answers come by bucket and value, as sorted keys do
+        c2, c3 = (c[np.unique(g, return_inverse=True)[1]] for c, g in ((c2, grams.pairs), (c3, grams.triples)))
+        base, p = traverse(c1, places, grams, c2, c3, below, kappa)
+        known = c1[places] > 0
+        known[places == start[0]] = False
+        at = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, at) for x in (known.astype(np.int64), base, p)]
+        return pa.table({"doc_id": nullable(doc, null), "n_tokens": sizes - 1, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
+
+    blocks = cells(docs.withColumn(flag, held), cut, flag)
+    scored = assembled(blocks, answered(blocks, answer), assemble, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held = crc_mod(F.col("doc_id"), HELD[0]) == HELD[1]
-    scored = language_model_scores(docs, docs.where(~held))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = language_model_scores(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), HELD[0]) == HELD[1])
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), HELD[0]) == HELD[1]).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
