@@ -147,16 +147,18 @@ def test_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(700):
-        v = {int(t): float(w) for t, w in zip(rng.choice(40, 3, replace=False), rng.random(3).round(1) + 0.1)}
-        n = math.sqrt(sum(w * w for w in v.values()))
-        vectors.append({t: w / n for t, w in v.items()})
-    index = toxicity.BlockMaxIndex([b"t%d" % i for i in range(40)], [1.0] * 40, vectors, [i % 2 for i in range(700)])
-    for q in vectors[:60]:
-        brute = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), i) for i, v in enumerate(vectors))
-        want = [(i, -s) for s, i in brute if s < 0][: toxicity.K]
-        got = index.nearest(q)
-        assert [s for _, s in got] == pytest.approx([s for _, s in want])
-        assert [i for i, _ in got] == [i for i, _ in want]
+        t = np.sort(rng.choice(40, 3, replace=False))
+        w = rng.random(3).round(1) + 0.1
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex(40, vectors, [i % 2 for i in range(700)])
+    dense = np.zeros((700, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for q in range(60):
+        cosines = np.round(dense @ dense[q], 12)
+        want = sorted((-s, i) for i, s in enumerate(cosines) if s > 0 and i != q - 5)[: toxicity.K]
+        got = index.nearest(vectors[q], without=q - 5 if q >= 5 else -1)
+        assert [(i, round(s, 9)) for i, s in got] == [(i, round(-s, 9)) for s, i in want]
 
 
 def test_toxicity(spark):
@@ -164,14 +166,44 @@ def test_toxicity(spark):
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 0.3).astype(int)
     texts = [t + (" you nastyword" + "abc"[i % 3] + " end" if v else " fine end") for i, (t, v) in enumerate(zip(texts, y))]
-    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs(spark, texts + EDGES), label_table(spark, y, "toxic")).collect()}
+    everything = texts + EDGES
+    got = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs(spark, everything), label_table(spark, y, "toxic")).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(got[i]["score"] >= 0.3) == (y[i] == 1) for i in held]) > 0.97
     assert got[400]["score"] == got[401]["score"] < 0.3 and got[400]["evidence"] == []
-    kept = toxicity.without_toxic(docs(spark, texts), label_table(spark, y, "toxic"))
+    # the evidence is that of a search through all examples by all their words
+    words = {i: alnum_words(t or "") for i, t in enumerate(everything)}
+    examples = [i for i in range(400) if i not in held]
+    df, n = Counter(w for x in words.values() for w in set(x)), len(everything)
+    factor = toxicity.association([(words[i], int(y[i])) for i in examples])
+    assert min(factor.values()) == 1 and factor[b"nastyworda"] > 2
+
+    def vector(i):
+        v = {w: (1 + math.log(c)) * (math.log((n + 1) / (df[w] + 1)) + 1) * factor[w] for w, c in Counter(words[i]).items() if w in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    vectors = {e: vector(e) for e in examples}
+    for i in [*held[:20], *range(400, len(everything))]:
+        q = vector(i)
+        best = sorted(((-round(sum(x * vectors[e].get(w, 0) for w, x in q.items()), 9), e) for e in examples))[:3]
+        assert [(r["doc_id"], round(r["cosine"], 9), r["label"]) for r in got[i]["evidence"]] == [(e, -s, y[e]) for s, e in best if s < 0]
+    kept = toxicity.without_toxic(docs(spark, everything), label_table(spark, y, "toxic"))
     assert set(kept.columns) == set(docs(spark, []).columns)
-    assert {r[0] for r in kept.select("doc_id").collect()} == {i for i in range(400) if got[i]["score"] < 0.3}
-    assert {r["score"] for r in toxicity.toxicity_scores(docs(spark, texts[:3]), label_table(spark, [], "toxic")).collect()} == {0.0}
+    assert {r[0] for r in kept.select("doc_id").collect()} == {i for i in range(len(everything)) if got[i]["score"] < 0.3}
+
+
+def test_toxicity_with_few_labels(spark):
+    scores = lambda texts, y: [r["score"] for r in toxicity.toxicity_scores(docs(spark, texts), label_table(spark, y, "toxic"), held=None).orderBy("doc_id").collect()]
+    assert scores(["a b", "c"], []) == [1.0, 1.0]  # the only label, of an id that has no text, is 1
+    assert toxicity.toxicity_scores(docs(spark, []), label_table(spark, [0, 1], "toxic")).count() == 0
+    # no word depends on the label significantly, the cosine still tells texts apart; repeated rows are one example each
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"t{x}" for x in rng.integers(0, 30, 12)) + (f" bad{i % 9}" if i % 2 else "") for i in range(60)]
+    got = scores([*texts, *texts[:3]], [i % 2 for i in range(60)])
+    assert len(got) == 63 and len({round(x, 6) for x in got}) > 10 and got[60] == got[0]
+    twice = docs(spark, texts).unionByName(docs(spark, texts))
+    assert toxicity.toxicity_scores(twice, label_table(spark, [i % 2 for i in range(60)], "toxic"), held=None).count() == 120
 
 
 class BruteModel:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts per Arrow batch; long texts come a few at a time.
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A fresh folder under ``spark.checkpoint.dir`` or, where that setting is absent, in the session's checkpoint folder.
+
+    Only a local master, whose tasks share the driver's disk, may have neither (tests): it gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tremorlake-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tremorlake-{uuid.uuid4().hex}"
@@ -62,12 +66,17 @@ def crc_rest(doc_id, mod: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod
 
 
+#: At most so many bytes of sample texts of either label reach the driver.
+SAMPLE_BYTES = 64 << 20
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held: tuple[int, int] | None) -> list[tuple[int, str, int]]:
     """Id, text and label of at most ``per_class`` training rows of either label, chosen by the smallest hash of their id.
 
     ``held`` is (modulus, remainder) of the held-out rows. The bound holds for what is broadcast
-    (2 * per_class ids) and for what reaches the driver (as many texts). Ids with a null id or label
-    give nothing; an id labelled twice takes its larger label.
+    (2 * per_class ids) and for what reaches the driver: as many whole texts, the first of them (by hash) up to
+    ``SAMPLE_BYTES`` for either label. Ids with a null id or label give nothing; an id labelled twice takes its larger
+    label; of an id that the table repeats the smallest text counts.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
     if held:
@@ -76,19 +85,18 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: in
     for y in (0, 1):
         part = rows.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
+    first = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id")
     got = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "_y")
+        .agg(F.min("_text").alias("_text"))
+        .withColumn("_sum", F.sum(F.octet_length("_text").cast("long")).over(first))  # of 2 * per_class rows
+        .where(F.col("_sum") <= SAMPLE_BYTES)
         .select("doc_id", "_text", "_y")
         .collect()
     )
-    got.sort(key=lambda r: (r[0], r[1]))
-    seen, out = set(), []
-    for doc_id, text, y in got:  # one row of an id that the table repeats
-        if doc_id not in seen:
-            seen.add(doc_id)
-            out.append((doc_id, text, y))
-    return out
+    return sorted(((i, t, y) for i, t, y in got), key=lambda r: r[0])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held: tuple[int, int] | None) -> list[tuple[str, int]]:
@@ -99,8 +107,9 @@ def alnum_words(text: str) -> list[bytes]:
     return text.encode().translate(ALNUM_TABLE).split()
 
 
-def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], terms_of=alnum_words) -> dict[bytes, int]:
-    """In how many of all documents each term of a bounded vocabulary occurs."""
+def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
+    """In how many of all documents each word of a bounded vocabulary occurs."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
         from collections import Counter
@@ -111,10 +120,11 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], terms_of
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    total.update(vocabulary.intersection(terms_of(text)))
+                    total.update(shared.value.intersection(alnum_words(text)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+        release()
 
-    rows = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs).select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {bytes(r[0]): r[1] for r in rows}
 
 

@@ -1,207 +1,183 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-The examples are a bounded, documented sample of labelled rows. Terms are those words and
-beginnings of words whose document counts in the sample depend on the label (a binomial test corrected for the number of words, one text of
-each group of near copies counted); their document frequencies come from all documents. The examples' postings lie in
-blocks of ``BLOCK`` neighbouring example numbers; each term keeps its largest weight per block. A query
-bounds every block by the sum of its weights times those maxima, visits blocks from the largest bound
-down and stops at the first whose bound is below the K-th best cosine, so the K nearest are exact; equal
+The examples are a bounded, documented sample of labelled rows. All their words are terms; document frequencies come
+from all documents. A word's weight is (1 + log count) * idf, times 1 for words whose document
+counts in the sample don't depend on the label and more for those that do (by standard errors, one text of each group of near copies counted). The
+examples' postings lie in blocks of ``BLOCK`` neighbouring example numbers; each term keeps its largest weight per block. A query
+bounds every block by the sum of its weights times those maxima, scores the ``FIRST`` blocks of the largest bounds and then
+those whose bound reaches the K-th best cosine so far, so the K nearest are exact; equal
 cosines go to the smaller example number. Neighbours vote with weights that fall with their distance, and
 a logistic calibration, fitted on the examples with each left out of its own vote, makes the vote a score.
 
-Defined edge cases: a text that is null, empty or without any term has no neighbour and gets the sample's
-share of label 1 among such texts; repeated rows each give a row; without examples of both labels every
-score is 0.
+Defined edge cases: a text that is null, empty or without any word of an example has no neighbour and gets the sample's
+smoothed share of label 1 among such texts; a null doc_id stays null; repeated rows each give a row and count as examples
+once; a very long text is scored whole; other columns are ignored (or kept, by ``without_toxic``), whatever their names;
+without labelled examples of both labels every score is the share of label 1 among the training labels (0 without any);
+an empty table gives no rows.
 """
 
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequencies, fit_logistic, labelled_rows, map_texts, sigmoid, table, window_hashes
+from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequencies, fit_logistic, labelled_rows, map_texts, mix, sigmoid, small_batches, table, window_hashes
 
 #: At most so many examples of either label.
-SAMPLE_PER_CLASS = 4000
-MIN_TEXTS = 3
-#: Bytes of the beginnings of words that are terms beside whole words.
-PREFIXES = (5, 6, 7, 8)
-#: So many terms may be chosen by chance (a binomial test, corrected for the number of words).
-FALSE_TERMS = 0.05
-#: No more terms than this; the least likely ones stay.
-MAX_TERMS = 20_000
-K, BLOCK = 15, 128
+SAMPLE_PER_CLASS = 1500
+#: Standard errors by which a word's shares under both labels may differ by chance.
+CHANCE = 2.0
+K, BLOCK, FIRST = 15, 64, 4
 HELD = (4, 2)
 THRESHOLD = 0.3
 
 
-def stems(word: bytes) -> list[bytes]:
-    """The word, and its beginnings with a mark, so that inflected forms share terms."""
-    return [word, *(word[:n] + b"-" for n in PREFIXES if len(word) >= n)]
+def sketch(words: list[bytes], hashed: WordHash) -> tuple[int, ...]:
+    """The same for near copies: the smallest of a text's 5-word shingles under four hash functions."""
+    h = window_hashes(hashed.of(words), 5)
+    return tuple(int(mix(h + np.uint64(k)).min()) for k in range(4)) if len(h) else tuple(words)
 
 
-def terms_of(text: str) -> set[bytes]:
-    return {s for w in set(alnum_words(text)) for s in stems(w)}
-
-
-def choose_terms(sample: list[tuple[int, str, int]]) -> list[bytes]:
+def association(texts: list[tuple[list[bytes], int]]) -> dict[bytes, float]:
+    """For each word a factor of 1 or more: by how many standard errors its shares of the texts of either label differ, beyond chance."""
     counts, total, seen, hashed = (Counter(), Counter()), [0, 0], set(), WordHash()
-    for _, text, y in sample:
-        words = alnum_words(text)
-        h = window_hashes(hashed.of(words), 5)
-        sketch = int(h.min()) if len(h) else hash(tuple(words))
-        if words and sketch not in seen:
-            seen.add(sketch)
+    for words, y in texts:
+        key = sketch(words, hashed)
+        if words and key not in seen:
+            seen.add(key)
             total[y] += 1
-            counts[y].update(terms_of(text))
+            counts[y].update(set(words))
     n0, n1 = total
     if not n0 or not n1:
-        return []
-    words = [w for w in set(counts[0]) | set(counts[1]) if counts[0][w] + counts[1][w] >= MIN_TEXTS]
-    q, scored = n1 / (n0 + n1), []
-    for w in words:
-        p = binomial_tail(counts[1][w], counts[0][w] + counts[1][w], q)
-        if p * len(words) <= FALSE_TERMS:
-            scored.append((p, w))
-    return sorted(w for _, w in sorted(scored)[:MAX_TERMS])
-
-
-def binomial_tail(a: int, m: int, q: float) -> float:
-    """The chance that a term of m texts is in a or more (or, below its mean, in a or fewer) texts of label 1 when labels don't matter."""
-    if abs(a - m * q) < 3 * math.sqrt(m * q * (1 - q)):
-        return 1.0  # far from any threshold
-    step, total, i = 1 if a > m * q else -1, 0.0, a
-    while 0 <= i <= m:
-        term = math.exp(math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(q) + (m - i) * math.log1p(-q))
-        total += term
-        if term < 1e-6 * total or term == 0:
-            break
-        i += step
-    return total
-
-
-class KnownWords(dict):
-    """The term numbers of words, remembered for a bounded number of words."""
-
-    def __init__(self, number: dict[bytes, int]):
-        self.number = number
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= WordHash.bound:
-            self.clear()
-        found = self[word] = tuple(self.number[s] for s in stems(word) if s in self.number)
-        return found
-
-    def __reduce__(self):
-        return KnownWords, (self.number,)
+        return {w: 1.0 for c in counts for w in c}
+    out = {}
+    for w in set(counts[0]) | set(counts[1]):
+        p = (counts[0][w] + counts[1][w] + 1) / (n0 + n1 + 2)
+        out[w] = max(1.0, abs(counts[1][w] / n1 - counts[0][w] / n0) / math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) - CHANCE)
+    return out
+
+
+class Terms:
+    """Words as numbers with their weights, and unit vectors of texts."""
+
+    def __init__(self, words: list[bytes], weight: np.ndarray):
+        self.number, self.weight = dict(zip(words, range(len(words)))), weight
+
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, ascending, and weights."""
+        get = self.number.get
+        found = np.array([i for i in map(get, words) if i is not None], np.int64)
+        terms, n = np.unique(found, return_counts=True)
+        w = (1 + np.log(n)) * self.weight[terms]
+        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and for each the number of its range."""
+    n = ends - starts
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - starts, n), of
 
 
 class BlockMaxIndex:
-    def __init__(self, terms: list[bytes], idf: list[float], vectors: list[dict[int, float]], labels: list[int]):
-        self.number = {w: i for i, w in enumerate(terms)}
-        self.known = KnownWords(self.number)
-        self.idf, self.labels = idf, np.array(labels, float)
-        self.blocks = (len(vectors) + BLOCK - 1) // BLOCK
-        lists: dict[int, dict[int, tuple[list[int], list[float]]]] = {}
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                ids, weights = lists.setdefault(t, {}).setdefault(e // BLOCK, ([], []))
-                ids.append(e % BLOCK)
-                weights.append(w)
-        self.lists = {t: {b: (np.array(i), np.array(w)) for b, (i, w) in by.items()} for t, by in lists.items()}
-        self.most = {t: (np.array(sorted(by)), np.array([max(by[b][1]) for b in sorted(by)])) for t, by in lists.items()}
-
-    def vector(self, words: list[bytes]) -> dict[int, float]:
-        counts = Counter(chain.from_iterable(map(self.known.__getitem__, words)))
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def nearest(self, v: dict[int, float], without: int = -1) -> list[tuple[int, float]]:
+    """Postings by term and example, and for each term and block where its postings are and their largest weight."""
+
+    def __init__(self, size: int, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
+        self.labels = np.array(labels, float)
+        self.blocks = -(-len(vectors) // BLOCK)
+        term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
+        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
+        block, term = self.example // BLOCK, term[order]
+        new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.block, self.start, self.stop = block[new], new, np.append(new[1:], len(term))
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
+        self.of_term = np.searchsorted(term[new], np.arange(size + 1))
+
+    def nearest(self, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[int, float]]:
         """The K examples of the largest cosine above 0, as (number, cosine)."""
-        bound = np.zeros(self.blocks)
-        for t, w in v.items():
-            if t in self.most:
-                at, most = self.most[t]
-                bound[at] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) >= K and bound[b] < -best[K - 1][0] - 1e-12):
+        terms, weights = v
+        entries, of = ranges(self.of_term[terms], self.of_term[terms + 1])
+        if not len(entries):
+            return []
+        w, block = weights[of], self.block[entries]
+        bound = np.bincount(block, w * self.most[entries], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        scores = np.zeros(len(self.labels))
+        done = 0
+        while done < len(order):
+            best = np.sort(scores)[-K] if done and len(scores) >= K else 0.0
+            todo = order[done : FIRST if not done else None]
+            todo = todo[bound[todo] >= max(best - 1e-9, 1e-300)]
+            if not len(todo):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in v.items():
-                hit = self.lists.get(t, {}).get(b)
-                if hit:
-                    scores[hit[0]] += w * hit[1]
-            for i in np.flatnonzero(scores > 0).tolist():
-                if b * BLOCK + i != without:
-                    best.append((-round(float(scores[i]), 12), b * BLOCK + i))
-            best.sort()
-            del best[K:]
-        return [(e, -s) for s, e in best]
-
-    def votes(self, near: list[tuple[int, float]]) -> tuple[float, float]:
-        """The share of label 1 among the neighbours, weighted by 1 / (distance + 0.1), and the best cosine."""
-        w = np.array([1 / (1.1 - s) for _, s in near])
-        return float((w * self.labels[[e for e, _ in near]]).sum() / w.sum()), near[0][1]
+            done = FIRST if not done else len(order)
+            chosen = np.zeros(self.blocks, bool)
+            chosen[todo] = True
+            mine = chosen[block]
+            places, entry = ranges(self.start[entries[mine]], self.stop[entries[mine]])
+            scores += np.bincount(self.example[places], w[mine][entry] * self.weight[places], len(scores))
+            if without >= 0:
+                scores[without] = 0
+        scores = np.round(scores, 12)
+        found = np.flatnonzero(scores > 0)
+        found = found[np.lexsort((found, -scores[found]))[:K]]
+        return list(zip(found.tolist(), scores[found].tolist()))
+
+    def votes(self, near: list[tuple[int, float]]) -> tuple[float, float, float]:
+        """The share of label 1 among the neighbours, weighted by 1 / (distance + 0.1), the best cosine, and by how much label 1's best is better."""
+        w = [1 / (1.1 - s) for _, s in near]
+        y = [self.labels[e] for e, _ in near]
+        best = [max((s for (_, s), z in zip(near, y) if z == k), default=0.0) for k in (1, 0)]
+        return sum(a * b for a, b in zip(w, y)) / sum(w), near[0][1], best[0] - best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
-    """Index, calibration, score of texts without a term, and the examples' ids; None without both labels."""
-    sample = labelled_rows(docs, labels, target, per_class, held)
+    """Words, their weights, the examples' vectors, labels and ids, the calibration and the score of texts without a neighbour."""
+    sample = [(i, alnum_words(t), y) for i, t, y in labelled_rows(docs, labels, target, per_class, held)]
     counts = class_counts(labels, target, held)
-    terms = choose_terms(sample)
-    if not terms:
-        return None
-    known = KnownWords({w: w for w in terms})
-    frequency, n = document_frequencies(docs, frozenset(terms), lambda text: set(chain.from_iterable(map(known.__getitem__, alnum_words(text))))), docs.count()
-    idf = [math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in terms]
-    index = BlockMaxIndex(terms, idf, [], [])
-    vectors = [index.vector(alnum_words(t)) for _, t, _ in sample]
     y = np.array([y for *_, y in sample], float)
-    weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
-    none = np.array([not v for v in vectors])
-    blank = float(((weight * y)[none].sum() + weight.mean() * 0.5 * y.mean()) / (weight[none].sum() + weight.mean()))
-    kept = [i for i, v in enumerate(vectors) if v]
-    index = BlockMaxIndex(terms, idf, [vectors[i] for i in kept], [sample[i][2] for i in kept])
-    x, rows = [], []
-    for e, i in enumerate(kept):
-        near = index.nearest(vectors[i], without=e)
+    if len({*y}) < 2:
+        return [], np.empty(0), [], [], [], None, counts[1] / max(1, sum(counts))
+    factor = association([(w, y) for _, w, y in sample])
+    words = sorted(factor)
+    frequency, n = document_frequencies(docs, frozenset(words)), docs.count()
+    weight = np.array([(math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1) * factor[w] for w in words])
+    terms = Terms(words, weight)
+    vectors = [terms.vector(w) for _, w, _ in sample]
+    rows = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())  # what an example stands for
+    index, x, kept = BlockMaxIndex(len(words), vectors, y.tolist()), [], []
+    for e, v in enumerate(vectors):
+        near = index.nearest(v, without=e)
         if near:
             x.append(index.votes(near))
-            rows.append(i)
-    w = fit_logistic(np.array(x), y[rows], 1e-4, weight[rows] / weight[rows].mean()).tolist() if len({*y[rows]}) == 2 else [4.0, 0.0, -2.0]
-    return index, w, blank, [sample[i][0] for i in kept]
+            kept.append(e)
+    none = np.ones(len(y), bool)
+    none[kept] = False
+    share = counts[1] / sum(counts)
+    blank = float(((rows * y)[none].sum() + rows.mean() * share) / (rows[none].sum() + rows.mean()))
+    w = fit_logistic(np.array(x), y[kept], 1e-4, rows[kept] / rows[kept].mean()).tolist() if len({*y[kept]}) == 2 else [0.0, 0.0, 0.0, math.log(share / (1 - share))]
+    return words, weight, vectors, y.tolist(), [i for i, *_ in sample], w, blank
 
 
 def scorer(shared):
-    """Scores and evidence of texts by the broadcast model, remembered per vector."""
+    """Scores and evidence of texts by the broadcast model, which is plain arrays and lists."""
 
     def make():
-        model, known = shared.value, {}
+        words, weight, vectors, labels, ids, w, blank = shared.value
+        terms, index = Terms(words, weight), BlockMaxIndex(len(words), vectors, labels)
 
         def score(text):
-            if model is None:
-                return 0.0, []
-            index, w, blank, ids = model
-            v = index.vector(alnum_words(text))
-            key = tuple(v.items())
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                near = index.nearest(v) if v else []
-                if near:
-                    share, best = index.votes(near)
-                    p = float(sigmoid(w[0] * share + w[1] * best + w[2]))
-                    known[key] = p, [{"doc_id": ids[e], "cosine": s, "label": int(index.labels[e])} for e, s in near[:3]]
-                else:
-                    known[key] = blank, []
-            return known[key]
+            near = index.nearest(terms.vector(alnum_words(text))) if w else []
+            if not near:
+                return blank, []
+            p = float(sigmoid(sum(a * b for a, b in zip(w, index.votes(near))) + w[-1]))
+            return p, [{"doc_id": ids[e], "cosine": s, "label": int(labels[e])} for e, s in near[:3]]
 
         return score
 
@@ -224,7 +200,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", hel
         for texts in batches:
             yield pd.Series([fn(t or "")[0] for t in texts], dtype="float64")
 
-    return docs.where(score("text") < threshold)
+    return small_batches(docs).where(score("text") < threshold)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
