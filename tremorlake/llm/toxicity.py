@@ -19,6 +19,7 @@ an empty table gives no rows.
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequencies, fit_logistic, labelled_rows, map_texts, mix, sigmoid, small_batches, table, window_hashes
 
 #: At most so many examples of either label.
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1000
 #: Standard errors by which a word's shares under both labels may differ by chance.
 CHANCE = 2.0
 K, BLOCK, FIRST = 15, 64, 4
@@ -69,18 +70,20 @@ class Terms:
 
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and weights."""
-        get = self.number.get
-        found = np.array([i for i in map(get, words) if i is not None], np.int64)
-        terms, n = np.unique(found, return_counts=True)
-        w = (1 + np.log(n)) * self.weight[terms]
+        counts = Counter(words)
+        terms = np.fromiter(map(self.number.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        known = terms >= 0
+        terms, n = terms[known], n[known]
+        order = np.argsort(terms)
+        terms, w = terms[order], (1 + np.log(n[order])) * self.weight[terms[order]]
         return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
 
-def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges one after another, and for each the number of its range."""
-    n = ends - starts
-    of = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n - starts, n), of
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class BlockMaxIndex:
@@ -95,17 +98,18 @@ class BlockMaxIndex:
         self.example, self.weight = example[order], np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
         block, term = self.example // BLOCK, term[order]
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.block, self.start, self.stop = block[new], new, np.append(new[1:], len(term))
+        self.block, self.start, self.count = block[new], new, np.diff(new, append=len(term))
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.of_term = np.searchsorted(term[new], np.arange(size + 1))
 
     def nearest(self, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[int, float]]:
         """The K examples of the largest cosine above 0, as (number, cosine)."""
         terms, weights = v
-        entries, of = ranges(self.of_term[terms], self.of_term[terms + 1])
+        sizes = self.of_term[terms + 1] - self.of_term[terms]
+        entries = ranges(self.of_term[terms], sizes)
         if not len(entries):
             return []
-        w, block = weights[of], self.block[entries]
+        w, block = np.repeat(weights, sizes), self.block[entries]
         bound = np.bincount(block, w * self.most[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")
         scores = np.zeros(len(self.labels))
@@ -119,9 +123,10 @@ class BlockMaxIndex:
             done = FIRST if not done else len(order)
             chosen = np.zeros(self.blocks, bool)
             chosen[todo] = True
-            mine = chosen[block]
-            places, entry = ranges(self.start[entries[mine]], self.stop[entries[mine]])
-            scores += np.bincount(self.example[places], w[mine][entry] * self.weight[places], len(scores))
+            mine = np.flatnonzero(chosen[block])
+            n = self.count[entries[mine]]
+            places = ranges(self.start[entries[mine]], n)
+            scores += np.bincount(self.example[places], np.repeat(w[mine], n) * self.weight[places], len(scores))
             if without >= 0:
                 scores[without] = 0
         scores = np.round(scores, 12)
