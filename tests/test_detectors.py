@@ -226,3 +226,10 @@ def test_segments(spark):
     assert {r["mode"]: r["freq_hz"] for r in shifted.collect()} == {0: 2.0, 1: 1.98}
     sweep = spark.createDataFrame([("a", s, x) for s, x in ((-0.001, 0.2), (-0.005, 0.95), (-0.02, 1.0))], "arm string, shift double, alarm_rate double")
     assert protocol.detectable_shift(sweep, ["arm"]).first()["detectable_shift"] == 0.005
+
+
+def test_moments_skip_incomplete_rows(spark):
+    whole = [(1.0, 2.0), (2.0, 1.0), (4.0, 6.0)]
+    a = statistics.moments(spark.createDataFrame(whole, "x double, y double"), ["x", "y"])
+    b = statistics.moments(spark.createDataFrame([*whole, (None, None), (9.0, None)], "x double, y double"), ["x", "y"])
+    assert a.n == b.n == 3 and np.allclose(a.covariance, b.covariance) and a.fourth == pytest.approx(b.fourth)

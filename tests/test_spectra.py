@@ -161,6 +161,19 @@ def test_damaged_zip(spark, tmp_path):
     with zipfile.ZipFile(whole, "w") as z:
         z.writestr("box.zip", raw)
     assert damaged_zip.read_records(spark, str(whole), ["box.zip"]).where("crc_ok").count() == 3
+    # two losses in different members of an inner archive, and members behind it
+    cuts = [raw.index(bytes([i]) * 500) + 50 for i in (0, 1)]
+    short = raw[: cuts[0]] + raw[cuts[0] + 20 : cuts[1]] + raw[cuts[1] + 30 :]
+    with zipfile.ZipFile(whole, "w") as z:
+        z.writestr("first.txt", "x" * 100)
+        z.writestr("box.zip", raw)
+        z.writestr("other.zip", raw)
+    lossy = whole.read_bytes().replace(raw, short, 1)
+    (tmp_path / "l.zip").write_bytes(lossy)
+    got = [(r["name"], r["crc_ok"]) for r in damaged_zip.read_records(spark, str(tmp_path / "l.zip"), ["box.zip", "other.zip"]).collect()]
+    assert sorted(got) == sorted([("r0", False), ("r1", False), ("r2", True), ("r0", True), ("r1", True), ("r2", True)])
+    with pytest.raises(Exception, match="no member"):
+        damaged_zip.read_records(spark, str(whole), ["none.zip"]).collect()
 
 
 def test_texts(spark, tmp_path):
@@ -207,10 +220,18 @@ def test_recordings_and_manifest(spark, tmp_path):
     np.savez(tmp_path / "r1.npz", force=np.arange(50.0), plate=np.arange(20.0).reshape(10, 2))
     got = recordings.read_npz(spark, str(tmp_path / "r1.npz")).cache()
     assert {(r["sensor"], len(r["samples"])) for r in got.collect()} == {("force", 50), ("plate_0", 10), ("plate_1", 10)}
-    manifest = recordings.manifest(got)
+    manifest = got.select("recording", "sensor", "sha256")
     assert texts.verified_samples(got.drop("sha256"), manifest).count() == 3
     changed = got.drop("sha256").withColumn("samples", F.when(F.col("sensor") == "force", F.reverse("samples")).otherwise(F.col("samples")))
     with pytest.raises(Exception, match="force"):
         texts.verified_samples(changed, manifest).collect()
     pairs = spark.createDataFrame([("r1", "rate", "100"), ("r1", "unit", "g")], "recording string, name string, value string")
     assert recordings.attributes(pairs).first()["attributes"] == {"rate": "100", "unit": "g"}
+
+
+def test_half_power_peak_is_an_inner_bin(spark):
+    power = [9.0, 4.0, 1.0, 0.5, 1.0, 3.0, 8.0, 3.0, 1.0, 0.5, 7.0]
+    psd = spark.createDataFrame([("s", i, float(i), p) for i, p in enumerate(power)], "series string, bin int, freq_hz double, power double")
+    at = spark.createDataFrame([("s", 0.0), ("s", 6.0), ("s", 10.0)], "series string, frequency_hz double")
+    got = {r["frequency_hz"]: r["damping_ratio"] for r in spectral.half_power_damping(psd, at).collect()}
+    assert got[0.0] is None and got[10.0] is None and got[6.0] is None  # the crossings are under four bins apart

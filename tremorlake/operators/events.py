@@ -14,18 +14,18 @@ def dead_channels(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("value") == DEAD).select("channel").distinct()
 
 
-def opening_features(samples: DataFrame, angles: tuple[float, ...] = ANGLES) -> DataFrame:
+def opening_features(samples: DataFrame, angles: tuple[float, ...] = ANGLES, closed_samples: int = CLOSED_SAMPLES) -> DataFrame:
     """``file, angle, channel, feature``: median strain near each angle on the way up, less its closed median.
 
     The way up runs from the first sample more than a degree below the closed inclination to the lowest
     one after it. A file that lacks samples near any angle gives no rows.
     """
     line = samples.select("file", "idx", "inclination").distinct()
-    closed = line.where(F.col("idx") < CLOSED_SAMPLES).groupBy("file").agg(F.median("inclination").alias("_closed"))
+    closed = line.where(F.col("idx") < closed_samples).groupBy("file").agg(F.median("inclination").alias("_closed"))
     started = line.join(closed, "file").where(F.col("inclination") < F.col("_closed") - STARTED_DEG)
     first = started.groupBy("file").agg(F.min("idx").alias("_from"))
     lowest = line.join(first, "file").where(F.col("idx") >= F.col("_from")).groupBy("file", "_from").agg(F.min(F.struct("inclination", "idx")).alias("_m")).select("file", "_from", F.col("_m.idx").alias("_to"))
-    level = samples.where(F.col("idx") < CLOSED_SAMPLES).groupBy("file", "channel").agg(F.median("value").alias("_level"))
+    level = samples.where(F.col("idx") < closed_samples).groupBy("file", "channel").agg(F.median("value").alias("_level"))
     angle = F.explode(F.array(*[F.lit(a) for a in angles])).alias("angle")
     way = samples.join(lowest, "file").where(F.col("idx").between(F.col("_from"), F.col("_to"))).select("*", angle).where(F.abs(F.col("inclination") - F.col("angle")) <= TOLERANCE_DEG)
     at = way.groupBy("file", "angle", "channel").agg(F.median("value").alias("_value"))

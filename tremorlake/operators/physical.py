@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,10 @@ def stiffness_matrix(models: DataFrame) -> DataFrame:
     return models.withColumn("matrix", F.transform(i, lambda a: F.transform(i, lambda b: cell(a, b))))
 
 
-def model_consistency(model: DataFrame, measured: DataFrame) -> DataFrame:
-    """One row from ``model(ref_id, ref_hz)`` and ``measured(obs_id, obs_hz)``: the median squared ratio and its spread in percent; nulls without pairs."""
-    paired = pair_modes(model, measured).select(F.pow(F.col("obs_hz") / F.col("ref_hz"), 2).alias("r"))
-    middle = paired.agg(F.median("r").alias("stiffness_ratio"), F.count("*").alias("paired"))
-    spread = paired.crossJoin(F.broadcast(middle)).agg((100 * F.median(F.abs(F.col("r") - F.col("stiffness_ratio"))) / F.max("stiffness_ratio")).alias("spread_percent"))
-    return middle.crossJoin(spread)
+def model_consistency(model: DataFrame, measured: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each structure that ``keys`` name) from ``model(ref_id, ref_hz)`` and ``measured(obs_id, obs_hz)``: the median squared ratio and its spread in percent; nulls without pairs."""
+    paired = pair_modes(model, measured, keys).select(*keys, F.pow(F.col("obs_hz") / F.col("ref_hz"), 2).alias("r"))
+    middle = paired.groupBy(*keys).agg(F.median("r").alias("stiffness_ratio"), F.count("*").alias("paired"))
+    both = paired.join(middle, list(keys)) if keys else paired.crossJoin(F.broadcast(middle))  # one row
+    spread = both.groupBy(*keys).agg((100 * F.median(F.abs(F.col("r") - F.col("stiffness_ratio"))) / F.max("stiffness_ratio")).alias("spread_percent"))
+    return middle.join(spread, list(keys)) if keys else middle.crossJoin(spread)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -84,13 +85,15 @@ def peaks(spectrum: DataFrame, ratio: float = MIN_RATIO) -> DataFrame:
 def half_power_damping(psd: DataFrame, frequencies: DataFrame) -> DataFrame:
     """``series, frequency_hz, damping_ratio``: half-power width over twice the peak frequency, 1 at most.
 
-    The peak is the highest of the bin nearest to the frequency and its neighbours; the crossings are
-    interpolated linearly. Null without both crossings or when they are under four bins apart.
+    The peak is the highest of the bin nearest to the frequency and its neighbours, the first and the last bin
+    left out; the crossings are interpolated linearly. Null without both crossings or when they are under four bins apart.
     """
     near = psd.join(frequencies.select("series", "frequency_hz"), "series")
     w = Window.partitionBy("series", "frequency_hz").orderBy(F.abs(F.col("freq_hz") - F.col("frequency_hz")), "bin")
     centre = near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("series", "frequency_hz", F.col("bin").alias("_c"))
-    around = near.join(centre, ["series", "frequency_hz"]).where(F.abs(F.col("bin") - F.col("_c")) <= 1)
+    ends = psd.groupBy("series").agg(F.min("bin").alias("_first"), F.max("bin").alias("_last"))
+    inner = (F.col("bin") > F.col("_first")) & (F.col("bin") < F.col("_last"))
+    around = near.join(centre, ["series", "frequency_hz"]).join(ends, "series").where((F.abs(F.col("bin") - F.col("_c")) <= 1) & inner)
     best = around.groupBy("series", "frequency_hz").agg(F.max(F.struct("power", (-F.col("bin")).alias("b"), "freq_hz")).alias("_m")).select("series", "frequency_hz", (-F.col("_m.b")).alias("_peak"), F.col("_m.power").alias("_top"), F.col("_m.freq_hz").alias("_f"))
     s = Window.partitionBy("series").orderBy("bin")
     steps = psd.withColumn("_next", F.lead("power").over(s)).withColumn("_width", F.lead("freq_hz").over(s) - F.col("freq_hz")).join(best, "series")
@@ -118,29 +121,30 @@ def dominant_frequency(modes: DataFrame) -> DataFrame:
     return modes.groupBy("series").agg(F.max_by("frequency_hz", "amplitude").alias("dominant_hz"))
 
 
-def pair_modes(reference: DataFrame, observed: DataFrame) -> DataFrame:
-    """``ref_id, obs_id``: each observation goes to its nearest reference by log frequency, each reference keeps its nearest observation.
+def pair_modes(reference: DataFrame, observed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``ref_id, obs_id``, for each structure that ``keys`` name: each observation goes to its nearest reference by log frequency, each reference keeps its nearest observation.
 
     Ties go to the smaller id; an observation that loses is not given to another reference. Frequencies
     that aren't positive and finite pair with nothing.
     """
     good = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0) & (F.col(c) < float("inf"))
-    pairs = observed.where(good("obs_hz")).join(reference.where(good("ref_hz"))).withColumn("_d", F.abs(F.log(F.col("obs_hz") / F.col("ref_hz"))))
-    mine = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("obs_id").orderBy("_d", "ref_id"))).where("_r = 1")
-    return mine.withColumn("_r", F.row_number().over(Window.partitionBy("ref_id").orderBy("_d", "obs_id"))).where("_r = 1").drop("_r", "_d")
+    pairs = observed.where(good("obs_hz")).join(reference.where(good("ref_hz")), list(keys) or None).withColumn("_d", F.abs(F.log(F.col("obs_hz") / F.col("ref_hz"))))
+    mine = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "obs_id").orderBy("_d", "ref_id"))).where("_r = 1")
+    return mine.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "ref_id").orderBy("_d", "obs_id"))).where("_r = 1").drop("_r", "_d")
 
 
-def baseline_drift(reference: DataFrame, observed: DataFrame, resolution_hz: float, warn: float = 5.0, alarm: float = 10.0, max_shift_hz: float = MAX_SHIFT_HZ) -> DataFrame:
+def baseline_drift(reference: DataFrame, observed: DataFrame, resolution_hz: float, warn: float = 5.0, alarm: float = 10.0, max_shift_hz: float = MAX_SHIFT_HZ, keys: Sequence[str] = ()) -> DataFrame:
     """Each reference mode with its observation, the drop in percent, and a severity.
 
     Without an observation within ``max_shift_hz`` a mode is to be watched; a shift within the spectral
     resolution says nothing.
     """
-    paired = reference.join(pair_modes(reference, observed).select("ref_id", "obs_hz"), "ref_id", "left")
+    paired = reference.join(pair_modes(reference, observed, keys).select(*keys, "ref_id", "obs_hz"), [*keys, "ref_id"], "left")
     near = F.col("obs_hz").isNotNull() & (F.abs(F.col("obs_hz") - F.col("ref_hz")) <= max_shift_hz)
     limited = near & (F.abs(F.col("obs_hz") - F.col("ref_hz")) <= resolution_hz)
     drop = 100 * (F.col("ref_hz") - F.col("obs_hz")) / F.col("ref_hz")
     return paired.select(
+        *keys,
         "ref_id",
         "ref_hz",
         F.when(near, F.col("obs_hz")).alias("obs_hz"),
@@ -150,9 +154,9 @@ def baseline_drift(reference: DataFrame, observed: DataFrame, resolution_hz: flo
     )
 
 
-def overall_drift(findings: DataFrame) -> DataFrame:
-    """One row: the worst severity and the largest drop that isn't limited by the resolution."""
-    return findings.agg(
+def overall_drift(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row (for each structure that ``keys`` name): the worst severity and the largest drop that isn't limited by the resolution."""
+    return findings.groupBy(*keys).agg(
         F.coalesce(F.max_by("severity", severity_rank("severity")), F.lit("none")).alias("severity"),
         F.max(F.when(~F.col("resolution_limited"), F.col("drop_percent"))).alias("max_drop_percent"),
     )

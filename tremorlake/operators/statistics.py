@@ -44,7 +44,8 @@ def means(rows: DataFrame, features: list[str]) -> tuple[int, np.ndarray]:
 
 
 def moments(rows: DataFrame, features: list[str]) -> Moments:
-    """Two small aggregations; sums of squares are centred, so nothing cancels."""
+    """Two small aggregations over the rows that have all features; sums of squares are centred, so nothing cancels."""
+    rows = rows.dropna(subset=features)
     n, mean = means(rows, features)
     if not n:
         raise ValueError("no row to fit on")

@@ -403,96 +403,94 @@ def sensitivity_sweep(spark, sf_dir):
 # --- spectra and modes ------------------------------------------------------------------------------
 
 
-def short_series(spark, sf_dir):
-    """One series of 256 samples per return flag."""
-    w = Window.partitionBy("l_returnflag").orderBy(*ROW_ORDER)
-    return read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("double").alias("value")).where("idx < 256")
+def series_by(spark, sf_dir, key: str, value: str = "l_quantity"):
+    """All rows of ``lineitem`` as one series for each value of the key: about 30 samples a part, 600 a supplier, at any size of the table."""
+    w = Window.partitionBy(key).orderBy(*ROW_ORDER)
+    return read(spark, sf_dir, "lineitem").select(F.col(key).alias("series"), (F.row_number().over(w) - 1).alias("idx"), F.col(value).cast("double").alias("value"))
 
 
-DFT_SQL = """x AS (SELECT l_returnflag AS series, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, CAST(l_quantity AS DOUBLE) AS value FROM lineitem),
-y AS (SELECT series, idx, (value - avg(value) OVER (PARTITION BY series)) * (0.5 - 0.5 * cos(2 * pi() * idx / 255)) AS v FROM x WHERE idx < 256),
-sp AS (SELECT series, bin, bin * 100.0 / 256 AS freq_hz, (pow(sum(v * cos(2 * pi() * bin * idx / 256)), 2) + pow(sum(v * sin(2 * pi() * bin * idx / 256)), 2)) / 256 AS power FROM y CROSS JOIN (SELECT unnest(range(0, 129)) AS bin) GROUP BY 1, 2),
+DFT_SQL = """x AS (SELECT l_partkey AS series, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, count(*) OVER (PARTITION BY l_partkey) AS n, CAST(l_quantity AS DOUBLE) AS value FROM lineitem),
+y AS (SELECT series, idx, n, (value - avg(value) OVER (PARTITION BY series)) * CASE WHEN n < 2 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * idx / (n - 1)) END AS v FROM x),
+sp AS (SELECT series, bin, n, bin * 100.0 / n AS freq_hz, (pow(sum(v * cos(2 * pi() * bin * idx / n)), 2) + pow(sum(v * sin(2 * pi() * bin * idx / n)), 2)) / n AS power FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS bin FROM y) GROUP BY 1, 2, 3),
 nb AS (SELECT *, lag(power) OVER w AS l, lead(power) OVER w AS rr, max(power) OVER (PARTITION BY series) AS top FROM sp WINDOW w AS (PARTITION BY series ORDER BY bin))"""
 
 
 @query(f"WITH {DFT_SQL} SELECT series, CAST(bin AS INTEGER) AS bin, round(CAST(freq_hz AS DOUBLE), 6) AS freq_hz, round(power, 4) AS power FROM sp")
 def periodogram_dft(spark, sf_dir):
-    return rounded(spectral.periodogram_dft(short_series(spark, sf_dir), 100.0), power=4)
+    return rounded(spectral.periodogram_dft(series_by(spark, sf_dir, "l_partkey"), 100.0), power=4)
 
 
 @query(f"WITH {DFT_SQL} SELECT series, CAST(bin AS INTEGER) AS bin, round(CAST(freq_hz AS DOUBLE), 6) AS freq_hz, round(power, 4) AS power FROM sp")
 def periodogram_fft(spark, sf_dir):
-    return rounded(spectral.periodogram(short_series(spark, sf_dir), 100.0), power=4)
+    return rounded(spectral.periodogram(series_by(spark, sf_dir, "l_partkey"), 100.0), power=4)
 
 
 @query(f"WITH {DFT_SQL} SELECT series, CAST(bin AS INTEGER) AS bin, round(power, 4) AS power FROM nb WHERE power >= 0.15 * top AND power >= l AND power >= rr AND top > 0")
 def peak_pick(spark, sf_dir):
-    return spectral.peaks(spectral.periodogram_dft(short_series(spark, sf_dir), 100.0)).select("series", "bin", r("power", 4).alias("power"))
+    return spectral.peaks(spectral.periodogram_dft(series_by(spark, sf_dir, "l_partkey"), 100.0)).select("series", "bin", r("power", 4).alias("power"))
 
 
 @query(f"""WITH {DFT_SQL}, b AS (SELECT CAST(m AS INTEGER) AS mode, 2.0 + 8 * m AS lo, 10.0 + 8 * m AS hi FROM (SELECT unnest(range(0, 5)) AS m)),
-t AS (SELECT series, mode, freq_hz, l, power, rr, row_number() OVER (PARTITION BY series, mode ORDER BY power DESC, bin) AS k FROM nb JOIN b ON freq_hz >= lo AND freq_hz < hi)
-SELECT series, mode, round(CAST(freq_hz + 100.0 / 256 * CASE WHEN l IS NULL OR rr IS NULL OR ln(l) - 2 * ln(power) + ln(rr) >= 0 THEN 0 ELSE 0.5 * (ln(l) - ln(rr)) / (ln(l) - 2 * ln(power) + ln(rr)) END AS DOUBLE), 5) AS freq_hz FROM t WHERE k = 1""")
+t AS (SELECT series, mode, n, freq_hz, l, power, rr, row_number() OVER (PARTITION BY series, mode ORDER BY power DESC, bin) AS k FROM nb JOIN b ON freq_hz >= lo AND freq_hz < hi)
+SELECT series, mode, round(CAST(freq_hz + 100.0 / n * CASE WHEN l IS NULL OR rr IS NULL OR ln(l) - 2 * ln(power) + ln(rr) >= 0 THEN 0 ELSE 0.5 * (ln(l) - ln(rr)) / (ln(l) - 2 * ln(power) + ln(rr)) END AS DOUBLE), 5) AS freq_hz FROM t WHERE k = 1""")
 def parabolic_peak(spark, sf_dir):
     of = spark.range(5).select(F.col("id").cast("int").alias("mode"), (2.0 + 8 * F.col("id")).alias("lo"), (10.0 + 8 * F.col("id")).alias("hi"))
-    return rounded(modal.band_peaks(spectral.periodogram_dft(short_series(spark, sf_dir), 100.0), ["series"], of), 5)
+    return rounded(modal.band_peaks(spectral.periodogram_dft(series_by(spark, sf_dir, "l_partkey"), 100.0), ["series"], of), 5)
 
 
 @query()
 def identified_modes(spark, sf_dir):
-    return spectral.identify_modes(short_series(spark, sf_dir), 100.0)
+    return spectral.identify_modes(series_by(spark, sf_dir, "l_partkey"), 100.0)
 
 
 @query()
 def half_power_damping(spark, sf_dir):
-    w = Window.partitionBy("l_returnflag").orderBy(*ROW_ORDER)
-    long = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("double").alias("value"))
-    psd = spectral.averaged_psd(long, 100.0)
+    psd = spectral.averaged_psd(series_by(spark, sf_dir, "l_suppkey"), 100.0)
     return rounded(spectral.half_power_damping(psd, spectral.peaks(psd, 0.9).select("series", F.col("freq_hz").alias("frequency_hz"))))
 
 
 def mode_tables(spark, sf_dir):
-    reference = read(spark, sf_dir, "supplier").where("s_suppkey <= 12").select(F.col("s_suppkey").alias("ref_id"), (F.abs("s_acctbal") / 1000 + 0.5).alias("ref_hz"))
-    observed = read(spark, sf_dir, "customer").where("c_custkey <= 30").select(F.col("c_custkey").alias("obs_id"), (F.abs("c_acctbal") / 1000 + 0.5).alias("obs_hz"))
-    return reference, observed
+    """For each part the rows of one flag as its reference modes and those of another as its observed ones."""
+    w = Window.partitionBy("l_partkey", "l_returnflag").orderBy(*ROW_ORDER)
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_returnflag", F.row_number().over(w).alias("id"), (F.col("l_extendedprice") / 10000 + 0.5).alias("hz"))
+    return tuple(rows.where(F.col("l_returnflag") == flag).select("part", F.col("id").alias(f"{x}_id"), F.col("hz").alias(f"{x}_hz")) for flag, x in (("A", "ref"), ("R", "obs")))
 
 
-PAIR_SQL = """rf AS (SELECT s_suppkey AS ref_id, abs(s_acctbal) / 1000 + 0.5 AS ref_hz FROM supplier WHERE s_suppkey <= 12), ob AS (SELECT c_custkey AS obs_id, abs(c_acctbal) / 1000 + 0.5 AS obs_hz FROM customer WHERE c_custkey <= 30),
-pr AS (SELECT *, abs(ln(obs_hz / ref_hz)) AS d FROM ob CROSS JOIN rf), p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY d, ref_id) AS k FROM pr) WHERE k = 1),
-pp AS (SELECT ref_id, obs_id, ref_hz, obs_hz FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY d, obs_id) AS j FROM p1) WHERE j = 1)"""
+PAIR_SQL = """li AS (SELECT l_partkey AS part, l_returnflag AS flag, CAST(row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS id, l_extendedprice / 10000 + 0.5 AS hz FROM lineitem),
+rf AS (SELECT part, id AS ref_id, hz AS ref_hz FROM li WHERE flag = 'A'), ob AS (SELECT part, id AS obs_id, hz AS obs_hz FROM li WHERE flag = 'R'),
+pr AS (SELECT *, abs(ln(obs_hz / ref_hz)) AS d FROM ob JOIN rf USING (part)), p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part, obs_id ORDER BY d, ref_id) AS k FROM pr) WHERE k = 1),
+pp AS (SELECT part, ref_id, obs_id, ref_hz, obs_hz FROM (SELECT *, row_number() OVER (PARTITION BY part, ref_id ORDER BY d, obs_id) AS j FROM p1) WHERE j = 1)"""
 
 
-@query(f"WITH {PAIR_SQL} SELECT ref_id, obs_id FROM pp")
+@query(f"WITH {PAIR_SQL} SELECT part, ref_id, obs_id FROM pp")
 def mode_pairing(spark, sf_dir):
-    return spectral.pair_modes(*mode_tables(spark, sf_dir)).select("ref_id", "obs_id")
+    return spectral.pair_modes(*mode_tables(spark, sf_dir), ["part"]).select("part", "ref_id", "obs_id")
 
 
-DRIFT_SQL = f"""{PAIR_SQL}, n AS (SELECT rf.ref_id, rf.ref_hz, CASE WHEN abs(pp.obs_hz - rf.ref_hz) <= 1.5 THEN pp.obs_hz END AS o FROM rf LEFT JOIN pp ON pp.ref_id = rf.ref_id),
-dr AS (SELECT ref_id, ref_hz, o AS obs_hz, 100 * (ref_hz - o) / ref_hz AS drop_percent, coalesce(abs(o - ref_hz) <= 0.05, false) AS resolution_limited FROM n),
+DRIFT_SQL = f"""{PAIR_SQL}, n AS (SELECT rf.part, rf.ref_id, rf.ref_hz, CASE WHEN abs(pp.obs_hz - rf.ref_hz) <= 1.5 THEN pp.obs_hz END AS o FROM rf LEFT JOIN pp ON pp.part = rf.part AND pp.ref_id = rf.ref_id),
+dr AS (SELECT part, ref_id, ref_hz, o AS obs_hz, 100 * (ref_hz - o) / ref_hz AS drop_percent, coalesce(abs(o - ref_hz) <= 0.05, false) AS resolution_limited FROM n),
 sv AS (SELECT *, CASE WHEN obs_hz IS NULL THEN 'watch' WHEN resolution_limited THEN 'none' WHEN drop_percent >= 10 THEN 'alarm' WHEN drop_percent >= 5 THEN 'warn' WHEN drop_percent > 0 THEN 'watch' ELSE 'none' END AS severity FROM dr)"""
 
 
-@query(f"WITH {DRIFT_SQL} SELECT ref_id, round(ref_hz, 6) AS ref_hz, round(obs_hz, 6) AS obs_hz, round(drop_percent, 6) AS drop_percent, resolution_limited, severity FROM sv")
+@query(f"WITH {DRIFT_SQL} SELECT part, ref_id, round(ref_hz, 6) AS ref_hz, round(obs_hz, 6) AS obs_hz, round(drop_percent, 6) AS drop_percent, resolution_limited, severity FROM sv")
 def baseline_drift(spark, sf_dir):
-    return rounded(spectral.baseline_drift(*mode_tables(spark, sf_dir), 0.05))
+    return rounded(spectral.baseline_drift(*mode_tables(spark, sf_dir), 0.05, keys=["part"]))
 
 
-@query(f"WITH {DRIFT_SQL} SELECT CASE WHEN bool_or(severity = 'alarm') THEN 'alarm' WHEN bool_or(severity = 'warn') THEN 'warn' WHEN bool_or(severity = 'watch') THEN 'watch' ELSE 'none' END AS severity, round(max(CASE WHEN NOT resolution_limited THEN drop_percent END), 6) AS max_drop_percent FROM sv")
+@query(f"WITH {DRIFT_SQL} SELECT part, CASE WHEN bool_or(severity = 'alarm') THEN 'alarm' WHEN bool_or(severity = 'warn') THEN 'warn' WHEN bool_or(severity = 'watch') THEN 'watch' ELSE 'none' END AS severity, round(max(CASE WHEN NOT resolution_limited THEN drop_percent END), 6) AS max_drop_percent FROM sv GROUP BY part")
 def overall_drift(spark, sf_dir):
-    return rounded(spectral.overall_drift(spectral.baseline_drift(*mode_tables(spark, sf_dir), 0.05)))
+    return rounded(spectral.overall_drift(spectral.baseline_drift(*mode_tables(spark, sf_dir), 0.05, keys=["part"]), ["part"]))
 
 
-def shapes(spark, sf_dir, n: int):
-    pair = lambda i: F.struct(F.col("embedding")[2 * i].cast("double").alias("re"), F.col("embedding")[2 * i + 1].cast("double").alias("im"))
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select("vec_id", F.array(*[pair(i) for i in range(4)]).alias("shape"))
-
-
-@query("""WITH v AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings CROSS JOIN (SELECT unnest(range(0, 4)) AS i) WHERE vec_id < 20)
-SELECT a.vec_id AS a, b.vec_id AS b, round((pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.re * b.im - a.im * b.re), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)), 6) AS mac FROM v a JOIN v b ON a.i = b.i GROUP BY 1, 2""")
+@query("""WITH v AS (SELECT vec_id, label, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings CROSS JOIN (SELECT unnest(range(0, 4)) AS i)),
+f AS (SELECT v.* FROM v JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) USING (label, vec_id))
+SELECT v.label, v.vec_id, round((pow(sum(v.re * f.re + v.im * f.im), 2) + pow(sum(v.re * f.im - v.im * f.re), 2)) / (sum(v.re * v.re + v.im * v.im) * sum(f.re * f.re + f.im * f.im)), 6) AS mac FROM v JOIN f ON v.label = f.label AND v.i = f.i GROUP BY 1, 2""")
 def mac_matrix(spark, sf_dir):
-    v = shapes(spark, sf_dir, 20)
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("shape").alias("sa")), v.select(F.col("vec_id").alias("b"), F.col("shape").alias("sb"))
-    return a.join(b).select("a", "b", r(C.mac("sa", "sb")).alias("mac"))  # a table of some modes with itself
+    """Every shape against the first one of its label."""
+    pair = lambda i: F.struct(F.col("embedding")[2 * i].cast("double").alias("re"), F.col("embedding")[2 * i + 1].cast("double").alias("im"))
+    v = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(*[pair(i) for i in range(4)]).alias("shape"))
+    first = v.groupBy("label").agg(F.min_by("shape", "vec_id").alias("first"))
+    return v.join(first, "label").select("label", "vec_id", r(C.mac("shape", "first")).alias("mac"))
 
 
 @query()
@@ -502,19 +500,18 @@ def mode_tracking(spark, sf_dir):
     return rounded(modal.track_modes(spectra, modes, min_mac=0.3))
 
 
-@query("""WITH s AS (SELECT l_returnflag AS record, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, CAST(l_quantity AS DOUBLE) AS v FROM lineitem),
+@query("""WITH s AS (SELECT l_suppkey AS record, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, CAST(l_quantity AS DOUBLE) AS v FROM lineitem),
 n AS (SELECT record, max(idx) + 1 AS n FROM s GROUP BY record), w AS (SELECT s.record, CAST(floor((idx - 20) / 100) AS BIGINT) AS win, v FROM s JOIN n USING (record) WHERE idx >= 20 AND (floor((idx - 20) / 100) + 1) * 100 + 20 <= n - 20),
 d AS (SELECT record, win, stddev_pop(v) AS sd FROM w GROUP BY 1, 2), m AS (SELECT record, median(sd) AS med FROM d GROUP BY record)
 SELECT record, win AS "window", round(sd, 6) AS sd FROM d JOIN m USING (record) WHERE sd >= 0.9 * med""")
 def steady_windows(spark, sf_dir):
-    w = Window.partitionBy("l_returnflag").orderBy(*ROW_ORDER)
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("record"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("double").alias("v"))
+    rows = series_by(spark, sf_dir, "l_suppkey").withColumnsRenamed({"series": "record", "value": "v"})
     return rounded(segments.steady_windows(segments.tumbling(rows, ["record"], 100, 20), ["record"], "v"))
 
 
-OPENING_SQL = """s AS (SELECT l_returnflag AS file, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, l_extendedprice AS value FROM lineitem),
-p AS (SELECT file, idx, value, CASE WHEN idx < 2000 THEN CAST(-1.1 AS DOUBLE) ELSE CAST(-1.1 AS DOUBLE) - CAST(idx - 2000 AS DOUBLE) * CAST(0.01 AS DOUBLE) END AS inc FROM s),
-c AS (SELECT file, median(inc) AS closed, median(value) AS base FROM p WHERE idx < 2000 GROUP BY file), f AS (SELECT p.file, min(idx) AS f0 FROM p JOIN c USING (file) WHERE inc < closed - 1 GROUP BY p.file),
+OPENING_SQL = """s AS (SELECT l_suppkey AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, l_extendedprice AS value FROM lineitem),
+p AS (SELECT file, idx, value, CASE WHEN idx < 200 THEN CAST(-1.1 AS DOUBLE) ELSE CAST(-1.1 AS DOUBLE) - CAST(idx - 200 AS DOUBLE) * CAST(0.2 AS DOUBLE) END AS inc FROM s),
+c AS (SELECT file, median(inc) AS closed, median(value) AS base FROM p WHERE idx < 200 GROUP BY file), f AS (SELECT p.file, min(idx) AS f0 FROM p JOIN c USING (file) WHERE inc < closed - 1 GROUP BY p.file),
 l AS (SELECT p.file, f0, min(struct_pack(a := inc, b := idx)).b AS t0 FROM p JOIN f USING (file) WHERE idx >= f0 GROUP BY 1, 2),
 g AS (SELECT p.file, ang, median(value) AS v FROM p JOIN l USING (file) CROSS JOIN (SELECT unnest([CAST(-30 AS DOUBLE), CAST(-60 AS DOUBLE)]) AS ang) WHERE idx BETWEEN f0 AND t0 AND abs(inc - ang) <= 1 GROUP BY 1, 2)
 SELECT g.file, CAST(ang AS DOUBLE) AS angle, round(v - base, 4) AS feature FROM g JOIN c ON c.file = g.file WHERE g.file IN (SELECT file FROM g GROUP BY file HAVING count(*) = 2)"""
@@ -522,11 +519,10 @@ SELECT g.file, CAST(ang AS DOUBLE) AS angle, round(v - base, 4) AS feature FROM
 
 @query(f"WITH {OPENING_SQL}")
 def opening_features(spark, sf_dir):
-    w = Window.partitionBy("l_returnflag").orderBy(*ROW_ORDER)
     idx = F.col("idx")
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), (F.row_number().over(w) - 1).alias("idx"), F.lit("g1").alias("channel"), F.col("l_extendedprice").alias("value"))
-    rows = rows.withColumn("inclination", F.when(idx < 2000, F.lit(-1.1)).otherwise(F.lit(-1.1) - (idx - 2000) * F.lit(0.01)))
-    return events.opening_features(rows).select("file", "angle", r("feature", 4).alias("feature"))
+    rows = series_by(spark, sf_dir, "l_suppkey", "l_extendedprice").withColumnRenamed("series", "file").withColumn("channel", F.lit("g1"))
+    rows = rows.withColumn("inclination", F.when(idx < 200, F.lit(-1.1)).otherwise(F.lit(-1.1) - (idx - 200) * F.lit(0.2)))
+    return events.opening_features(rows, closed_samples=200).select("file", "angle", r("feature", 4).alias("feature"))
 
 
 @query("""WITH x AS (SELECT s_suppkey, 1.0 + s_suppkey AS m, 1000.0 * (1 + s_suppkey % 7) AS k FROM supplier)
@@ -544,10 +540,10 @@ def stiffness_matrix(spark, sf_dir):
     return out.select("s_suppkey", F.col("matrix")[0][0].alias("k00"), F.col("matrix")[0][1].alias("k01"), F.col("matrix")[1][1].alias("k11"))
 
 
-@query(f"""WITH {PAIR_SQL}, q AS (SELECT pow(obs_hz / ref_hz, 2) AS r FROM pp), m AS (SELECT median(r) AS med, count(*) AS n FROM q)
-SELECT round(med, 6) AS stiffness_ratio, n AS paired, round(100 * (SELECT median(abs(r - med)) FROM q, m) / med, 6) AS spread_percent FROM m""")
+@query(f"""WITH {PAIR_SQL}, q AS (SELECT part, pow(obs_hz / ref_hz, 2) AS r FROM pp), m AS (SELECT part, median(r) AS med, count(*) AS n FROM q GROUP BY part)
+SELECT part, round(med, 6) AS stiffness_ratio, n AS paired, round(100 * median(abs(r - med)) / med, 6) AS spread_percent FROM q JOIN m USING (part) GROUP BY part, med, n""")
 def model_consistency(spark, sf_dir):
-    return rounded(physical.model_consistency(*mode_tables(spark, sf_dir)))
+    return rounded(physical.model_consistency(*mode_tables(spark, sf_dir), ["part"]))
 
 
 # --- times and labels -------------------------------------------------------------------------------

@@ -78,7 +78,3 @@ def read_hdf5(spark: SparkSession, path: str, datasets: list[str]) -> DataFrame:
 def attributes(pairs: DataFrame) -> DataFrame:
     """``recording, attributes map<string,string>`` from ``recording, name, value`` rows."""
     return pairs.groupBy("recording").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("value").cast("string").alias("value"))))).alias("attributes"))
-
-
-def manifest(recordings: DataFrame) -> DataFrame:
-    return recordings.select("recording", "sensor", "sha256")
