@@ -97,18 +97,13 @@ def test_compression_scores(spark):
 
 
 def brute_licenses(text, threshold=license_scan.THRESHOLD):
-    lines, words, found = [], [], {}
-    for line in (text or "").split("\n"):
-        w = alnum_words(line)
-        lines.append((len(words), w))
-        words += w
-    for first, w in lines:
-        blocks = [(0, w)] if len(w) <= 64 else [(a, w[a : a + 64]) for a in range(0, len(w) - 32, 32)]
-        for at, block in blocks:
-            for label, template in license_scan.TEMPLATES:
-                t = set(alnum_words(template))
-                if len(t & set(block)) >= threshold * len(t) - 1e-9:
-                    found[label] = max(found.get(label, 0), len(t & set(block)) / len(t))
+    words, found = alnum_words(text or ""), {}
+    for at in range(max(1, len(words) - license_scan.BLOCK_WORDS + 1)):
+        block = set(words[at : at + license_scan.BLOCK_WORDS])
+        for label, template in license_scan.TEMPLATES:
+            t = set(alnum_words(template))
+            if len(t & block) >= threshold * len(t) - 1e-9:
+                found[label] = max(found.get(label, 0), len(t & block) / len(t))
     places, base = [], set()
     for phrase, label in license_scan.PHRASES.items():
         p = phrase.encode().split()
@@ -139,7 +134,14 @@ def test_wrapped_notices(spark):
     for n, (label, template) in enumerate(license_scan.TEMPLATES):
         texts.append("\n".join(textwrap.wrap(" ".join(f"w{i}" for i in range(17 * n)) + " " + template + " " + "tail " * 90, 40)))
         want.append(label)
+    # spread over many words, at every place of a long text
+    for n, (label, template) in enumerate(license_scan.TEMPLATES * 2):
+        w = template.split()
+        gaps = (60 - len(w)) // max(1, len(set(w)))
+        texts.append(" ".join([f"w{i}" for i in range(7 * n)] + [x for k in w for x in [k] + ["gap"] * (gaps if n % 2 else 0)] + ["tail"] * (90 - n)))
+        want.append(label)
     got = license_scan.license_scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in got] == [(brute_licenses(t)[5], brute_licenses(t)[6]) for t in texts]
     assert all(label in r["labels"].split(",") and r["score"] == 1.0 for label, r in zip(want, got))
 
 

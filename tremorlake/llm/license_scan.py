@@ -1,26 +1,25 @@
 """License scan: exact set containment of license templates in blocks of text.
 
-Blocks are windows of ``BLOCK_WORDS`` words of the whole text, across line breaks, that overlap by half, so every
-stretch of half that length lies in a block, notices that are wrapped over lines too; each line is a block
-besides, a longer one in windows that overlap by half. A block
+A block is any ``BLOCK_WORDS`` consecutive words of the whole text (or all of a shorter one), across line breaks, at whatever place. A block
 meets a template when it holds at least ``THRESHOLD`` of the template's distinct words. The search is an
 exact set-similarity join: template words are ordered by their document frequency over the whole corpus
-(one aggregation over the bounded template vocabulary), a block is compared only with templates one of
-whose rarest ``size - need + 1`` words it holds (prefix filter), if it has enough words at all (length
-filter) and enough are left after the match (positional filter); the overlap is then counted exactly.
-
-Defined edge cases: a null text is empty and gives zero counts, null places and empty labels; repeated
-rows each give a row; equal labels from several blocks are listed once; an empty table gives no rows.
+(one aggregation over the bounded template vocabulary); a block that meets a template holds one
+of its rarest ``size - need + 1`` words (prefix filter), so only blocks around the places of those are looked at, if
+they have enough of the template's words at all (length filter) and enough can be left after the rarest word that
+matched (positional filter); the largest overlap of the blocks is then counted exactly, by a window that slides over the places of the template's words.
+
+Defined edge cases: a null text is empty and gives zero counts, null places and empty labels; a null doc_id stays null;
+a very long text is scanned whole; repeated rows each give a row; equal labels from several blocks are listed once; other
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ALNUM_TABLE, document_frequencies, map_texts, table
+from .common import ALNUM_TABLE, alnum_words, document_frequencies, map_texts, table
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -40,7 +39,6 @@ TEMPLATES = [
 ]
 THRESHOLD = 0.9
 BLOCK_WORDS = 64
-_LINES = bytes(10 if b == 10 else x for b, x in enumerate(ALNUM_TABLE))
 
 
 class TemplateIndex:
@@ -59,21 +57,48 @@ class TemplateIndex:
                 self.lists.setdefault(r, []).append((t, j))
         self.prefix_words = frozenset(w for w in words if self.rank[w] in self.lists)
 
-    def matches(self, words) -> dict[int, float]:
-        """Templates that a block of words meets, with the share of the template it holds."""
-        block = sorted({r for r in map(self.rank.get, words) if r is not None})
-        seen, out = set(), {}
-        for i, r in enumerate(block):
+    def matches(self, words: list[bytes], width: int) -> list[tuple[int, int, float]]:
+        """(template, first word, share of the template) of the fullest block of each stretch of blocks that meet a template."""
+        ranks = [self.rank.get(w) for w in words]
+        around: dict[int, list[tuple[int, int]]] = {}
+        for place, r in enumerate(ranks):
             for t, j in self.lists.get(r, ()):
-                if t in seen or len(block) < self.need[t] or 1 + j + min(len(self.sets[t]) - j - 1, len(block) - i - 1) < self.need[t]:
-                    continue
-                seen.add(t)
-                n = len(self.sets[t].intersection(block))
-                if n >= self.need[t]:
-                    out[t] = n / len(self.sets[t])
+                around.setdefault(t, []).append((place, j))
+        out = []
+        for t, found in around.items():
+            # stretches that hold every block with one of these places
+            stretches: list[list[int]] = []
+            for place, j in found:
+                if stretches and place - width + 1 < stretches[-1][1]:
+                    stretches[-1][1:] = [min(len(words), place + width), min(j, stretches[-1][2])]
+                else:
+                    stretches.append([max(0, place - width + 1), min(len(words), place + width), j])
+            for low, high, j in stretches:
+                hits = [i for i in range(low, high) if ranks[i] in self.sets[t]]
+                if min(len(hits), len(self.sets[t]) - j) >= self.need[t]:
+                    n, first = fullest(hits, ranks, width)
+                    if n >= self.need[t]:
+                        out.append((t, first, n / len(self.sets[t])))
         return out
 
 
+def fullest(hits: list[int], ranks: list, width: int) -> tuple[int, int]:
+    """The most distinct words that ``width`` consecutive places hold, and the first such word's place."""
+    held: dict[int, int] = {}
+    best, left = (0, 0), 0
+    for i in hits:
+        held[ranks[i]] = held.get(ranks[i], 0) + 1
+        while hits[left] <= i - width:
+            r = ranks[hits[left]]
+            held[r] -= 1
+            if not held[r]:
+                del held[r]
+            left += 1
+        if len(held) > best[0]:
+            best = len(held), hits[left]
+    return best
+
+
 def template_words(templates=TEMPLATES) -> frozenset[bytes]:
     return frozenset(w for _, text in templates for w in text.encode().translate(ALNUM_TABLE).split())
 
@@ -85,8 +110,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
 
     def make():
         def scan(text):
-            raw = text.encode().translate(_LINES)
-            words = raw.split()
+            words = alnum_words(text)
             joined = b" " + b" ".join(words) + b" "
             places, base = [], set()
             for needle, label in needles:
@@ -97,14 +121,9 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
                     at = joined.find(needle, at + 1)
             found: dict[tuple[str, int], float] = {}
             if not index.prefix_words.isdisjoint(words):
-                half = BLOCK_WORDS // 2
-                lines = [line.split() for line in raw.split(b"\n")]
-                starts = [0, *accumulate(map(len, lines))]
-                for first, line in [(0, words), *(x for x in zip(starts, lines) if len(x[1]) < len(words))]:
-                    for at in range(0, max(1, len(line) - half), half) if len(line) > BLOCK_WORDS else (0,):
-                        for t, share in index.matches(line[at : at + BLOCK_WORDS]).items():
-                            key = (index.labels[t], first + at)
-                            found[key] = max(share, found.get(key, 0))
+                for t, first, share in index.matches(words, BLOCK_WORDS):
+                    key = (index.labels[t], first)
+                    found[key] = max(share, found.get(key, 0))
             labels = sorted(base | {label for label, _ in found})
             score = 1.0 if base else max(found.values(), default=0.0)
             blocks = [{"label": k[0], "first_word": k[1], "containment": v} for k, v in sorted(found.items())]
