@@ -65,6 +65,18 @@ def test_ngram_join(spark, monkeypatch, slice_):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+def test_links_of_rows_without_id(spark):
+    texts = near_copies(4)
+    copies = docs(spark, [texts[i] + " more" for i in (7, 13, 18)]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    df = docs(spark, texts).unionByName(copies)
+    lone = docs(spark, ["never seen words stand here alone", "never seen words stand here alone"]).withColumn("doc_id", F.lit(None).cast("bigint"))
+    got = ngram_join.ngram_components(df.unionByName(lone)).select("doc_id", "component_id").collect()
+    want = [root for _, root in brute_components(texts + [texts[i] + " more" for i in (7, 13, 18)])]
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == dict(enumerate(want[: len(texts)]))
+    assert sorted((r["component_id"] for r in got if r["doc_id"] is None), key=str) == sorted([*want[len(texts) :], None, None], key=str)
+    assert sorted(r[0] for r in ngram_join.one_of_each(df).select("doc_id").collect()) == sorted(i for i, t in enumerate(texts) if want[i] == i or not shingles(t))
+
+
 def test_one_of_each(spark):
     texts = near_copies(1)
     df = docs(spark, texts)
@@ -167,6 +179,28 @@ def test_earlier_document_with_a_part(spark):
     assert {x for x in spans_of(spark, texts) if len(x[3]) == 1 and x[3][0] % 3 == 1} == want
 
 
+@pytest.mark.parametrize("edit", ["insert", "delete", "replace"])
+def test_edited_copies_behind_a_part(spark, edit):
+    """An earlier document holds 40 words of a passage, two later ones edited copies of all of it; brute-force Jaccard decides what has to be found."""
+    rng = np.random.default_rng(11)
+    texts, want = [], {}
+    for n in (60, 80, 120):
+        for _ in range(10):
+            passage, (a, b, c) = words(rng, n, 10**6), (words(rng, 60, 10**6) for _ in range(3))
+            edited = list(passage)
+            at = int(rng.integers(20, n - 20))
+            edited[at : at + (edit != "insert")] = [] if edit == "delete" else ["new"]
+            texts += [" ".join(a + passage[:40]), " ".join(b + passage), " ".join(c[:30] + edited + c[30:])]
+            x, y = shingles(" ".join(passage)), shingles(" ".join(edited))
+            assert 100 * len(x & y) >= 75 * len(x | y)
+            want[len(texts) - 1] = set(range(30, 30 + len(edited)))
+    got = defaultdict(set)
+    for d, first, n, _ in spans_of(spark, texts):
+        got[d].update(range(first, first + n))
+    assert all(got[d] <= w for d, w in want.items())
+    assert sum(len(got[d]) >= 0.9 * len(w) for d, w in want.items()) >= 0.9 * len(want)
+
+
 @pytest.mark.parametrize("block_bytes", [1, 1 << 30])
 def test_size_of_blocks_does_not_matter(spark, monkeypatch, block_bytes):
     """A block sends what its documents share once; a block per row and one block of all rows agree with brute force."""

@@ -19,7 +19,9 @@
 
 Equal sets are one node throughout (the hash of the sorted set). Defined edge cases: a null or empty text,
 or one without words, has an empty set, links with nothing and is its own component; fewer than five words
-make one shingle; repeated rows share a component; an empty table gives no rows.
+make one shingle; repeated rows share a component; a row without doc_id links like any other, but names a component
+only where all of it have none (then null), and one_of_each keeps it only then; a very long text is one set; other
+columns are ignored (or kept, by one_of_each), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -135,8 +137,9 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, held binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, counts binary")
     rows = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, mark bigint, n_shingles bigint, node bigint, shared array<bigint>"), "sets")
     held = rows.where("shared is not null")
-    first = held.groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # equal sets of several blocks: one row
-    sets = held.join(first, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "shared")
+    first = held.groupBy(F.col("node").alias("_node")).agg(F.min("doc_id").alias("_first"))  # equal sets of several blocks: one row
+    same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    sets = held.join(first, same).dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "shared")
     return rows.select("doc_id", "mark", "n_shingles", "node"), sets
 
 
@@ -257,10 +260,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns; every document without a word stays."""
+    """One document of each component, that with the smallest doc_id (null comes last), with all its columns; every document without a word stays."""
     word = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     i, m, at = fresh(docs, "_id", "_mark", "_at")
-    kept = ngram_components(docs).where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.mark").alias(m))
+    kept = ngram_components(docs).where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias(i), F.col("k.mark").alias(m))
     same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(at) == F.col(m))
     return docs.withColumn(at, F.xxhash64("text")).where(word).join(kept, same, "left_semi").dropDuplicates(["doc_id", at]).drop(at).unionByName(docs.where(~word))
 
