@@ -6,7 +6,7 @@ counts in the sample don't depend on the label and more for those that do (by st
 examples' postings lie in blocks of ``BLOCK`` neighbouring example numbers; each term keeps its largest weight per block. A query
 bounds every block by the sum of its weights times those maxima, scores the ``FIRST`` blocks of the largest bounds and then
 those whose bound reaches the K-th best cosine so far, so the K nearest are exact; equal
-cosines go to the smaller example number. Neighbours vote with weights that fall with their distance, and
+cosines go to the smaller example number. Neighbours vote with weights that fall with their distance, beside a small prior vote of label 1's share, and
 a logistic calibration, fitted on the examples with each left out of its own vote, makes the vote a score.
 
 Defined edge cases: a text that is null, empty or without any word of an example has no neighbour and gets the sample's
@@ -33,6 +33,7 @@ SAMPLE_PER_CLASS = 1000
 #: Standard errors by which a word's shares under both labels may differ by chance.
 CHANCE = 2.0
 K, BLOCK, FIRST = 15, 64, 4
+PRIOR = 0.5
 HELD = (4, 2)
 THRESHOLD = 0.3
 
@@ -134,21 +135,25 @@ class BlockMaxIndex:
         found = found[np.lexsort((found, -scores[found]))[:K]]
         return list(zip(found.tolist(), scores[found].tolist()))
 
-    def votes(self, near: list[tuple[int, float]]) -> tuple[float, float, float]:
-        """The share of label 1 among the neighbours, weighted by 1 / (distance + 0.1), the best cosine, and by how much label 1's best is better."""
-        w = [1 / (1.1 - s) for _, s in near]
+    def votes(self, near: list[tuple[int, float]], share: float) -> tuple[float, float, float]:
+        """Label 1's part of the neighbours' votes, the best cosine, and by how much label 1's best is better.
+
+        A vote weighs cosine / (distance + 0.1); the overall share of label 1 has PRIOR votes, so hardly
+        similar neighbours say little.
+        """
+        w = [s / (1.1 - s) for _, s in near]
         y = [self.labels[e] for e, _ in near]
         best = [max((s for (_, s), z in zip(near, y) if z == k), default=0.0) for k in (1, 0)]
-        return sum(a * b for a, b in zip(w, y)) / sum(w), near[0][1], best[0] - best[1]
+        return (sum(a * b for a, b in zip(w, y)) + PRIOR * share) / (sum(w) + PRIOR), near[0][1], best[0] - best[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
-    """Words, their weights, the examples' vectors, labels and ids, the calibration and the score of texts without a neighbour."""
+    """Words, their weights, the examples' vectors, labels and ids, the calibration, the score of texts without a neighbour and label 1's share."""
     sample = [(i, alnum_words(t), y) for i, t, y in labelled_rows(docs, labels, target, per_class, held)]
     counts = class_counts(labels, target, held)
     y = np.array([y for *_, y in sample], float)
     if len({*y}) < 2:
-        return [], np.empty(0), [], [], [], None, counts[1] / max(1, sum(counts))
+        return [], np.empty(0), [], [], [], None, counts[1] / max(1, sum(counts)), 0.0
     factor = association([(w, y) for _, w, y in sample])
     words = sorted(factor)
     frequency, n = document_frequencies(docs, frozenset(words)), docs.count()
@@ -156,32 +161,32 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     terms = Terms(words, weight)
     vectors = [terms.vector(w) for _, w, _ in sample]
     rows = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())  # what an example stands for
+    share = counts[1] / sum(counts)
     index, x, kept = BlockMaxIndex(len(words), vectors, y.tolist()), [], []
     for e, v in enumerate(vectors):
         near = index.nearest(v, without=e)
         if near:
-            x.append(index.votes(near))
+            x.append(index.votes(near, share))
             kept.append(e)
     none = np.ones(len(y), bool)
     none[kept] = False
-    share = counts[1] / sum(counts)
     blank = float(((rows * y)[none].sum() + rows.mean() * share) / (rows[none].sum() + rows.mean()))
     w = fit_logistic(np.array(x), y[kept], 1e-4, rows[kept] / rows[kept].mean()).tolist() if len({*y[kept]}) == 2 else [0.0, 0.0, 0.0, math.log(share / (1 - share))]
-    return words, weight, vectors, y.tolist(), [i for i, *_ in sample], w, blank
+    return words, weight, vectors, y.tolist(), [i for i, *_ in sample], w, blank, share
 
 
 def scorer(shared):
     """Scores and evidence of texts by the broadcast model, which is plain arrays and lists."""
 
     def make():
-        words, weight, vectors, labels, ids, w, blank = shared.value
+        words, weight, vectors, labels, ids, w, blank, share = shared.value
         terms, index = Terms(words, weight), BlockMaxIndex(len(words), vectors, labels)
 
         def score(text):
             near = index.nearest(terms.vector(alnum_words(text))) if w else []
             if not near:
                 return blank, []
-            p = float(sigmoid(sum(a * b for a, b in zip(w, index.votes(near))) + w[-1]))
+            p = float(sigmoid(sum(a * b for a, b in zip(w, index.votes(near, share))) + w[-1]))
             return p, [{"doc_id": ids[e], "cosine": s, "label": int(labels[e])} for e, s in near[:3]]
 
         return score
