@@ -14,8 +14,8 @@ up and answers every request; a block then holds all arcs that its own texts can
 traverses them from left to right. The state after a word depends on the last two words alone, so the places of all
 texts of a block are traversed at once, carrying each place's state to the next, and log-probabilities are summed by
 document. A hot n-gram is one request per block. Words travel as they are; pairs and triples as
-64-bit hashes, of which ``VALUE_BITS`` stay beside the bucket's number (two of a bucket's million n-grams are taken
-for one with a chance of one in a million).
+64-bit hashes, of which ``VALUE_BITS`` stay beside the bucket's number (an n-gram of a bucket's million is taken
+for another with a chance of one in 60,000, at every size of the corpus, as buckets keep their size).
 
 Defined edge cases: a null or empty text is one end token; a null doc_id stays null and is in the training set as the
 contract's hash of an empty text says; repeated rows each give a row and each count; a very long text is a block of its
@@ -38,7 +38,7 @@ from .common import crc_mod, fresh, mix, small_batches, table
 KAPPA = (300.0, 3.0)
 HELD = (5, 1)
 END, START = b"", b" "
-VALUE_BITS = 40
+VALUE_BITS = 36
 _FLUSH = 400_000
 #: Joins the words of a request; no UTF-8 text has this byte.
 _BREAK = b"\xff"
