@@ -1,6 +1,7 @@
 """Operators over pairs, passages, archives, and the pipeline, against brute force."""
 
 import hashlib
+import os
 from collections import defaultdict
 
 import numpy as np
@@ -314,3 +315,37 @@ def test_pipeline(spark, tmp_path):
     roots = [r for _, r in brute_components(texts)]
     want = {i for i in range(len(texts)) if not toxic[i] and roots[i] == i and i != len(texts) - 1}
     assert out == want
+
+
+def foreign_archive(folder, damage=lambda data: data):
+    import gzip
+
+    os.makedirs(folder)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    blocks = [("warcinfo", "application/warc-fields", b"software: none\r\n"), ("response", "application/http; msgtype=response", http + b"<p>one</p>\r\n\r\n"), ("response", "application/http; msgtype=response", http + b"\xff two")]
+    data = b""
+    for i, (kind, content, block) in enumerate(blocks):
+        top = f"WARC/1.0\r\nWARC-Type: {kind}\r\nwarc-target-uri: http://x/%20{i}\r\nContent-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n"
+        data += gzip.compress(top.encode() + block + b"\r\n\r\n")
+    with open(f"{folder}/crawl.warc.gz", "wb") as f:
+        f.write(damage(data))
+    return "file://" + str(folder)
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    rows = warc.read_archives(spark, foreign_archive(tmp_path / "a")).collect()
+    assert [(r["record_type"], r["url"], r["payload"]) for r in rows] == [("warcinfo", "http://x/%200", None), ("response", "http://x/%201", "<p>one</p>\r\n\r\n"), ("response", "http://x/%202", "\ufffd two")]
+    assert [r["payload_digest"] for r in rows[1:]] == [hashlib.sha256(b).hexdigest() for b in (b"<p>one</p>\r\n\r\n", b"\xff two")]
+    assert warc.read_archives(spark, "file://" + str(tmp_path / "a")).where("record_type = 'warcinfo'").count() == 1
+    for name, damage, says in (("cut", lambda d: d[:-20], "cut off"), ("no", lambda d: d + b"text", "no gzip member")):
+        with pytest.raises(Exception, match=says):
+            warc.read_archives(spark, foreign_archive(tmp_path / name, damage)).collect()
+
+
+def test_warc_damage(spark, tmp_path):
+    good = warc.record(1, "u", "<p>" + "text " * 40, "response", None)
+    for name, data, says in (("cut", good[:-9], "cut off"), ("sum", good[:-8] + b"\0\0\0\0" + good[-4:], "checksum")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(good + data)
+        with pytest.raises(Exception, match=says):
+            warc.read_archives(spark, "file://" + str(tmp_path / name)).collect()

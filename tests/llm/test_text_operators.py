@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import textwrap
 import zlib
 from collections import Counter
@@ -264,3 +265,38 @@ def test_language_model(spark, monkeypatch):
     none = language_model.language_model_scores(docs(spark, ["a b", None]), F.lit(True)).collect()
     assert {(r["n_known"], r["train_tokens"], round(r["score"], 9)) for r in none} == {(0, 0, 0.0)}
     assert language_model.language_model_scores(docs(spark, []), held).count() == 0
+
+
+def test_character_trigrams():
+    assert len(quality_rules.buckets("äöüß🙂", np.empty(0, np.uint64))[1]) == 3
+    first, second = (quality_rules.buckets(t, np.empty(0, np.uint64))[1] for t in ("xäöü", "yäöü"))
+    assert first[0] != second[0] and first[1] == second[1]
+
+
+def test_registered_scores(spark, tmp_path):
+    """The queries themselves: folds, verdicts, one row a document, no score from labels of the held-out fold."""
+    texts, y = corpus(240, 7)
+    texts = texts + EDGES + [texts[0]]
+    y = np.r_[y, np.zeros(len(EDGES)), y[0]].astype(int)
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    folds = {"op1_compression": (3, 1, 0.5), "op4_language_model": (5, 1, None), "op9_toxicity": (4, 2, 0.3)}
+    results = []
+    for turn, flip in enumerate((False, True)):
+        sf = tmp_path / str(turn)
+        sf.mkdir()
+        os.symlink(tmp_path / "documents.parquet", sf / "documents.parquet")
+        held = {(m, k): [zlib.crc32(str(i).encode()) % m == k for i in range(len(texts))] for m, k, _ in folds.values()}
+        rows = [(i, int(v) ^ (flip and held[3, 1][i]), int(v) ^ (flip and held[4, 2][i])) for i, v in enumerate(y)]
+        spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int").write.parquet(str(sf / "labels.parquet"))
+        got = {}
+        for module, (name, (m, k, at)) in zip((compression_quality, language_model, toxicity), folds.items()):
+            out = {r["doc_id"]: r for r in getattr(module, name)(spark, str(sf)).collect()}
+            assert sorted(out) == list(range(len(texts)))
+            assert all(r["held_out"] == held[m, k][i] for i, r in out.items())
+            if at:
+                assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= at) for r in out.values())
+            assert out[0]["score"] == pytest.approx(out[len(texts) - 1]["score"]) or name == "op9_toxicity"
+            got[name] = {i: r["score"] for i, r in out.items()}
+        results.append(got)
+    for name in folds:
+        assert results[0][name] == pytest.approx(results[1][name], abs=1e-9)

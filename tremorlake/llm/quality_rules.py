@@ -1,13 +1,14 @@
 """Quality rules: counts that reject a text outright, and a hashed n-gram model for the rest.
 
-The model is a logistic regression on hashed word uni- and bigrams and byte trigrams (shares of a text's
+The model is a logistic regression on hashed word uni- and bigrams and character trigrams (shares of a text's
 n-grams per bucket), trained on a bounded labelled sample, calibrated on sample rows it was not trained
 on, and applied in Arrow batches; a text is kept when its probability of label 1 reaches ``KEEP_AT``.
 A word bigram of one word twice has a bucket of its own, whatever the word.
 
 Defined edge cases: a null or empty text has zero counts and fails the base rules; lines are compared
-whole, blanks included; repeated rows each give a row; without labelled rows of both classes the base
-rules decide alone.
+whole, blanks included; repeated rows each give a row; a null doc_id stays null; an empty table gives no
+rows; very long texts are taken whole, a few to a batch; other columns, whatever their names, are not read;
+without labelled rows of both classes the base rules decide alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import WordHash, class_counts, fit_logistic, labelled_sample, map_t
 
 #: At most so many training texts of either label.
 SAMPLE_PER_CLASS = 1500
-#: Buckets of word n-grams and of byte n-grams.
+#: Buckets of word n-grams and of character n-grams.
 BUCKETS = 4096
 KEEP_AT = 0.5
 MIN_WORDS, REPEAT_WIDTH, REPEAT_PERCENT = 10, 5, 20
@@ -53,20 +54,20 @@ def base_counts(text: str, raw: bytes, words: list[bytes], h: np.ndarray) -> tup
     return chars, symbols, lines, repeated
 
 
-def buckets(raw: bytes, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of word n-grams and of byte trigrams."""
+def buckets(text: str, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of word n-grams and of trigrams of code points."""
     word = (mix(h) % np.uint64(BUCKETS - 1)).astype(np.int64)
     if len(h) > 1:
         pair = (window_hashes(h, 2) % np.uint64(BUCKETS - 1)).astype(np.int64)
         pair[h[1:] == h[:-1]] = BUCKETS - 1
         word = np.concatenate([word, pair])
-    b = np.frombuffer(raw, np.uint8).astype(np.int64)
-    gram = ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * 2654435761 >> 8) % BUCKETS if len(b) > 2 else b[:0]
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    gram = ((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) * 2654435761 >> 8) % BUCKETS if len(c) > 2 else c[:0]
     return word, gram
 
 
 def train(sample: list[tuple[str, int]], counts: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Weights of the word and byte buckets and the intercept, calibration folded in; None without both labels."""
+    """Weights of the word and character buckets and the intercept, calibration folded in; None without both labels."""
     sample = [(t, y) for t, y in sample if t.strip(_BLANK)]
     y = np.array([y for _, y in sample], float)
     fold = np.arange(len(sample)) % 3 == 0
@@ -75,8 +76,7 @@ def train(sample: list[tuple[str, int]], counts: tuple[int, int]) -> tuple[np.nd
     x = np.zeros((len(sample), 2 * BUCKETS), np.float32)
     hashed = WordHash()
     for i, (t, _) in enumerate(sample):
-        raw = t.encode()
-        word, gram = buckets(raw, hashed.of(raw.split()))
+        word, gram = buckets(t, hashed.of(t.encode().split()))
         x[i, :BUCKETS] = np.bincount(word, minlength=BUCKETS) / max(1, len(word))
         x[i, BUCKETS:] = np.bincount(gram, minlength=BUCKETS) / max(1, len(gram))
     x *= 100
@@ -110,7 +110,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, held: tuple[int, int] | No
             failed = len(words) < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * len(words)
             p = None
             if fitted and words:
-                word, gram = buckets(raw, h)
+                word, gram = buckets(text, h)
                 p = float(sigmoid(fitted[0][word].sum() / len(word) + fitted[1][gram].sum() / max(1, len(gram)) + fitted[2]))
             return len(words), chars, symbols, lines, repeated, failed, not failed and (p is None or p >= KEEP_AT), p
 

@@ -6,7 +6,9 @@ The length of a compressed member stands in the ``sl`` extra field of its gzip h
 that doesn't want a record's payload steps over it: equality and IN predicates on ``record_type``,
 ``page_id``, ``url``, ``payload_digest`` and ``refers_to`` are pushed down, headers are inflated and
 parsed first, and only a wanted record's payload is decoded (never, when ``payload`` is not asked for
-by the option ``payload=false``).
+by the option ``payload=false``). Archives of other writers are read too, one record a gzip member: such a
+member is inflated to find its end, its ids are null and its payload is decoded as UTF-8 with replacements.
+A member that is cut off, isn't gzip or has a wrong checksum is an error that names the file and the place.
 
 Defined edge cases: a null html is the empty payload; a null url or page_id is left out of the headers
 and read back as null; repeated rows are written once each; an empty table gives an empty archive
@@ -16,6 +18,7 @@ folder and no rows; other columns of the input are not written.
 from __future__ import annotations
 
 import hashlib
+import io
 import struct
 import uuid
 import zlib
@@ -42,7 +45,9 @@ MIN_REVISIT_BYTES = 100
 #: How many copies the first-holder rows of a payload get, so that one hot payload spreads over tasks.
 SALTS = 16
 _PUSHED = ("record_type", "page_id", "url", "payload_digest", "refers_to")
-_MARK = b"sl"
+_GZIP = b"\x1f\x8b\x08"
+#: How the extra field of a gzip header begins: its length, its name, the length of its two numbers.
+_MARK = b"\x0c\0sl\x08\0"
 
 
 def _filesystem(uri: str):
@@ -61,8 +66,8 @@ def member(data: bytes, head_bytes: int) -> bytes:
     deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
     head = deflate.compress(data[:head_bytes]) + deflate.flush(zlib.Z_FULL_FLUSH)
     body = head + deflate.compress(data[head_bytes:]) + deflate.flush()
-    extra = _MARK + struct.pack("<HII", 8, 12 + 12 + len(body) + 8, len(head))
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = _MARK + struct.pack("<II", 24 + len(body) + 8, len(head))
+    return _GZIP + b"\x04\0\0\0\0\0\xff" + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def record(page_id, url, html, record_type: str, refers_to) -> bytes:
@@ -152,46 +157,97 @@ class _Reader(DataSourceReader):
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
         fs, _ = _filesystem(self.path)
         rows, held = [], 0
-        with fs.open_input_stream(partition.path, compression=None, buffer_size=4 << 20) as source:
-            while len(fixed := source.read(24)) == 24:
-                _, size, head_size = struct.unpack("<HII", fixed[14:24])
-                head = source.read(head_size)
-                rest = size - 24 - head_size
-                inflate = zlib.decompressobj(-15)
-                top, _, _ = inflate.decompress(head).partition(b"\r\n\r\n")
-                fields = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
-                row = _row(fields, head, inflate)
-                take = all(row[c] in v for c, v in self.wanted.items())
-                body = source.read(rest)  # a stream has no seek; nothing of an unwanted payload is inflated
-                if not take:
+        with fs.open_input_file(partition.path) as file, io.BufferedReader(file, 1 << 20) as source:
+            while (row := self._record(source, partition.path, file.size())) is not None:
+                if not row:
                     continue
-                if self.payload and row["record_type"] == "response":
-                    row["payload"] = inflate.decompress(body[:-8])[:-4].decode()
                 rows.append(row)
-                held += rest
+                held += len(row["payload"] or "")
                 if len(rows) >= 4096 or held > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-
-def _row(fields: dict, head: bytes, inflate) -> dict:
-    http = zlib.decompressobj(-15).decompress(head).split(b"\r\n\r\n")[1]
-    length = int(http.rpartition(b"Content-Length: ")[2])
+    def _record(self, source, path: str, length: int) -> dict | None:
+        """The row of the record at the reader's place, an empty one if a predicate refuses it, None at the end of the archive."""
+        at = source.tell()
+        start = source.read(24)
+        if not start:
+            return None
+        if start[:3] != _GZIP:
+            raise ValueError(f"{path}: no gzip member at byte {at}")
+        if start[3:4] != b"\x04" or start[10:16] != _MARK:
+            return self._unmarked(source, path, at)
+        size, head_size = struct.unpack("<II", start[16:])
+        if at + size > length:
+            raise ValueError(f"{path}: the member at byte {at} is cut off")
+        inflate = zlib.decompressobj(-15)
+        head = inflate.decompress(source.read(head_size))
+        row = _own_row(head)
+        take = self._wants(row)
+        if not (take and self.payload and row["record_type"] == "response"):
+            source.seek(at + size)  # nothing of this payload is inflated
+            return row if take else {}
+        body = source.read(size - 24 - head_size)
+        data = inflate.decompress(body[:-8])
+        if zlib.crc32(data, zlib.crc32(head)) != struct.unpack("<I", body[-8:-4])[0]:
+            raise ValueError(f"{path}: the checksum of the member at byte {at} is wrong")
+        return row | {"payload": data[:-4].decode()}
+
+    def _unmarked(self, source, path: str, at: int) -> dict:
+        """A record of another writer, whose member must be inflated to find its end; zlib checks its checksum."""
+        source.seek(at)
+        inflate, parts = zlib.decompressobj(31), []
+        while not inflate.eof:
+            part = source.read(1 << 20)
+            if not part:
+                raise ValueError(f"{path}: the member at byte {at} is cut off")
+            parts.append(inflate.decompress(part))
+        source.seek(-len(inflate.unused_data), 1)
+        top, _, rest = b"".join(parts).partition(b"\r\n\r\n")
+        fields = _fields(top)
+        block_size = int(fields.get("content-length", len(rest)))
+        if rest[block_size:].strip(b"\r\n"):
+            raise ValueError(f"{path}: the member at byte {at} holds several records; one a member is read")
+        row, payload = _other_row(fields, rest[:block_size])
+        if not self._wants(row):
+            return {}
+        return row | {"payload": payload.decode(errors="replace")} if self.payload and row["record_type"] == "response" else row
+
+    def _wants(self, row: dict) -> bool:
+        return all(row[c] in v for c, v in self.wanted.items())
+
+
+def _fields(top: bytes) -> dict[str, str]:
+    """Header fields by lower-case name."""
+    lines = (line.partition(":") for line in top.decode(errors="replace").split("\r\n")[1:])
+    return {name.lower(): value.removeprefix(" ") for name, _, value in lines}
+
+
+def _own_row(head: bytes) -> dict:
+    top, http, _ = head.split(b"\r\n\r\n")
+    fields = _fields(top)
     number = lambda x: int(x[10:-1]) if x and x != "<urn:page:>" else None
-    url = fields.get("WARC-Target-URI")
+    url = fields.get("warc-target-uri")
     return {
-        "page_id": number(fields.get("WARC-Record-ID")),
+        "page_id": number(fields.get("warc-record-id")),
         "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
-        "record_type": fields["WARC-Type"],
-        "payload_bytes": length,
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
-        "refers_to": number(fields.get("WARC-Refers-To")),
+        "record_type": fields["warc-type"],
+        "payload_bytes": int(http.rpartition(b"Content-Length: ")[2]),
+        "payload_digest": fields["warc-payload-digest"].removeprefix("sha256:"),
+        "refers_to": number(fields.get("warc-refers-to")),
         "payload": None,
     }
 
 
+def _other_row(fields: dict, block: bytes) -> tuple[dict, bytes]:
+    """A record without our ids: its page_id and refers_to are null; the digest is that of its payload."""
+    payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+    row = {"page_id": None, "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "payload_bytes": len(payload)}
+    return row | {"payload_digest": hashlib.sha256(payload).hexdigest(), "refers_to": None, "payload": None}, payload
+
+
 class WarcDataSource(DataSource):
     @classmethod
     def name(cls):
