@@ -1,12 +1,15 @@
 """Whole studies on synthetic recordings, archives and openings."""
 
 import datetime as dt
+import io
 import json
+import zipfile
 
 import numpy as np
 import pandas as pd
 
 from tremorlake.plans import extraction, monitor, openings, shaker
+from tremorlake.sources import texts
 
 
 def oscillator(u, frequencies, weights, rate):
@@ -109,3 +112,77 @@ def test_monitor_command(spark, tmp_path, capsys):
     out = json.loads((tmp_path / "o.json").read_text())
     rates = {(a["arm"], a["segment"]): a["alarm_rate"] for a in out["alarms"]}
     assert rates["temperature_normalized", "changed"] == 1.0 and out["modes"] == [1, 2]
+
+
+def test_commands_without_data(spark, tmp_path, capsys):
+    none = str(tmp_path / "none")
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps(dict.fromkeys(texts.CONFIG_FIELDS, {})))
+    segments = ["--reference", "2020-01-01", "2020-01-21", "--holdout", "2020-01-21", "2020-01-26", "--changed", "2020-01-26", "2020-01-31"]
+    assert monitor.main(["--record", none, "--covariates", none, *segments]) == 2
+    assert shaker.main(["--cache", none, "--reference", "a", "--holdout", "b"]) == 2
+    assert extraction.main(["--fdd", none, "--config", none]) == 2
+    assert extraction.main(["--fdd", none, "--config", str(config)]) == 2
+    assert openings.main(["--features", none]) == 2
+    assert none in capsys.readouterr().err
+
+
+def test_shaker_command(spark, tmp_path, capsys):
+    rng = np.random.default_rng(8)
+    n, rate = 50 * 610, 50.0
+    (tmp_path / "npz").mkdir()
+    for name, modes in (("s1", (4.0, 9.5)), ("s2", (4.0, 9.5)), ("cut", (3.6, 9.5))):
+        u = rng.normal(size=n)
+        y = oscillator(u, modes, np.array([[1.0, 0.5], [0.4, -1.0]]), rate) + 0.01 * rng.normal(size=(n, 2))
+        np.savez(tmp_path / "npz" / f"{name}.npz", excitation=u, y1=y[:, 0], y2=y[:-5, 1])
+    args = ["--cache", str(tmp_path / "cache"), "--sampling-hz", "50", "--reference", "s1", "--holdout", "s2", "--alpha", "0.2", "--json-out", str(tmp_path / "o.json")]
+    assert shaker.main([*args, "--fetch", "--source", str(tmp_path / "npz" / "*.npz")]) == 0
+    assert spark.read.parquet(str(tmp_path / "cache")).groupBy("recording").count().where(f"count = {n - 5}").count() == 3
+    states = {(r["arm"], r["label"]): r for r in json.loads((tmp_path / "o.json").read_text())["states"]}
+    assert states["raw_frequencies", "cut"]["alarm_rate"] == 1.0 and {label for _, label in states} == {"holdout", "cut"}
+    assert "raw_frequencies" in capsys.readouterr().out
+
+
+def test_openings_command(spark, tmp_path, capsys):
+    rng = np.random.default_rng(9)
+    n = 2600
+    inc = np.r_[np.full(2100, -1.1), np.linspace(-1.1, -74, 500)]
+    with zipfile.ZipFile(tmp_path / "o.zip", "w") as z:
+        for i in range(36):
+            ts = dt.datetime(2023, 2, 20) + dt.timedelta(hours=12 * i)
+            g = inc * 2 + rng.normal(0, 0.2) + np.outer((inc < -20), [1, 1])[:, 0] * (rng.normal() + (30 if i >= 36 - 4 else 0))
+            pd.DataFrame({"tilt": inc, "g1": g, "g2": inc + (inc < -20) * rng.normal()}).to_csv(z.open(f"x/{ts:%Y_%m_%dT%H_%M_%S}.csv", "w"), index=False)
+    args = ["--features", str(tmp_path / "f"), "--reference", "2023-02-20", "2023-03-05", "--holdout-end", "2023-03-07", "--event", "2023-03-07 00:00:00", "--alpha", "0.1"]
+    assert openings.main([*args, "--fetch", "--source", str(tmp_path / "o.zip"), "--inclination", "tilt", "--gauges", "g1", "g2", "--json-out", str(tmp_path / "o.json")]) == 0
+    out = json.loads((tmp_path / "o.json").read_text())
+    assert len(out["features"]) == 36 and any(s["label"] == "changed" for s in out["states"])
+    assert openings.main([*args, "--max-deviation"]) == 0
+    assert "max_deviation" in capsys.readouterr().out
+
+
+def test_archive_command(spark, tmp_path, capsys):
+    rng = np.random.default_rng(11)
+    n, buffer = 2048 * 9, io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for h in range(8 * 5):
+            record = f"01{'ABCDE'[h // 8]}{h % 8:02d}"
+            t = np.arange(n) / 100
+            x = np.outer(np.sin(2 * np.pi * (4 + 0.02 * rng.normal()) * t + rng.random()), [1.0, 0.6]) + 0.1 * rng.normal(size=(n, 2))
+            inside = io.BytesIO()
+            with zipfile.ZipFile(inside, "w", zipfile.ZIP_DEFLATED) as r:
+                for k, c in enumerate("ab"):
+                    r.writestr(f"{record}{c}.AAA", "h\n%d\nu\n" % n + "\n".join(f"{v:.4f}" for v in x[:, k]))
+                r.writestr(f"{record}PRE.ENV", f"T1 [C] P1 [C] A [C] H [%] W [m/s]\n{(8 if h % 3 else -3) + rng.random():.3f} {9 + rng.random():.3f} {7 + rng.random():.3f} {60 + rng.random():.3f} {2 + rng.random():.3f}\nend\n")
+            z.writestr(record, inside.getvalue())
+    (tmp_path / "a.zip").write_bytes(buffer.getvalue())
+    config = {"channels": ["a", "b"], "name_origin": "2000-01-01", "deck_temperatures": ["T1"], "pavement_temperatures": ["P1"], "air_temperature": "A", "humidity": "H", "wind_speed": "W", "voltage_conversions": {}}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    days = ["--reference", "2000-01-01", "2000-01-04", "--holdout", "2000-01-04", "2000-01-05", "--changed", "2000-01-05", "2000-01-06", "--alpha", "0.4"]
+    args = ["--fdd", str(tmp_path / "t"), "--config", str(tmp_path / "c.json"), *days, "--environment", "--arms", "--json-out", str(tmp_path / "o.json")]
+    assert extraction.main([*args, "--extract", "--archive", str(tmp_path / "a.zip"), "--modes", "0"]) == 0
+    tables = {k: spark.read.parquet(str(tmp_path / "t" / k)) for k in extraction.TABLES}
+    assert tables["damaged"].count() == 0 and tables["spectra"].select("ts").distinct().count() == 40
+    assert extraction.weather(tables["environment"], config).dropna().count() == 40
+    out = json.loads((tmp_path / "o.json").read_text())
+    assert {a["segment"]: a["days"] for a in out["alarms"]} == {"reference": 3, "holdout": 1, "changed": 1} and out["reference_days"] == 3
+    assert out["damaged"] == out["incomplete"] == [] and any(abs(f - 4) < 0.2 for f in out["reference_modes_hz"])

@@ -206,26 +206,35 @@ def leave_groups_out(rows: DataFrame, group: str, features: list[str]) -> DataFr
         F.count("*").alias("n"), F.array(*[F.sum(x) for x in z]).alias("s"), F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]).alias("q"), F.sum(norm * norm).alias("f"), F.array(*[F.sum(norm * x) for x in z]).alias("c")
     )
 
+    # what all groups add up to: one row of p (p + 1) / 2 values and a few more
+    added = rows.agg(F.array(*[F.sum(x) for x in z]), F.array(*[F.sum(z[i] * z[j]) for i, j in pairs]), F.sum(norm * norm), F.array(*[F.sum(norm * x) for x in z])).first()
+    totals, n, mean = tuple(np.array(x, float) for x in added), whole.n, whole.mean
+
     def square(flat):
         out = np.zeros((p, p))
         for (i, j), x in zip(pairs, flat):
             out[i, j] = out[j, i] = x
         return out
 
-    folds, got = [], sums.collect()  # one row per day or sample group
-    all_q = sum((square(r["q"]) for r in got), np.zeros((p, p)))
-    all_f, all_c, all_s = sum(r["f"] for r in got), sum(np.array(r["c"]) for r in got), sum(np.array(r["s"]) for r in got)
-    for r in got:
-        m = whole.n - r["n"]
-        if m < 2:
-            continue
-        q, c, f, d = all_q - square(r["q"]), all_c - np.array(r["c"]), all_f - r["f"], (all_s - np.array(r["s"])) / m
-        dd, tr = d @ d, np.trace(q)
-        fourth = f + 4 * d @ q @ d + m * dd * dd - 4 * d @ c + 2 * dd * tr - 4 * dd * m * dd
-        fold = Moments(m, whole.mean + d, q / m - np.outer(d, d), fourth)
-        folds.append((r[group], (whole.mean + d).tolist(), precision_of(fold).tolist()))
+    def fold(batches):
+        import pandas as pd
+
+        for part in batches:
+            out = []
+            for key, size, s, q, f, c in part.itertuples(index=False):
+                m = n - size
+                if m < 2:
+                    continue
+                s, q, f, c = totals[0] - s, square(totals[1] - q), float(totals[2]) - f, totals[3] - c
+                d = s / m
+                dd = d @ d
+                fourth = f + 4 * d @ q @ d + m * dd * dd - 4 * d @ c + 2 * dd * np.trace(q) - 4 * dd * m * dd
+                precision = precision_of(Moments(m, mean + d, q / m - np.outer(d, d), fourth))
+                out.append((key, (mean + d).tolist(), precision.tolist()))
+            yield pd.DataFrame(out, columns=[group, "_mean", "_precision"])
+
     kind = rows.schema[group].dataType.simpleString()
-    table = rows.sparkSession.createDataFrame(folds, f"{group} {kind}, _mean array<double>, _precision array<array<double>>")
+    table = sums.mapInPandas(fold, f"`{group}` {kind}, _mean array<double>, _precision array<array<double>>")
     dev = F.zip_with(F.array(*features), F.col("_mean"), lambda x, y: x - y)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     form = dot(F.col("_dev"), F.transform("_precision", lambda row: dot(row, F.col("_dev"))))

@@ -7,7 +7,6 @@ python -m tremorlake.plans.monitor --record record.parquet --covariates weather.
 from __future__ import annotations
 
 import argparse
-import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +44,15 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--json-out")
     args = a.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    record, covariates = spark.read.parquet(args.record), spark.read.parquet(args.covariates)
+    record, covariates = (reports.found(spark, path, "name a Parquet table") for path in (args.record, args.covariates))
+    if record is None or covariates is None:
+        return reports.NO_DATA
     p = protocol.Protocol(tuple(args.reference), tuple(args.holdout), tuple(args.changed), args.alpha, args.calibration, None, args.environment)
     out = protocol.run_protocol(record, covariates, p, args.modes, args.arms)
     print(reports.protocol_markdown(out))
     if args.sensitivity:
         print(reports.markdown(sensitivity(record, covariates, p, out["modes"], args.arms).orderBy("arm", "scenario")))
-    if args.json_out:
-        tables = ("daily", "limits", "alarms", "cusum", "noise", "sensitivity", "ratio", "ratio_changes", "segments")
-        result = {k: [json.loads(x) for x in out[k].toJSON().collect()] for k in tables} | {k: out[k] for k in ("modes", "threshold", "reference_days")}
-        with open(args.json_out, "w", encoding="utf-8") as f:
-            json.dump(result, f, indent=2)
-    return 0
+    return reports.finish(out, args.json_out)
 
 
 if __name__ == "__main__":

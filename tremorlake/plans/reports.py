@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +29,32 @@ def protocol_markdown(result: dict) -> str:
         *[F.first(c).alias(c) for c in ("alarmed_days", "days", "delay_days", "min_p_value", "min_over_limit", "max_over_limit")]
     )
     return markdown(wide.orderBy("arm"))
+
+
+#: What a study command returns when its data are missing.
+NO_DATA = 2
+
+
+def found(spark: SparkSession, path: str, hint: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None after a message on how to make it."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        print(f"{path} is missing; {hint}", file=sys.stderr)
+        return None
+
+
+def rows(table: DataFrame) -> list[dict]:
+    """A result table as plain values."""
+    return [json.loads(x) for x in table.toJSON().collect()]
+
+
+def finish(result: dict, path: str | None) -> int:
+    """Write tables and values to a JSON file, where one is asked for."""
+    if path:
+        plain = {k: rows(v) if isinstance(v, DataFrame) else v for k, v in result.items()}
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(plain, f, indent=2)
+    return 0

@@ -1,11 +1,18 @@
-"""Shaker recordings: windows, frequency responses, modal frequencies per window, labelled states."""
+"""Shaker recordings: windows, frequency responses, modal frequencies per window, labelled states.
+
+python -m tremorlake.plans.shaker --fetch --source "recordings/*.npz" --cache samples --reference 0922 --holdout 0927
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import argparse
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import modal, segments, statistics
+from ..sources import recordings
+from . import reports
 from .states import evaluate_states
 
 WINDOW_S, TRIM_S = 60, 5
@@ -34,3 +41,45 @@ def run_study(samples: DataFrame, sampling_hz: float, labels: DataFrame, referen
     rows = wide.dropna().join(F.broadcast(labels), "recording").withColumn("rid", F.concat_ws("/", "recording", "window"))
     long = rows.select("label", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])).alias("v")).select("label", "v.*")
     return {"bands": bands, "frequencies": wide, "states": evaluate_states(rows, "rid", features, alpha), "shifts": statistics.shifts_over_sigma(long)}
+
+
+def samples_of(arrays: DataFrame, excitation: str = "excitation") -> DataFrame:
+    """``recording, idx, excitation, responses`` from ``recording, sensor, samples``: the sensors side by side, by name, cut to the shortest."""
+    sensors = F.filter("_s", lambda s: s["sensor"] != excitation)
+    lists = arrays.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("sensor", "samples"))).alias("_s"))
+    lists = lists.select("recording", F.get(F.filter("_s", lambda s: s["sensor"] == excitation), F.lit(0))["samples"].alias("_x"), F.transform(sensors, lambda s: s["samples"]).alias("_y"))
+    steps = F.slice("_x", F.lit(1), F.least(F.size("_x"), F.array_min(F.transform("_y", F.size))))
+    turned = F.transform(steps, lambda x, i: F.struct(x.alias("excitation"), F.transform("_y", lambda y: F.get(y, i)).alias("responses")))
+    return lists.select("recording", F.posexplode(turned).alias("idx", "_at")).select("recording", F.col("idx").cast("bigint").alias("idx"), "_at.*")
+
+
+def main(argv: list[str] | None = None) -> int:
+    a = argparse.ArgumentParser(description=__doc__)
+    a.add_argument("--cache", required=True, help="Parquet with recording, idx, excitation, responses")
+    a.add_argument("--fetch", action="store_true", help="make the cache from --source first")
+    a.add_argument("--source", help="NPZ recordings with an array named excitation and one per response")
+    a.add_argument("--sampling-hz", type=float, default=100.0)
+    a.add_argument("--reference", required=True, help="the undamaged recording to learn from")
+    a.add_argument("--holdout", required=True, help="the other undamaged recording; all others keep their names as labels")
+    a.add_argument("--same-session-reference", action="store_true", help="swap the two undamaged recordings")
+    a.add_argument("--alpha", type=float, default=0.1)
+    a.add_argument("--json-out")
+    args = a.parse_args(argv)
+    if args.fetch and not args.source:
+        a.error("--fetch takes a --source")
+    spark = SparkSession.builder.getOrCreate()
+    if args.fetch:
+        samples_of(recordings.read_npz(spark, args.source)).write.mode("overwrite").parquet(args.cache)
+    samples = reports.found(spark, args.cache, "make it with --fetch")
+    if samples is None:
+        return reports.NO_DATA
+    reference, holdout = (args.holdout, args.reference) if args.same_session_reference else (args.reference, args.holdout)
+    name = F.when(F.col("recording") == reference, "reference").when(F.col("recording") == holdout, "holdout").otherwise(F.col("recording"))
+    labels = samples.select("recording", name.alias("label")).distinct()
+    result = run_study(samples, args.sampling_hz, labels, reference, args.alpha)
+    print(reports.markdown(result["states"].orderBy("label", "arm")))
+    return reports.finish(result, args.json_out)
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
