@@ -57,6 +57,21 @@ def test_mahalanobis_and_its_folds(spark):
     assert (out > distances(x, x)).all()
 
 
+def test_left_out_groups_with_missing_values_agree_with_refitting(spark):
+    """A row without a feature counts nowhere: neither in its own group's fold nor in the others'."""
+    x = np.random.default_rng(30).normal(size=(40, 2))
+    rows = [(i, "abcd"[i % 4] if i < 36 else None, float(a), float(b)) for i, (a, b) in enumerate(x)]
+    gaps = [(100 + i, "abce"[i % 4], None if i % 2 else 5.0, 1.0 if i % 2 else None) for i in range(9)]
+    table = spark.createDataFrame(rows + gaps, "rid int, g string, x0 double, x1 double")
+    got = {r["rid"]: r["score"] for r in detectors.leave_groups_out(table, "g", ["x0", "x1"]).collect()}
+    groups = np.array([r[1] or "" for r in rows])
+    want = {}
+    for g in set(groups):
+        inside = groups == g
+        want |= dict(zip(np.flatnonzero(inside).tolist(), distances(x[~inside], x[inside])))
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_pca_breaks_pattern(spark):
     rng = np.random.default_rng(4)
     factor = rng.normal(size=(400, 1))

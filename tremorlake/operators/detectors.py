@@ -116,12 +116,13 @@ class MaxDeviation:
 
     @classmethod
     def fit(cls, rows: DataFrame, features: list[str]) -> MaxDeviation:
-        centre = rows.agg(*[F.median(f) for f in features]).first()
-        scale = rows.agg(*[1.4826 * F.median(F.abs(F.col(f) - float(c))) for f, c in zip(features, centre)]).first()
-        return cls(list(features), list(centre), list(scale))
+        """Every feature's median and scaled median absolute deviation, all features at once; one without a finite value scores null."""
+        values = rows.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value"))
+        found = {r["feature"]: r for r in robust_scales(values, ["feature"], "value").collect()}  # one row per feature
+        return cls(list(features), *([found[i][k] if i in found else None for i in range(len(features))] for k in ("centre", "scale")))
 
     def score(self, rows: DataFrame) -> DataFrame:
-        z = [F.abs(F.col(f) - float(c)) / float(s) if s else F.lit(None).cast("double") for f, c, s in zip(self.features, self.centre, self.scale)]
+        z = [F.abs(F.col(f) - float(c)) / float(s) if c is not None and s else F.lit(None).cast("double") for f, c, s in zip(self.features, self.centre, self.scale)]
         return rows.withColumn("score", z[0] if len(z) == 1 else F.greatest(*z))
 
 
@@ -196,8 +197,10 @@ def leave_groups_out(rows: DataFrame, group: str, features: list[str]) -> DataFr
     """Mahalanobis score of each row from a fit on all rows of other groups, from one aggregation per group.
 
     The sums a fold needs are those of all rows less those of its group, so nothing is refitted; the
-    folds' means and precisions are joined back by group.
+    folds' means and precisions are joined back by group. Rows that lack a feature are in no fold and have no score;
+    a row without a group is a fold of its own with the other rows without one.
     """
+    rows = rows.dropna(subset=features)
     whole = moments(rows, features)
     z, p = centred(features, whole.mean), len(features)
     norm = total([x * x for x in z])
@@ -238,7 +241,9 @@ def leave_groups_out(rows: DataFrame, group: str, features: list[str]) -> DataFr
     dev = F.zip_with(F.array(*features), F.col("_mean"), lambda x, y: x - y)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     form = dot(F.col("_dev"), F.transform("_precision", lambda row: dot(row, F.col("_dev"))))
-    return rows.join(table, group).withColumn("_dev", dev).withColumn("score", F.sqrt(F.greatest(form, F.lit(0.0)))).drop("_mean", "_precision", "_dev")
+    same = F.struct(F.col(group)) == F.struct(F.col("_group"))
+    joined = rows.join(table.withColumnRenamed(group, "_group"), same).drop("_group")
+    return joined.withColumn("_dev", dev).withColumn("score", F.sqrt(F.greatest(form, F.lit(0.0)))).drop("_mean", "_precision", "_dev")
 
 
 def leave_one_out(detector, rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:

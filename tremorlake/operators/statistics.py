@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import centred, finite, total
+from .selection import medians
 
 MIN_HOURS = 6
 
@@ -98,10 +99,12 @@ def sensitivity(baseline: LinearBaseline, spark, expected: float | None = None)
 
 
 def robust_scales(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, centre, scale``: median and 1.4826 times the median absolute deviation."""
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("centre"))
-    joined = rows.join(centre, keys) if keys else rows.crossJoin(F.broadcast(centre))
-    return joined.groupBy(*keys, "centre").agg((1.4826 * F.median(F.abs(F.col(value) - F.col("centre")))).alias("scale"))
+    """``keys, centre, scale``: median and 1.4826 times the median absolute deviation; no task holds a group."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    centre = medians(rows, keys, value, "centre").withColumn("_k", group).drop(*keys, "n")
+    joined = rows.withColumn("_g", group).join(centre, F.col("_g") == F.col("_k")).drop("_g", "_k")
+    spread = medians(joined, [*keys, "centre"], F.abs(F.col(value) - F.col("centre")), "_mad")
+    return spread.select(*keys, "centre", (1.4826 * F.col("_mad")).alias("scale"))
 
 
 def erratic(rows: DataFrame, keys: list[str], unit: str, value: str, limit: float = 10.0) -> DataFrame:
@@ -112,7 +115,7 @@ def erratic(rows: DataFrame, keys: list[str], unit: str, value: str, limit: floa
 
 def stable_channels(rms: DataFrame, limit: float = 10.0) -> DataFrame:
     """Channels of ``rms(channel, ts, rms)`` whose largest monthly median is at most ``limit`` times the smallest."""
-    monthly = rms.groupBy("channel", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.median("rms").alias("rms"))
+    monthly = medians(rms.withColumn("month", F.date_format("ts", "yyyy-MM")), ["channel", "month"], "rms", "rms")
     return monthly.groupBy("channel").agg((F.max("rms") / F.greatest(F.min("rms"), F.lit(1e-12))).alias("ratio")).where(F.col("ratio") <= limit)
 
 
@@ -150,8 +153,10 @@ def ratio_changes(pairs: DataFrame) -> DataFrame:
 
 def shifts_over_sigma(samples: DataFrame, reference: str = "reference") -> DataFrame:
     """From ``samples(label, feature, value)``: medians against the reference's, relative and over its sample deviation."""
-    base = samples.where(F.col("label") == reference).groupBy("feature").agg(F.median("value").alias("reference_median"), F.stddev_samp("value").alias("sigma"))
-    state = samples.where(F.col("label") != reference).groupBy("label", "feature").agg(F.median("value").alias("median"))
+    middle = medians(samples.where(F.col("label").isNotNull()), ["label", "feature"], "value")  # of both at once
+    sigma = samples.where(F.col("label") == reference).groupBy("feature").agg(F.stddev_samp("value").alias("sigma"))
+    base = middle.where(F.col("label") == reference).select("feature", F.col("median").alias("reference_median")).join(sigma, "feature")
+    state = middle.where(F.col("label") != reference).select("label", "feature", "median")
     gap = F.col("median") - F.col("reference_median")
     return state.join(base, "feature").select("label", "feature", (gap / F.col("reference_median")).alias("relative_shift"), (gap / F.col("sigma")).alias("shift_over_sigma"))
 

@@ -232,8 +232,8 @@ def frequency_ratio(spark, sf_dir):
 def halves(spark, sf_dir):
     record = hourly(spark, sf_dir)
     cut = record.agg((F.min("ts") + F.expr("INTERVAL 15 DAYS")).alias("_cut"))
-    early = F.col("ts") < F.col("_cut")
-    return record.crossJoin(F.broadcast(cut)).groupBy("mode").agg(F.median(F.when(early, F.col("freq_hz"))).alias("reference_hz"), F.median(F.when(~early, F.col("freq_hz"))).alias("changed_hz"))
+    split = record.crossJoin(F.broadcast(cut)).withColumn("_half", F.when(F.col("ts") < F.col("_cut"), 0).otherwise(1))
+    return statistics.medians(split, ["mode", "_half"], "freq_hz").groupBy("mode").agg(*[F.max(F.when(F.col("_half") == i, F.col("median"))).alias(n) for i, n in enumerate(("reference_hz", "changed_hz"))])
 
 
 @query(f"""WITH {HOURLY_SQL}, p AS (SELECT mode, median(CASE WHEN ts < (SELECT min(ts) + INTERVAL 15 DAY FROM h) THEN freq END) AS a, median(CASE WHEN ts >= (SELECT min(ts) + INTERVAL 15 DAY FROM h) THEN freq END) AS b FROM h GROUP BY mode),
