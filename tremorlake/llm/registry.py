@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, compression_quality, decontamination, language_model, license_scan, ngram_join, quality_rules, substring_dedup, toxicity, vector_codes, warc, whitening
+from . import bpe, compression_quality, decontamination, language_model, license_scan, ngram_join, quality_rules, sharding, substring_dedup, toxicity, vector_codes, warc, whitening
 
 QUERIES = {
     "op1_compression": compression_quality.op1_compression,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_sharding": sharding.op12_sharding,
     "op13_whitening": whitening.op13_whitening,
 }
 ORACLE_SQL = {"op5_warc": warc.OP5_SQL, "op7_ngram_join": ngram_join.OP7_SQL, "op10_decontamination": decontamination.OP10_SQL, "op11_vector_codes": vector_codes.OP11_SQL}
