@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import centred, linear_maps, quadratic_form, total
 from ..functions.dense import discarded_directions, gaussian_process, shrunk_covariance, stationary_combinations
+from ..functions.staged import written
+from .neighbours import PivotIndex
 from .statistics import Moments, moments, robust_scales
 
 PCA_VARIANCE = 0.90
 NEIGHBOURS = 10
 GP_BIN, GP_LENGTHS = 0.5, (1.0, 2.0, 4.0, 8.0, 16.0)
-#: kNN goes by broadcast of reference blocks of at most so many rows.
-REFERENCE_BLOCK = 20_000
 
 
 def precision_of(m: Moments) -> np.ndarray:
@@ -72,38 +72,36 @@ class PcaResidual:
 
 @dataclass
 class NearestNeighbours:
-    """Mean distance to the k nearest reference rows in reference-standardised units; exact.
-
-    The reference is broadcast in blocks of a bounded number of rows; each block leaves its k nearest
-    distances per scored row, and the k nearest of all blocks count.
-    """
+    """Mean distance to the k nearest reference rows in reference-standardised units; exact, by a pivot index."""
 
     features: list[str]
     mean: np.ndarray
     scale: np.ndarray
-    reference: DataFrame
-    n: int
+    index: PivotIndex
     k: int = NEIGHBOURS
 
     @classmethod
-    def fit(cls, rows: DataFrame, features: list[str]) -> NearestNeighbours:
+    def fit(cls, rows: DataFrame, features: list[str], row_id: str | None = None) -> NearestNeighbours:
         m = moments(rows, features)
-        return cls(list(features), m.mean, np.sqrt(np.diag(m.covariance)), rows.select(*features), int(m.n))
+        scale = np.sqrt(np.diag(m.covariance))
+        unit = cls._units(features, m.mean, scale)
+        keep = [] if row_id is None else [row_id]
+        return cls(list(features), m.mean, scale, PivotIndex.build(rows.dropna(subset=features).select(*keep, unit.alias("v")), row_id))
 
-    def _unit(self) -> list[Column]:
-        return [x / float(s) if s else F.lit(None).cast("double") for x, s in zip(centred(self.features, self.mean), self.scale)]
+    @staticmethod
+    def _units(features: list[str], mean: np.ndarray, scale: np.ndarray) -> Column:
+        """Standardised features; null without all of them, or where one has no spread."""
+        if (scale == 0).any():
+            return F.lit(None).cast("array<double>")
+        unit = F.array(*[x / float(s) for x, s in zip(centred(features, mean), scale)])
+        return F.when(~F.exists(unit, lambda x: x.isNull()), unit)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        blocks = -(-self.n // REFERENCE_BLOCK)
-        unit = F.array(*self._unit())
-        held = self.reference.select(F.pmod(F.xxhash64(*self.features), F.lit(blocks)).alias("_b"), unit.alias("_r"))
-        out, k = rows.withColumn("_z", unit).withColumn("_near", F.array().cast("array<double>")), self.k
-        for b in range(blocks):
-            block = held.where(F.col("_b") == b).agg(F.collect_list("_r").alias("_block"))
-            squares = F.transform("_block", lambda r: F.aggregate(F.zip_with(r, F.col("_z"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
-            out = out.crossJoin(F.broadcast(block)).withColumn("_near", F.slice(F.array_sort(F.concat("_near", squares)), 1, k)).drop("_block")
-        distance = F.aggregate(F.transform("_near", F.sqrt), F.lit(0.0), lambda s, d: s + d) / F.size("_near")
-        return out.withColumn("score", distance).drop("_z", "_near")
+        if self.index is None:
+            return rows.withColumn("score", F.lit(None).cast("double"))
+        rows = written(rows.withColumn("qid", F.monotonically_increasing_id()))
+        queries = rows.select("qid", self._units(self.features, self.mean, self.scale).alias("v"), F.lit(None).cast("array<double>").alias("ratio"), F.lit(None).alias("skip"))
+        return rows.join(self.index.nearest(queries, self.k).select("qid", F.col("mean").alias("score")), "qid", "left").drop("qid")
 
 
 @dataclass
