@@ -72,6 +72,54 @@ def test_left_out_groups_with_missing_values_agree_with_refitting(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+def refitted(name, x):
+    """Scores of rows by fits on all others, with whole arrays."""
+    out = []
+    for i in range(len(x)):
+        m = np.delete(x, i, axis=0)
+        if name == "MaxDeviation":
+            centre = np.median(m, axis=0)
+            out.append((np.abs(x[i] - centre) / (1.4826 * np.median(np.abs(m - centre), axis=0))).max())
+            continue
+        z, u = (x[i] - m.mean(0)) / m.std(0), (m - m.mean(0)) / m.std(0)
+        if name == "PcaResidual":
+            out.append(np.linalg.norm(dense.discarded_directions(u.T @ u / len(u), 0.9)[0] @ z))
+        else:
+            out.append(np.sort(np.sqrt(((u - z) ** 2).sum(1)))[:10].mean())
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [2, 7, 40])
+def test_folds_without_a_matrix_of_all_rows(spark, n, monkeypatch):
+    from tremorlake.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "RING_ROWS", 16)
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.3], [0, 0, 2.0]]), 1)  # with ties
+    rows = frame(spark, x).unionByName(spark.createDataFrame([(None, 1.0, 2.0, 900)], "x0 double, x1 double, x2 double, rid long"))
+    for detector in (detectors.MaxDeviation, detectors.PcaResidual, detectors.NearestNeighbours):
+        got = {r["rid"]: r["score"] for r in detectors.leave_one_out(detector, rows, "rid", ["x0", "x1", "x2"]).collect()}
+        assert got.keys() == set(range(n))
+        if n > 2:
+            want = refitted(detector.__name__, x)
+            assert np.allclose([got[i] if got[i] is not None else np.inf for i in range(n)], want), detector
+
+
+def test_own_detector_is_refitted(spark, monkeypatch):
+    class Own:
+        @classmethod
+        def fit(cls, rows, features):
+            return detectors.Mahalanobis.fit(rows, features)
+
+    x = np.random.default_rng(31).normal(size=(6, 2))
+    got = {r["rid"]: r["score"] for r in detectors.leave_one_out(Own, frame(spark, x), "rid", ["x0", "x1"]).collect()}
+    for i in range(6):
+        assert math.isclose(got[i], distances(np.delete(x, i, 0), x[i : i + 1])[0])
+    monkeypatch.setattr(detectors, "REFITS", 5)
+    with pytest.raises(ValueError):
+        detectors.leave_one_out(Own, frame(spark, x), "rid", ["x0", "x1"])
+
+
 def test_pca_breaks_pattern(spark):
     rng = np.random.default_rng(4)
     factor = rng.normal(size=(400, 1))

@@ -26,7 +26,9 @@ HOSTILE = {
 }
 
 
-def test_medians_of_hostile_values(spark):
+@pytest.mark.parametrize("few", [selection.FEW, 1])
+def test_medians_of_hostile_values(spark, few, monkeypatch):
+    monkeypatch.setattr(selection, "FEW", few)
     got = {r["k"]: (r["median"], r["n"]) for r in selection.medians(table(spark, HOSTILE), ["k"], "v").collect()}
     for k, values in HOSTILE.items():
         real = [v for v in values if v is not None and math.isfinite(v)]
@@ -42,7 +44,9 @@ def test_null_group_and_written_state(spark, monkeypatch):
     assert got == {None: 49.5, "a": 110.0}
 
 
-def test_weighted_ranks(spark):
+@pytest.mark.parametrize("few", [selection.FEW, 0])
+def test_weighted_ranks(spark, few, monkeypatch):
+    monkeypatch.setattr(selection, "FEW", few)
     rows = spark.createDataFrame([("a", 10.0, 3), ("a", 20.0, 5), ("a", 30.0, 1), ("a", 30.0, 1), ("b", 1.0, 4), ("b", 0.0, 0)], "k string, v double, w int")
     ranks = spark.createDataFrame([("a", 1), ("a", 3), ("a", 4), ("a", 9), ("a", 11), ("a", 0), ("b", 4), ("c", 1)], "k string, rank int")
     got = {(r["k"], r["rank"]): (r["value"], r["before"], r["own"], r["after"]) for r in selection.select(rows, ["k"], "v", ranks, "w").collect()}

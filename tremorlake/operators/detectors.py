@@ -7,17 +7,19 @@ standard scale: the scores that need it are null.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import centred, linear_maps, quadratic_form, total
+from ..functions.columns import centred, finite, linear_maps, quadratic_form, total
 from ..functions.dense import discarded_directions, gaussian_process, shrunk_covariance, stationary_combinations
 from ..functions.staged import written
 from .neighbours import PivotIndex
-from .statistics import Moments, moments, robust_scales
+from .selection import select
+from .statistics import Moments, moments, robust_scales, spreads, vector
 
 PCA_VARIANCE = 0.90
 NEIGHBOURS = 10
@@ -28,6 +30,10 @@ def precision_of(m: Moments) -> np.ndarray:
     return np.linalg.inv(shrunk_covariance(m.n, m.covariance, m.fourth))
 
 
+def _numbers(values) -> Column:
+    return F.lit([float(v) for v in values])
+
+
 @dataclass
 class Mahalanobis:
     features: list[str]
@@ -39,6 +45,10 @@ class Mahalanobis:
         m = moments(rows, features)
         return cls(list(features), m.mean, precision_of(m))
 
+    @classmethod
+    def left_out(cls, rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+        return leave_groups_out(rows, row_id, features).select(row_id, "score")
+
     def column(self) -> Column:
         return F.sqrt(F.greatest(quadratic_form(centred(self.features, self.mean), self.precision), F.lit(0.0)))
 
@@ -63,6 +73,38 @@ class PcaResidual:
         directions, retained = discarded_directions(m.covariance / np.outer(scale, scale), variance)
         return cls(list(features), m.mean, scale, directions, retained)
 
+    @classmethod
+    def left_out(cls, rows: DataFrame, row_id: str, features: list[str], variance: float = PCA_VARIANCE) -> DataFrame:
+        """A fold's covariance is that of all rows less the row's own product, so a task needs its rows and one matrix."""
+        rows = rows.dropna(subset=features)
+        m = moments(rows, features)
+        n, mean, whole = m.n, m.mean, m.covariance
+        kind = rows.schema[row_id].dataType.simpleString()
+
+        def run(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                d, p = pdf.iloc[:, 1:].to_numpy(float) - mean, len(mean)
+                score = np.full(len(d), np.nan)
+                step = max(1, 4_000_000 // (p * p))
+                for at in range(0, len(d) if n > 2 else 0, step):
+                    x = d[at : at + step]
+                    covariance = (n * whole - n / (n - 1) * x[:, :, None] * x[:, None, :]) / (n - 1)
+                    scale = np.sqrt(np.maximum(np.einsum("bii->bi", covariance), 0))
+                    spread = (scale > 1e-12 * np.sqrt(np.diag(whole))).all(axis=1)
+                    unit = np.where(spread[:, None], scale, 1.0)
+                    values, vectors = np.linalg.eigh(covariance / (unit[:, :, None] * unit[:, None, :]))
+                    values, vectors = values[:, ::-1], vectors[:, :, ::-1]
+                    share = np.cumsum(values, axis=1) / values.sum(axis=1, keepdims=True)
+                    kept = np.minimum((share < variance).sum(axis=1) + 1, p - 1)
+                    along = np.einsum("bi,bij->bj", x * n / (n - 1) / unit, vectors)
+                    left = np.where(np.arange(p)[None, :] >= kept[:, None], along, 0.0)
+                    score[at : at + step] = np.where(spread, np.sqrt((left * left).sum(axis=1)), np.nan)
+                yield pd.DataFrame({row_id: pdf.iloc[:, 0], "score": score})
+
+        return rows.select(row_id, *[F.col(f).cast("double") for f in features]).mapInPandas(run, f"`{row_id}` {kind}, score double").select(row_id, finite("score").alias("score"))
+
     def score(self, rows: DataFrame) -> DataFrame:
         if self.directions is None:
             return rows.withColumn("score", F.lit(None).cast("double"))
@@ -82,19 +124,32 @@ class NearestNeighbours:
 
     @classmethod
     def fit(cls, rows: DataFrame, features: list[str], row_id: str | None = None) -> NearestNeighbours:
-        m = moments(rows, features)
-        scale = np.sqrt(np.diag(m.covariance))
-        unit = cls._units(features, m.mean, scale)
+        _, mean, scale = spreads(rows, features)
+        unit = cls._units(features, mean, scale)
         keep = [] if row_id is None else [row_id]
-        return cls(list(features), m.mean, scale, PivotIndex.build(rows.dropna(subset=features).select(*keep, unit.alias("v")), row_id))
+        return cls(list(features), mean, scale, PivotIndex.build(rows.dropna(subset=features).select(*keep, unit.alias("v")), row_id))
 
     @staticmethod
     def _units(features: list[str], mean: np.ndarray, scale: np.ndarray) -> Column:
         """Standardised features; null without all of them, or where one has no spread."""
         if (scale == 0).any():
             return F.lit(None).cast("array<double>")
-        unit = F.array(*[x / float(s) for x, s in zip(centred(features, mean), scale)])
-        return F.when(~F.exists(unit, lambda x: x.isNull()), unit)
+        unit = F.zip_with(F.zip_with(vector(features), _numbers(mean), lambda x, m: x - m), _numbers(scale), lambda x, s: x / s)
+        return F.when(functools.reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features]), unit)
+
+    @classmethod
+    def left_out(cls, rows: DataFrame, row_id: str, features: list[str], k: int = NEIGHBOURS) -> DataFrame:
+        """The index of all rows answers every fold: a fold leaves its own row out and measures in its own scale, whose ratio to that of all rows is a column."""
+        rows = written(rows.dropna(subset=features).withColumn("_rid", F.monotonically_increasing_id()))
+        whole = cls.fit(rows, features, "_rid")
+        n = rows.count()
+        unit = cls._units(features, whole.mean, whole.scale)
+        # in units of all rows' deviation: the variance of the others, and its root's reciprocal
+        others = F.transform(unit, lambda z: (n - n / max(n - 1, 1) * z * z) / max(n - 1, 1))
+        ratio = F.transform(others, lambda v: F.when(v > 1e-24, 1 / F.sqrt(v)))
+        asked = rows.select(F.col("_rid").alias("qid"), unit.alias("v"), ratio.alias("ratio"), F.col("_rid").alias("skip")).where(~F.exists("ratio", lambda x: x.isNull()))
+        found = whole.index.nearest(asked if n > 1 else asked.limit(0), k)
+        return rows.join(found, F.col("_rid") == F.col("qid"), "left").select(row_id, F.col("mean").alias("score"))
 
     def score(self, rows: DataFrame) -> DataFrame:
         if self.index is None:
@@ -115,13 +170,53 @@ class MaxDeviation:
     @classmethod
     def fit(cls, rows: DataFrame, features: list[str]) -> MaxDeviation:
         """Every feature's median and scaled median absolute deviation, all features at once; one without a finite value scores null."""
-        values = rows.select(F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("feature", "value"))
+        values = written(rows.select(F.posexplode(vector(features)).alias("feature", "value")))
         found = {r["feature"]: r for r in robust_scales(values, ["feature"], "value").collect()}  # one row per feature
         return cls(list(features), *([found[i][k] if i in found else None for i in range(len(features))] for k in ("centre", "scale")))
 
+    @classmethod
+    def left_out(cls, rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+        """Without one row a median is one of two or three neighbouring values, or their mean, by the side the row lies on.
+
+        So each feature has three centres at most over all folds, and each centre's deviations have their own middle values; all come
+        from order statistics of whole columns.
+        """
+        rows = written(rows.dropna(subset=features).withColumn("_rid", F.monotonically_increasing_id()))
+        n = rows.count()
+        values = written(rows.select("_rid", F.posexplode(vector(features)).alias("feature", "v")))
+        if n < 2:
+            return rows.select(row_id, F.lit(None).cast("double").alias("score"))
+        centres = _middle(values, ["feature"], "v", n).withColumnRenamed("feature", "_f")
+        placed = written(values.join(F.broadcast(centres), F.col("feature") == F.col("_f")).withColumn("centre", _without(F.col("v"), n)).select("_rid", "feature", "v", "centre"))
+        kinds = placed.select(F.col("feature").alias("_f"), F.col("centre").alias("_c")).distinct()  # three a feature at most
+        far = values.join(F.broadcast(kinds), F.col("feature") == F.col("_f")).select("feature", F.col("_c").alias("centre"), F.abs(F.col("v") - F.col("_c")).alias("d"))
+        spread = _middle(far, ["feature", "centre"], "d", n).withColumnsRenamed({"feature": "_f", "centre": "_c"})
+        judged = placed.join(F.broadcast(spread), (F.col("feature") == F.col("_f")) & (F.col("centre") == F.col("_c"))).withColumn("d", F.abs(F.col("v") - F.col("centre")))
+        mad = 1.4826 * _without(F.col("d"), n)
+        worst = judged.groupBy(F.col("_rid").alias("_row")).agg(F.max(F.when(mad > 0, F.col("d") / mad)).alias("score"))
+        return rows.join(worst, F.col("_rid") == F.col("_row"), "left").select(row_id, "score")
+
     def score(self, rows: DataFrame) -> DataFrame:
-        z = [F.abs(F.col(f) - float(c)) / float(s) if c is not None and s else F.lit(None).cast("double") for f, c, s in zip(self.features, self.centre, self.scale)]
-        return rows.withColumn("score", z[0] if len(z) == 1 else F.greatest(*z))
+        known = [i for i, (c, s) in enumerate(zip(self.centre, self.scale)) if c is not None and s]
+        if not known:
+            return rows.withColumn("score", F.lit(None).cast("double"))
+        away = F.zip_with(vector([self.features[i] for i in known]), _numbers([self.centre[i] for i in known]), lambda x, c: F.abs(x - c))
+        return rows.withColumn("score", F.array_max(F.zip_with(away, _numbers([self.scale[i] for i in known]), lambda d, s: d / s)))
+
+
+def _middle(rows: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """``keys, _a0, _a1, _a2``: the values of n around the middle of the n - 1 that a fold has."""
+    first = n // 2
+    ranks = rows.select(*keys).distinct().withColumn("rank", F.explode(F.array(*[F.lit(first + i) for i in range(3)])))
+    found = select(rows, keys, value, ranks).groupBy(*keys)
+    return found.agg(*[F.max(F.when(F.col("rank") == first + i, F.col("value"))).alias(f"_a{i}") for i in range(3)])
+
+
+def _without(x: Column, n: int) -> Column:
+    """The median of n values less the one that is x, from the middle values: what is at or below a place moves the place up by one."""
+    a = [F.col(f"_a{i}") for i in range(3)]
+    low = F.when(x <= a[0], a[1]).otherwise(a[0])
+    return low if n % 2 == 0 else (low + F.when(x <= a[1], a[2]).otherwise(a[1])) / 2
 
 
 @dataclass
@@ -244,38 +339,20 @@ def leave_groups_out(rows: DataFrame, group: str, features: list[str]) -> DataFr
     return joined.withColumn("_dev", dev).withColumn("score", F.sqrt(F.greatest(form, F.lit(0.0)))).drop("_mean", "_precision", "_dev")
 
 
-def leave_one_out(detector, rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
-    """``row_id, score`` of each reference row, scored by a detector that has not seen it.
+#: Folds of a detector that only has ``fit`` and ``score`` are Spark fits of their own, up to so many.
+REFITS = 500
 
-    kNN and robust deviations have no sums to take a row from, so folds are fitted in parallel: the
-    reference matrix (state samples of a few thousand rows at most) is an array in every fold's row.
-    """
-    if detector is Mahalanobis:
-        return leave_groups_out(rows, row_id, features).select(row_id, "score")
-    whole = rows.agg(F.collect_list(F.array(*features)).alias("_all"), F.collect_list(row_id).alias("_ids"))
-    folds = rows.select(row_id, F.array(*features).alias("_x")).repartition(row_id).crossJoin(F.broadcast(whole))
-    name, k, variance = detector.__name__, NEIGHBOURS, PCA_VARIANCE
-    kind = rows.schema[row_id].dataType.simpleString()
 
-    def run(batches):
-        import pandas as pd
+def leave_one_out(detector, rows: DataFrame, row_id: str, features: list[str]) -> DataFrame:
+    """``row_id, score`` of each reference row that has all features, scored by a detector that has not seen it.
 
-        for part in batches:
-            out = []
-            for rid, x, matrix, ids in part.itertuples(index=False):
-                m = np.stack(list(matrix))[np.asarray(ids) != rid]
-                x = np.asarray(x)
-                if name == "MaxDeviation":
-                    centre = np.median(m, axis=0)
-                    s = np.max(np.abs(x - centre) / (1.4826 * np.median(np.abs(m - centre), axis=0)))
-                else:
-                    mean, scale = m.mean(axis=0), m.std(axis=0)
-                    z, u = (x - mean) / scale, (m - mean) / scale
-                    if name == "PcaResidual":
-                        s = np.linalg.norm(discarded_directions(u.T @ u / len(u), variance)[0] @ z)
-                    else:
-                        s = np.sqrt(np.sort(((u - z) ** 2).sum(axis=1))[: min(k, len(u))]).mean()
-                out.append(float(s))
-            yield pd.DataFrame({row_id: part.iloc[:, 0], "score": out})
-
-    return folds.mapInPandas(run, f"{row_id} {kind}, score double")
+    The library's detectors know their folds from sums, ranks or neighbours of all rows (``left_out``). Any other class with
+    ``fit`` and ``score`` is fitted once a row, which is refused for more than ``REFITS`` rows.
+    """
+    if hasattr(detector, "left_out"):
+        return detector.left_out(rows, row_id, features)
+    ids = [r[0] for r in rows.select(row_id).distinct().limit(REFITS + 1).collect()]
+    if len(ids) > REFITS:
+        raise ValueError(f"{detector.__name__} has no left_out and would be fitted for each of more than {REFITS} rows")
+    parts = [detector.fit(rows.where(F.col(row_id) != i), features).score(rows.where(F.col(row_id) == i)).select(row_id, "score") for i in ids]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -56,7 +56,8 @@ class PivotIndex:
         if not n:
             return None
         sample = np.array([r[0] for r in rows.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOT_SAMPLE).collect()])
-        pivots, per_ring = spread_out(sample, PIVOTS), max(RING_ROWS, -(-2 * n // MAX_RINGS))
+        per_ring = max(RING_ROWS, -(-2 * n // MAX_RINGS))
+        pivots = spread_out(sample, max(1, min(PIVOTS, n // per_ring)))
 
         def place(batches):
             import pandas as pd
@@ -100,9 +101,9 @@ class PivotIndex:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                ratio = np.stack(pdf["ratio"].to_list())
+                least = np.array([1.0 if w is None else np.min(w) for w in pdf["ratio"]])
                 far = distances(np.stack(pdf["v"].to_list()), pivots)[:, t["pivot"]]
-                low = np.maximum(0, np.maximum(far - t["hi"], t["lo"] - far)) * ratio.min(axis=1)[:, None]
+                low = np.maximum(0, np.maximum(far - t["hi"], t["lo"] - far)) * least[:, None]
                 order = np.argsort(low, axis=1, kind="stable")
                 held = np.cumsum(t["n"][order], axis=1)
                 # enough rows for k neighbours and the query's own, and a few rings for a tight bound
@@ -131,7 +132,8 @@ class PivotIndex:
 
             if not len(q) or not len(r):
                 return pd.DataFrame({"qid": [], "d": []})
-            a, w, b = np.stack(q["v"].to_list()), np.stack(q["ratio"].to_list()), np.stack(r["v"].to_list())
+            a, b = np.stack(q["v"].to_list()), np.stack(r["v"].to_list())
+            w = np.stack([np.ones(a.shape[1]) if x is None else x for x in q["ratio"]])
             skip, ids, out = q["skip"].to_numpy(object), r["id"].to_numpy(object), []
             step = max(1, 2_000_000 // len(b))
             for at in range(0, len(a), step):
@@ -158,8 +160,7 @@ class PivotIndex:
         ``queries`` has ``qid`` (unique), ``v`` and, per place, ``ratio``: what a difference is multiplied with in this query's units (null: 1);
         a reference row whose id is ``skip`` is not a neighbour. Least ratios scale the bounds, so answers stay exact.
         """
-        one = F.transform("v", lambda _: F.lit(1.0))
-        queries = written(queries.where("v is not null").select("qid", "v", F.coalesce("ratio", one).alias("ratio"), F.col("skip").cast("string").alias("skip")))
+        queries = written(queries.where("v is not null").select("qid", "v", "ratio", F.col("skip").cast("string").alias("skip")))
         first = written(self._least(self._visited(written(self._meetings(queries, k, False)), k), k))
         bound = first.groupBy("qid").agg(F.max("d").alias("bound"), F.count("*").alias("_n"))
         open_ = queries.join(bound, "qid", "left").withColumn("bound", F.when(F.col("_n") == k, F.col("bound")).otherwise(F.lit(float("inf"))))
@@ -168,8 +169,7 @@ class PivotIndex:
 
     def compared(self, queries: DataFrame, k: int) -> tuple[int, int]:
         """How many distances ``nearest`` computes, and how many there are."""
-        one = F.transform("v", lambda _: F.lit(1.0))
-        queries = written(queries.select("qid", "v", one.alias("ratio"), F.lit(None).cast("string").alias("skip")))
+        queries = written(queries.select("qid", "v", F.lit(None).cast("array<double>").alias("ratio"), F.lit(None).cast("string").alias("skip")))
         meetings = written(self._meetings(queries, k, False))
         bound = self._least(self._visited(meetings, k), k).groupBy("qid").agg(F.max("d").alias("bound"))
         both = meetings.unionByName(self._meetings(queries.join(bound, "qid"), k, True))

@@ -60,6 +60,19 @@ def moments(rows: DataFrame, features: list[str]) -> Moments:
     return Moments(n, mean, covariance, got[-1])
 
 
+def vector(features: list[str]) -> Column:
+    return F.array(*[F.col(f).cast("double") for f in features])
+
+
+def spreads(rows: DataFrame, features: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and population deviations of the rows that have all features, by one aggregation per place of their vector."""
+    values = rows.dropna(subset=features).select(F.posexplode(vector(features)).alias("place", "v"))
+    got = sorted(values.groupBy("place").agg(F.count("*"), F.avg("v"), F.stddev_pop("v")).collect())  # one row per feature
+    if not got:
+        raise ValueError("no row to fit on")
+    return got[0][1], np.array([r[2] for r in got], float), np.array([r[3] for r in got], float)
+
+
 @dataclass
 class LinearBaseline:
     """Targets as a linear function of covariates around their reference means."""

@@ -296,7 +296,9 @@ def pca_residual_8d(spark, sf_dir):
     return rounded(detectors.PcaResidual.fit(rows.where("label = 0"), [f"x{i}" for i in range(8)]).score(rows).select("vec_id", "score"))
 
 
-UNPIVOT_SQL = "u AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(1, 5)) AS i))"
+#: Places of the vectors in ``embeddings``.
+DIMENSIONS = 64
+UNPIVOT_SQL = "u AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(1, 65)) AS i))"
 
 
 @query(f"""WITH {UNPIVOT_SQL}, m AS (SELECT i, avg(v) AS mean, stddev_pop(v) AS sd FROM u WHERE label = 0 GROUP BY i), z AS (SELECT vec_id, label, i, (v - mean) / sd AS z FROM u JOIN m USING (i)),
@@ -304,15 +306,15 @@ d AS (SELECT q.vec_id, ref.vec_id AS r, sqrt(sum((q.z - ref.z) ** 2)) AS d FROM
 k AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, r) AS rn FROM d)
 SELECT vec_id, round(avg(d), 6) AS score FROM k WHERE rn <= 10 GROUP BY vec_id""")
 def knn_score(spark, sf_dir):
-    rows = states(spark, sf_dir, 4)
-    return rounded(detectors.NearestNeighbours.fit(rows.where("label = 0"), [f"x{i}" for i in range(4)]).score(rows).select("vec_id", "score"))
+    rows = states(spark, sf_dir, DIMENSIONS)
+    return rounded(detectors.NearestNeighbours.fit(rows.where("label = 0"), [f"x{i}" for i in range(DIMENSIONS)]).score(rows).select("vec_id", "score"))
 
 
 @query(f"""WITH {UNPIVOT_SQL}, c AS (SELECT i, median(v) AS centre FROM u WHERE label = 0 GROUP BY i), s AS (SELECT i, centre, 1.4826 * median(abs(v - centre)) AS scale FROM u JOIN c USING (i) WHERE label = 0 GROUP BY i, centre)
 SELECT vec_id, round(max(abs((v - centre) / scale)), 6) AS score FROM u JOIN s USING (i) GROUP BY vec_id""")
 def max_deviation(spark, sf_dir):
-    rows = states(spark, sf_dir, 4)
-    return rounded(detectors.MaxDeviation.fit(rows.where("label = 0"), [f"x{i}" for i in range(4)]).score(rows).select("vec_id", "score"))
+    rows = states(spark, sf_dir, DIMENSIONS)
+    return rounded(detectors.MaxDeviation.fit(rows.where("label = 0"), [f"x{i}" for i in range(DIMENSIONS)]).score(rows).select("vec_id", "score"))
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a FROM embeddings WHERE label = 0), t AS (SELECT count(*) - 1 AS m, sum(a) AS s, sum(a * a) AS q FROM e)
@@ -352,12 +354,47 @@ def state_evaluation_arms(spark, sf_dir):
     return rounded(evaluate_states(rows, "vec_id", [f"x{i}" for i in range(4)], 0.1, detectors.REGISTRY | {"max_deviation": detectors.MaxDeviation}))
 
 
+#: From cal(c), the left-out scores of the reference, and x(label, vec_id, score), those of the others.
+STATES_SQL = """l AS (SELECT list(c ORDER BY c) AS cs, count(*) AS n FROM cal),
+p AS (SELECT label, vec_id, score, (1.0 + count(c)) / (max(n) + 1) AS p, max(n) AS n FROM x CROSS JOIN l LEFT JOIN cal ON c >= score - 1e-12 GROUP BY 1, 2, 3)
+SELECT label, count(*) AS samples, CAST(sum(CASE WHEN p <= 0.100000000001 THEN 1 ELSE 0 END) AS BIGINT) AS alarmed, round(CAST(median(p) AS DOUBLE), 6) AS median_p_value,
+round(median(score) / max(cs[CAST(ceil((n + 1) * 0.9 - 1e-9) AS BIGINT)]), 5) AS median_over_limit FROM p CROSS JOIN (SELECT cs FROM l) GROUP BY label"""
+
+
+def evaluated(spark, sf_dir, arm):
+    from .states import evaluate_states
+
+    rows = states(spark, sf_dir, DIMENSIONS).withColumn("label", F.when(F.col("label") == 0, "reference").otherwise(F.col("label").cast("string")))
+    out = evaluate_states(rows, "vec_id", [f"x{i}" for i in range(DIMENSIONS)], 0.1, {"arm": arm})
+    return rounded(out.select(F.col("label").cast("int").alias("label"), "samples", "alarmed", "median_p_value", "median_over_limit"), 6, median_over_limit=5)
+
+
+@query(f"""WITH {UNPIVOT_SQL}, t AS (SELECT i, count(*) AS n, sum(v) AS s, sum(v * v) AS q, avg(v) AS mean, stddev_pop(v) AS sd FROM u WHERE label = 0 GROUP BY i),
+f AS (SELECT vec_id, i, v, (q - v * v) / (n - 1) - pow((s - v) / (n - 1), 2) AS var FROM u JOIN t USING (i) WHERE label = 0),
+d AS (SELECT a.vec_id, r.vec_id AS r, sqrt(sum(pow(a.v - r.v, 2) / a.var)) AS d FROM f a JOIN u r ON r.i = a.i AND r.label = 0 AND r.vec_id <> a.vec_id GROUP BY 1, 2),
+cal AS (SELECT avg(d) AS c FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, r) AS k FROM d) WHERE k <= 10 GROUP BY vec_id),
+y AS (SELECT a.vec_id, any_value(a.label) AS label, r.vec_id AS r, sqrt(sum(pow((a.v - r.v) / sd, 2))) AS d FROM u a JOIN u r ON r.i = a.i AND r.label = 0 AND a.label <> 0 JOIN t ON t.i = a.i GROUP BY 1, 3),
+x AS (SELECT label, vec_id, avg(d) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, r) AS k FROM y) WHERE k <= 10 GROUP BY 1, 2), {STATES_SQL}""")
+def state_evaluation_knn(spark, sf_dir):
+    return evaluated(spark, sf_dir, detectors.NearestNeighbours)
+
+
+@query(f"""WITH {UNPIVOT_SQL}, h AS (SELECT vec_id, i, v FROM u WHERE label = 0),
+fc AS (SELECT a.vec_id, a.i, a.v, median(r.v) AS centre FROM h a JOIN h r ON r.i = a.i AND r.vec_id <> a.vec_id GROUP BY 1, 2, 3),
+fs AS (SELECT a.vec_id, a.i, abs(a.v - a.centre) / (1.4826 * median(abs(r.v - a.centre))) AS z FROM fc a JOIN h r ON r.i = a.i AND r.vec_id <> a.vec_id GROUP BY a.vec_id, a.i, a.v, a.centre),
+cal AS (SELECT max(z) AS c FROM fs GROUP BY vec_id),
+c AS (SELECT i, median(v) AS centre FROM h GROUP BY i), s AS (SELECT i, centre, 1.4826 * median(abs(v - centre)) AS scale FROM h JOIN c USING (i) GROUP BY i, centre),
+x AS (SELECT label, vec_id, max(abs((v - centre) / scale)) AS score FROM u JOIN s USING (i) WHERE label <> 0 GROUP BY 1, 2), {STATES_SQL}""")
+def state_evaluation_deviation(spark, sf_dir):
+    return evaluated(spark, sf_dir, detectors.MaxDeviation)
+
+
 SHIFT_SQL = f"""{UNPIVOT_SQL}, b AS (SELECT i, median(v) AS base, stddev_samp(v) AS sd FROM u WHERE label = 0 GROUP BY i), s AS (SELECT label, i, median(v) AS med FROM u WHERE label <> 0 GROUP BY 1, 2),
 x AS (SELECT label, i AS feature, (med - base) / base AS relative_shift, (med - base) / sd AS shift_over_sigma FROM s JOIN b USING (i))"""
 
 
 def long_states(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), F.posexplode(F.slice("embedding", 1, 4)).alias("p", "v")).select("label", (F.col("p") + 1).cast("bigint").alias("feature"), F.col("v").cast("double").alias("value"))
+    return read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), F.posexplode("embedding").alias("p", "v")).select("label", (F.col("p") + 1).cast("bigint").alias("feature"), F.col("v").cast("double").alias("value"))
 
 
 @query(f"WITH {SHIFT_SQL} SELECT label, feature, round(relative_shift, 6) AS relative_shift, round(shift_over_sigma, 6) AS shift_over_sigma FROM x")
@@ -482,13 +519,13 @@ def overall_drift(spark, sf_dir):
     return rounded(spectral.overall_drift(spectral.baseline_drift(*mode_tables(spark, sf_dir), 0.05, keys=["part"]), ["part"]))
 
 
-@query("""WITH v AS (SELECT vec_id, label, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings CROSS JOIN (SELECT unnest(range(0, 4)) AS i)),
+@query("""WITH v AS (SELECT vec_id, label, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS re, CAST(embedding[2 * i + 2] AS DOUBLE) AS im FROM embeddings CROSS JOIN (SELECT unnest(range(0, 32)) AS i)),
 f AS (SELECT v.* FROM v JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) USING (label, vec_id))
 SELECT v.label, v.vec_id, round((pow(sum(v.re * f.re + v.im * f.im), 2) + pow(sum(v.re * f.im - v.im * f.re), 2)) / (sum(v.re * v.re + v.im * v.im) * sum(f.re * f.re + f.im * f.im)), 6) AS mac FROM v JOIN f ON v.label = f.label AND v.i = f.i GROUP BY 1, 2""")
 def mac_matrix(spark, sf_dir):
     """Every shape against the first one of its label."""
     pair = lambda i: F.struct(F.col("embedding")[2 * i].cast("double").alias("re"), F.col("embedding")[2 * i + 1].cast("double").alias("im"))
-    v = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(*[pair(i) for i in range(4)]).alias("shape"))
+    v = read(spark, sf_dir, "embeddings").select("label", "vec_id", F.array(*[pair(i) for i in range(DIMENSIONS // 2)]).alias("shape"))
     first = v.groupBy("label").agg(F.min_by("shape", "vec_id").alias("first"))
     return v.join(first, "label").select("label", "vec_id", r(C.mac("shape", "first")).alias("mac"))
 
