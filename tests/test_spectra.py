@@ -32,6 +32,32 @@ def test_identifies_frequencies_and_damping(spark):
     assert np.allclose(fft, dft)
 
 
+def test_segments_of_a_long_series_are_spread_over_tasks(spark):
+    rng = np.random.default_rng(4)
+    x, short = rng.normal(size=5000), rng.normal(size=300)
+    both = signal(spark, x).unionByName(signal(spark, short, "t")).unionByName(signal(spark, short[:200], "u"))
+    got = spectral.averaged_psd(both, 50.0).toPandas()
+    assert set(got["series"]) == {"s", "t"}
+    for name, values, length in (("s", x, 1024), ("t", short, 64)):
+        part = got[got["series"] == name].sort_values("bin")
+        want = (np.abs(dense.segment_spectra(values[:, None], length, dense.hann_window(length), True)[:, :, 0]) ** 2).mean(axis=0)
+        assert np.allclose(part["power"], want) and np.allclose(part["freq_hz"], np.arange(length // 2 + 1) * 50.0 / length)
+    plan = spectral.averaged_psd(both, 50.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+
+
+def test_series_of_many_lengths_share_batches(spark):
+    rng = np.random.default_rng(5)
+    series = {i: rng.normal(size=1 + i % 9) for i in range(60)}
+    rows = [(i, k, float(v)) for i, x in series.items() for k, v in enumerate(x)]
+    got = spectral.periodogram(spark.createDataFrame(rows, "series int, idx int, value double"), 10.0).toPandas()
+    for i, x in series.items():
+        want = np.abs(np.fft.rfft((x - x.mean()) * dense.hann_window(len(x)))) ** 2 / len(x)
+        assert np.allclose(got[got["series"] == i].sort_values("bin")["power"], want)
+    empty = spark.createDataFrame([], "series int, idx int, value double")
+    assert spectral.periodogram(empty, 10.0).count() == spectral.averaged_psd(empty, 10.0).count() == 0
+
+
 def test_damping_of_a_noise_driven_oscillator(spark):
     rng = np.random.default_rng(12345)
     w, z, step = 2 * np.pi * 2, 0.02, 1 / 500

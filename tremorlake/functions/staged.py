@@ -34,3 +34,13 @@ def settled(df: DataFrame) -> DataFrame:
     """The table, computed now: at the driver when it has few rows, else written."""
     few = df.limit(FEW_ROWS + 1).collect()
     return written(df) if len(few) > FEW_ROWS else df.sparkSession.createDataFrame(few, df.schema)
+
+
+#: At most so many bytes go to a Python worker at once, unless the session has a limit of its own.
+BATCH_BYTES, _BATCH_LIMIT = 32 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    if df.sparkSession.conf.get(_BATCH_LIMIT, None) is None:
+        df.sparkSession.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hann, severity, severity_rank
-from ..functions.dense import hann_window, segment_spectra
+from ..functions.dense import hann_window
+from ..functions.staged import bounded_batches
 
 MIN_RATIO, MAX_MODES = 0.15, 3
 MAX_SHIFT_HZ = 1.5
@@ -32,45 +32,57 @@ def periodogram_dft(signal: DataFrame, sampling_hz: float) -> DataFrame:
     return sums.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), ((F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / F.col("n")).alias("power"))
 
 
-def _series_fft(signal: DataFrame, kernel, schema: str) -> DataFrame:
-    """A numpy kernel over each whole series (one recording of one channel fits a task by construction)."""
+def _powers(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, powers array<double>``: squared FFT magnitudes of the ``samples`` (idx, value) of each row, less their mean, under a Hann window.
 
-    def run(pdf):
-        pdf = pdf.sort_values("idx")
-        return kernel(pdf["series"].iloc[0], pdf["value"].to_numpy(float))
-
-    return signal.select("series", "idx", "value").groupBy("series").applyInPandas(run, schema)
+    Rows of one length are stacked, so an Arrow batch takes one FFT call a length. A row is one run of samples; it fits a cell.
+    """
+    names, kinds = list(keys), [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys]
+    ordered = F.transform(F.array_sort("samples"), lambda s: s["value"])
 
+    def run(batches):
+        import pyarrow as pa
 
-def periodogram(signal: DataFrame, sampling_hz: float) -> DataFrame:
-    """The same by FFT, for series of any length."""
+        for batch in batches:
+            x = batch.column(len(names))
+            lengths = x.value_lengths().to_numpy(zero_copy_only=False)
+            out = np.empty(len(x), object)
+            for n in np.unique(lengths):
+                at = np.flatnonzero(lengths == n)
+                m = x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                m = (m - m.mean(axis=1, keepdims=True)) * hann_window(int(n))
+                for i, power in zip(at, np.abs(np.fft.rfft(m, axis=1)) ** 2):
+                    out[i] = power
+            offsets = np.cumsum([0, *(len(p) for p in out)]).astype(np.int32)
+            powers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if len(out) else np.zeros(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lengths.astype(np.int64)), powers], [*names, "n", "powers"])
 
-    def kernel(series, x):
-        import pandas as pd
+    return bounded_batches(rows).select(*names, ordered.alias("x")).mapInArrow(run, ", ".join([*kinds, "n bigint", "powers array<double>"]))
 
-        n = len(x)
-        power = np.abs(np.fft.rfft((x - x.mean()) * hann_window(n))) ** 2 / n
-        return pd.DataFrame({"series": series, "bin": np.arange(len(power)), "freq_hz": np.arange(len(power)) * sampling_hz / n, "power": power})
 
-    kind = signal.schema["series"].dataType.simpleString()
-    return _series_fft(signal, kernel, f"series {kind}, bin int, freq_hz double, power double")
+def periodogram(signal: DataFrame, sampling_hz: float) -> DataFrame:
+    """The same by FFT; one series (a recording of one channel) is one cell of its samples."""
+    whole = signal.groupBy("series").agg(F.collect_list(F.struct("idx", "value")).alias("samples"))
+    bins = _powers(whole, ["series"]).select("series", "n", F.posexplode("powers").alias("bin", "power"))
+    return bins.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), (F.col("power") / F.col("n")).alias("power"))
 
 
 def averaged_psd(signal: DataFrame, sampling_hz: float) -> DataFrame:
-    """Mean power of half-overlapping segments of a power of two; no rows for series too short for damping (under 288 samples)."""
+    """Mean power of half-overlapping segments of a power of two; no rows for series too short for damping (under 288 samples).
 
-    def kernel(series, x):
-        import pandas as pd
-
-        n = len(x)
-        if n / 4.5 < 64:
-            return pd.DataFrame({"series": [series], "bin": [0], "freq_hz": [0.0], "power": [0.0]}).iloc[:0]
-        length = 2 ** int(math.floor(math.log2(n / 4.5)))
-        power = (np.abs(segment_spectra(x[:, None], length, hann_window(length), True)[:, :, 0]) ** 2).mean(axis=0)
-        return pd.DataFrame({"series": series, "bin": np.arange(len(power)), "freq_hz": np.arange(len(power)) * sampling_hz / length, "power": power})
-
-    kind = signal.schema["series"].dataType.simpleString()
-    return _series_fft(signal, kernel, f"series {kind}, bin int, freq_hz double, power double")
+    ``idx`` counts a series' samples from 0 without gaps. A sample goes to the two segments that hold it; segments are what
+    tasks work on, so a long series is spread over as many tasks as it has segments, and its powers meet in a sum.
+    """
+    size = signal.groupBy("series").agg(F.count("*").alias("_n")).where(F.col("_n") / 4.5 >= 64)
+    size = size.withColumn("_length", F.pow(F.lit(2.0), F.floor(F.log2(F.col("_n") / 4.5))).cast("bigint"))
+    half = F.floor(F.col("_length") / 2)
+    last = F.floor(F.col("idx") / half)
+    placed = signal.join(size, "series").select("series", "idx", "value", "_n", "_length", F.explode(F.array(last - 1, last)).alias("segment"))
+    inside = placed.where((F.col("segment") >= 0) & (F.col("segment") * half + F.col("_length") <= F.col("_n")))
+    segments = inside.groupBy("series", "segment").agg(F.collect_list(F.struct("idx", "value")).alias("samples"))
+    bins = _powers(segments, ["series", "segment"]).select("series", "n", F.posexplode("powers").alias("bin", "power"))
+    mean = bins.groupBy("series", "n", "bin").agg(F.avg("power").alias("power"))
+    return mean.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), "power")
 
 
 def peaks(spectrum: DataFrame, ratio: float = MIN_RATIO) -> DataFrame:

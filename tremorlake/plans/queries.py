@@ -480,6 +480,19 @@ def identified_modes(spark, sf_dir):
     return spectral.identify_modes(series_by(spark, sf_dir, "l_partkey"), 100.0)
 
 
+PSD_SQL = """x AS (SELECT l_suppkey AS series, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n, CAST(l_quantity AS DOUBLE) AS v FROM lineitem),
+l AS (SELECT *, CAST(pow(2, floor(log2(n / 4.5))) AS BIGINT) AS len FROM x WHERE n / 4.5 >= 64),
+g AS (SELECT series, len, n, s, idx - s * (len // 2) AS j, v FROM (SELECT *, unnest([idx // (len // 2) - 1, idx // (len // 2)]) AS s FROM l) WHERE s >= 0 AND s * (len // 2) + len <= n),
+w AS (SELECT series, len, s, j, (v - avg(v) OVER (PARTITION BY series, s)) * (0.5 - 0.5 * cos(2 * pi() * j / (len - 1))) AS w FROM g),
+b AS (SELECT series, len, s, bin, pow(sum(w * cos(2 * pi() * bin * j / len)), 2) + pow(sum(w * sin(2 * pi() * bin * j / len)), 2) AS p FROM (SELECT *, unnest(range(0, len // 2 + 1)) AS bin FROM w) GROUP BY 1, 2, 3, 4),
+psd AS (SELECT series, bin, bin * 100.0 / len AS freq_hz, avg(p) AS power FROM b GROUP BY series, len, bin)"""
+
+
+@query(f"WITH {PSD_SQL} SELECT series, CAST(bin AS INTEGER) AS bin, round(CAST(freq_hz AS DOUBLE), 6) AS freq_hz, round(power, 2) AS power FROM psd")
+def averaged_psd(spark, sf_dir):
+    return rounded(spectral.averaged_psd(series_by(spark, sf_dir, "l_suppkey"), 100.0), power=2)
+
+
 @query()
 def half_power_damping(spark, sf_dir):
     psd = spectral.averaged_psd(series_by(spark, sf_dir, "l_suppkey"), 100.0)
