@@ -119,6 +119,29 @@ def test_fdd_and_tracking(spark):
     assert modal.tracked_share(modal.track_modes(spectra, modes)).where("mode = 0").first()["tracked_share"] == 1
 
 
+def test_cross_spectra_of_two_channels_agree_with_a_decomposition(spark):
+    rng = np.random.default_rng(8)
+    rows, x = [], {}
+    for record, n in ((0, 1000), (1, 130), (2, 40)):
+        x[record] = rng.normal(size=(n, 2)) @ np.array([[1.0, 0.4 * record], [0.0, 1.5 - record]])
+        rows += [(record, i, v.tolist()) for i, v in enumerate(x[record])]
+    table = spark.createDataFrame(rows, "record int, idx int, channels array<double>")
+    got = modal.fdd(table, 100.0, 128, (0.0, 50.0)).toPandas()
+    plan = modal.fdd(table, 100.0, 128)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" not in plan
+    for record, v in x.items():
+        n = min(128, len(v))
+        s = dense.segment_spectra(v - v.mean(0), n, dense.hann_window(n), False)
+        u, sv, _ = np.linalg.svd(np.einsum("sbi,sbj->bij", s, np.conj(s)) / len(s))
+        part = got[got["record"] == record].sort_values("bin")
+        assert np.allclose(part["s1"], sv[:, 0])
+        shape = np.array([[c["re"] + 1j * c["im"] for c in row] for row in part["shape"]])
+        sure = sv[:, 0] > 1.001 * sv[:, 1]
+        assert np.allclose(np.abs((np.conj(shape) * u[:, :, 0]).sum(1))[sure], 1)
+    flat = spark.createDataFrame([(0, i, [1.0, 2.0]) for i in range(9)], "record int, idx int, channels array<double>")
+    assert {r["s1"] for r in modal.fdd(flat, 100.0, 8, (0.0, 50.0)).collect()} == {0.0}
+
+
 def test_frequency_response(spark):
     rng = np.random.default_rng(0)
     n = 6000

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import mac, parabolic_offset
-from ..functions.dense import hann_window, prominent_peaks, segment_spectra
+from ..functions.dense import prominent_peaks
+from . import spectral
 
 SHAPE = "array<struct<re:double,im:double>>"
 FRF_LENGTH, FRF_BAND, FRF_PROMINENCE, FRF_MODES, BAND_SHARE, BAND_HZ = 1024, (2.0, 25.0), 1.0, 8, 0.4, 0.5
@@ -15,27 +16,38 @@ FDD_LENGTH, FDD_BAND, FDD_PROMINENCE, FDD_MODES = 2048, (2.0, 14.0), 0.5, 5
 MIN_MAC, SEARCH = 0.6, 0.2
 
 
-def frf_indicator(samples: DataFrame, sampling_hz: float, length: int = FRF_LENGTH) -> DataFrame:
-    """``recording, window, bin, freq_hz, power``: mean over the outputs of the squared H1 response to the excitation.
+def _segment_bins(samples: DataFrame, keys: list[str], values, length: int, detrend: bool, periodic: bool) -> DataFrame:
+    """``keys, channel, segment, n, bin, re, im``: spectra of half-overlapping segments of every channel; short records are one segment.
 
-    ``samples`` has ``recording, window, idx, excitation, responses array<double>``; one window is a group.
+    ``idx`` counts the samples of a record without gaps, from any number. Segments of one channel are what tasks work on, so one long record is spread over many.
     """
-    kind = samples.schema["recording"].dataType.simpleString()
+    counted = samples.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("idx").alias("_first"))
+    long = samples.join(counted, keys).select(*keys, (F.col("idx") - F.col("_first")).alias("idx"), "_n", F.posexplode(values).alias("channel", "value"))
+    if not detrend:  # the channel's mean over the record goes instead
+        mean = long.groupBy(*keys, "channel").agg(F.avg("value").alias("_mean"))
+        long = long.join(mean, [*keys, "channel"]).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
+    size = F.least(F.lit(length), F.col("_n"))
+    named = [*keys, "channel", "segment"]
+    return spectral.bins(spectral.fourier(spectral.gathered(spectral.half_overlapping(long, size), named), named, detrend, periodic), named)
 
-    def run(pdf):
-        import pandas as pd
 
-        pdf = pdf.sort_values("idx")
-        x = np.column_stack([pdf["excitation"].to_numpy(float), np.stack(pdf["responses"].to_list())])
-        n = min(length, len(x))
-        s = segment_spectra(x, n, hann_window(n, periodic=True), True)
-        auto = (np.abs(s[:, :, 0]) ** 2).mean(axis=0)
-        cross = (np.conj(s[:, :, :1]) * s[:, :, 1:]).mean(axis=0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            power = (np.abs(cross / auto[:, None]) ** 2).mean(axis=1)
-        return pd.DataFrame({"recording": pdf["recording"].iloc[0], "window": pdf["window"].iloc[0], "bin": np.arange(len(power)), "freq_hz": np.arange(len(power)) * sampling_hz / n, "power": power})
+def frf_indicator(samples: DataFrame, sampling_hz: float, length: int = FRF_LENGTH) -> DataFrame:
+    """``recording, window, bin, freq_hz, power``: mean over the outputs of the squared H1 response to the excitation; null where that has no power.
 
-    return samples.groupBy("recording", "window").applyInPandas(run, f"recording {kind}, window bigint, bin int, freq_hz double, power double")
+    ``samples`` has ``recording, window, idx, excitation, responses array<double>``; cross and auto spectra are sums over segments.
+    """
+    keys = ["recording", "window"]
+    values = F.concat(F.array(F.col("excitation").cast("double")), F.col("responses").cast("array<double>"))
+    spectra = _segment_bins(samples, keys, values, length, True, True)
+    at = [*keys, "segment", "n", "bin"]
+    drive = spectra.where("channel = 0").select(*at, F.col("re").alias("_re"), F.col("im").alias("_im"))
+    both = spectra.where("channel > 0").join(drive, at)
+    sums = both.groupBy(*keys, "n", "bin", "channel").agg(
+        F.sum(F.col("_re") * F.col("re") + F.col("_im") * F.col("im")).alias("re"), F.sum(F.col("_re") * F.col("im") - F.col("_im") * F.col("re")).alias("im"), F.sum(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("auto")
+    )
+    response = F.try_divide(F.col("re") * F.col("re") + F.col("im") * F.col("im"), F.col("auto") * F.col("auto"))
+    mean = sums.groupBy(*keys, "n", "bin").agg(F.avg(response).alias("power"))
+    return mean.select("recording", F.col("window").cast("bigint").alias("window"), "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), "power")
 
 
 def prominent(spectrum: DataFrame, keys: list[str], least: float, band: tuple[float, float], strongest: int) -> DataFrame:
@@ -78,23 +90,54 @@ def band_peaks(spectrum: DataFrame, keys: list[str], of: DataFrame) -> DataFrame
 def fdd(samples: DataFrame, sampling_hz: float, length: int = FDD_LENGTH, band: tuple[float, float] = FDD_BAND) -> DataFrame:
     """``record, bin, freq_hz, s1, shape``: first singular value and vector of each record's cross-spectral matrix.
 
-    ``samples`` has ``record, idx, channels array<double>``; the channels lose their mean over the record.
+    ``samples`` has ``record, idx, channels array<double>``; the channels lose their mean over the record. Products of
+    channels are averaged over segments; a task sees one bin's matrix. That of two channels is solved as a column.
     """
+    spectra = _segment_bins(samples, ["record"], F.col("channels").cast("array<double>"), length, False, False)
+    freq = F.col("bin") * sampling_hz / F.col("n")
+    spectra = spectra.withColumn("freq_hz", freq).where(F.col("freq_hz").between(*band))
+    at = ["record", "segment", "bin", "freq_hz"]
+    other = spectra.select(*at, F.col("channel").alias("j"), F.col("re").alias("_re"), F.col("im").alias("_im"))
+    pairs = spectra.join(other, at).where("channel <= j").groupBy("record", "bin", "freq_hz", F.col("channel").alias("i"), "j")
+    cross = pairs.agg(F.avg(F.col("re") * F.col("_re") + F.col("im") * F.col("_im")).alias("re"), F.avg(F.col("im") * F.col("_re") - F.col("re") * F.col("_im")).alias("im"))
+    channels = (samples.agg(F.max(F.size("channels"))).first()[0] or 0) if samples.columns else 0
+    if channels == 2:
+        pick = lambda i, j, c: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c)))
+        two = cross.groupBy("record", "bin", "freq_hz").agg(pick(0, 0, "re").alias("_a"), pick(1, 1, "re").alias("_d"), pick(0, 1, "re").alias("_re"), pick(0, 1, "im").alias("_im"))
+        return two.select("record", "bin", "freq_hz", *hermitian_top(*[F.col(c) for c in ("_a", "_d", "_re", "_im")]))
     kind = samples.schema["record"].dataType.simpleString()
+    whole = cross.groupBy("record", "bin", "freq_hz").agg(F.array_sort(F.collect_list(F.struct("i", "j", "re", "im"))).alias("m"))
 
-    def run(pdf):
+    def run(batches):
         import pandas as pd
 
-        x = np.stack(pdf.sort_values("idx")["channels"].to_list()).astype(float)
-        x = x - x.mean(axis=0)
-        n = min(length, len(x))
-        s = segment_spectra(x, n, hann_window(n), False)
-        freq = np.arange(s.shape[1]) * sampling_hz / n
-        at = np.flatnonzero((freq >= band[0]) & (freq <= band[1]))
-        u, sv, _ = np.linalg.svd(np.einsum("sbi,sbj->bij", s[:, at], np.conj(s[:, at])) / len(s))
-        return pd.DataFrame({"record": pdf["record"].iloc[0], "bin": at, "freq_hz": freq[at], "s1": sv[:, 0], "shape": [[{"re": float(c.real), "im": float(c.imag)} for c in row] for row in u[:, :, 0]]})
-
-    return samples.groupBy("record").applyInPandas(run, f"record {kind}, bin int, freq_hz double, s1 double, shape {SHAPE}")
+        for pdf in batches:
+            tops, shapes = [], []
+            for cells in pdf["m"]:
+                p = max((c["j"] for c in cells), default=-1) + 1
+                m = np.zeros((p, p), complex)
+                for c in cells:
+                    m[c["i"], c["j"]] = c["re"] + 1j * c["im"]
+                values, vectors = np.linalg.eigh(np.triu(m) + np.conj(np.triu(m, 1)).T)
+                tops.append(values[-1])
+                shapes.append([{"re": float(c.real), "im": float(c.imag)} for c in vectors[:, -1]])
+            yield pd.DataFrame({"record": pdf["record"], "bin": pdf["bin"], "freq_hz": pdf["freq_hz"], "s1": tops, "shape": shapes})
+
+    return whole.mapInPandas(run, f"record {kind}, bin int, freq_hz double, s1 double, shape {SHAPE}")
+
+
+def hermitian_top(a: Column, d: Column, re: Column, im: Column) -> list[Column]:
+    """``s1, shape``: the larger eigenvalue of [[a, c], [conj c, d]] with c = re + i im, and its unit eigenvector."""
+    gap, c2 = (a - d) / 2, re * re + im * im
+    top = (a + d) / 2 + F.sqrt(gap * gap + c2)
+    # the form without cancellation: the first place leads where a is the larger
+    lead = F.when(a >= d, top - d).otherwise(top - a)
+    norm = F.sqrt(lead * lead + c2)
+    unit = lambda x, none: F.when(norm > 0, x / norm).otherwise(F.lit(none))
+    pair = lambda x, y: F.struct(x.alias("re"), y.alias("im"))
+    first = F.array(pair(unit(lead, 1.0), F.lit(0.0)), pair(unit(re, 0.0), unit(-im, 0.0)))
+    second = F.array(pair(unit(re, 0.0), unit(im, 0.0)), pair(unit(lead, 1.0), F.lit(0.0)))
+    return [top.alias("s1"), F.when(a >= d, first).otherwise(second).alias("shape")]
 
 
 def reference_modes(spectra: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hann, severity, severity_rank
@@ -32,8 +32,8 @@ def periodogram_dft(signal: DataFrame, sampling_hz: float) -> DataFrame:
     return sums.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), ((F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / F.col("n")).alias("power"))
 
 
-def _powers(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, n, powers array<double>``: squared FFT magnitudes of the ``samples`` (idx, value) of each row, less their mean, under a Hann window.
+def fourier(rows: DataFrame, keys: list[str], detrend: bool = True, periodic: bool = False) -> DataFrame:
+    """``keys, n, re, im``: FFT of the ``samples`` (idx, value) of each row under a Hann window, as arrays over the bins; with ``detrend`` less their mean.
 
     Rows of one length are stacked, so an Arrow batch takes one FFT call a length. A row is one run of samples; it fits a cell.
     """
@@ -50,38 +50,56 @@ def _powers(rows: DataFrame, keys: list[str]) -> DataFrame:
             for n in np.unique(lengths):
                 at = np.flatnonzero(lengths == n)
                 m = x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
-                m = (m - m.mean(axis=1, keepdims=True)) * hann_window(int(n))
-                for i, power in zip(at, np.abs(np.fft.rfft(m, axis=1)) ** 2):
-                    out[i] = power
-            offsets = np.cumsum([0, *(len(p) for p in out)]).astype(np.int32)
-            powers = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if len(out) else np.zeros(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lengths.astype(np.int64)), powers], [*names, "n", "powers"])
+                m = m - m.mean(axis=1, keepdims=True) if detrend else m
+                for i, row in zip(at, np.fft.rfft(m * hann_window(int(n), periodic), axis=1)):
+                    out[i] = row
+            offsets = pa.array(np.cumsum([0, *(len(p) for p in out)]).astype(np.int32))
+            flat = np.concatenate(out) if len(out) else np.zeros(0, complex)
+            parts = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v))) for v in (flat.real, flat.imag)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lengths.astype(np.int64)), *parts], [*names, "n", "re", "im"])
 
-    return bounded_batches(rows).select(*names, ordered.alias("x")).mapInArrow(run, ", ".join([*kinds, "n bigint", "powers array<double>"]))
+    return bounded_batches(rows).select(*names, ordered.alias("x")).mapInArrow(run, ", ".join([*kinds, "n bigint", "re array<double>", "im array<double>"]))
+
+
+def bins(transforms: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n, bin, re, im``: one row per bin."""
+    return transforms.select(*keys, "n", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c")).select(*keys, "n", "bin", "c.re", "c.im")
+
+
+def half_overlapping(samples: DataFrame, length: Column) -> DataFrame:
+    """``samples`` (idx, value, _n and others) with ``segment``: a sample goes to the two segments of ``length`` that hold it, those that end in time.
+
+    ``idx`` counts from 0 without gaps; segments start every half length.
+    """
+    half = F.greatest(F.floor(length / 2), F.lit(1))
+    last = F.floor(F.col("idx") / half)
+    placed = samples.withColumn("segment", F.explode(F.array(last - 1, last)))
+    return placed.where((F.col("segment") >= 0) & (F.col("idx") < F.col("segment") * half + length) & (F.col("segment") * half + length <= F.col("_n")))
+
+
+def gathered(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, samples``: the samples of each segment in a cell."""
+    return placed.groupBy(*keys).agg(F.collect_list(F.struct("idx", "value")).alias("samples"))
 
 
 def periodogram(signal: DataFrame, sampling_hz: float) -> DataFrame:
     """The same by FFT; one series (a recording of one channel) is one cell of its samples."""
-    whole = signal.groupBy("series").agg(F.collect_list(F.struct("idx", "value")).alias("samples"))
-    bins = _powers(whole, ["series"]).select("series", "n", F.posexplode("powers").alias("bin", "power"))
-    return bins.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), (F.col("power") / F.col("n")).alias("power"))
+    spectrum = bins(fourier(gathered(signal, ["series"]), ["series"]), ["series"])
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
+    return spectrum.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), power.alias("power"))
 
 
 def averaged_psd(signal: DataFrame, sampling_hz: float) -> DataFrame:
     """Mean power of half-overlapping segments of a power of two; no rows for series too short for damping (under 288 samples).
 
-    ``idx`` counts a series' samples from 0 without gaps. A sample goes to the two segments that hold it; segments are what
+    ``idx`` counts a series' samples without gaps, from any number. A sample goes to the two segments that hold it; segments are what
     tasks work on, so a long series is spread over as many tasks as it has segments, and its powers meet in a sum.
     """
-    size = signal.groupBy("series").agg(F.count("*").alias("_n")).where(F.col("_n") / 4.5 >= 64)
+    size = signal.groupBy("series").agg(F.count("*").alias("_n"), F.min("idx").alias("_first")).where(F.col("_n") / 4.5 >= 64)
     size = size.withColumn("_length", F.pow(F.lit(2.0), F.floor(F.log2(F.col("_n") / 4.5))).cast("bigint"))
-    half = F.floor(F.col("_length") / 2)
-    last = F.floor(F.col("idx") / half)
-    placed = signal.join(size, "series").select("series", "idx", "value", "_n", "_length", F.explode(F.array(last - 1, last)).alias("segment"))
-    inside = placed.where((F.col("segment") >= 0) & (F.col("segment") * half + F.col("_length") <= F.col("_n")))
-    segments = inside.groupBy("series", "segment").agg(F.collect_list(F.struct("idx", "value")).alias("samples"))
-    bins = _powers(segments, ["series", "segment"]).select("series", "n", F.posexplode("powers").alias("bin", "power"))
-    mean = bins.groupBy("series", "n", "bin").agg(F.avg("power").alias("power"))
+    placed = half_overlapping(signal.join(size, "series").withColumn("idx", F.col("idx") - F.col("_first")), F.col("_length"))
+    spectrum = bins(fourier(gathered(placed, ["series", "segment"]), ["series", "segment"]), ["series"])
+    mean = spectrum.groupBy("series", "n", "bin").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
     return mean.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), "power")
 
 

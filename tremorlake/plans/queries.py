@@ -493,6 +493,41 @@ def averaged_psd(spark, sf_dir):
     return rounded(spectral.averaged_psd(series_by(spark, sf_dir, "l_suppkey"), 100.0), power=2)
 
 
+def two_channels(spark, sf_dir):
+    """Records of two channels: quantities and prices of each supplier's lines."""
+    w = Window.partitionBy("l_suppkey").orderBy(*ROW_ORDER)
+    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("record"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+
+
+def segments_sql(length: int, centre: str, window: str) -> str:
+    """Spectra of both channels: (record, s, bin, ar, ai, br, bi)."""
+    return f"""x AS (SELECT l_suppkey AS record, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, count(*) OVER (PARTITION BY l_suppkey) AS n, CAST(l_quantity AS DOUBLE) AS a, l_extendedprice / 1000 AS b FROM lineitem),
+l AS (SELECT *, least(n, {length}) AS len, greatest(least(n, {length}) // 2, 1) AS half, avg(a) OVER (PARTITION BY record) AS ma, avg(b) OVER (PARTITION BY record) AS mb FROM x),
+g AS (SELECT *, idx - s * half AS j, avg(a) OVER (PARTITION BY record, s) AS sa, avg(b) OVER (PARTITION BY record, s) AS sb FROM (SELECT *, unnest([idx // half - 1, idx // half]) AS s FROM l) WHERE s >= 0 AND idx < s * half + len AND s * half + len <= n),
+w AS (SELECT record, s, j, len, {window} AS h, (a - {centre}a) * h AS wa, (b - {centre}b) * h AS wb FROM g),
+t AS (SELECT record, s, len, bin, 2 * pi() * bin * j / len AS o, wa, wb FROM (SELECT *, unnest(range(0, len // 2 + 1)) AS bin FROM w)),
+f AS (SELECT record, s, len, bin, sum(wa * cos(o)) AS ar, -sum(wa * sin(o)) AS ai, sum(wb * cos(o)) AS br, -sum(wb * sin(o)) AS bi FROM t GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {segments_sql(128, "m", "CASE WHEN len < 2 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * j / (len - 1)) END")},
+c AS (SELECT record, bin, bin * 100.0 / len AS freq_hz, avg(ar * ar + ai * ai) AS aa, avg(br * br + bi * bi) AS bb, avg(ar * br + ai * bi) AS re, avg(ai * br - ar * bi) AS im FROM f WHERE bin * 100.0 / len BETWEEN 2 AND 14 GROUP BY record, len, bin),
+e AS (SELECT *, (aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + re * re + im * im) AS s1 FROM c)
+SELECT record, CAST(bin AS INTEGER) AS bin, round(CAST(freq_hz AS DOUBLE), 6) AS freq_hz, round(s1, 2) AS s1,
+round((s1 - bb) / (2 * s1 - aa - bb), 5) AS first_share FROM e""")
+def fdd(spark, sf_dir):
+    """Singular values of the suppliers' records, and the first channel's share in the first singular vector."""
+    rows = two_channels(spark, sf_dir).select("record", "idx", F.array("a", "b").alias("channels"))
+    first = F.col("shape")[0]
+    return rounded(modal.fdd(rows, 100.0, 128).select("record", "bin", "freq_hz", "s1", (first["re"] * first["re"] + first["im"] * first["im"]).alias("first_share")), 2, freq_hz=6, first_share=5)
+
+
+@query(f"""WITH {segments_sql(64, "s", "CASE WHEN len < 2 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * j / len) END")}
+SELECT record AS recording, CAST(bin AS INTEGER) AS bin, round(CAST(bin * 100.0 / len AS DOUBLE), 6) AS freq_hz, round((pow(sum(ar * br + ai * bi), 2) + pow(sum(ar * bi - ai * br), 2)) / pow(sum(ar * ar + ai * ai), 2), 5) AS power FROM f GROUP BY record, len, bin""")
+def frf_indicator(spark, sf_dir):
+    rows = two_channels(spark, sf_dir).select(F.col("record").alias("recording"), F.lit(0).alias("window"), "idx", F.col("a").alias("excitation"), F.array("b").alias("responses"))
+    return rounded(modal.frf_indicator(rows, 100.0, 64).drop("window"), 5, freq_hz=6)
+
+
 @query()
 def half_power_damping(spark, sf_dir):
     psd = spectral.averaged_psd(series_by(spark, sf_dir, "l_suppkey"), 100.0)
