@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import record_time
+from ..functions.staged import written
 from ..operators import modal, statistics
 from ..sources import damaged_zip, texts
 from . import protocol, reports
@@ -34,13 +35,13 @@ def extract(files: DataFrame, config: dict, sampling_hz: float, reference: tuple
     whole = samples.join(enough, "record", "left_semi")
 
     ts = record_time("record", config["name_origin"])
-    rms = modal.channel_rms(whole).withColumn("ts", ts)
+    rms = written(modal.channel_rms(whole).withColumn("ts", ts))  # a row per record and channel, read in several rounds
     inside = rms.where((F.col("ts") >= F.lit(reference[0]).cast("timestamp")) & (F.col("ts") < F.lit(reference[1]).cast("timestamp")))
     kept = [r[0] for r in statistics.stable_channels(inside).select("channel").orderBy("channel").collect()]  # a handful of sensors
     narrow = whole.select("record", "idx", F.array(*[F.col("channels")[i] for i in kept]).alias("channels"))
     readings = texts.environment(files, {k: tuple(v) for k, v in config["voltage_conversions"].items()})
     return {
-        "spectra": modal.fdd(narrow, sampling_hz).withColumn("ts", ts),
+        "spectra": written(modal.fdd(narrow, sampling_hz).withColumn("ts", ts)),
         "environment": readings.withColumn("ts", record_time("name", config["name_origin"])),
         "channels": files.sparkSession.createDataFrame([(channels[i],) for i in kept], "channel string"),
         "incomplete": incomplete,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import folds
 from ..functions.columns import below_hinge
 from ..functions.dense import cusum_threshold
+from ..functions.staged import written
 from ..operators import calibration, detectors, segments, statistics
 
 
@@ -147,7 +148,7 @@ def run_protocol(record: DataFrame, covariates: DataFrame, protocol: Protocol, m
         raise ValueError("no mode is present in enough reference hours; name the modes")
     features = [f"m{m}" for m in modes]
     joined = record.where(F.col("mode").isin(modes)).join(covariates.dropna(subset=["temperature_c", *protocol.environment]), "ts")
-    complete = segments.complete_hours(joined, modes, ["temperature_c", *protocol.environment])
+    complete = written(segments.complete_hours(joined, modes, ["temperature_c", *protocol.environment]))  # one row an hour, read by every arm
     train = complete.where(segments.in_segment("ts", *protocol.reference))
     n = statistics.daily_medians(train.select("ts", F.lit(0.0).alias("score"))).count()
     calibration.check_alpha(n, protocol.alpha)

@@ -10,6 +10,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staged import written
 from ..operators import modal, segments, statistics
 from ..sources import recordings
 from . import reports
@@ -25,7 +26,7 @@ def window_frequencies(samples: DataFrame, sampling_hz: float, reference: str) -
     """
     cut = segments.tumbling(samples, ["recording"], int(WINDOW_S * sampling_hz), int(TRIM_S * sampling_hz))
     steady = segments.steady_windows(cut, ["recording"], "excitation").select("recording", "window")
-    spectra = modal.frf_indicator(cut.join(steady, ["recording", "window"], "left_semi"), sampling_hz)
+    spectra = written(modal.frf_indicator(cut.join(steady, ["recording", "window"], "left_semi"), sampling_hz))
     mean = spectra.where(F.col("recording") == reference).groupBy("bin", "freq_hz").agg(F.log(F.avg("power")).alias("level")).withColumn("all", F.lit(0))
     bands = modal.bands(modal.prominent(mean, ["all"], modal.FRF_PROMINENCE, modal.FRF_BAND, modal.FRF_MODES), ["all"])
     modes = [r[0] for r in bands.select("mode").orderBy("mode").collect()]  # eight at most
@@ -36,7 +37,7 @@ def window_frequencies(samples: DataFrame, sampling_hz: float, reference: str) -
 
 def run_study(samples: DataFrame, sampling_hz: float, labels: DataFrame, reference: str, alpha: float = 0.1) -> dict[str, DataFrame]:
     """``labels(recording, label)`` names each recording's state; the reference recording's label is ``reference``."""
-    wide, bands = window_frequencies(samples, sampling_hz, reference)
+    wide, bands = map(written, window_frequencies(samples, sampling_hz, reference))
     features = [c for c in wide.columns if c.startswith("m")]
     rows = wide.dropna().join(F.broadcast(labels), "recording").withColumn("rid", F.concat_ws("/", "recording", "window"))
     long = rows.select("label", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])).alias("v")).select("label", "v.*")

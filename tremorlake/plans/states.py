@@ -12,6 +12,7 @@ from ..operators.selection import medians
 
 def evaluate_states(samples: DataFrame, row_id: str, features: list[str], alpha: float, arms: dict | None = None) -> DataFrame:
     """``arm, label, samples, alarmed, alarm_rate, median_p_value, median_over_limit`` for every label but ``reference``."""
+    samples = written(samples.select(row_id, "label", *features))  # every arm reads it several times
     reference = samples.where(F.col("label") == "reference")
     calibration.check_alpha(reference.count(), alpha)
     others, judged = samples.where(F.col("label") != "reference"), None
