@@ -49,24 +49,26 @@ def conformal_limits(reference: DataFrame, alpha: float, keys: list[str] = ()) -
     return ranked.groupBy(*keys, "n_ref").agg(F.max(F.when(F.col("_r") == k, F.col("score"))).alias("control_limit"))
 
 
+def by_segment(daily: DataFrame, segments: dict[str, tuple[str, str]]) -> DataFrame:
+    """The days with the name and ``_start`` of every segment they lie in, in one pass; a day in none goes."""
+    named = [F.when(in_segment_days("day", start, end), F.struct(F.lit(name).alias("segment"), F.lit(start).alias("_start"))) for name, (start, end) in segments.items()]
+    return daily.withColumn("_in", F.explode(F.filter(F.array(*named), lambda s: s.isNotNull()))).select(*daily.columns, "_in.*")
+
+
 def alarm_summary(daily: DataFrame, alpha: float, segments: dict[str, tuple[str, str]], keys: list[str] = ()) -> DataFrame:
     """One row per key and segment from ``day, score, p_value, control_limit``; an empty segment has no row."""
-    out = None
-    for name, (start, end) in segments.items():
-        alarmed = F.col("p_value") <= alpha + 1e-12
-        first = F.min(F.when(alarmed, F.col("day")))
-        part = daily.where(in_segment_days("day", start, end)).groupBy(*keys).agg(
-            F.count("*").alias("days"),
-            F.count_if(alarmed).alias("alarmed_days"),
-            first.alias("first_alarm"),
-            F.datediff(first, F.to_date(F.lit(start))).cast("bigint").alias("delay_days"),
-            F.min("p_value").alias("min_p_value"),
-            F.min(F.col("score") / F.col("control_limit")).alias("min_over_limit"),
-            F.max(F.col("score") / F.col("control_limit")).alias("max_over_limit"),
-        )
-        part = part.where("days > 0").select(*keys, F.lit(name).alias("segment"), "*" if not keys else F.col("days"), *([] if not keys else [c for c in part.columns if c not in (*keys, "days")]))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("alarm_rate", F.col("alarmed_days") / F.col("days"))
+    alarmed = F.col("p_value") <= alpha + 1e-12
+    first = F.min(F.when(alarmed, F.col("day")))
+    out = by_segment(daily, segments).groupBy(*keys, "segment", "_start").agg(
+        F.count("*").alias("days"),
+        F.count_if(alarmed).alias("alarmed_days"),
+        first.alias("first_alarm"),
+        F.datediff(first, F.to_date("_start")).cast("bigint").alias("delay_days"),
+        F.min("p_value").alias("min_p_value"),
+        F.min(F.col("score") / F.col("control_limit")).alias("min_over_limit"),
+        F.max(F.col("score") / F.col("control_limit")).alias("max_over_limit"),
+    )
+    return out.drop("_start").withColumn("alarm_rate", F.col("alarmed_days") / F.col("days"))
 
 
 def cusum_path(daily: DataFrame, keys: list[str] = (), drift: float = DRIFT) -> DataFrame:
@@ -78,16 +80,10 @@ def cusum_path(daily: DataFrame, keys: list[str] = (), drift: float = DRIFT) ->
 
 def cusum_first_alarm(daily: DataFrame, segments: dict[str, tuple[str, str]], threshold: float, keys: list[str] = (), drift: float = DRIFT) -> DataFrame:
     """First day of each segment whose level reaches the threshold, its delay, and the peak: the level then, else the largest."""
-    out = None
-    for name, (start, end) in segments.items():
-        path = cusum_path(daily.where(in_segment_days("day", start, end)), keys, drift)
-        over = F.col("level") >= threshold
-        part = path.groupBy(*keys).agg(
-            F.count("*").alias("_n"),
-            F.min(F.when(over, F.col("day"))).alias("first_alarm"),
-            F.min_by(F.when(over, F.col("level")), F.when(over, F.col("day"))).alias("_at"),
-            F.max("level").alias("_top"),
-        ).where("_n > 0")
-        part = part.select(*keys, F.lit(name).alias("segment"), "first_alarm", F.datediff("first_alarm", F.to_date(F.lit(start))).cast("bigint").alias("delay_days"), F.coalesce("_at", "_top").alias("peak"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    path = cusum_path(by_segment(daily, segments), [*keys, "segment"], drift)
+    over = F.col("level") >= threshold
+    out = path.groupBy(*keys, "segment", "_start").agg(
+        F.min(F.when(over, F.col("day"))).alias("first_alarm"), F.min_by(F.when(over, F.col("level")), F.when(over, F.col("day"))).alias("_at"), F.max("level").alias("_top")
+    )
+    delay = F.datediff("first_alarm", F.to_date("_start")).cast("bigint")
+    return out.select(*keys, "segment", "first_alarm", delay.alias("delay_days"), F.coalesce("_at", "_top").alias("peak"))

@@ -11,7 +11,7 @@ import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import centred, finite, linear_maps, quadratic_form, total
@@ -229,11 +229,12 @@ class Cointegration:
 
     @classmethod
     def fit(cls, rows: DataFrame, features: list[str], trends: int = 1) -> Cointegration:
-        """``rows`` has ``ts``; the steps are those between rows exactly an hour apart."""
-        w = Window.orderBy("ts") if "unit" not in rows.columns else Window.partitionBy("unit").orderBy("ts")
-        gap = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-        pairs = rows.select(*features, gap.alias("_gap"), *[F.lag(f).over(w).alias(f"_p_{f}") for f in features]).where("_gap = 3600")
-        joint = pairs.select(*features, *[F.col(f"_p_{f}") for f in features], *[(F.col(f) - F.col(f"_p_{f}")).alias(f"_d_{f}") for f in features])
+        """``rows`` has ``ts``, one row an hour (of a ``unit``, where there is one); the steps are those between rows exactly an hour apart, met by a join on the hour."""
+        units = ["unit"] if "unit" in rows.columns else []
+        seconds = F.unix_timestamp("ts")
+        earlier = rows.select(*units, (seconds + 3600).alias("_at"), *[F.col(f).alias(f"_p_{f}") for f in features])
+        pairs = rows.select(*units, seconds.alias("_at"), *features).join(earlier, [*units, "_at"])
+        joint = written(pairs.select(*features, *[F.col(f"_p_{f}") for f in features], *[(F.col(f) - F.col(f"_p_{f}")).alias(f"_d_{f}") for f in features]))
         p = len(features)
         c = moments(joint, [f"_d_{f}" for f in features] + [f"_p_{f}" for f in features]).covariance
         vectors = stationary_combinations(c[:p, :p], c[:p, p:], c[p:, p:], trends)

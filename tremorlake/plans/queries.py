@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.staged import settled
 from ..operators import calibration, detectors, events, modal, physical, segments, spectral, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +57,7 @@ def daily_scores(spark: SparkSession, sf_dir: str, min_hours: int = statistics.M
 
 
 def daily_p(spark: SparkSession, sf_dir: str, min_hours: int = statistics.MIN_HOURS) -> DataFrame:
-    daily = daily_scores(spark, sf_dir, min_hours)
+    daily = settled(daily_scores(spark, sf_dir, min_hours))  # a row a day, which the ranks read three times
     return calibration.conformal_p(daily.withColumn("is_ref", segments.in_segment_days("day", *SEGMENTS["reference"])))
 
 
@@ -91,7 +92,7 @@ def conformal_limit(spark, sf_dir):
 
 
 def with_limit(spark, sf_dir):
-    daily = daily_p(spark, sf_dir)
+    daily = settled(daily_p(spark, sf_dir))
     return daily.crossJoin(F.broadcast(calibration.conformal_limits(daily.where("is_ref"), ALPHA)))
 
 
@@ -252,6 +253,26 @@ def cointegration(spark, sf_dir):
     return rounded(detectors.Cointegration.fit(wide, features).score(wide).select(F.col("ts").cast("string").alias("ts"), "score"))
 
 
+PAIR_OF_MODES_SQL = f"""{HOURLY_SQL}, k AS (SELECT mode, row_number() OVER (ORDER BY mode) AS k FROM (SELECT DISTINCT mode FROM h)),
+w AS (SELECT ts, max(CASE WHEN k = 1 THEN freq END) AS x, max(CASE WHEN k = 2 THEN freq END) AS y FROM h JOIN k USING (mode) WHERE k <= 2 GROUP BY ts HAVING count(*) = 2),
+j AS (SELECT a.x, a.y, b.x AS px, b.y AS py, a.x - b.x AS dx, a.y - b.y AS dy FROM w a JOIN w b ON epoch(a.ts) = epoch(b.ts) + 3600),
+m AS (SELECT var_pop(dx) AS d11, covar_pop(dx, dy) AS d12, var_pop(dy) AS d22, covar_pop(dx, px) AS c11, covar_pop(dx, py) AS c12, covar_pop(dy, px) AS c21, covar_pop(dy, py) AS c22, var_pop(px) AS p11, covar_pop(px, py) AS p12, var_pop(py) AS p22 FROM j),
+a AS (SELECT *, (d22 * c11 - d12 * c21) / (d11 * d22 - d12 * d12) AS a11, (d22 * c12 - d12 * c22) / (d11 * d22 - d12 * d12) AS a12, (d11 * c21 - d12 * c11) / (d11 * d22 - d12 * d12) AS a21, (d11 * c22 - d12 * c12) / (d11 * d22 - d12 * d12) AS a22 FROM m),
+b AS (SELECT *, c11 * a11 + c21 * a21 AS b11, c11 * a12 + c21 * a22 AS b12, c12 * a11 + c22 * a21 AS b21, c12 * a12 + c22 * a22 AS b22 FROM a),
+e AS (SELECT (p22 * b11 - p12 * b21) / (p11 * p22 - p12 * p12) AS e11, (p22 * b12 - p12 * b22) / (p11 * p22 - p12 * p12) AS e12, (p11 * b21 - p12 * b11) / (p11 * p22 - p12 * p12) AS e21, (p11 * b22 - p12 * b12) / (p11 * p22 - p12 * p12) AS e22 FROM b),
+v AS (SELECT e12 AS v1, (e11 + e22) / 2 + sqrt(pow((e11 - e22) / 2, 2) + e12 * e21) - e11 AS v2 FROM e),
+s AS (SELECT avg(v1 * x + v2 * y) AS mean, stddev_pop(v1 * x + v2 * y) AS sd FROM j CROSS JOIN v)"""
+
+
+@query(f"WITH {PAIR_OF_MODES_SQL} SELECT CAST(ts AS VARCHAR) AS ts, round(abs(v1 * x + v2 * y - mean) / sd, 5) AS score FROM w CROSS JOIN v CROSS JOIN s")
+def cointegration_pair(spark, sf_dir):
+    """The most mean-reverting combination of the first two modes, by the closed form of its eigenvalue."""
+    record = hourly(spark, sf_dir)
+    kinds = [x[0] for x in record.select("mode").distinct().orderBy("mode").limit(2).collect()]
+    wide = segments.complete_hours(record.where(F.col("mode").isin(kinds)), kinds)
+    return rounded(detectors.Cointegration.fit(wide, [f"m{k}" for k in kinds]).score(wide).select(F.col("ts").cast("string").alias("ts"), "score"), 5)
+
+
 # --- labelled states --------------------------------------------------------------------------------
 
 
