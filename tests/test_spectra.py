@@ -263,6 +263,32 @@ def test_streams(spark, tmp_path):
     assert [r["alarmed"] for r in spark.table("levels").orderBy("day").collect()] == [False, True, True, True]
 
 
+def test_a_shuffled_stream_gives_the_levels_of_the_sorted_record(spark, tmp_path):
+    import datetime as dt
+
+    from tremorlake.operators import calibration
+    from tremorlake.streaming.cusum import stream_cusum
+
+    rng = np.random.default_rng(6)
+    schema, rows = "structure string, arm string, day date, p_value double", []
+    for s in ("x", "y"):
+        rows += [(s, "a", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(p)) for i, p in enumerate(rng.uniform(0.01, 1, 30))]
+    # each day comes up to five days out of place; the last file's far day moves the watermark past all others
+    shuffled = sorted(rows, key=lambda r: (r[2].toordinal() + rng.integers(0, 5), r[0]))
+    flush = [(s, "a", dt.date(2020, 6, 1), 0.5) for s in ("x", "y")]
+    for k, part in enumerate([*(shuffled[i : i + 12] for i in range(0, 60, 12)), flush]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if not k:
+            stream = stream_cusum(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 5.0, lateness="8 days")
+            q = stream.writeStream.format("memory").queryName("ordered").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+    q.stop()
+    got = {(r["structure"], r["day"]): (r["level"], r["alarmed"]) for r in spark.table("ordered").collect()}
+    want = calibration.cusum_path(spark.createDataFrame(rows, schema), ["structure", "arm"]).collect()
+    assert got.keys() == {(r["structure"], r["day"]) for r in want}
+    assert all(abs(got[r["structure"], r["day"]][0] - r["level"]) < 1e-9 and got[r["structure"], r["day"]][1] == (r["level"] >= 5.0) for r in want)
+
+
 def test_recordings_and_manifest(spark, tmp_path):
     from tremorlake.sources import recordings
 
