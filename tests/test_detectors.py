@@ -172,6 +172,24 @@ def test_gaussian_process_follows_a_bend(spark):
     assert np.abs(got).max() < 2e-3
 
 
+def test_gaussian_process_equals_a_dense_solution(spark):
+    """The curve from bins against one solution over all bins' kernel matrix, for each row; no temperature, no residual."""
+    rng = np.random.default_rng(12)
+    t = np.round(rng.uniform(-5, 25, 700), 1)
+    f = 3 + np.sin(t / 6) + 0.05 * rng.normal(size=700)
+    rows = frame(spark, np.column_stack([t, f]), ["t", "f"]).unionByName(spark.createDataFrame([(None, 1.0, 5000)], "t double, f double, rid long"))
+    gp = detectors.GaussianProcessBaseline.fit(rows.where("t is not null"), "t", ["f"])
+    bins = np.floor(t / 0.5)
+    x, y, n = (np.array([v[bins == b].mean() if v is not None else (bins == b).sum() for b in np.unique(bins)]) for v in (t, f, None))
+    within = sum(((f[bins == b] - f[bins == b].mean()) ** 2).sum() for b in np.unique(bins)) / (700 - len(x))
+    offset, length = np.average(y, weights=n), gp.curves[0][1]
+    signal = max(np.average((y - offset) ** 2, weights=n), (within / n).min())
+    kernel = lambda a: signal * np.exp(-0.5 * ((a[:, None] - x[None]) / length) ** 2)
+    want = f - offset - kernel(t) @ np.linalg.solve(kernel(x) + np.diag(within / n), y - offset)
+    got = {r["rid"]: r["f"] for r in gp.residuals(rows).collect()}
+    assert got[5000] is None and np.allclose([got[i] for i in range(700)], want, atol=1e-8)
+
+
 def test_linear_baseline(spark):
     t = np.random.default_rng(0).uniform(-10, 20, 400)
     x = np.column_stack([t, np.minimum(t, 0), 4 - 4e-4 * t - 9.6e-3 * np.minimum(t, 0)])

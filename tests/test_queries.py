@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tremorlake.plans import queries
@@ -22,7 +24,7 @@ def duck():
 
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)].astype(object)
-    cell = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, float) else x
+    cell = lambda x: None if np.ndim(x) == 0 and pd.isna(x) else round(float(x), 6) if isinstance(x, float) else x
     return sorted(repr([cell(x) for x in r]) for r in pdf.itertuples(index=False, name=None))
 
 

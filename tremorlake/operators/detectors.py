@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import centred, finite, linear_maps, quadratic_form, total
-from ..functions.dense import discarded_directions, gaussian_process, shrunk_covariance, stationary_combinations
+from ..functions.dense import discarded_directions, gaussian_process, rbf, shrunk_covariance, stationary_combinations
 from ..functions.staged import written
 from .neighbours import PivotIndex
 from .selection import select
@@ -271,10 +271,22 @@ class GaussianProcessBaseline:
         return cls(list(targets), temperature, curves, x)
 
     def predict(self, target: int) -> Column:
+        """The curve at the row's temperature: Arrow batches of temperatures, each different one evaluated once."""
         offset, length, weights = self.curves[target]
-        t = F.col(self.temperature)
-        terms = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in zip(self.inputs, weights)])
-        return F.lit(offset) + F.aggregate(terms, F.lit(0.0), lambda s, k: s + k["w"] * F.exp(-0.5 * F.pow((t - k["x"]) / length, 2)))
+        inputs = self.inputs
+
+        @F.pandas_udf("double")
+        def curve(temperature):
+            import pandas as pd
+
+            t, place = np.unique(temperature.to_numpy(float), return_inverse=True)
+            out = np.empty(len(t))
+            step = max(1, 2_000_000 // len(inputs))
+            for at in range(0, len(t), step):
+                out[at : at + step] = offset + rbf(t[at : at + step], inputs, length) @ weights
+            return pd.Series(out[place])
+
+        return finite(curve(F.col(self.temperature).cast("double")))
 
     def residuals(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({t: F.col(t) - self.predict(i) for i, t in enumerate(self.targets)})

@@ -273,6 +273,35 @@ def cointegration_pair(spark, sf_dir):
     return rounded(detectors.Cointegration.fit(wide, [f"m{k}" for k in kinds]).score(wide).select(F.col("ts").cast("string").alias("ts"), "score"), 5)
 
 
+PROTOCOL_SEGMENTS = {"reference": ("2024-01-01", "2024-01-16"), "holdout": ("2024-01-16", "2024-01-23"), "changed": ("2024-01-23", "2024-01-31")}
+#: Fits of all reference hours less a day's from sums; the two arms' scores of each hour, daily medians, ranks and alarms.
+PROTOCOL_SQL = """hr AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS y, avg(minute(ts)) - 30 AS t FROM events GROUP BY 1),
+b AS (SELECT CAST(ts AS DATE) AS day, y, t, least(t, 0) AS h, ts < TIMESTAMP '2024-01-16' AS ref FROM hr),
+byday AS (SELECT day, count(*) AS n, sum(y) AS sy, sum(t) AS st, sum(h) AS sh, sum(y*y) AS yy, sum(t*t) AS tt, sum(h*h) AS hh, sum(t*h) AS th, sum(t*y) AS ty, sum(h*y) AS hy FROM b WHERE ref GROUP BY day),
+whole AS (SELECT sum(n) AS n, sum(sy) AS sy, sum(st) AS st, sum(sh) AS sh, sum(yy) AS yy, sum(tt) AS tt, sum(hh) AS hh, sum(th) AS th, sum(ty) AS ty, sum(hy) AS hy FROM byday),
+f AS (SELECT byday.day, whole.n - byday.n AS n, whole.sy - byday.sy AS sy, whole.st - byday.st AS st, whole.sh - byday.sh AS sh, whole.yy - byday.yy AS yy, whole.tt - byday.tt AS tt, whole.hh - byday.hh AS hh, whole.th - byday.th AS th, whole.ty - byday.ty AS ty, whole.hy - byday.hy AS hy FROM byday CROSS JOIN whole UNION ALL SELECT NULL, whole.n, whole.sy, whole.st, whole.sh, whole.yy, whole.tt, whole.hh, whole.th, whole.ty, whole.hy FROM whole),
+c AS (SELECT day, sy / n AS my, st / n AS mt, sh / n AS mh, yy / n - sy * sy / n / n AS cyy, tt / n - st * st / n / n AS ctt, hh / n - sh * sh / n / n AS chh, th / n - st * sh / n / n AS cth, ty / n - st * sy / n / n AS cty, hy / n - sh * sy / n / n AS chy FROM f),
+k AS (SELECT *, (cty * chh - chy * cth) / (ctt * chh - cth * cth) AS bt, (chy * ctt - cty * cth) / (ctt * chh - cth * cth) AS bh FROM c),
+s AS (SELECT b.day, b.ref, abs(y - my) / sqrt(cyy) AS raw, abs(y - my - bt * (t - mt) - bh * (h - mh)) / sqrt(cyy - bt * cty - bh * chy) AS lin FROM b JOIN k ON k.day IS NOT DISTINCT FROM CASE WHEN ref THEN b.day END),
+d AS (SELECT arm, day, ref, median(score) AS score FROM (SELECT day, ref, 'raw_frequencies' AS arm, raw AS score FROM s UNION ALL SELECT day, ref, 'temperature_normalized', lin FROM s) GROUP BY 1, 2, 3 HAVING count(*) >= 6),
+p AS (SELECT a.arm, a.day, a.score, (1.0 + count(r.day)) / (1.0 + max(n)) AS p FROM d a JOIN (SELECT arm, count(*) AS n FROM d WHERE ref GROUP BY arm) USING (arm) LEFT JOIN d r ON r.arm = a.arm AND r.ref AND r.score >= a.score GROUP BY 1, 2, 3),
+lim AS (SELECT arm, list(score ORDER BY score)[CAST(ceil((count(*) + 1) * 0.9 - 1e-9) AS BIGINT)] AS control FROM d WHERE ref GROUP BY arm),
+seg AS (SELECT * FROM (VALUES ('reference', DATE '2024-01-01', DATE '2024-01-16'), ('holdout', DATE '2024-01-16', DATE '2024-01-23'), ('changed', DATE '2024-01-23', DATE '2024-01-31')) v(segment, a, z))"""
+
+
+@query(f"""WITH {PROTOCOL_SQL} SELECT arm, segment, count(*) AS days, CAST(sum(CASE WHEN p <= 0.100000000001 THEN 1 ELSE 0 END) AS BIGINT) AS alarmed_days, CAST(min(CASE WHEN p <= 0.100000000001 THEN day END) AS VARCHAR) AS first_alarm,
+CAST(min(CASE WHEN p <= 0.100000000001 THEN day END) - min(a) AS BIGINT) AS delay_days, round(CAST(min(p) AS DOUBLE), 6) AS min_p_value, round(min(score / control), 5) AS min_over_limit, round(max(score / control), 5) AS max_over_limit,
+round(CAST(sum(CASE WHEN p <= 0.100000000001 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS alarm_rate FROM p JOIN seg ON day >= a AND day < z JOIN lim USING (arm) GROUP BY 1, 2""")
+def protocol_alarms(spark, sf_dir):
+    """The whole protocol over hourly means of ``events`` with the mean minute as temperature: alarms of the raw and the linear arm."""
+    from .protocol import Protocol, run_protocol
+
+    hours = read(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("freq_hz"), (F.avg(F.minute("ts")) - 30).alias("temperature_c"))
+    arms = ["raw_frequencies", "temperature_normalized"]
+    out = run_protocol(hours.select("ts", F.lit(0).alias("mode"), "freq_hz"), hours.select("ts", "temperature_c"), Protocol(*PROTOCOL_SEGMENTS.values(), alpha=0.1), [0], arms)
+    return rounded(out["alarms"].where(F.col("arm").isin(arms)), 6, min_over_limit=5, max_over_limit=5)
+
+
 # --- labelled states --------------------------------------------------------------------------------
 
 
