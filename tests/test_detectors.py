@@ -282,6 +282,17 @@ def test_protocol(spark, record):
         protocol.run_protocol(*record, protocol.Protocol(p.reference, p.holdout, p.changed, calibration="none"))
 
 
+def test_sweep_agrees_with_whole_protocols(spark, record):
+    p = protocol.Protocol(("2020-01-01", "2020-02-10"), ("2020-02-10", "2020-02-20"), ("2020-02-20", "2020-03-01"), alpha=0.05, calibration="in_sample")
+    only = ["raw_frequencies", "temperature_normalized"]
+    got = {(r["arm"], r["scenario"], r["shift"]): r["alarm_rate"] for r in protocol.swept_rates(*record, p, [0, 1, 2], {"second": [1], "all": [0, 1, 2]}, [-0.0005, -0.01], only).collect()}
+    assert len(got) == 12
+    for scenario, moved, shift in (("second", [1], -0.01), ("all", [0, 1, 2], -0.0005)):
+        shifted = segments.inject_shift(record[0], *p.holdout, moved, shift)
+        alarms = protocol.run_protocol(shifted, record[1], p, [0, 1, 2], only)["alarms"].where("segment = 'holdout'").collect()
+        assert {r["arm"]: r["alarm_rate"] for r in alarms} == {a: x for (a, s, d), x in got.items() if (s, d) == (scenario, shift)}
+
+
 def test_left_out_days_agree_with_refitting(spark, record, monkeypatch):
     frequencies, temperature = record
     few = frequencies.where("ts < '2020-01-12'").join(temperature, "ts")

@@ -25,8 +25,8 @@ def daily_medians(scores: DataFrame, keys: list[str] = (), min_hours: int = MIN_
     )
 
 
-def daily_means(rows: DataFrame, features: list[str], min_hours: int = MIN_HOURS) -> DataFrame:
-    return rows.groupBy(F.to_date("ts").alias("day")).agg(*[F.avg(f).alias(f) for f in features], F.count("*").alias("n")).where(F.col("n") >= min_hours)
+def daily_means(rows: DataFrame, features: list[str], min_hours: int = MIN_HOURS, keys: list[str] = ()) -> DataFrame:
+    return rows.groupBy(*keys, F.to_date("ts").alias("day")).agg(*[F.avg(f).alias(f) for f in features], F.count("*").alias("n")).where(F.col("n") >= min_hours)
 
 
 @dataclass

@@ -9,9 +9,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import segments
 from . import protocol, reports
 
 SHIFTS = (-0.001, -0.002, -0.005, -0.01, -0.02)
@@ -19,14 +17,8 @@ SHIFTS = (-0.001, -0.002, -0.005, -0.01, -0.02)
 
 def sensitivity(record: DataFrame, covariates: DataFrame, p: protocol.Protocol, modes: list, arms: list[str] | None = None, shifts: tuple[float, ...] = SHIFTS) -> DataFrame:
     """``arm, scenario, detectable_shift``: every mode alone and all together lose a share of their frequency in the holdout."""
-    rates = None
-    for scenario, moved in {**{f"mode {m}": [m] for m in modes}, "all modes": modes}.items():
-        for shift in shifts:
-            shifted = segments.inject_shift(record, *p.holdout, moved, shift)
-            alarms = protocol.run_protocol(shifted, covariates, p, modes, arms)["alarms"].where("segment = 'holdout'")
-            part = alarms.select("arm", F.lit(scenario).alias("scenario"), F.lit(shift).alias("shift"), "alarm_rate")
-            rates = part if rates is None else rates.unionByName(part)
-    return protocol.detectable_shift(rates, ["arm", "scenario"])
+    scenarios = {**{f"mode {m}": [m] for m in modes}, "all modes": list(modes)}
+    return protocol.detectable_shift(protocol.swept_rates(record, covariates, p, list(modes), scenarios, list(shifts), arms), ["arm", "scenario"])
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -48,19 +48,26 @@ def arms(environment: list[str]) -> list[str]:
     return ["raw_frequencies", "temperature_normalized", "gp_normalized", "pca_residual", "knn", "cointegration", *(["environment_normalized"] if environment else [])]
 
 
-def score_arm(name: str, train: DataFrame, rows: DataFrame, features: list[str], environment: list[str] = ()) -> DataFrame:
-    """The rows with the ``score`` of an arm fitted on ``train``; both have ts, temperature_c, the features and the environment."""
+def fit_arm(name: str, train: DataFrame, features: list[str], environment: list[str] = ()):
+    """An arm fitted on ``train``: a function that adds ``score`` to rows with ts, temperature_c, the features and the environment."""
     if name in detectors.REGISTRY:
-        return detectors.REGISTRY[name].fit(train, features).score(rows)
+        return detectors.REGISTRY[name].fit(train, features).score
     if name == "cointegration":
-        return detectors.Cointegration.fit(train, features).score(rows)
+        return detectors.Cointegration.fit(train, features).score
+    hinged = lambda d: d
     if name == "gp_normalized":
         baseline = detectors.GaussianProcessBaseline.fit(train, "temperature_c", features)
     else:
+        hinged = lambda d: d.withColumn("below_hinge_c", below_hinge("temperature_c"))
         covariates = ["temperature_c", "below_hinge_c", *(environment if name == "environment_normalized" else [])]
-        train, rows = (d.withColumn("below_hinge_c", below_hinge("temperature_c")) for d in (train, rows))
-        baseline = statistics.fit_linear(train, covariates, features)
-    return detectors.Mahalanobis.fit(baseline.residuals(train), features).score(baseline.residuals(rows))
+        baseline = statistics.fit_linear(hinged(train), covariates, features)
+    inner = detectors.Mahalanobis.fit(baseline.residuals(hinged(train)), features)
+    return lambda rows: inner.score(baseline.residuals(hinged(rows)))
+
+
+def score_arm(name: str, train: DataFrame, rows: DataFrame, features: list[str], environment: list[str] = ()) -> DataFrame:
+    """The rows with the ``score`` of an arm fitted on ``train``."""
+    return fit_arm(name, train, features, environment)(rows)
 
 
 #: A reference period of more hours is not sent to tasks; its folds are then Spark fits of their own.
@@ -118,19 +125,59 @@ def daily_arm(name: str, complete: DataFrame, protocol: Protocol, features: list
     return daily.select(F.lit(name).alias("arm"), "day", "score", reference.alias("is_ref"))
 
 
+def fit_daily_means(complete: DataFrame, protocol: Protocol, features: list[str]):
+    """The daily-mean arm: a function from hours to scored days (by further ``keys``), and the reference days it was fitted on."""
+    hinged = lambda d: d.withColumn("below_hinge_c", below_hinge("temperature_c"))
+    train = hinged(complete.where(segments.in_segment("ts", *protocol.reference)))
+    baseline = statistics.fit_linear(train, ["temperature_c", "below_hinge_c"], features)
+    of = lambda rows, keys=(): statistics.daily_means(baseline.residuals(hinged(rows)), features, keys=keys)
+    reference = of(complete).where(segments.in_segment_days("day", *protocol.reference))
+    inner = detectors.Mahalanobis.fit(reference, features)
+    return lambda rows, keys=(): inner.score(of(rows, keys)).select(*keys, "day", "score"), reference
+
+
 def daily_mean_arm(complete: DataFrame, protocol: Protocol, features: list[str]) -> DataFrame:
     """Mahalanobis distance of daily mean residuals; the baseline isn't refitted for left-out days."""
-    complete = complete.withColumn("below_hinge_c", below_hinge("temperature_c"))
-    train = complete.where(segments.in_segment("ts", *protocol.reference))
-    residuals = statistics.fit_linear(train, ["temperature_c", "below_hinge_c"], features).residuals(complete)
-    days = statistics.daily_means(residuals, features)
-    reference = days.where(segments.in_segment_days("day", *protocol.reference))
-    scored = detectors.Mahalanobis.fit(reference, features).score(days).select("day", "score")
+    days, reference = fit_daily_means(complete, protocol, features)
+    scored = days(complete)
     if protocol.calibration == "leave_one_day_out":
         scored = scored.where(~segments.in_segment_days("day", *protocol.reference)).unionByName(detectors.leave_groups_out(reference, "day", features).select("day", "score"))
     return scored.select(F.lit("daily_mean_normalized").alias("arm"), "day", "score", segments.in_segment_days("day", *protocol.reference).alias("is_ref"))
 
 
+def complete_record(record: DataFrame, covariates: DataFrame, protocol: Protocol, modes: list) -> DataFrame:
+    """The hours in which all modes and covariates are present, written: one row an hour, read by every arm."""
+    joined = record.where(F.col("mode").isin(modes)).join(covariates.dropna(subset=["temperature_c", *protocol.environment]), "ts")
+    return written(segments.complete_hours(joined, modes, ["temperature_c", *protocol.environment]))
+
+
+def swept_rates(record: DataFrame, covariates: DataFrame, protocol: Protocol, modes: list, scenarios: dict[str, list], shifts: list[float], only: list[str] | None = None) -> DataFrame:
+    """``arm, scenario, shift, alarm_rate``: share of holdout days that alarm when a scenario's modes lose a share of their frequency there.
+
+    Every arm is fitted and calibrated once, as a shift leaves the reference as it is; the holdout's hours are repeated per
+    scenario and shift (a few dozen) and scored in one pass an arm.
+    """
+    features = [f"m{m}" for m in modes]
+    complete = complete_record(record, covariates, protocol, modes)
+    train = complete.where(segments.in_segment("ts", *protocol.reference))
+    table = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(float(x)).alias("shift"), F.array(*[F.lit(1.0 + x if m in moved else 1.0) for m in modes]).alias("factor")) for s, moved in scenarios.items() for x in shifts])
+    held = complete.where(segments.in_segment("ts", *protocol.holdout)).withColumn("_s", F.explode(table)).select(*complete.columns, "_s.*")
+    held = written(held.withColumns({f: F.col(f) * F.col("factor")[i] for i, f in enumerate(features)}).drop("factor"))
+    keys, scores, healthy = ["scenario", "shift"], None, None
+    for name in [*(arms(protocol.environment) if only is None else only), "daily_mean_normalized"]:
+        if name == "daily_mean_normalized":
+            days, _ = fit_daily_means(complete, protocol, features)
+            daily, reference = days(held, keys), daily_mean_arm(complete, protocol, features)
+        else:
+            daily = statistics.daily_medians(fit_arm(name, train, features, protocol.environment)(held), keys)
+            reference = daily_arm(name, complete, protocol, features)
+        daily = daily.select(F.lit(name).alias("arm"), *keys, "day", "score")
+        reference = reference.where("is_ref").select("arm", "score")
+        scores, healthy = (daily, reference) if scores is None else (scores.unionByName(daily), healthy.unionByName(reference))
+    p = calibration.conformal_p(written(scores), ["arm"], written(healthy))
+    return p.groupBy("arm", *keys).agg(F.avg((F.col("p_value") <= protocol.alpha + 1e-12).cast("double")).alias("alarm_rate"))
+
+
 def run_protocol(record: DataFrame, covariates: DataFrame, protocol: Protocol, modes: list | None = None, only: list[str] | None = None) -> dict:
     """All arms over ``record(ts, mode, freq_hz)`` and ``covariates(ts, temperature_c, ...)``.
 
@@ -147,8 +194,7 @@ def run_protocol(record: DataFrame, covariates: DataFrame, protocol: Protocol, m
     if not modes:
         raise ValueError("no mode is present in enough reference hours; name the modes")
     features = [f"m{m}" for m in modes]
-    joined = record.where(F.col("mode").isin(modes)).join(covariates.dropna(subset=["temperature_c", *protocol.environment]), "ts")
-    complete = written(segments.complete_hours(joined, modes, ["temperature_c", *protocol.environment]))  # one row an hour, read by every arm
+    complete = complete_record(record, covariates, protocol, modes)
     train = complete.where(segments.in_segment("ts", *protocol.reference))
     n = statistics.daily_medians(train.select("ts", F.lit(0.0).alias("score"))).count()
     calibration.check_alpha(n, protocol.alpha)

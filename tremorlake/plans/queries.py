@@ -273,6 +273,12 @@ def cointegration_pair(spark, sf_dir):
     return rounded(detectors.Cointegration.fit(wide, [f"m{k}" for k in kinds]).score(wide).select(F.col("ts").cast("string").alias("ts"), "score"), 5)
 
 
+def protocol_tables(spark, sf_dir):
+    """A record of one mode (hourly means) and its covariates (the mean minute as temperature)."""
+    hours = read(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("freq_hz"), (F.avg(F.minute("ts")) - 30).alias("temperature_c"))
+    return hours.select("ts", F.lit(0).alias("mode"), "freq_hz"), hours.select("ts", "temperature_c")
+
+
 PROTOCOL_SEGMENTS = {"reference": ("2024-01-01", "2024-01-16"), "holdout": ("2024-01-16", "2024-01-23"), "changed": ("2024-01-23", "2024-01-31")}
 #: Fits of all reference hours less a day's from sums; the two arms' scores of each hour, daily medians, ranks and alarms.
 PROTOCOL_SQL = """hr AS (SELECT date_trunc('hour', ts) AS ts, avg(value) AS y, avg(minute(ts)) - 30 AS t FROM events GROUP BY 1),
@@ -296,12 +302,40 @@ def protocol_alarms(spark, sf_dir):
     """The whole protocol over hourly means of ``events`` with the mean minute as temperature: alarms of the raw and the linear arm."""
     from .protocol import Protocol, run_protocol
 
-    hours = read(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("freq_hz"), (F.avg(F.minute("ts")) - 30).alias("temperature_c"))
     arms = ["raw_frequencies", "temperature_normalized"]
-    out = run_protocol(hours.select("ts", F.lit(0).alias("mode"), "freq_hz"), hours.select("ts", "temperature_c"), Protocol(*PROTOCOL_SEGMENTS.values(), alpha=0.1), [0], arms)
+    out = run_protocol(*protocol_tables(spark, sf_dir), Protocol(*PROTOCOL_SEGMENTS.values(), alpha=0.1), [0], arms)
     return rounded(out["alarms"].where(F.col("arm").isin(arms)), 6, min_over_limit=5, max_over_limit=5)
 
 
+SWEEP_SQL = f"""{PROTOCOL_SQL}, sw AS (SELECT arm, shift, day, median(score) AS score FROM (
+  SELECT unnest(['raw_frequencies', 'temperature_normalized']) AS arm, unnest([abs(y * (1 + shift) - my) / sqrt(cyy), abs(y * (1 + shift) - my - bt * (t - mt) - bh * (h - mh)) / sqrt(cyy - bt * cty - bh * chy)]) AS score, shift, b.day
+  FROM b CROSS JOIN (SELECT * FROM k WHERE day IS NULL) k CROSS JOIN (SELECT unnest([-0.05, -0.2, -0.5, -0.9]) AS shift) WHERE b.day >= DATE '2024-01-16' AND b.day < DATE '2024-01-23') GROUP BY 1, 2, 3 HAVING count(*) >= 6),
+q AS (SELECT sw.arm, shift, sw.day, (1.0 + count(r.day)) / (1.0 + max(n)) AS p FROM sw JOIN (SELECT arm, count(*) AS n FROM d WHERE ref GROUP BY arm) USING (arm) LEFT JOIN d r ON r.arm = sw.arm AND r.ref AND r.score >= sw.score GROUP BY 1, 2, 3),
+ra AS (SELECT arm, CAST(shift AS DOUBLE) AS shift, avg(CASE WHEN p <= 0.100000000001 THEN 1.0 ELSE 0.0 END) AS alarm_rate FROM q GROUP BY 1, 2)"""
+
+
+def protocol_sweep(spark, sf_dir):
+    from .protocol import Protocol, swept_rates
+
+    arms = ["raw_frequencies", "temperature_normalized"]
+    rates = swept_rates(*protocol_tables(spark, sf_dir), Protocol(*PROTOCOL_SEGMENTS.values(), alpha=0.1), [0], {"all": [0]}, [-0.05, -0.2, -0.5, -0.9], arms)
+    return rates.where(F.col("arm").isin(arms))
+
+
+@query(f"WITH {SWEEP_SQL} SELECT arm, shift, round(CAST(alarm_rate AS DOUBLE), 6) AS alarm_rate FROM ra")
+def protocol_alarm_rates(spark, sf_dir):
+    """Alarm rates of the holdout at four injected drops; every arm is fitted once."""
+    return rounded(protocol_sweep(spark, sf_dir).drop("scenario"))
+
+
+@query(f"WITH {SWEEP_SQL} SELECT arm, min(CASE WHEN alarm_rate >= 0.5 THEN abs(shift) END) AS detectable_shift FROM ra GROUP BY arm")
+def detectable_shift(spark, sf_dir):
+    """The smallest drop that half of the holdout's days detect."""
+    from . import protocol
+
+    return protocol.detectable_shift(protocol_sweep(spark, sf_dir), ["arm"], 0.5)
+
+
 # --- labelled states --------------------------------------------------------------------------------
 
 
