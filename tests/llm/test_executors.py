@@ -21,7 +21,7 @@ for name in sys.argv[1:]:
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_workers_without_the_package(tmp_path):
-    names = ["op1_compression", "op4_language_model", "op8_license", "op9_toxicity"]
+    names = ["op1_compression", "op4_language_model", "op8_license", "op9_toxicity", "op11_vector_codes", "op12_sharding", "op13_whitening"]
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", PROGRAM, *names], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert out.returncode == 0, out.stderr[-2000:]
