@@ -267,6 +267,62 @@ def test_language_model(spark, monkeypatch):
     assert language_model.language_model_scores(docs(spark, []), held).count() == 0
 
 
+def block_automaton(texts, trained):
+    """The automaton of one block that holds all texts, its words in order, and the model of the trained ones."""
+    model = BruteModel([t for t, k in zip(texts, trained) if k])
+    rows = [[language_model.START, *language_model.tokens(t)] for t in texts]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r))}
+    words, sizes = np.array([number[w] for r in rows for w in r], np.uint32), np.array([len(r) for r in rows])
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, len(number)).astype(np.uint64)
+    grams = language_model.Grams(hashes, words, number[language_model.START], 3)
+    flat = [w for r in rows for w in r]
+
+    def counts(keys, at, n):
+        return np.array([model.c[tuple(flat[i - n + 1 : i + 1])] for i in at[np.unique(keys, return_index=True)[1]]], float)
+
+    c1 = np.array([model.c[(w,)] for w in number], float)
+    return language_model.Automaton(c1, words, grams, counts(grams.pairs, grams.pair_at, 2), counts(grams.triples, grams.triple_at, 3), model.below), list(number), words, sizes, model
+
+
+def test_backoff_automaton(monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"u{x}" for x in rng.zipf(1.5, n) % 40) for n in (0, 1, 2, 3, 40, 700, 90, 90)] + ["new u1 u1 words u2"] * 2
+    auto, names, words, sizes, model = block_automaton(texts, [True] * 8 + [False] * 2)
+    # the states' names, by their arcs
+    contexts = {0: ()} | {1 + i: (w,) for i, w in enumerate(names)}
+    for key, to in zip(auto.arcs.tolist(), auto.target.tolist()):
+        state, w = divmod(key, auto.words)
+        if to > auto.words:
+            contexts[to] = (contexts[state][-1], names[w])
+    reached = {0, *auto.target.tolist()}
+    assert max(reached) > auto.words and all(model.c[contexts[s]] >= 2 for s in reached - {0})
+    for s in reached - {0}:
+        k, c = language_model.KAPPA[len(contexts[s]) - 1], model.c[contexts[s]]
+        assert contexts[int(auto.failure[s])] == contexts[s][1:]
+        assert 10 ** auto.weight[s] == pytest.approx(k / (c - 1 + k))
+    assert sorted(auto.arcs.tolist()) == auto.arcs.tolist() and auto.arcs[: auto.words].tolist() == list(range(auto.words))
+    for key, p, to in zip(auto.arcs.tolist(), auto.score, auto.target.tolist()):
+        state, w = divmod(key, auto.words)
+        context = contexts[state]
+        if names[w] != language_model.START:  # read at the root only, to begin
+            assert p == pytest.approx(math.log10(model.p(context, names[w])))
+        assert not context or model.c[(*context, names[w])] > 0
+        longest = next((g for g in ((*context, names[w])[-2:], (names[w],)) if model.c[g] >= 2), ())
+        assert contexts[to] == longest
+    # a walk carries its state; stretches of any length give the same
+    whole = auto.walk(words, sizes)
+    starts = np.cumsum(sizes) - sizes
+    assert np.add.reduceat(whole, starts) == pytest.approx([model.score(t) for t in texts])
+    state, one = np.zeros(1, np.int64), []
+    for w in words[starts[5] : starts[5] + sizes[5]]:
+        state, p = auto.step(state, np.array([w]))
+        one.append(p[0])
+    assert whole[starts[5] + 1 : starts[5] + sizes[5]] == pytest.approx(one[1:])
+    for stretch in (1, 2, 7):
+        monkeypatch.setattr(language_model, "STRETCH", stretch)
+        assert auto.walk(words, sizes) == pytest.approx(whole)
+
+
 def test_character_trigrams():
     assert len(quality_rules.buckets("äöüß🙂", np.empty(0, np.uint64))[1]) == 3
     first, second = (quality_rules.buckets(t, np.empty(0, np.uint64))[1] for t in ("xäöü", "yäöü"))
