@@ -95,10 +95,12 @@ class Grams:
 
 def summed(keys: np.ndarray, ones: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """The distinct keys by bucket: their values, and the sums of their ones."""
-    keys, counted = np.unique(keys), np.sort(keys[ones])
-    if not len(keys):
+    keys = np.sort(keys << np.uint64(1) | ones.astype(np.uint64))  # at most 64 bits, as buckets are bounded
+    at = np.flatnonzero(np.diff(keys >> np.uint64(1), prepend=~np.uint64(0)))
+    if not len(at):
         return {}
-    n = (np.searchsorted(counted, keys, "right") - np.searchsorted(counted, keys)).astype(np.uint64)
+    n = np.add.reduceat(keys & np.uint64(1), at)
+    keys = keys[at] >> np.uint64(1)
     bucket = (keys >> np.uint64(VALUE_BITS)).astype(np.int64)
     value = keys & np.uint64((1 << VALUE_BITS) - 1)
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
