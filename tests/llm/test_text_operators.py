@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tremorlake.llm import blocks, bpe, compression_quality, language_model, license_scan, quality_rules, toxicity
+from tremorlake.llm import blocks, bpe, common, compression_quality, language_model, license_scan, quality_rules, toxicity
 from tremorlake.llm.common import alnum_words
 
 P = pytest.importorskip("public_tokenizers")
@@ -146,6 +146,61 @@ def test_wrapped_notices(spark):
     assert all(label in r["labels"].split(",") and r["score"] == 1.0 for label, r in zip(want, got))
 
 
+def test_long_templates_and_close_notices(spark):
+    """A template of more words than a block finds its own verbatim text; notices side by side are told one by one."""
+    from pyspark.sql import functions as F
+
+    license_text = " ".join(f"term{i}" for i in range(80))
+    gpl, mit = license_scan.TEMPLATES[6], license_scan.TEMPLATES[1]
+    texts = [f"{'before ' * 30}{license_text} after", license_text, license_text[: len(license_text) // 2]]
+    got = [r["blocks"] for r in license_scan.license_scan(docs(spark, texts), [("own", license_text)]).orderBy("doc_id").collect()]
+    assert [[(b["label"], b["first_word"], b["containment"]) for b in bs] for bs in got] == [[("own", 30, 1.0)], [("own", 0, 1.0)], []]
+    size, wide = len(alnum_words(gpl[1])), len(alnum_words(mit[1]))
+    texts = [" ".join([gpl[1]] * 3), " ".join([mit[1]] * 4), f"{gpl[1]} and {mit[1]} x {gpl[1]}"]
+    got = license_scan.license_scan(docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.col("doc_id"))), [gpl, mit]).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, None}
+    places = {r["doc_id"]: sorted((b["label"], b["first_word"]) for b in r["blocks"] if b["containment"] == 1) for r in got}
+    assert places == {
+        0: [("gpl-3", size * i) for i in range(3)],
+        1: [("mit", wide * i) for i in range(4)],
+        None: [("gpl-3", 0), ("gpl-3", size + wide + 2), ("mit", size + 1)],
+    }
+
+
+def test_notices_keep_the_fullest_block():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        ranks = [int(r) if r < 6 else None for r in rng.integers(0, 14, 60)]
+        width, need = int(rng.integers(4, 14)), int(rng.integers(2, 6))
+        best = max(len({r for r in ranks[i : i + width] if r is not None}) for i in range(len(ranks)))
+        got = license_scan.notices([i for i, r in enumerate(ranks) if r is not None], ranks, width, need)
+        assert max((n for n, _ in got), default=0) == (best if best >= need else 0)
+        assert all(len({r for r in ranks[at : at + width] if r is not None}) >= n >= need for n, at in got)
+        assert [at for _, at in got] == sorted({at for _, at in got})
+
+
+def test_labelled_rows_pass_over_texts_beyond_the_bound(spark, monkeypatch):
+    """Long texts, the first by hash among them, don't hide those after them; the bound holds for either label."""
+    texts = [("long " * 400 if i % 5 == 0 else f"short text {i}") for i in range(60)]
+    y = [i % 2 for i in range(60)]
+    df, labels = docs(spark, texts), label_table(spark, y, "toxic")
+    monkeypatch.setattr(common, "SAMPLE_BYTES", 1500)
+    got = common.labelled_rows(df.unionByName(df.where("doc_id = 7")), labels, "toxic", 100, None)
+    assert [(i, t, k) for i, t, k in got] == [(i, texts[i], y[i]) for i in range(60) if i % 5]
+    monkeypatch.setattr(common, "SAMPLE_BYTES", 100)
+    for k in (0, 1):
+        assert 80 < sum(len(t) for _, t, z in common.labelled_rows(df, labels, "toxic", 100, None) if z == k) <= 100
+    assert len(common.labelled_rows(df, labels, "toxic", 3, None)) == 6 - sum(i % 5 == 0 for i in first_by_hash(spark, labels, 3))
+    assert common.labelled_rows(docs(spark, []), labels, "toxic", 100, None) == []
+
+
+def first_by_hash(spark, labels, n):
+    from pyspark.sql import functions as F
+
+    rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    return [r["doc_id"] for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(2)
     vectors = []

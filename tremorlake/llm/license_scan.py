@@ -1,15 +1,17 @@
 """License scan: exact set containment of license templates in blocks of text.
 
-A block is any ``BLOCK_WORDS`` consecutive words of the whole text (or all of a shorter one), across line breaks, at whatever place. A block
-meets a template when it holds at least ``THRESHOLD`` of the template's distinct words. The search is an
+A block is any ``BLOCK_WORDS`` consecutive words of the whole text (or all of a shorter one), across line breaks, at whatever place; for a
+template of more than ``BLOCK_WORDS / SPREAD`` words it has ``SPREAD`` times the template's. A block
+meets a template when it holds at least ``THRESHOLD`` of the template's distinct words. Blocks that meet a template are told as notices, from the left: one
+that begins behind the fullest block of the notice before is another notice. The search is an
 exact set-similarity join: template words are ordered by their document frequency over the whole corpus
 (one aggregation over the bounded template vocabulary); a block that meets a template holds one
 of its rarest ``size - need + 1`` words (prefix filter), so only blocks around the places of those are looked at, if
 they have enough of the template's words at all (length filter) and enough can be left after the rarest word that
-matched (positional filter); the largest overlap of the blocks is then counted exactly, by a window that slides over the places of the template's words.
+matched (positional filter); the blocks' overlaps are then counted exactly, by a window that slides over the places of the template's words.
 
 Defined edge cases: a null text is empty and gives zero counts, null places and empty labels; a null doc_id stays null;
-a very long text is scanned whole; repeated rows each give a row; equal labels from several blocks are listed once; other
+a very long text is scanned whole; repeated rows each give a row; equal labels from several notices are listed once; other
 columns are ignored, whatever their names; an empty table gives no rows.
 """
 
@@ -39,13 +41,16 @@ TEMPLATES = [
 ]
 THRESHOLD = 0.9
 BLOCK_WORDS = 64
+#: A block has at least so many times the words of the template.
+SPREAD = 1.25
 
 
 class TemplateIndex:
     """Templates with their words as ranks in the global order, rarest first, and the prefixes' inverted lists."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        sets = [(label, {w for w in text.encode().translate(ALNUM_TABLE).split()}) for label, text in templates]
+        sets = [(label, set(alnum_words(text))) for label, text in templates]
+        self.widths = [max(BLOCK_WORDS, math.ceil(SPREAD * len(alnum_words(text)))) for _, text in templates]
         words = sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(words)}
         self.labels = [label for label, _ in sets]
@@ -57,8 +62,8 @@ class TemplateIndex:
                 self.lists.setdefault(r, []).append((t, j))
         self.prefix_words = frozenset(w for w in words if self.rank[w] in self.lists)
 
-    def matches(self, words: list[bytes], width: int) -> list[tuple[int, int, float]]:
-        """(template, first word, share of the template) of the fullest block of each stretch of blocks that meet a template."""
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """(template, first word, share of the template) of every notice."""
         ranks = [self.rank.get(w) for w in words]
         around: dict[int, list[tuple[int, int]]] = {}
         for place, r in enumerate(ranks):
@@ -66,6 +71,7 @@ class TemplateIndex:
                 around.setdefault(t, []).append((place, j))
         out = []
         for t, found in around.items():
+            width = self.widths[t]
             # stretches that hold every block with one of these places
             stretches: list[list[int]] = []
             for place, j in found:
@@ -76,27 +82,32 @@ class TemplateIndex:
             for low, high, j in stretches:
                 hits = [i for i in range(low, high) if ranks[i] in self.sets[t]]
                 if min(len(hits), len(self.sets[t]) - j) >= self.need[t]:
-                    n, first = fullest(hits, ranks, width)
-                    if n >= self.need[t]:
-                        out.append((t, first, n / len(self.sets[t])))
+                    out += [(t, first, n / len(self.sets[t])) for n, first in notices(hits, ranks, width, self.need[t])]
         return out
 
 
-def fullest(hits: list[int], ranks: list, width: int) -> tuple[int, int]:
-    """The most distinct words that ``width`` consecutive places hold, and the first such word's place."""
+def notices(hits: list[int], ranks: list, width: int, need: int) -> list[tuple[int, int]]:
+    """The notices among the places of a template's words: how many of its words each one's fullest block holds, and the first of them.
+
+    Of the blocks that end at a place the shortest with the most words counts; of equally full ones the leftmost.
+    """
     held: dict[int, int] = {}
-    best, left = (0, 0), 0
+    out: list[list[int]] = []
+    left = 0
     for i in hits:
         held[ranks[i]] = held.get(ranks[i], 0) + 1
-        while hits[left] <= i - width:
+        while hits[left] <= i - width or held[ranks[hits[left]]] > 1:
             r = ranks[hits[left]]
             held[r] -= 1
             if not held[r]:
                 del held[r]
             left += 1
-        if len(held) > best[0]:
-            best = len(held), hits[left]
-    return best
+        if len(held) >= need:
+            if not out or hits[left] > out[-1][2]:
+                out.append([0, 0, 0])
+            if len(held) > out[-1][0]:
+                out[-1] = [len(held), hits[left], i]
+    return [(n, first) for n, first, _ in out]
 
 
 def template_words(templates=TEMPLATES) -> frozenset[bytes]:
@@ -104,7 +115,7 @@ def template_words(templates=TEMPLATES) -> frozenset[bytes]:
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: word count, places of the phrases, labels, score and the matched blocks (label, first word, share)."""
+    """Per document: word count, places of the phrases, labels, score and the notices (label, first word, share)."""
     index = TemplateIndex(templates, document_frequencies(docs, template_words(templates)), threshold)
     needles = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
 
@@ -121,7 +132,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
                     at = joined.find(needle, at + 1)
             found: dict[tuple[str, int], float] = {}
             if not index.prefix_words.isdisjoint(words):
-                for t, first, share in index.matches(words, BLOCK_WORDS):
+                for t, first, share in index.matches(words):
                     key = (index.labels[t], first)
                     found[key] = max(share, found.get(key, 0))
             labels = sorted(base | {label for label, _ in found})
