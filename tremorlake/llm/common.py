@@ -8,7 +8,7 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts per Arrow batch; long texts come a few at a time.
@@ -74,8 +74,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: in
     """Id, text and label of at most ``per_class`` training rows of either label, chosen by the smallest hash of their id.
 
     ``held`` is (modulus, remainder) of the held-out rows. The bound holds for what is broadcast
-    (2 * per_class ids) and for what reaches the driver: as many whole texts, the first of them (by hash) up to
-    ``SAMPLE_BYTES`` for either label. Ids with a null id or label give nothing; an id labelled twice takes its larger
+    (2 * per_class ids) and for what reaches the driver: the ids and lengths of as many texts, and for either label
+    whole texts of ``SAMPLE_BYTES`` at most. Texts are taken in the order of their ids' hashes; one that doesn't fit into what is left is
+    passed over, and those after it are still taken. Ids with a null id or label give nothing; an id labelled twice takes its larger
     label; of an id that the table repeats the smallest text counts.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
@@ -85,17 +86,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, target: str, per_class: in
     for y in (0, 1):
         part = rows.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    first = Window.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    got = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .groupBy("doc_id", "_y")
-        .agg(F.min("_text").alias("_text"))
-        .withColumn("_sum", F.sum(F.octet_length("_text").cast("long")).over(first))  # of 2 * per_class rows
-        .where(F.col("_sum") <= SAMPLE_BYTES)
-        .select("doc_id", "_text", "_y")
-        .collect()
+    texts = stage(
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("_text").alias("_text")), "labelled"
     )
+    left, taken = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, []
+    for i, y, size in texts.select("doc_id", "_y", F.octet_length("_text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if size <= left[y]:
+            left[y] -= size
+            taken.append((i,))
+    keep = docs.sparkSession.createDataFrame(taken, docs.select("doc_id").schema)
+    got = texts.join(F.broadcast(keep), "doc_id").select("doc_id", "_text", "_y").collect()
     return sorted(((i, t, y) for i, t, y in got), key=lambda r: r[0])
 
 
