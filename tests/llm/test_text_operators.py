@@ -194,6 +194,28 @@ def test_labelled_rows_pass_over_texts_beyond_the_bound(spark, monkeypatch):
     assert common.labelled_rows(docs(spark, []), labels, "toxic", 100, None) == []
 
 
+def test_blocks_of_similar_examples_are_skipped():
+    """Examples of several groups, dealt in turn: their order by similarity makes blocks of one group, and a query leaves the others out."""
+    rng = np.random.default_rng(5)
+    vectors = []
+    for i in range(1600):
+        t = np.unique(np.r_[rng.choice(30, 6) + 30 * (i % 8), 240])  # one term that all share
+        w = np.where(t == 240, 0.1, rng.random(len(t)) + 0.2)
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex(241, vectors, [i % 2 for i in range(1600)])
+    dense = np.zeros((1600, 241))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for q in range(0, 1600, 40):
+        cosine = np.round(dense @ dense[q], 12)
+        cosine[q] = 0
+        near = index.nearest(vectors[q], without=q)
+        assert [s for _, s in near] == pytest.approx(np.sort(cosine)[::-1][: toxicity.K])
+        assert all(abs(cosine[e] - s) < 1e-9 for e, s in near)
+    assert sorted(index.number.tolist()) == list(range(1600))
+    assert 0 < index.read < 0.5 * index.met
+
+
 def first_by_hash(spark, labels, n):
     from pyspark.sql import functions as F
 

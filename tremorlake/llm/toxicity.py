@@ -3,9 +3,9 @@
 The examples are a bounded, documented sample of labelled rows. All their words are terms; document frequencies come
 from all documents. A word's weight is (1 + log count) * idf, times 1 for words whose document
 counts in the sample don't depend on the label and more for those that do (by standard errors, one text of each group of near copies counted). The
-examples' postings lie in blocks of ``BLOCK`` neighbouring example numbers; each term keeps its largest weight per block. A query
-bounds every block by the sum of its weights times those maxima, scores the ``FIRST`` blocks of the largest bounds and then
-those whose bound reaches the K-th best cosine so far, so the K nearest are exact; equal
+examples, ordered by their most similar pivot, lie in blocks of ``BLOCK``; each term keeps its largest weight per block. A query
+bounds every block by the sum of its weights times those maxima and adds up the blocks by falling bound, ``FIRST`` of them and then twice as many at a
+time, until no bound reaches the K-th best cosine so far, so the K nearest are exact; equal
 cosines go to the smaller example number. Neighbours vote with weights that fall with their distance, beside a small prior vote of label 1's share, and
 a logistic calibration, fitted on the examples with each left out of its own vote, makes the vote a score.
 
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequencies, fit_logistic, labelled_rows, map_texts, mix, sigmoid, small_batches, table, window_hashes
 
 #: At most so many examples of either label.
-SAMPLE_PER_CLASS = 1000
+SAMPLE_PER_CLASS = 4000
 #: Standard errors by which a word's shares under both labels may differ by chance.
 CHANCE = 2.0
-K, BLOCK, FIRST = 15, 64, 4
+K, BLOCK, FIRST, PIVOTS = 15, 64, 8, 24
 PRIOR = 0.5
 HELD = (4, 2)
 THRESHOLD = 0.3
@@ -87,21 +87,41 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def by_similarity(size: int, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The examples' numbers, those with the same most similar pivot (of ``PIVOTS`` examples) together, the most similar first."""
+    if not vectors:
+        return np.empty(0, np.int64)
+    chosen = np.unique(np.linspace(0, len(vectors) - 1, PIVOTS).astype(int))
+    pivots = np.zeros((size, len(chosen)), np.float32)
+    for j, i in enumerate(chosen):
+        pivots[vectors[i][0], j] = vectors[i][1]
+    cosine = np.array([w.astype(np.float32) @ pivots[t] for t, w in vectors])
+    return np.lexsort((-cosine.max(1), cosine.argmax(1)))
+
+
 class BlockMaxIndex:
-    """Postings by term and example, and for each term and block where its postings are and their largest weight."""
+    """Postings by term and place, and for each term and block where its postings are and their largest weight.
+
+    Places are the examples ordered by similarity, so that a block's examples share terms; ``number`` has their numbers.
+    """
 
     def __init__(self, size: int, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int]):
+        self.number = by_similarity(size, vectors)
+        self.place = np.argsort(self.number)
         self.labels = np.array(labels, float)
         self.blocks = -(-len(vectors) // BLOCK)
+        vectors = [vectors[i] for i in self.number.tolist()]
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
         example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
         block, term = self.example // BLOCK, term[order]
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.block, self.start, self.count = block[new], new, np.diff(new, append=len(term))
+        self.block, self.start, self.count = block[new].astype(np.min_scalar_type(self.blocks)), new, np.diff(new, append=len(term))
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.of_term = np.searchsorted(term[new], np.arange(size + 1))
+        #: postings of all terms of the queries so far, and how many of them were added up
+        self.met, self.read = 0, 0
 
     def nearest(self, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[int, float]]:
         """The K examples of the largest cosine above 0, as (number, cosine)."""
@@ -113,27 +133,32 @@ class BlockMaxIndex:
         w, block = np.repeat(weights, sizes), self.block[entries]
         bound = np.bincount(block, w * self.most[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")
+        by_block = np.argsort(block, kind="stable")
+        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         scores = np.zeros(len(self.labels))
-        done = 0
+        self.met += int(self.count[entries].sum())
+        done, turn = 0, FIRST
         while done < len(order):
-            best = np.sort(scores)[-K] if done and len(scores) >= K else 0.0
-            todo = order[done : FIRST if not done else None]
+            best = np.partition(scores, -K)[-K] if len(scores) >= K else 0.0
+            todo = order[done : done + turn]
             todo = todo[bound[todo] >= max(best - 1e-9, 1e-300)]
             if not len(todo):
                 break
-            done = FIRST if not done else len(order)
-            chosen = np.zeros(self.blocks, bool)
-            chosen[todo] = True
-            mine = np.flatnonzero(chosen[block])
+            done += turn
+            mine = by_block[ranges(edges[todo], edges[todo + 1] - edges[todo])]
             n = self.count[entries[mine]]
             places = ranges(self.start[entries[mine]], n)
+            self.read += len(places)
             scores += np.bincount(self.example[places], np.repeat(w[mine], n) * self.weight[places], len(scores))
             if without >= 0:
-                scores[without] = 0
+                scores[self.place[without]] = 0
+            turn *= 2
         scores = np.round(scores, 12)
         found = np.flatnonzero(scores > 0)
-        found = found[np.lexsort((found, -scores[found]))[:K]]
-        return list(zip(found.tolist(), scores[found].tolist()))
+        if len(found) > K:
+            found = found[scores[found] >= np.partition(scores[found], -K)[-K]]
+        found = found[np.lexsort((self.number[found], -scores[found]))[:K]]
+        return list(zip(self.number[found].tolist(), scores[found].tolist()))
 
     def votes(self, near: list[tuple[int, float]], share: float) -> tuple[float, float, float]:
         """Label 1's part of the neighbours' votes, the best cosine, and by how much label 1's best is better.
