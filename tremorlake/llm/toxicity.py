@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequencies, fit_logistic, labelled_rows, map_texts, mix, sigmoid, small_batches, table, window_hashes
 
 #: At most so many examples of either label.
-SAMPLE_PER_CLASS = 4000
+SAMPLE_PER_CLASS = 3000
 #: Standard errors by which a word's shares under both labels may differ by chance.
 CHANCE = 2.0
 K, BLOCK, FIRST, PIVOTS = 15, 64, 8, 24
@@ -44,23 +44,31 @@ def sketch(words: list[bytes], hashed: WordHash) -> tuple[int, ...]:
     return tuple(int(mix(h + np.uint64(k)).min()) for k in range(4)) if len(h) else tuple(words)
 
 
-def association(texts: list[tuple[list[bytes], int]]) -> dict[bytes, float]:
-    """For each word a factor of 1 or more: by how many standard errors its shares of the texts of either label differ, beyond chance."""
-    counts, total, seen, hashed = (Counter(), Counter()), [0, 0], set(), WordHash()
-    for words, y in texts:
-        key = sketch(words, hashed)
-        if words and key not in seen:
+def association(size: int, texts: list[np.ndarray], keys: list[tuple[int, ...]], labels: list[int]) -> np.ndarray:
+    """For each term a factor of 1 or more: by how many standard errors its shares of the texts of either label differ, beyond chance."""
+    counts, total, seen = np.zeros((2, size)), [0, 0], set()
+    for terms, key, y in zip(texts, keys, labels):
+        if len(terms) and key not in seen:
             seen.add(key)
             total[y] += 1
-            counts[y].update(set(words))
+            counts[y, terms] += 1
     n0, n1 = total
     if not n0 or not n1:
-        return {w: 1.0 for c in counts for w in c}
-    out = {}
-    for w in set(counts[0]) | set(counts[1]):
-        p = (counts[0][w] + counts[1][w] + 1) / (n0 + n1 + 2)
-        out[w] = max(1.0, abs(counts[1][w] / n1 - counts[0][w] / n0) / math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) - CHANCE)
-    return out
+        return np.ones(size)
+    p = (counts.sum(0) + 1) / (n0 + n1 + 2)
+    return np.maximum(1.0, np.abs(counts[1] / n1 - counts[0] / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) - CHANCE)
+
+
+def numbered(rows: list) -> tuple[dict[bytes, int], list[tuple[np.ndarray, np.ndarray]], list[tuple[int, ...]]]:
+    """The words of all texts as numbers, each text's terms with their counts, and its ``sketch``; ``rows`` gives up its texts one by one."""
+    number, texts, keys, hashed = {}, [], [], WordHash()
+    for at, (i, text, y) in enumerate(rows):
+        words = alnum_words(text)
+        counts = Counter(words)
+        texts.append((np.array([number.setdefault(w, len(number)) for w in counts], np.int32), np.array(list(counts.values()), np.int32)))
+        keys.append(sketch(words, hashed))
+        rows[at] = (i, None, y)
+    return number, texts, keys
 
 
 class Terms:
@@ -76,9 +84,13 @@ class Terms:
         n = np.fromiter(counts.values(), np.float64, len(counts))
         known = terms >= 0
         terms, n = terms[known], n[known]
-        order = np.argsort(terms)
-        terms, w = terms[order], (1 + np.log(n[order])) * self.weight[terms[order]]
-        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+        return unit(terms, n, self.weight)
+
+
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(terms)
+    terms, w = terms[order], (1 + np.log(counts[order])) * weight[terms[order]]
+    return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -112,12 +124,12 @@ class BlockMaxIndex:
         self.blocks = -(-len(vectors) // BLOCK)
         vectors = [vectors[i] for i in self.number.tolist()]
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
-        example = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
         order = np.lexsort((example, term))
         self.example, self.weight = example[order], np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
         block, term = self.example // BLOCK, term[order]
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-        self.block, self.start, self.count = block[new].astype(np.min_scalar_type(self.blocks)), new, np.diff(new, append=len(term))
+        self.block, self.start, self.count = block[new].astype(np.min_scalar_type(self.blocks)), new.astype(np.int32), np.diff(new, append=len(term))
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.of_term = np.searchsorted(term[new], np.arange(size + 1))
         #: postings of all terms of the queries so far, and how many of them were added up
@@ -173,18 +185,17 @@ class BlockMaxIndex:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
-    """Words, their weights, the examples' vectors, labels and ids, the calibration, the score of texts without a neighbour and label 1's share."""
-    sample = [(i, alnum_words(t), y) for i, t, y in labelled_rows(docs, labels, target, per_class, held)]
+    """Words, their weights, the index's arrays, the examples' ids, the calibration, the score of texts without a neighbour and label 1's share."""
+    sample = labelled_rows(docs, labels, target, per_class, held)
     counts = class_counts(labels, target, held)
     y = np.array([y for *_, y in sample], float)
     if len({*y}) < 2:
-        return [], np.empty(0), [], [], [], None, counts[1] / max(1, sum(counts)), 0.0
-    factor = association([(w, y) for _, w, y in sample])
-    words = sorted(factor)
+        return [], np.empty(0), vars(BlockMaxIndex(0, [], [])), [], None, counts[1] / max(1, sum(counts)), 0.0
+    number, texts, keys = numbered(sample)
+    words = list(number)
     frequency, n = document_frequencies(docs, frozenset(words)), docs.count()
-    weight = np.array([(math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1) * factor[w] for w in words])
-    terms = Terms(words, weight)
-    vectors = [terms.vector(w) for _, w, _ in sample]
+    weight = np.array([math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in words]) * association(len(words), [t for t, _ in texts], keys, y.astype(int).tolist())
+    vectors = [unit(*t, weight) for t in texts]
     rows = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())  # what an example stands for
     share = counts[1] / sum(counts)
     index, x, kept = BlockMaxIndex(len(words), vectors, y.tolist()), [], []
@@ -197,22 +208,23 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     none[kept] = False
     blank = float(((rows * y)[none].sum() + rows.mean() * share) / (rows[none].sum() + rows.mean()))
     w = fit_logistic(np.array(x), y[kept], 1e-4, rows[kept] / rows[kept].mean()).tolist() if len({*y[kept]}) == 2 else [0.0, 0.0, 0.0, math.log(share / (1 - share))]
-    return words, weight, vectors, y.tolist(), [i for i, *_ in sample], w, blank, share
+    return words, weight, vars(index), [i for i, *_ in sample], w, blank, share
 
 
 def scorer(shared):
     """Scores and evidence of texts by the broadcast model, which is plain arrays and lists."""
 
     def make():
-        words, weight, vectors, labels, ids, w, blank, share = shared.value
-        terms, index = Terms(words, weight), BlockMaxIndex(len(words), vectors, labels)
+        words, weight, arrays, ids, w, blank, share = shared.value
+        terms, index = Terms(words, weight), BlockMaxIndex.__new__(BlockMaxIndex)
+        vars(index).update(arrays)
 
         def score(text):
             near = index.nearest(terms.vector(alnum_words(text))) if w else []
             if not near:
                 return blank, []
             p = float(sigmoid(sum(a * b for a, b in zip(w, index.votes(near, share))) + w[-1]))
-            return p, [{"doc_id": ids[e], "cosine": s, "label": int(labels[e])} for e, s in near[:3]]
+            return p, [{"doc_id": ids[e], "cosine": s, "label": int(index.labels[e])} for e, s in near[:3]]
 
         return score
 
