@@ -32,7 +32,7 @@ from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequ
 SAMPLE_PER_CLASS = 3000
 #: Standard errors by which a word's shares under both labels may differ by chance.
 CHANCE = 2.0
-K, BLOCK, FIRST, PIVOTS = 15, 64, 8, 24
+K, BLOCK, FIRST, PIVOTS = 15, 64, 16, 24
 PRIOR = 0.5
 HELD = (4, 2)
 THRESHOLD = 0.3
@@ -145,26 +145,28 @@ class BlockMaxIndex:
         w, block = np.repeat(weights, sizes), self.block[entries]
         bound = np.bincount(block, w * self.most[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
+        bound, rank = bound[order], np.empty(self.blocks, self.block.dtype)
+        rank[order] = np.arange(self.blocks)
+        turn_of = rank[block]
+        by_turn = np.argsort(turn_of, kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(turn_of, minlength=self.blocks)))
+        entries, w = entries[by_turn], w[by_turn]
+        start, count = self.start[entries], self.count[entries]
         scores = np.zeros(len(self.labels))
-        self.met += int(self.count[entries].sum())
+        self.met += int(count.sum())
         done, turn = 0, FIRST
-        while done < len(order):
+        while done < self.blocks:
             best = np.partition(scores, -K)[-K] if len(scores) >= K else 0.0
-            todo = order[done : done + turn]
-            todo = todo[bound[todo] >= max(best - 1e-9, 1e-300)]
-            if not len(todo):
+            upto = done + np.count_nonzero(bound[done : done + turn] >= max(best - 1e-9, 1e-300))
+            if upto == done:
                 break
-            done += turn
-            mine = by_block[ranges(edges[todo], edges[todo + 1] - edges[todo])]
-            n = self.count[entries[mine]]
-            places = ranges(self.start[entries[mine]], n)
+            part = slice(edges[done], edges[upto])
+            places = ranges(start[part], count[part])
             self.read += len(places)
-            scores += np.bincount(self.example[places], np.repeat(w[mine], n) * self.weight[places], len(scores))
+            scores += np.bincount(self.example[places], np.repeat(w[part], count[part]) * self.weight[places], len(scores))
             if without >= 0:
                 scores[self.place[without]] = 0
-            turn *= 2
+            done, turn = done + turn, 2 * turn
         scores = np.round(scores, 12)
         found = np.flatnonzero(scores > 0)
         if len(found) > K:
