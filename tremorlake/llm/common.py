@@ -212,11 +212,11 @@ def release() -> None:
         trim(0)
 
 
-def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -> DataFrame:
+def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint", batches: bool = False) -> DataFrame:
     """One output row per document, whole texts in Arrow batches.
 
     ``make()`` runs once per task and returns a function from a text (null read as empty) to the tuple of
-    the columns of ``schema``.
+    the columns of ``schema``; with ``batches`` from a list of texts to such tuples.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -224,14 +224,15 @@ def map_texts(docs: DataFrame, make, schema: str, keep: str = "doc_id bigint") -
     full = f"{keep}, {schema}"
     arrow = to_arrow_schema(_parse_datatype_string(full))
 
-    def run(batches):
+    def run(parts):
         import pyarrow as pa
 
         fn = make()
-        for batch in batches:
+        for batch in parts:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [fn(t or "") for t in part.column(1).to_pylist()]
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = list(fn(texts)) if batches else [fn(t) for t in texts]
                 columns = [part.column(0), *([r[i] for r in rows] for i in range(len(arrow) - 1))]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
         release()

@@ -3,9 +3,10 @@
 The examples are a bounded, documented sample of labelled rows. All their words are terms; document frequencies come
 from all documents. A word's weight is (1 + log count) * idf, times 1 for words whose document
 counts in the sample don't depend on the label and more for those that do (by standard errors, one text of each group of near copies counted). The
-examples, ordered by their most similar pivot, lie in blocks of ``BLOCK``; each term keeps its largest weight per block. A query
-bounds every block by the sum of its weights times those maxima and adds up the blocks by falling bound, ``FIRST`` of them and then twice as many at a
-time, until no bound reaches the K-th best cosine so far, so the K nearest are exact; equal
+examples, ordered by their most similar pivot, lie in blocks of ``BLOCK``; each term keeps its largest weight per block. The lists of
+frequent terms are stored as rows over all examples and added up first, by one matrix product for a group of texts. A query
+bounds every block by its largest sum so far plus the weights of the other terms times their maxima and adds up the blocks by falling bound, ``FIRST`` of
+them and then twice as many at a time, until no bound reaches the K-th best cosine so far, so the K nearest are exact; equal
 cosines go to the smaller example number. Neighbours vote with weights that fall with their distance, beside a small prior vote of label 1's share, and
 a logistic calibration, fitted on the examples with each left out of its own vote, makes the vote a score.
 
@@ -32,7 +33,10 @@ from .common import WordHash, alnum_words, class_counts, crc_mod, document_frequ
 SAMPLE_PER_CLASS = 3000
 #: Standard errors by which a word's shares under both labels may differ by chance.
 CHANCE = 2.0
-K, BLOCK, FIRST, PIVOTS = 15, 64, 16, 24
+K, BLOCK, FIRST, PIVOTS = 15, 64, 8, 24
+#: Terms that one in ``OFTEN`` examples has or more (``ROWS`` of them at most, the most frequent) are held as rows over all examples; texts meet
+#: them in groups of ``TOGETHER``. Fewer than ``TOGETHER`` such terms stay in blocks, which can be skipped.
+OFTEN, ROWS, TOGETHER = 16, 512, 64
 PRIOR = 0.5
 HELD = (4, 2)
 THRESHOLD = 0.3
@@ -125,25 +129,59 @@ class BlockMaxIndex:
         vectors = [vectors[i] for i in self.number.tolist()]
         term = np.concatenate([np.empty(0, np.int64), *(t for t, _ in vectors)])
         example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        weight = np.concatenate([np.empty(0), *(w for _, w in vectors)])
+        lists = np.bincount(term, minlength=size)
+        longest = np.argsort(-lists, kind="stable")[:ROWS]
+        longest = longest[lists[longest] * OFTEN >= max(1, len(vectors))]
+        longest = longest if len(longest) >= TOGETHER else longest[:0]
+        self.row = np.full(size, -1, np.int32)
+        self.row[longest] = np.arange(len(longest))
+        whole = self.row[term] >= 0
+        self.whole = self.row[term[whole]], example[whole], weight[whole]
+        term, example, weight = term[~whole], example[~whole], weight[~whole]
         order = np.lexsort((example, term))
-        self.example, self.weight = example[order], np.concatenate([np.empty(0), *(w for _, w in vectors)])[order]
+        self.example, self.weight = example[order], weight[order]
         block, term = self.example // BLOCK, term[order]
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.block, self.start, self.count = block[new].astype(np.min_scalar_type(self.blocks)), new.astype(np.int32), np.diff(new, append=len(term))
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.empty(0)
         self.of_term = np.searchsorted(term[new], np.arange(size + 1))
-        #: postings of all terms of the queries so far, and how many of them were added up
+        #: postings (rows, always added up, have none) of all terms of the queries so far, and how many of them were added up
         self.met, self.read = 0, 0
 
+    def rows(self) -> np.ndarray:
+        """The longest lists as rows, made where they are used; they aren't part of what is sent."""
+        if not hasattr(self, "_rows"):
+            self._rows = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * BLOCK))
+            self._rows[self.whole[:2]] = self.whole[2]
+        return self._rows
+
+    def sent(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "_rows"}
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[list[tuple[int, float]]]:
+        """For each query the K examples of the largest cosine above 0, as (number, cosine); ``without`` names an example that each leaves out."""
+        for at in range(0, len(vectors), TOGETHER):
+            group = vectors[at : at + TOGETHER]
+            queries = np.zeros((len(group), len(self.rows())))
+            for q, (terms, weights) in zip(queries, group):
+                row = self.row[terms]
+                q[row[row >= 0]] = weights[row >= 0]
+            for i, (v, scores) in enumerate(zip(group, queries @ self.rows())):
+                yield self._search(v, scores, without[at + i] if without else -1)
+
     def nearest(self, v: tuple[np.ndarray, np.ndarray], without: int = -1) -> list[tuple[int, float]]:
-        """The K examples of the largest cosine above 0, as (number, cosine)."""
+        return next(self.all_nearest([v], [without]))
+
+    def _search(self, v: tuple[np.ndarray, np.ndarray], scores: np.ndarray, without: int) -> list[tuple[int, float]]:
+        """``scores`` has what the longest lists add up to, and zeros behind the last example."""
         terms, weights = v
+        if without >= 0:
+            scores[self.place[without]] = 0
         sizes = self.of_term[terms + 1] - self.of_term[terms]
         entries = ranges(self.of_term[terms], sizes)
-        if not len(entries):
-            return []
         w, block = np.repeat(weights, sizes), self.block[entries]
-        bound = np.bincount(block, w * self.most[entries], self.blocks)
+        bound = np.bincount(block, w * self.most[entries], self.blocks) + scores.reshape(-1, BLOCK).max(1)
         order = np.argsort(-bound, kind="stable")
         bound, rank = bound[order], np.empty(self.blocks, self.block.dtype)
         rank[order] = np.arange(self.blocks)
@@ -152,7 +190,6 @@ class BlockMaxIndex:
         edges = np.append(0, np.cumsum(np.bincount(turn_of, minlength=self.blocks)))
         entries, w = entries[by_turn], w[by_turn]
         start, count = self.start[entries], self.count[entries]
-        scores = np.zeros(len(self.labels))
         self.met += int(count.sum())
         done, turn = 0, FIRST
         while done < self.blocks:
@@ -192,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     counts = class_counts(labels, target, held)
     y = np.array([y for *_, y in sample], float)
     if len({*y}) < 2:
-        return [], np.empty(0), vars(BlockMaxIndex(0, [], [])), [], None, counts[1] / max(1, sum(counts)), 0.0
+        return [], np.empty(0), BlockMaxIndex(0, [], []).sent(), [], None, counts[1] / max(1, sum(counts)), 0.0
     number, texts, keys = numbered(sample)
     words = list(number)
     frequency, n = document_frequencies(docs, frozenset(words)), docs.count()
@@ -201,8 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     rows = np.where(y == 1, counts[1] / y.sum(), counts[0] / (1 - y).sum())  # what an example stands for
     share = counts[1] / sum(counts)
     index, x, kept = BlockMaxIndex(len(words), vectors, y.tolist()), [], []
-    for e, v in enumerate(vectors):
-        near = index.nearest(v, without=e)
+    for e, near in enumerate(index.all_nearest(vectors, list(range(len(vectors))))):
         if near:
             x.append(index.votes(near, share))
             kept.append(e)
@@ -210,24 +246,28 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
     none[kept] = False
     blank = float(((rows * y)[none].sum() + rows.mean() * share) / (rows[none].sum() + rows.mean()))
     w = fit_logistic(np.array(x), y[kept], 1e-4, rows[kept] / rows[kept].mean()).tolist() if len({*y[kept]}) == 2 else [0.0, 0.0, 0.0, math.log(share / (1 - share))]
-    return words, weight, vars(index), [i for i, *_ in sample], w, blank, share
+    return words, weight, index.sent(), [i for i, *_ in sample], w, blank, share
 
 
 def scorer(shared):
-    """Scores and evidence of texts by the broadcast model, which is plain arrays and lists."""
+    """Scores and evidence of a batch's texts by the broadcast model, which is plain arrays and lists."""
 
     def make():
         words, weight, arrays, ids, w, blank, share = shared.value
         terms, index = Terms(words, weight), BlockMaxIndex.__new__(BlockMaxIndex)
         vars(index).update(arrays)
 
-        def score(text):
-            near = index.nearest(terms.vector(alnum_words(text))) if w else []
+        def evidence(near):
             if not near:
                 return blank, []
             p = float(sigmoid(sum(a * b for a, b in zip(w, index.votes(near, share))) + w[-1]))
             return p, [{"doc_id": ids[e], "cosine": s, "label": int(index.labels[e])} for e, s in near[:3]]
 
+        def score(texts):
+            for at in range(0, len(texts), TOGETHER):
+                part = texts[at : at + TOGETHER]
+                yield from map(evidence, index.all_nearest([terms.vector(alnum_words(t or "")) for t in part]) if w else [[]] * len(part))
+
         return score
 
     return make
@@ -236,7 +276,7 @@ def scorer(shared):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] | None = HELD, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """``doc_id, score, evidence``: the evidence is the nearest three examples with their cosines and labels."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, target, held, per_class))  # bounded by the sample
-    return map_texts(docs, scorer(shared), "score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
+    return map_texts(docs, scorer(shared), "score double, evidence array<struct<doc_id:bigint,cosine:double,label:int>>", batches=True)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", held: tuple[int, int] | None = HELD, per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
@@ -247,7 +287,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, target: str = "toxic", hel
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = make()
         for texts in batches:
-            yield pd.Series([fn(t or "")[0] for t in texts], dtype="float64")
+            yield pd.Series([p for p, _ in fn(texts.to_list())], dtype="float64")
 
     return small_batches(docs).where(score("text") < threshold)
 
