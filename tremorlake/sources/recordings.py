@@ -1,21 +1,23 @@
-"""Recordings from array archives: NPZ files natively, MATLAB and HDF5 files where their libraries are installed."""
+"""Recordings from array archives: NPZ and level-5 MATLAB files natively, HDF5 files where its library is installed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .matlab import arrays, variables
+
 SCHEMA = "recording string, sensor string, samples array<double>, sha256 string"
 
 
-def _rows(path: str, arrays):
+def _rows(path: str, values):
     """One row per one-dimensional array; columns of a matrix are numbered sensors."""
     import hashlib
 
     import numpy as np
 
     recording = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    for name, value in arrays:
+    for name, value in values:
         value = np.asarray(value, "<f8")
         for sensor, x in [(name, value)] if value.ndim == 1 else [(f"{name}_{i}", value[:, i]) for i in range(value.shape[1])]:
             yield recording, sensor, np.ascontiguousarray(x), hashlib.sha256(np.ascontiguousarray(x).tobytes()).hexdigest()
@@ -48,16 +50,45 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mat(spark: SparkSession, path: str) -> DataFrame:
-    """The numeric arrays of MATLAB files; takes scipy on the executors."""
+    """The real arrays of one or two dimensions of level-5 MATLAB files; a field of a structure is named ``structure.field``."""
 
     def opened(content):
-        import io
+        squeezed = ((n, v.squeeze()) for n, v in arrays(content) if v.dtype.kind in "fiu")
+        return [(n, v) for n, v in squeezed if v.ndim in (1, 2)]
 
-        from scipy.io import loadmat
+    return _read(spark, path, opened)
 
-        return [(n, v.squeeze()) for n, v in loadmat(io.BytesIO(content)).items() if not n.startswith("__") and v.dtype.kind in "fiu" and v.squeeze().ndim in (1, 2)]
 
-    return _read(spark, path, opened)
+TRACKED = "file string, hour bigint, sdn double, frequencies array<double>, environment map<string,double>"
+
+
+def read_tracked_modes(spark: SparkSession, path: str, structure: str = "modes") -> DataFrame:
+    """``file, hour, sdn, frequencies, environment``: a row for each hour of the structure's fields ``sdn``, ``f`` and ``env``, whose columns ``labels_env`` names.
+
+    Values that aren't finite are null. A file is read by one task.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        clean = lambda row: [float(x) if np.isfinite(x) else None for x in row]
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"]):
+                found = dict(variables(content)).get(structure)
+                if not isinstance(found, dict) or not {"sdn", "f", "env", "labels_env"} <= found.keys():
+                    raise ValueError(f"{file} has no structure {structure} with sdn, f, env and labels_env")
+                times, n = np.ravel(found["sdn"]), np.size(found["sdn"])
+                f, env, labels = found["f"].reshape(n, -1), found["env"].reshape(n, -1), [str(x) for x in found["labels_env"]]
+                if len(labels) != env.shape[1]:
+                    raise ValueError(f"{file} names {len(labels)} of {env.shape[1]} environment channels")
+                for at in range(0, n, 4096):
+                    part = range(at, min(n, at + 4096))
+                    yield pd.DataFrame(
+                        {"file": file, "hour": list(part), "sdn": times[at : part.stop], "frequencies": [clean(f[i]) for i in part], "environment": [dict(zip(labels, clean(env[i]))) for i in part]}
+                    )
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TRACKED)
 
 
 def read_hdf5(spark: SparkSession, path: str, datasets: list[str]) -> DataFrame:
