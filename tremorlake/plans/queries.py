@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.staged import settled
+from ..functions.staged import settled, written
 from ..operators import calibration, detectors, events, modal, physical, segments, spectral, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,6 +605,41 @@ def fdd(spark, sf_dir):
     return rounded(modal.fdd(rows, 100.0, 128).select("record", "bin", "freq_hz", "s1", (first["re"] * first["re"] + first["im"] * first["im"]).alias("first_share")), 2, freq_hz=6, first_share=5)
 
 
+TRACKED_SQL = f"""WITH {segments_sql(128, "m", "CASE WHEN len < 2 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * j / (len - 1)) END")},
+c AS (SELECT record, bin, bin * 100.0 / len AS freq_hz, 100.0 / len AS step, avg(ar * ar + ai * ai) AS aa, avg(br * br + bi * bi) AS bb, avg(ar * br + ai * bi) AS re, avg(ai * br - ar * bi) AS im FROM f WHERE bin * 100.0 / len BETWEEN 2 AND 14 GROUP BY record, len, bin),
+e AS (SELECT *, (aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + re * re + im * im) AS s1 FROM c),
+o AS (SELECT *, (s1 - bb) / (2 * s1 - aa - bb) AS sim, lag(s1) OVER w AS l, lead(s1) OVER w AS rr FROM e WINDOW w AS (PARTITION BY record ORDER BY bin)),
+md AS (SELECT * FROM (VALUES (0, 3.0), (1, 5.0), (2, 7.5), (3, 11.0)) t(mode, f0)),
+k AS (SELECT o.*, mode, row_number() OVER (PARTITION BY record, mode ORDER BY CASE WHEN sim >= 0.6 THEN 0 ELSE 1 END, s1 DESC, bin) AS pick, max(sim) OVER (PARTITION BY record, mode) AS best
+FROM o JOIN md ON abs(freq_hz - f0) <= 0.2 * f0 WHERE s1 > l AND s1 >= rr),
+tr AS (SELECT a.record, md.mode, CASE WHEN sim >= 0.6 THEN freq_hz + step * CASE WHEN ln(l) - 2 * ln(s1) + ln(rr) >= 0 THEN 0 ELSE 0.5 * (ln(l) - ln(rr)) / (ln(l) - 2 * ln(s1) + ln(rr)) END END AS freq_hz, CASE WHEN sim >= 0.6 THEN sim ELSE best END AS similarity
+FROM (SELECT DISTINCT record FROM e) a CROSS JOIN md LEFT JOIN k ON k.record = a.record AND k.mode = md.mode AND pick = 1)"""
+
+
+def tracked(spark, sf_dir):
+    """Modes that move the first channel, followed through the suppliers' decomposed spectra."""
+    rows = two_channels(spark, sf_dir).select("record", "idx", F.array("a", "b").alias("channels"))
+    one = F.array(*[F.struct(F.lit(x).alias("re"), F.lit(0.0).alias("im")) for x in (1.0, 0.0)])
+    modes = spark.createDataFrame([(0, 3.0), (1, 5.0), (2, 7.5), (3, 11.0)], "mode int, freq_hz double").withColumn("shape", one)
+    return modal.track_modes(written(modal.fdd(rows, 100.0, 128)), modes)  # read twice
+
+
+@query(f"{TRACKED_SQL} SELECT record, mode, round(CAST(freq_hz AS DOUBLE), 5) AS freq_hz, round(similarity, 5) AS similarity FROM tr")
+def tracked_modes(spark, sf_dir):
+    return rounded(tracked(spark, sf_dir), 5)
+
+
+@query(f"{TRACKED_SQL} SELECT mode, round(avg(CASE WHEN freq_hz IS NULL THEN 0.0 ELSE 1.0 END), 6) AS tracked_share FROM tr GROUP BY mode")
+def tracked_share(spark, sf_dir):
+    return rounded(modal.tracked_share(tracked(spark, sf_dir)))
+
+
+@query("""SELECT l_suppkey AS record, CAST(c AS INTEGER) AS channel, round(stddev_pop(CASE WHEN c = 0 THEN CAST(l_quantity AS DOUBLE) ELSE l_extendedprice / 1000 END), 6) AS rms
+FROM lineitem CROSS JOIN (SELECT unnest([0, 1]) AS c) GROUP BY 1, 2""")
+def channel_rms(spark, sf_dir):
+    return rounded(modal.channel_rms(two_channels(spark, sf_dir).select("record", F.array("a", "b").alias("channels"))))
+
+
 @query(f"""WITH {segments_sql(64, "s", "CASE WHEN len < 2 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * j / len) END")}
 SELECT record AS recording, CAST(bin AS INTEGER) AS bin, round(CAST(bin * 100.0 / len AS DOUBLE), 6) AS freq_hz, round((pow(sum(ar * br + ai * bi), 2) + pow(sum(ar * bi - ai * br), 2)) / pow(sum(ar * ar + ai * ai), 2), 5) AS power FROM f GROUP BY record, len, bin""")
 def frf_indicator(spark, sf_dir):
