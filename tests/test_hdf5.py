@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tremorlake.plans import shaker
 from tremorlake.sources import hdf5
 
 
@@ -138,3 +140,24 @@ def test_values_and_refusals(spark, tmp_path):
     for file, name, said in ((path, "w", "has no w"), (path, "table", "2 dimensions"), (path, "/", "has no"), (str(tmp_path / "bad.h5"), "v", "not an HDF5"), (str(tmp_path / "cut.h5"), "v", "ends inside")):
         with pytest.raises(Exception, match=said):
             hdf5.read_subset(spark, [file], [name]).collect()
+
+
+def test_shaker_samples_and_command(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hdf5, "ROW_SAMPLES", 100)
+    w, want = Writer(), {}
+    recordings = {}
+    for name, n in (("ref", 1200), ("good", 1000)):
+        x, y, z = RNG.normal(size=n), RNG.normal(size=n), RNG.normal(size=n - 7)
+        want[name] = x, y, z
+        sensors = {"AS": w.group({"z": w.dataset(x)}), "AG01": w.group({"z": w.dataset(y, 128, (2, 1)), "x": w.dataset(y)}), "AG02": w.group({"z": w.dataset(z, 300)})}
+        recordings[name] = w.group({"acceleration": w.group(sensors)})
+    path = w.saved(tmp_path / "s.h5", w.group(recordings))
+    got = shaker.read_shaker_subset(spark, path, ["ref", "good"], "AS/z", ["AG02/z", "AG01/z"]).orderBy("recording", "idx").collect()
+    for name, (x, y, z) in want.items():
+        rows = [r for r in got if r["recording"] == name]
+        assert [r["idx"] for r in rows] == list(range(len(z)))  # up to the shortest sensor's end
+        assert [(r["excitation"], *r["responses"]) for r in rows] == list(zip(x, y, z))
+    argv = ["--fetch", "--source", path, "--cache", str(tmp_path / "cache"), "--reference", "ref", "--holdout", "good", "--responses", "AG01/z", "AG02/z"]
+    monkeypatch.setattr(shaker, "run_study", lambda samples, *_: {"states": samples.groupBy("recording").agg(F.count("*").alias("arm")).withColumnRenamed("recording", "label")})
+    monkeypatch.setattr(shaker.reports, "finish", lambda result, _: {r["label"]: r["arm"] for r in result["states"].collect()})
+    assert shaker.main(argv) == {"ref": 1193, "good": 993}

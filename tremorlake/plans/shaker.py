@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staged import written
 from ..operators import modal, segments, statistics
-from ..sources import recordings
+from ..sources import hdf5, recordings
 from . import reports
 from .states import evaluate_states
 
@@ -54,11 +54,34 @@ def samples_of(arrays: DataFrame, excitation: str = "excitation") -> DataFrame:
     return lists.select("recording", F.posexplode(turned).alias("idx", "_at")).select("recording", F.col("idx").cast("bigint").alias("idx"), "_at.*")
 
 
+def samples_of_ranges(rows: DataFrame, excitation: str) -> DataFrame:
+    """The same from ``recording, sensor, start, samples``: ranges of samples, met by place, so a long recording is spread over tasks."""
+    long = rows.select("recording", "sensor", "start", F.posexplode("samples").alias("_p", "value")).withColumn("idx", F.col("start") + F.col("_p"))
+    drives = F.col("sensor") == excitation
+    at = long.groupBy("recording", "idx").agg(
+        F.count("*").alias("_have"), F.max(F.when(drives, F.col("value"))).alias("excitation"), F.array_sort(F.collect_list(F.when(~drives, F.struct("sensor", "value")))).alias("_y")
+    )
+    sensors = rows.groupBy("recording").agg(F.countDistinct("sensor").alias("_all"))  # a row a recording
+    whole = at.join(sensors, "recording").where(F.col("_have") == F.col("_all"))  # up to the shortest sensor's end
+    return whole.select("recording", "idx", "excitation", F.transform("_y", lambda y: y["value"]).alias("responses"))
+
+
+def read_shaker_subset(spark: SparkSession, path: str, recordings: list[str], excitation: str, responses: list[str], group: str = "acceleration") -> DataFrame:
+    """Samples from an HDF5 file whose datasets are ``recording/group/sensor``; only the named sensors of the named recordings are read."""
+    names = [f"{r}/{group}/{s}" for r in recordings for s in (excitation, *responses)]
+    rows = hdf5.read_subset(spark, [path], names).withColumn("recording", F.substring_index("dataset", "/", 1))
+    sensor = F.expr(f"substring(dataset, length(recording) + {len(group) + 3})")
+    return samples_of_ranges(rows.select("recording", sensor.alias("sensor"), "start", "samples"), excitation)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = argparse.ArgumentParser(description=__doc__)
     a.add_argument("--cache", required=True, help="Parquet with recording, idx, excitation, responses")
     a.add_argument("--fetch", action="store_true", help="make the cache from --source first")
-    a.add_argument("--source", help="NPZ recordings with an array named excitation and one per response")
+    a.add_argument("--source", help="NPZ recordings with an array named excitation and one per response, or one HDF5 file (.h5, .hdf5)")
+    a.add_argument("--recordings", nargs="*", default=[], help="recordings to read from an HDF5 file, the two undamaged ones included")
+    a.add_argument("--excitation", default="AS/z", help="its dataset in an HDF5 recording's acceleration group")
+    a.add_argument("--responses", nargs="*", default=[f"AG{i:02d}/z" for i in range(1, 19)], help="the responses' datasets there")
     a.add_argument("--sampling-hz", type=float, default=100.0)
     a.add_argument("--reference", required=True, help="the undamaged recording to learn from")
     a.add_argument("--holdout", required=True, help="the other undamaged recording; all others keep their names as labels")
@@ -70,7 +93,12 @@ def main(argv: list[str] | None = None) -> int:
         a.error("--fetch takes a --source")
     spark = SparkSession.builder.getOrCreate()
     if args.fetch:
-        samples_of(recordings.read_npz(spark, args.source)).write.mode("overwrite").parquet(args.cache)
+        if args.source.endswith((".h5", ".hdf5")):
+            wanted = list(dict.fromkeys([args.reference, args.holdout, *args.recordings]))
+            made = read_shaker_subset(spark, args.source, wanted, args.excitation, args.responses)
+        else:
+            made = samples_of(recordings.read_npz(spark, args.source))
+        made.write.mode("overwrite").parquet(args.cache)
     samples = reports.found(spark, args.cache, "make it with --fetch")
     if samples is None:
         return reports.NO_DATA
