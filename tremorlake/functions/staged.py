@@ -36,6 +36,19 @@ def settled(df: DataFrame) -> DataFrame:
     return written(df) if len(few) > FEW_ROWS else df.sparkSession.createDataFrame(few, df.schema)
 
 
+#: Rows of a table dealt by key that a task gets, about.
+TASK_ROWS = 250_000
+
+
+def by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by the hash of the keys over so many partitions that tasks keep their size as the table grows (a count says how many).
+
+    Windows, groups and joins on these keys and others besides need no further shuffle.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(parts, *keys)
+
+
 #: At most so many bytes go to a Python worker at once, unless the session has a limit of its own.
 BATCH_BYTES, _BATCH_LIMIT = 32 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 

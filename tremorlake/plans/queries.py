@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.staged import settled, written
+from ..functions.staged import by_key, settled, written
 from ..operators import calibration, detectors, events, modal, physical, segments, spectral, statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,7 +527,7 @@ def sensitivity_sweep(spark, sf_dir):
 def series_by(spark, sf_dir, key: str, value: str = "l_quantity"):
     """All rows of ``lineitem`` as one series for each value of the key: about 30 samples a part, 600 a supplier, at any size of the table."""
     w = Window.partitionBy(key).orderBy(*ROW_ORDER)
-    return read(spark, sf_dir, "lineitem").select(F.col(key).alias("series"), (F.row_number().over(w) - 1).alias("idx"), F.col(value).cast("double").alias("value"))
+    return by_key(read(spark, sf_dir, "lineitem"), key).select(F.col(key).alias("series"), (F.row_number().over(w) - 1).alias("idx"), F.col(value).cast("double").alias("value"))
 
 
 DFT_SQL = """x AS (SELECT l_partkey AS series, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS idx, count(*) OVER (PARTITION BY l_partkey) AS n, CAST(l_quantity AS DOUBLE) AS value FROM lineitem),
@@ -580,7 +580,7 @@ def averaged_psd(spark, sf_dir):
 def two_channels(spark, sf_dir):
     """Records of two channels: quantities and prices of each supplier's lines."""
     w = Window.partitionBy("l_suppkey").orderBy(*ROW_ORDER)
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("record"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
+    return by_key(read(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("record"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"))
 
 
 def segments_sql(length: int, centre: str, window: str) -> str:
@@ -656,7 +656,7 @@ def half_power_damping(spark, sf_dir):
 def mode_tables(spark, sf_dir):
     """For each part the rows of one flag as its reference modes and those of another as its observed ones."""
     w = Window.partitionBy("l_partkey", "l_returnflag").orderBy(*ROW_ORDER)
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_returnflag", F.row_number().over(w).alias("id"), (F.col("l_extendedprice") / 10000 + 0.5).alias("hz"))
+    rows = by_key(read(spark, sf_dir, "lineitem"), "l_partkey").select(F.col("l_partkey").alias("part"), "l_returnflag", F.row_number().over(w).alias("id"), (F.col("l_extendedprice") / 10000 + 0.5).alias("hz"))
     return tuple(rows.where(F.col("l_returnflag") == flag).select("part", F.col("id").alias(f"{x}_id"), F.col("hz").alias(f"{x}_hz")) for flag, x in (("A", "ref"), ("R", "obs")))
 
 
