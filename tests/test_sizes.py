@@ -5,14 +5,27 @@ import os
 import pytest
 
 from tremorlake.functions import staged
+from tremorlake.operators import physical
 from tremorlake.plans import queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
+def nodes(df, name):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count(name)
+
+
 @tables
 def test_rows_of_a_part_are_dealt_over_more_tasks_in_larger_tables(spark, monkeypatch):
     monkeypatch.setattr(staged, "TASK_ROWS", 1000)
     reference, observed = queries.mode_tables(spark, SF)
     assert reference.rdd.getNumPartitions() == observed.rdd.getNumPartitions() == 60
+
+
+def test_consistency_pairs_once(spark):
+    rows = [(p, i, 1.0 + i + p / 10) for p in range(3) for i in range(3)]
+    model, seen = spark.createDataFrame(rows, "part int, ref_id int, ref_hz double"), spark.createDataFrame([(p, i, 0.9 * x) for p, i, x in rows], "part int, obs_id int, obs_hz double")
+    out = physical.model_consistency(model, seen, ["part"])
+    assert nodes(out, "Join") == 1
+    assert [(r.part, round(r.stiffness_ratio, 9), r.paired, round(r.spread_percent, 9)) for r in out.orderBy("part").collect()] == [(p, 0.81, 3, 0.0) for p in range(3)]

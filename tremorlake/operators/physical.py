@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dense import shear_frequencies
@@ -40,7 +40,11 @@ def stiffness_matrix(models: DataFrame) -> DataFrame:
 def model_consistency(model: DataFrame, measured: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row (for each structure that ``keys`` name) from ``model(ref_id, ref_hz)`` and ``measured(obs_id, obs_hz)``: the median squared ratio and its spread in percent; nulls without pairs."""
     paired = pair_modes(model, measured, keys).select(*keys, F.pow(F.col("obs_hz") / F.col("ref_hz"), 2).alias("r"))
-    middle = paired.groupBy(*keys).agg(F.median("r").alias("stiffness_ratio"), F.count("*").alias("paired"))
-    both = paired.join(middle, list(keys)) if keys else paired.crossJoin(F.broadcast(middle))  # one row
-    spread = both.groupBy(*keys).agg((100 * F.median(F.abs(F.col("r") - F.col("stiffness_ratio"))) / F.max("stiffness_ratio")).alias("spread_percent"))
-    return middle.join(spread, list(keys)) if keys else middle.crossJoin(spread)
+    median, count = F.median("r").alias("stiffness_ratio"), F.count("*").alias("paired")
+    away = (100 * F.median(F.abs(F.col("r") - F.col("stiffness_ratio"))) / F.max("stiffness_ratio")).alias("spread_percent")
+    if keys:  # a structure's pairs lie in one task already, and are few
+        whole = Window.partitionBy(*keys)
+        both = paired.select("*", F.median("r").over(whole).alias("stiffness_ratio"))
+        return both.groupBy(*keys).agg(F.max("stiffness_ratio").alias("stiffness_ratio"), count, away)
+    middle = paired.agg(median, count)
+    return middle.crossJoin(paired.crossJoin(F.broadcast(middle)).agg(away))  # one row
