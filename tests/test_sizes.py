@@ -29,3 +29,12 @@ def test_consistency_pairs_once(spark):
     out = physical.model_consistency(model, seen, ["part"])
     assert nodes(out, "Join") == 1
     assert [(r.part, round(r.stiffness_ratio, 9), r.paired, round(r.spread_percent, 9)) for r in out.orderBy("part").collect()] == [(p, 0.81, 3, 0.0) for p in range(3)]
+
+
+def test_cross_spectra_meet_without_a_join_of_spectra(spark):
+    """Segments are shuffled once with all channels; only their sums are dealt out again."""
+    from tremorlake.operators import modal
+
+    rows = [(r, i, [float((i * 7 + r) % 11), float(i % 5)]) for r in range(2) for i in range(300)]
+    samples = spark.createDataFrame(rows, "record int, idx int, channels array<double>")
+    assert nodes(modal.fdd(samples, 100.0, 128), "Join") == 1  # of samples and their counts

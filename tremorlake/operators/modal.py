@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import mac, parabolic_offset
-from ..functions.dense import prominent_peaks
+from ..functions.dense import hann_window, prominent_peaks
+from ..functions.staged import bounded_batches
 from . import spectral
 
 SHAPE = "array<struct<re:double,im:double>>"
@@ -16,37 +17,78 @@ FDD_LENGTH, FDD_BAND, FDD_PROMINENCE, FDD_MODES = 2048, (2.0, 14.0), 0.5, 5
 MIN_MAC, SEARCH = 0.6, 0.2
 
 
-def _segment_bins(samples: DataFrame, keys: list[str], values, length: int, detrend: bool, periodic: bool) -> DataFrame:
-    """``keys, channel, segment, n, bin, re, im``: spectra of half-overlapping segments of every channel; short records are one segment.
+def _cross_sums(samples: DataFrame, keys: list[str], values: Column, length: int, sampling_hz: float, band: tuple[float, float], detrend: bool, periodic: bool, channels: int = 0, first: bool = False) -> DataFrame:
+    """``keys, n, bin, i, j, re, im, segments``: X_i conj(X_j) of channels i <= j (with ``first`` i = 0 only), summed over the half-overlapping segments of each record, for the bins inside a band.
 
-    ``idx`` counts the samples of a record without gaps, from any number. Segments of one channel are what tasks work on, so one long record is spread over many.
+    ``idx`` counts the samples of a record without gaps, from any number; short records are one segment. A segment with all its channels is a cell, and cells are
+    what tasks work on, so one long record is spread over many; what a batch adds up for a record is what is shuffled. Without ``detrend`` the
+    means of ``channels`` channels over the record go instead of each segment's own.
     """
-    counted = samples.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("idx").alias("_first"))
-    long = samples.join(counted, keys).select(*keys, (F.col("idx") - F.col("_first")).alias("idx"), "_n", F.posexplode(values).alias("channel", "value"))
-    if not detrend:  # the channel's mean over the record goes instead
-        mean = long.groupBy(*keys, "channel").agg(F.avg("value").alias("_mean"))
-        long = long.join(mean, [*keys, "channel"]).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean")
-    size = F.least(F.lit(length), F.col("_n"))
-    named = [*keys, "channel", "segment"]
-    return spectral.bins(spectral.fourier(spectral.gathered(spectral.half_overlapping(long, size), named), named, detrend, periodic), named)
+    means = [] if detrend else [F.array(*[F.avg(F.get(values, F.lit(i))) for i in range(max(1, channels))]).alias("_mean")]
+    counted = samples.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("idx").alias("_first"), *means)
+    value = values if detrend else F.zip_with(values, "_mean", lambda x, m: x - m)
+    long = samples.join(counted, keys).where(F.size(values) > 0).select(*keys, (F.col("idx") - F.col("_first")).alias("idx"), "_n", value.alias("value"))
+    cells = spectral.gathered(spectral.half_overlapping(long, F.least(F.lit(length), F.col("_n"))), [*keys, "segment"])
+    names, kinds = list(keys), [f"`{k}` {samples.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept = [*names, "n", "low", "i", "j", "segments", "re", "im"]
+        for batch in batches:
+            x = batch.column(len(names))
+            lengths, inner = x.value_lengths().to_numpy(zero_copy_only=False), x.flatten()
+            wide = inner.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(wide):
+                continue
+            m = np.full((len(wide), wide.max()), np.nan)
+            m[np.arange(wide.max()) < wide[:, None]] = inner.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(lengths) - lengths
+            have = np.maximum.reduceat(wide, starts)  # channels of each segment
+            number, record = {}, np.empty(len(x), np.int64)
+            for at, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(names))))):
+                record[at] = number.setdefault(key, at)  # the batch's first row of the record
+            out = {k: [] for k in kept[len(names) :]}
+            rows = []
+            for n, p in sorted({*zip(lengths.tolist(), have.tolist())}):
+                at = np.flatnonzero((lengths == n) & (have == p))
+                at = at[np.argsort(record[at], kind="stable")]
+                new = np.flatnonzero(np.diff(record[at], prepend=-1))
+                freq = np.arange(n // 2 + 1) * sampling_hz / n
+                inside = np.flatnonzero((freq >= band[0]) & (freq <= band[1]))
+                if not len(inside):
+                    continue
+                part = m[starts[at][:, None] + np.arange(n)][:, :, :p]
+                part = part - part.mean(axis=1, keepdims=True) if detrend else part
+                spectra = np.fft.rfft(part * hann_window(int(n), periodic)[None, :, None], axis=1)[:, inside]
+                for i in range(1 if first else p):
+                    for j in range(i, p):
+                        sums = np.add.reduceat(spectra[:, :, i] * np.conj(spectra[:, :, j]), new, axis=0)
+                        rows.append(at[new])
+                        for k, v in (("n", [n] * len(new)), ("low", [inside[0]] * len(new)), ("i", [i] * len(new)), ("j", [j] * len(new)), ("segments", np.diff(new, append=len(at))), ("re", sums.real), ("im", sums.imag)):
+                            out[k].extend(v)
+            if rows:
+                kinds_of = {"n": pa.int64(), "low": pa.int32(), "i": pa.int32(), "j": pa.int32(), "segments": pa.int64(), "re": pa.list_(pa.float64()), "im": pa.list_(pa.float64())}
+                named = [batch.column(i).take(pa.array(np.concatenate(rows))) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*named, *(pa.array(v, kinds_of[k]) for k, v in out.items())], kept)
+
+    ordered = F.transform(F.array_sort("samples"), lambda s: s["value"])
+    summed = bounded_batches(cells).select(*names, ordered.alias("x")).mapInArrow(run, ", ".join([*kinds, "n bigint, low int, i int, j int, segments bigint, re array<double>, im array<double>"]))
+    bins = summed.select(*names, "n", "low", "i", "j", "segments", F.posexplode(F.arrays_zip("re", "im")).alias("place", "c"))
+    return bins.groupBy(*names, "n", (F.col("low") + F.col("place")).alias("bin"), "i", "j").agg(F.sum("c.re").alias("re"), F.sum("c.im").alias("im"), F.sum("segments").alias("segments"))
 
 
 def frf_indicator(samples: DataFrame, sampling_hz: float, length: int = FRF_LENGTH) -> DataFrame:
     """``recording, window, bin, freq_hz, power``: mean over the outputs of the squared H1 response to the excitation; null where that has no power.
 
-    ``samples`` has ``recording, window, idx, excitation, responses array<double>``; cross and auto spectra are sums over segments.
+    ``samples`` has ``recording, window, idx, excitation, responses array<double>``; cross and auto spectra are sums over segments, taken where the segments are transformed.
     """
     keys = ["recording", "window"]
     values = F.concat(F.array(F.col("excitation").cast("double")), F.col("responses").cast("array<double>"))
-    spectra = _segment_bins(samples, keys, values, length, True, True)
-    at = [*keys, "segment", "n", "bin"]
-    drive = spectra.where("channel = 0").select(*at, F.col("re").alias("_re"), F.col("im").alias("_im"))
-    both = spectra.where("channel > 0").join(drive, at)
-    sums = both.groupBy(*keys, "n", "bin", "channel").agg(
-        F.sum(F.col("_re") * F.col("re") + F.col("_im") * F.col("im")).alias("re"), F.sum(F.col("_re") * F.col("im") - F.col("_im") * F.col("re")).alias("im"), F.sum(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")).alias("auto")
-    )
-    response = F.try_divide(F.col("re") * F.col("re") + F.col("im") * F.col("im"), F.col("auto") * F.col("auto"))
-    mean = sums.groupBy(*keys, "n", "bin").agg(F.avg(response).alias("power"))
+    sums = _cross_sums(samples, keys, values, length, sampling_hz, (0.0, float("inf")), True, True, first=True)
+    auto, answer = F.max(F.when(F.col("j") == 0, F.col("re"))), F.avg(F.when(F.col("j") > 0, F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    mean = sums.groupBy(*keys, "n", "bin").agg(auto.alias("_auto"), answer.alias("_answer"), F.max("j").alias("_last")).where("_last > 0")
+    mean = mean.withColumn("power", F.try_divide(F.col("_answer"), F.col("_auto") * F.col("_auto")))
     return mean.select("recording", F.col("window").cast("bigint").alias("window"), "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), "power")
 
 
@@ -93,14 +135,10 @@ def fdd(samples: DataFrame, sampling_hz: float, length: int = FDD_LENGTH, band:
     ``samples`` has ``record, idx, channels array<double>``; the channels lose their mean over the record. Products of
     channels are averaged over segments; a task sees one bin's matrix. That of two channels is solved as a column.
     """
-    spectra = _segment_bins(samples, ["record"], F.col("channels").cast("array<double>"), length, False, False)
-    freq = F.col("bin") * sampling_hz / F.col("n")
-    spectra = spectra.withColumn("freq_hz", freq).where(F.col("freq_hz").between(*band))
-    at = ["record", "segment", "bin", "freq_hz"]
-    other = spectra.select(*at, F.col("channel").alias("j"), F.col("re").alias("_re"), F.col("im").alias("_im"))
-    pairs = spectra.join(other, at).where("channel <= j").groupBy("record", "bin", "freq_hz", F.col("channel").alias("i"), "j")
-    cross = pairs.agg(F.avg(F.col("re") * F.col("_re") + F.col("im") * F.col("_im")).alias("re"), F.avg(F.col("im") * F.col("_re") - F.col("re") * F.col("_im")).alias("im"))
     channels = (samples.agg(F.max(F.size("channels"))).first()[0] or 0) if samples.columns else 0
+    sums = _cross_sums(samples, ["record"], F.col("channels").cast("array<double>"), length, sampling_hz, band, False, False, channels)
+    freq = (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz")
+    cross = sums.select("record", "bin", freq, "i", "j", *[(F.col(c) / F.col("segments")).alias(c) for c in ("re", "im")])
     if channels == 2:
         pick = lambda i, j, c: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col(c)))
         two = cross.groupBy("record", "bin", "freq_hz").agg(pick(0, 0, "re").alias("_a"), pick(1, 1, "re").alias("_d"), pick(0, 1, "re").alias("_re"), pick(0, 1, "im").alias("_im"))
