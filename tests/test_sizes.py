@@ -38,3 +38,41 @@ def test_cross_spectra_meet_without_a_join_of_spectra(spark):
     rows = [(r, i, [float((i * 7 + r) % 11), float(i % 5)]) for r in range(2) for i in range(300)]
     samples = spark.createDataFrame(rows, "record int, idx int, channels array<double>")
     assert nodes(modal.fdd(samples, 100.0, 128), "Join") == 1  # of samples and their counts
+
+
+def test_periodogram_makes_its_bins_without_a_second_pass(spark):
+    from tremorlake.operators import spectral
+
+    signal = spark.createDataFrame([(s, i, float((i * 5 + s) % 7)) for s in range(3) for i in range(12)] + [(None, 0, 1.0)], "series int, idx int, value double")
+    dft = spectral.periodogram_dft(signal, 100.0)
+    assert nodes(dft, "Join") == 0
+    key = lambda df: sorted((r.series, r.bin, round(r.freq_hz, 6), round(r.power, 6)) for r in df.collect())
+    assert key(dft) == key(spectral.periodogram(signal.where("series is not null"), 100.0))
+
+
+def test_meetings_leave_a_task_in_small_frames(spark, monkeypatch):
+    """A task's Python holds a bounded number of bounds and of copied queries, and the answers stay exact."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tremorlake.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "RING_ROWS", 8)
+    monkeypatch.setattr(neighbours, "CELLS", 200)
+    monkeypatch.setattr(neighbours, "SENT", 7)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 6)), np.ones((20, 6))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "qid bigint, v array<double>")
+    index = neighbours.PivotIndex.build(rows, "qid")
+    asked = rows.select("qid", "v", F.lit(None).cast("array<double>").alias("ratio"), F.col("qid").alias("skip"))
+    sizes = []
+    frame = type(asked)
+    real = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, fn, schema: sizes.extend(len(p) for p in fn(iter([self.toPandas()]))) or real(self, fn, schema))
+    index._meetings(asked, 3, False)
+    assert sizes and max(sizes) <= 7
+    monkeypatch.setattr(frame, "mapInPandas", real)
+    found = {r.qid: r.mean for r in index.nearest(asked, 3).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    assert np.allclose([found[i] for i in range(len(x))], np.sort(far, axis=1)[:, :3].mean(axis=1), atol=1e-12)

@@ -24,11 +24,11 @@ def windowed(signal: DataFrame) -> DataFrame:
 
 
 def periodogram_dft(signal: DataFrame, sampling_hz: float) -> DataFrame:
-    """One-sided periodogram of short series by definition: a join of bins and samples, then two sums."""
-    x = windowed(signal)
-    bins = x.groupBy("series").agg(F.max("n").alias("n")).select("series", F.explode(F.sequence(F.lit(0), (F.col("n") / 2).cast("int"))).alias("bin"))
+    """One-sided periodogram of short series by definition: every sample meets every bin of its series, then two sums."""
+    x = windowed(signal.where("series is not null"))
+    met = x.select("*", F.explode(F.sequence(F.lit(0), (F.col("n") / 2).cast("int"))).alias("bin"))
     angle = 2 * F.pi() * F.col("bin") * F.col("idx") / F.col("n")
-    sums = x.join(bins, "series").groupBy("series", "bin", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("_re"), F.sum(F.col("x") * F.sin(angle)).alias("_im"))
+    sums = met.groupBy("series", "bin", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("_re"), F.sum(F.col("x") * F.sin(angle)).alias("_im"))
     return sums.select("series", "bin", (F.col("bin") * sampling_hz / F.col("n")).alias("freq_hz"), ((F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im")) / F.col("n")).alias("power"))
 
 
