@@ -24,6 +24,8 @@ PIVOTS, PIVOT_SAMPLE = 64, 2048
 RING_ROWS, MAX_RINGS = 1024, 65_536
 #: Rings of the first round; queries that meet a ring in one task.
 FIRST_RINGS, QUERIES = 3, 20_000
+#: Bounds of queries to rings, and meetings of the two, that a task holds at once.
+CELLS, SENT = 1_000_000, 10_000
 
 
 def spread_out(sample: np.ndarray, count: int) -> np.ndarray:
@@ -39,6 +41,33 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1])), 0))
 
 
+def least_squares(a: np.ndarray, b: np.ndarray, w: np.ndarray, away: np.ndarray | None, k: int) -> np.ndarray:
+    """The k least of the sums of ((a - b) w)^2 of each row of ``a`` to the rows of ``b``, ascending; pairs that are ``away`` are infinite.
+
+    Matrix products say which pairs can be among them, within what their rounding allows; those are summed term by term.
+    """
+    w2 = w * w
+    own, other = (w2 * a * a).sum(axis=1), w2 @ (b * b).T
+    own, near = own[:, None], own[:, None] - 2 * (w2 * a) @ b.T + other
+    slack = 1e-12 * np.where(np.isfinite(own + other), own + other, 0).max(axis=1) * a.shape[1]
+    near[np.isnan(near)] = np.inf  # what isn't finite is no neighbour
+    if away is not None:
+        near[away] = np.inf
+    kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero(near <= (kth + slack)[:, None])
+    exact = np.empty(len(i))
+    for at in range(0, len(i), 50_000):
+        p = slice(at, at + 50_000)
+        exact[p] = (((a[i[p]] - b[j[p]]) * w[i[p]]) ** 2).sum(axis=1)
+    exact[np.isnan(exact)] = np.inf
+    if away is not None:
+        exact[away[i, j]] = np.inf
+    order = np.lexsort((exact, i))
+    i, exact = i[order], exact[order]
+    starts = np.searchsorted(i, np.arange(len(a)))
+    return exact[starts[:, None] + np.arange(k)]
+
+
 @dataclass
 class PivotIndex:
     """``rings`` has ring, pivot, lo, hi, n; ``rows`` has ring, id, v. Both are written tables."""
@@ -98,9 +127,8 @@ class PivotIndex:
         def run(batches):
             import pandas as pd
 
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            step = max(1, CELLS // max(1, len(t["ring"])))
+            for pdf in (whole.iloc[at : at + step] for whole in batches for at in range(0, len(whole), step)):
                 least = np.array([1.0 if w is None else np.min(w) for w in pdf["ratio"]])
                 far = distances(np.stack(pdf["v"].to_list()), pivots)[:, t["pivot"]]
                 low = np.maximum(0, np.maximum(far - t["hi"], t["lo"] - far)) * least[:, None]
@@ -115,9 +143,11 @@ class PivotIndex:
                 else:
                     spans = [order[i, :a] for i, a in enumerate(first)]
                 each = np.repeat(np.arange(len(pdf)), [len(s) for s in spans])
-                out = pdf[["qid", "v", "ratio", "skip"]].iloc[each].reset_index(drop=True)
-                out["ring"] = t["ring"][np.concatenate(spans)] if len(each) else np.zeros(0, np.int64)
-                yield out
+                ring = t["ring"][np.concatenate(spans)] if len(each) else np.zeros(0, np.int64)
+                for at in range(0, len(each), SENT):  # a row carries its query's vector, so few go at once
+                    out = pdf[["qid", "v", "ratio", "skip"]].iloc[each[at : at + SENT]].reset_index(drop=True)
+                    out["ring"] = ring[at : at + SENT]
+                    yield out
 
         return queries.mapInPandas(run, "qid bigint, v array<double>, ratio array<double>, skip string, ring bigint")
 
@@ -138,11 +168,8 @@ class PivotIndex:
             step = max(1, 2_000_000 // len(b))
             for at in range(0, len(a), step):
                 part = slice(at, at + step)
-                squares = sum(((a[part, None, i] - b[None, :, i]) * w[part, None, i]) ** 2 for i in range(a.shape[1]))
-                if any(s is not None for s in skip[part]):
-                    squares[skip[part][:, None] == ids[None, :]] = np.inf
-                least = np.sort(np.partition(squares, min(k, len(b)) - 1, axis=1)[:, :k], axis=1)
-                out.append(np.sqrt(least))
+                away = skip[part][:, None] == ids[None, :] if any(s is not None for s in skip[part]) else None
+                out.append(np.sqrt(least_squares(a[part], b, w[part], away, min(k, len(b)))))
             found = np.concatenate(out)
             pdf = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), found.shape[1]), "d": found.ravel()})
             return pdf[np.isfinite(pdf["d"])]
