@@ -124,8 +124,8 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
         release()
 
-    rows = small_batches(docs).select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r[0]): r[1] for r in rows}
+    rows = small_batches(docs).select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist()))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weights: np.ndarray | None = None, steps: int = 60) -> np.ndarray:

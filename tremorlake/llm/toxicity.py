@@ -108,10 +108,13 @@ def by_similarity(size: int, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np
     if not vectors:
         return np.empty(0, np.int64)
     chosen = np.unique(np.linspace(0, len(vectors) - 1, PIVOTS).astype(int))
-    pivots = np.zeros((size, len(chosen)), np.float32)
+    held = np.unique(np.concatenate([vectors[i][0] for i in chosen]))
+    place = np.full(size, len(held), np.int32)  # terms that no pivot has share a row of zeros
+    place[held] = np.arange(len(held))
+    pivots = np.zeros((len(held) + 1, len(chosen)), np.float32)
     for j, i in enumerate(chosen):
-        pivots[vectors[i][0], j] = vectors[i][1]
-    cosine = np.array([w.astype(np.float32) @ pivots[t] for t, w in vectors])
+        pivots[place[vectors[i][0]], j] = vectors[i][1]
+    cosine = np.array([w.astype(np.float32) @ pivots[place[t]] for t, w in vectors])
     return np.lexsort((-cosine.max(1), cosine.argmax(1)))
 
 
@@ -232,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str, held, per_class: int):
         return [], np.empty(0), BlockMaxIndex(0, [], []).sent(), [], None, counts[1] / max(1, sum(counts)), 0.0
     number, texts, keys = numbered(sample)
     words = list(number)
+    del number
     frequency, n = document_frequencies(docs, frozenset(words)), docs.count()
     weight = np.array([math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in words]) * association(len(words), [t for t, _ in texts], keys, y.astype(int).tolist())
     vectors = [unit(*t, weight) for t in texts]
