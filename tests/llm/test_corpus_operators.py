@@ -66,6 +66,19 @@ def test_ngram_join(spark, monkeypatch, slice_):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+def test_searches_give_memory_back(monkeypatch):
+    """A search over many shingles gives its memory back, so that workers of several stages fit into an executor; small ones don't spend time on it."""
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(ngram_join, "release", lambda: given.append(1), raising=False)
+    for n, times in ((100, 0), (40_000, 1)):
+        sets = [np.arange(i, i + n, dtype=np.int64) for i in range(4)]
+        group = pa.table({"root": [1] * 4, "node": [1, 2, 3, 4], "n": [n] * 4, "shared": pa.array(sets, pa.list_(pa.int64())), "role": [2] * 4})
+        assert ngram_join.search(group).num_rows == 3
+        assert len(given) == times
+
+
 def test_links_of_rows_without_id(spark):
     texts = near_copies(4)
     copies = docs(spark, [texts[i] + " more" for i in (7, 13, 18)]).withColumn("doc_id", F.lit(None).cast("bigint"))

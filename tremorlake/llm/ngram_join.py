@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import bucket_count, pack, squeeze, stretch, unpack
-from .common import WordHash, fresh, mix, stage, table, window_hashes
+from .common import WordHash, fresh, mix, release, stage, table, window_hashes
 from .components import connected_components
 
 WIDTH = 5
 PERCENT = 75
 SLICE = 512
+#: A search over so many bytes gives its memory back at once; Python workers outlive it.
+RELEASED = 1 << 20
 
 
 def shingle_set(text: str, hashed: WordHash) -> np.ndarray:
@@ -99,6 +101,7 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, names, parts, held = asked(block_sets(payload.as_buffer(), hashed)[4], buckets)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int32()), "block": pa.array([number] * len(names), pa.int64()), "hashes": pa.array([squeeze(p) for p in parts], pa.binary()), "held": pa.array([squeeze(h) for h in held], pa.binary())})
+        release()
 
     def answer(requests):
         import pyarrow as pa
@@ -112,6 +115,8 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         total = np.empty(len(flat), np.uint64)
         total[order] = np.add.reduceat(np.concatenate(held)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         out = [squeeze(x) for x in np.split(total, ends)]
+        del parts, held, flat, order, new, total
+        release()
         return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "counts": pa.array(out, pa.binary())})
 
     def assemble(packed, answers):
@@ -132,6 +137,8 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     by = np.lexsort((s, c))
                     shared[node] = s[by[(c[by] > 1)]].view(np.int64)
             rows += [(i, m, len(s), n, shared.pop(n, None)) for i, m, s, n in zip(ids, marks, sets, nodes)]  # each set once
+            del ids, marks, sets, nodes, distinct, place, counts
+        release()
         return pa.table({n: pa.array(c, t) for n, t, c in zip(("doc_id", "mark", "n_shingles", "node", "shared"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), zip(*rows))})
 
     answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, held binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, counts binary")
@@ -202,6 +209,11 @@ def search(group):
             for i in index[lists.query(int(sizes[q]), sets[q])]:
                 a, b = find(int(nodes[q])), find(int(nodes[i]))
                 parent[max(a, b)] = min(a, b)
+        del lists
+    large = group.nbytes >= RELEASED
+    del sets
+    if large:
+        release()
     stars = [(n, find(n)) for n in parent]
     stars = [(a, b) for a, b in stars if a != b]
     return pa.table({"a": pa.array([a for a, _ in stars], pa.int64()), "b": pa.array([b for _, b in stars], pa.int64())})
