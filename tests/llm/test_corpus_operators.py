@@ -362,3 +362,22 @@ def test_warc_damage(spark, tmp_path):
         (tmp_path / name / "a.warc.gz").write_bytes(good + data)
         with pytest.raises(Exception, match=says):
             warc.read_archives(spark, "file://" + str(tmp_path / name)).collect()
+
+
+@pytest.mark.parametrize("edit", ["none", "replace"])
+def test_edited_copies_of_a_middle_document(spark, monkeypatch, edit):
+    """The first document and the one before hold a part of a passage each; one between them holds all of it, edited. No min-hash decides."""
+    monkeypatch.setattr(substring_dedup, "MIN_HASHES", substring_dedup.HASHES)
+    rng = np.random.default_rng(12)
+    texts, want = [], {}
+    for _ in range(15):
+        passage, sides = words(rng, 60, 10**6), [words(rng, 60, 10**6) for _ in range(4)]
+        edited = list(passage)
+        if edit == "replace":
+            edited[30] = "new"
+        texts += [" ".join(sides[0] + passage[:35]), " ".join(sides[1] + edited), " ".join(sides[2] + passage[15:]), " ".join(sides[3][:30] + passage + sides[3][30:])]
+        want[len(texts) - 1] = set(range(30, 90))
+    got = defaultdict(set)
+    for d, first, n, _ in spans_of(spark, texts):
+        got[d].update(range(first, first + n))
+    assert {d: got[d] for d in want} == want

@@ -195,3 +195,19 @@ def stretch(data: bytes):
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+def added(parts: list[bytes], held: list[bytes]) -> list[bytes]:
+    """For each request to a bucket (hashes and a number for each) the sums of all requests' numbers for its hashes."""
+    import numpy as np
+
+    hashes, numbers = [stretch(x) for x in parts], [stretch(x) for x in held]
+    ends = np.cumsum([len(x) for x in hashes])[:-1]
+    flat = np.concatenate(hashes)
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[order][1:] != flat[order][:-1]
+    total = np.empty(len(flat), np.uint64)
+    if len(flat):
+        total[order] = np.add.reduceat(np.concatenate(numbers)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return [squeeze(x) for x in np.split(total, ends)]

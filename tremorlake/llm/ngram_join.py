@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, pack, squeeze, stretch, unpack
+from .blocks import added, bucket_count, pack, squeeze, stretch, unpack
 from .common import WordHash, fresh, mix, release, stage, table, window_hashes
 from .components import connected_components
 
@@ -106,16 +106,7 @@ def shared_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def answer(requests):
         import pyarrow as pa
 
-        parts, held = ([stretch(x) for x in requests.column(c).to_pylist()] for c in ("hashes", "held"))
-        ends = np.cumsum([len(p) for p in parts])[:-1]
-        flat = np.concatenate(parts)
-        order = np.argsort(flat, kind="stable")
-        new = np.ones(len(flat), bool)
-        new[1:] = flat[order][1:] != flat[order][:-1]
-        total = np.empty(len(flat), np.uint64)
-        total[order] = np.add.reduceat(np.concatenate(held)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        out = [squeeze(x) for x in np.split(total, ends)]
-        del parts, held, flat, order, new, total
+        out = added(*(requests.column(c).to_pylist() for c in ("hashes", "held")))
         release()
         return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "counts": pa.array(out, pa.binary())})
 

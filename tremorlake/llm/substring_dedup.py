@@ -17,9 +17,10 @@ trimmed to shingles that agree.
 
 Each document is compared with first holders and, where it is another one, with the holder before it (of the values that
 both hold, the largest smaller doc_id), so a passage that thousands share costs two comparisons
-per document, and the first holder keeps its text. Where first holders hold a part of a passage only, its
-min-hashes may all name them: the holder before may hold all, and stretches of 50 words that are in no found passage and whose minima others hold too
-are looked up by a hash of the whole stretch, so no verbatim copy is lost. An edited copy can be, where both kinds of holders have a part only.
+per document, and the first holder keeps its text. What both miss has an exact way (``rest``): blocks also ask how many documents
+hold each shingle. A window of 46 that isn't in found passages and 40 of whose shingles others hold asks for its 7 rarest
+shingles, of which every holder of 40 has one, and earlier documents that offer one are compared with it: some first, then
+all with what is still open. So no passage depends on min-hashes or on which document is the first holder.
 
 Defined edge cases: a null or empty text, one of fewer than 50 words and a row without doc_id have no
 passage; rows that share a doc_id are one document and not compared with each other; passages repeated
@@ -28,13 +29,14 @@ inside one document only are left; repeated rows each get their spans; an empty
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import bucket_count, pack, squeeze, stretch, unpack
+from .blocks import added, bucket_count, pack, squeeze, stretch, unpack
 from .common import WordHash, fresh, mix, stage, table, window_hashes
 
 WIDTH = 5
@@ -47,6 +49,12 @@ WHOLE = 1 << 28
 DRIFT = LENGTH // 2
 #: Agreeing shingles of LENGTH aligned ones for a Jaccard similarity of 0.75: m / (2 LENGTH - m) >= 0.75.
 AGREE = -(-2 * LENGTH * 75 // 175)
+#: A holder's stretch is at most so long: beyond it, even LENGTH agreeing shingles are less than 75 % of the union.
+REACH = 100 * LENGTH // 75
+#: Of at most so many asked values all tasks get the list, and documents offer no others.
+LISTED = 500_000
+#: Before all of them are compared, one in so many offering stretches is.
+SOME = 64
 
 
 def shingles(text: str, hashed: WordHash) -> np.ndarray:
@@ -125,36 +133,61 @@ class Windows:
         self.named = np.unique(self.doc[previous[local]])
         first = order[new]
         edges = np.flatnonzero(np.diff(bucket[first].astype(np.int64), prepend=-1))
-        self.names = bucket[first][edges].astype(np.int64).tolist()
-        self.asked = []
+        names, asked = bucket[first][edges].astype(np.int64).tolist(), []
         if len(first):
             several = np.maximum.reduceat(owner[order], np.flatnonzero(new)) != owner[first]
             # the last bits of a place: whether the document has the value elsewhere, whether another document of the block has it
             follower = np.append(order[1:], order[-1])[new]
             again = ~np.append(new[1:], True)[new] & (owner[follower] == owner[first]) & (place[follower] != place[first])
-            self.asked = list(zip(*(np.split(x, edges[1:]) for x in (value[first], owner[first], 4 * place[first] + 2 * again + several))))
-
-    def verbatim(self, held: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the sequences of LENGTH shingles whose minima other documents all hold (held) and that may stand in an earlier document (not all own)."""
-        every, first = True, True
-        for k in range(HASHES):
-            i = np.flatnonzero(self.k == k)
-            lo = np.maximum(self.l[i], self.c[i] - LENGTH + 1)
-            count = np.minimum(self.c[i], self.r[i] - LENGTH + 1) - lo + 1
-            order = np.argsort(lo)
-            # each place is in one window of each hash function
-            window = np.repeat(i[order], count[order])
-            every, first = every & held[window], first & own[window]
-        if not len(window):
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        at = np.repeat(lo[order] - (np.cumsum(count[order]) - count[order]), count[order]) + np.arange(len(window))
-        at = at[every & ~first]
-        base = np.uint64(0x9E3779B97F4A7C15)
-        weight = np.cumprod(np.full(LENGTH, base))
-        hashes = np.zeros(len(at), np.uint64)
-        for j in range(LENGTH):
-            hashes += self.flat[at + j] * weight[j]
-        return at, mix(hashes)
+            asked = list(zip(*(np.split(x, edges[1:]) for x in (value[first], owner[first], 4 * place[first] + 2 * again + several))))
+        singles = self.singles(np.repeat(numbers, lengths), lengths, buckets)
+        #: buckets, and the windows and shingles for each; either may be empty
+        self.names = sorted({*names, *singles})
+        empty = np.empty(0, np.uint64)
+        asked = dict(zip(names, asked))
+        self.asked = [(*asked.get(b, (empty,) * 3), *singles.get(b, (empty,) * 2)) for b in self.names]
+
+    def singles(self, owner: np.ndarray, lengths: np.ndarray, buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By bucket, the distinct shingles of documents that may hold a passage, as 32 bits, and how many documents of the block hold each."""
+        #: the shingles that are asked for, and the request that answers each
+        self.at = np.flatnonzero(np.repeat(lengths >= LENGTH, lengths))
+        if not len(self.at):
+            self.single = self.at
+            return {}
+        flat = self.flat[self.at]
+        key = ((flat >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[self.at][order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        other = new.copy()
+        other[1:] |= owner[1:] != owner[:-1]
+        self.single = np.empty(len(key), np.int64)
+        self.single[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        held, bucket = np.add.reduceat(other.astype(np.uint64), first), (key[first] >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return dict(zip(bucket[edges].tolist(), zip(np.split(key[first] & np.uint64(0xFFFFFFFF), edges[1:]), np.split(held, edges[1:]))))
+
+    def regions(self, answers: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
+        """Document, first and last place of the stretches in which it may share a passage, and how many documents hold each shingle there (255: or more).
+
+        They are the spans of REACH places that hold AGREE shingles that others hold too, and the places around them that a window can reach.
+        """
+        held = np.ones(len(self.flat), np.uint8)
+        held[self.at] = np.minimum(answers[self.single], 255)
+        at = np.flatnonzero(held > 1)
+        doc = np.searchsorted(self.ends, at, "right")
+        last = np.searchsorted(at, np.minimum(at + REACH, self.ends[doc]), "left") - 1
+        good = np.flatnonzero(last - np.arange(len(at)) + 1 >= AGREE)
+        lo, hi = np.maximum(at[good] - LENGTH + AGREE, self.starts[doc[good]]), np.minimum(at[last[good]] + LENGTH - AGREE, self.ends[doc[good]] - 1)
+        # documents follow each other without a gap, so stretches are joined within a document only
+        new = np.ones(len(lo), bool)
+        new[1:] = (lo[1:] > np.maximum.accumulate(hi)[:-1] + 1) | (doc[good][1:] != doc[good][:-1])
+        first = np.flatnonzero(new)
+        if not len(first):
+            return []
+        return [(d, a, b, held[a : b + 1]) for d, a, b in zip(doc[good][first].tolist(), lo[first].tolist(), np.maximum.reduceat(hi, first).tolist())]
 
 
 def _pairs(values: np.ndarray) -> bytes:
@@ -171,7 +204,7 @@ def _unpairs(data: bytes) -> np.ndarray:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Rows of three kinds: candidates (``holder, low, high, shifts, start, shingles`` of a document; places low..high of the holder), holders (``holder`` and ``low`` null, all shingles) and sequences of LENGTH shingles that others may hold too (``low`` WHOLE; their places in ``shifts``, their hashes in ``shingles``)."""
+    """Rows of three kinds: candidates (``holder, low, high, shifts, start, shingles`` of a document; places low..high of the holder), holders (``holder`` and ``low`` null, all shingles) and stretches in which a document may share a passage with any other (``low`` WHOLE; how many documents hold each shingle in ``shifts``)."""
     buckets = bucket_count(docs)
     blocks = pack(docs.withColumn("mark", F.xxhash64("text")), "mark").repartition("block")
 
@@ -185,9 +218,11 @@ def candidates(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(w.names, pa.int32()),
                     "block": pa.array([number] * len(w.names), pa.int64()),
-                    "hashes": pa.array([squeeze(v) for v, _, _ in w.asked], pa.binary()),
-                    "docs": pa.array([_pairs(d) for _, d, _ in w.asked], pa.binary()),
-                    "places": pa.array([_pairs(p) for _, _, p in w.asked], pa.binary()),
+                    "hashes": pa.array([squeeze(x[0]) for x in w.asked], pa.binary()),
+                    "docs": pa.array([_pairs(x[1]) for x in w.asked], pa.binary()),
+                    "places": pa.array([_pairs(x[2]) for x in w.asked], pa.binary()),
+                    "singles": pa.array([squeeze(x[3]) for x in w.asked], pa.binary()),
+                    "held": pa.array([squeeze(x[4]) for x in w.asked], pa.binary()),
                 })
 
     def answer(requests):
@@ -214,13 +249,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         # 0: nobody else; otherwise 1 + twice the holder's place + whether it has more of them, beside its id
         holder[order] = np.where(several[group], d[at][group], 0)
         where[order] = np.where(several[group], (place[order][at][group] >> 1) + 1, 0)
-        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "holders": pa.array([_pairs(x) for x in np.split(holder, ends)], pa.binary()), "wheres": pa.array([_pairs(x) for x in np.split(where, ends)], pa.binary()), "others": pa.array([_pairs(np.concatenate(x)) for x in zip(*(np.split(y, ends) for y in (before, before_place, named)))], pa.binary())})
+        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "holders": pa.array([_pairs(x) for x in np.split(holder, ends)], pa.binary()), "wheres": pa.array([_pairs(x) for x in np.split(where, ends)], pa.binary()), "others": pa.array([_pairs(np.concatenate(x)) for x in zip(*(np.split(y, ends) for y in (before, before_place, named)))], pa.binary()), "counts": pa.array(added(*(requests.column(c).to_pylist() for c in ("singles", "held"))), pa.binary())})
 
     def assemble(packed, answers):
         import pyarrow as pa
 
         hashed, rows = WordHash(), []
-        replies = {b: x for b, *x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "holders", "wheres", "others")))}
+        replies = {b: x for b, *x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "holders", "wheres", "others", "counts")))}
         for payload in packed.column("payload"):
             w = Windows(payload.as_buffer(), hashed, buckets)
             if not w.names:
@@ -235,11 +270,8 @@ def candidates(docs: DataFrame) -> DataFrame:
             holds = np.union1d(np.union1d(w.doc[own], w.named), w.doc[(named > 0) & ~local])
             for d in holds.tolist():
                 rows.append((w.ids[d], w.marks[d], None, None, None, None, None, w.sequences[d].astype(np.uint32).tobytes(), None))
-            at, same = w.verbatim(where > 0, own)
-            of = np.searchsorted(w.ends, at, "right")
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(of)) + 1) if len(at) else []:
-                d = int(of[part[0]])
-                rows.append((w.ids[d], w.marks[d], None, WHOLE, None, (at[part] - w.starts[d]).astype(np.int32).tobytes(), None, same[part].tobytes(), None))
+            for d, a, b, held in w.regions(np.concatenate([stretch(replies[b][3]) for b in w.names])):
+                rows.append((w.ids[d], w.marks[d], None, WHOLE, None, held.tobytes(), a - int(w.starts[d]), w.flat[a : b + 1].astype(np.uint32).tobytes(), None))
             # windows that the first holder holds, and those that the holder before holds, where that is another one
             hit = np.flatnonzero((where > 0) & ~own)
             other = np.flatnonzero((before_place >= 0) & (before != holder) & (before != numbers[w.doc]) & (where > 0))
@@ -267,7 +299,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         names, kinds = ("doc_id", "mark", "holder", "low", "high", "shifts", "start", "shingles", "second"), (*[pa.int64()] * 5, pa.binary(), pa.int64(), pa.binary(), pa.bool_())
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows) if rows else [[]] * 9)})
 
-    answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, docs binary, places binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, holders binary, wheres binary, others binary")
+    answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, docs binary, places binary, singles binary, held binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, holders binary, wheres binary, others binary, counts binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, mark bigint, holder bigint, low bigint, high bigint, shifts binary, start bigint, shingles binary, second boolean")
 
 
@@ -471,7 +503,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=list(names))
 
     found = stage(joined.mapInArrow(verify, "doc_id bigint, mark bigint, first_word bigint, last_word bigint, holder bigint, holder_first_word bigint, agreement double, runs binary, second boolean").distinct(), "found")
-    return without_second(found).drop("runs").unionByName(verbatim_rest(rows, found))
+    return without_second(found).drop("runs").unionByName(rest(rows, found))
 
 
 def without_second(found: DataFrame) -> DataFrame:
@@ -482,38 +514,137 @@ def without_second(found: DataFrame) -> DataFrame:
     return found.where("not second").unionByName(second).drop("second")
 
 
-def verbatim_rest(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Verbatim passages behind first holders that hold a part only: sequences of LENGTH shingles in no found passage, by their first holder.
+def joined_runs(marked: np.ndarray) -> list[tuple[int, int]]:
+    """[first, end) of the runs of places that are marked."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def marked(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the intervals [lo, hi)."""
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
+
+
+def offered(at: np.ndarray, n: int, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Which of n places lie in a span of REACH places with AGREE of the shared ones (``at``), from one shared place to another, that isn't in a verbatim run [a, b]: an earlier document holds that."""
+    reach = np.full(n, -1)
+    for a, b in runs:
+        reach[max(a, 0) : max(b + 1, 0)] = np.maximum(reach[max(a, 0) : max(b + 1, 0)], b)
+    last = np.searchsorted(at, at + REACH, "left") - 1
+    good = (last - np.arange(len(at)) + 1 >= AGREE) & (at[last] > reach[at])
+    return marked(at[good], at[last[good]] + 1, n)
+
+
+def open_windows(shared: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Starts of the windows of LENGTH with AGREE shared shingles whose words, from the first shared shingle to the last, aren't all in found passages."""
+    total = np.append(0, np.cumsum(shared))
+    i = np.arange(len(shared))
+    behind = np.minimum.accumulate(np.where(shared, i, len(i))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(shared, i, -1))
+    p = np.flatnonzero(total[LENGTH:] - total[:-LENGTH] >= AGREE)
+    left = np.append(0, np.cumsum(~found))
+    return p[left[before[p + LENGTH - 1] + WIDTH] > left[behind[p]]]
 
-    A sequence that is known to stand verbatim in an earlier document needn't be offered: the first
-    document that holds it offers it, or has all its minima and was compared already.
+
+def rarest(p: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The places of the LENGTH - AGREE + 1 rarest shingles of each window: a holder of AGREE of its shingles holds one of them."""
+    view = np.lib.stride_tricks.sliding_window_view(order, LENGTH)
+    k = LENGTH - AGREE + 1
+    parts = [p[i : i + 4096, None] + np.argpartition(view[p[i : i + 4096]], k - 1, axis=1)[:, :k] for i in range(0, len(p), 4096)]
+    return np.unique(np.concatenate(parts)) if parts else p
+
+
+def asking(doc_id: int, mark: int, start: int, held: np.ndarray, value: np.ndarray, known: np.ndarray):
+    """Rows of the stretches with open windows: their place, shingles, asked shingles, how many documents hold each shingle, and their words in found passages."""
+    shared, n = held > 1, len(held)
+    p = open_windows(shared, known)
+    order = np.where(shared, held.astype(np.int64), 256) << 32 | value
+    for a, b in joined_runs(marked(p, p + LENGTH, n)):
+        inside = p[(p >= a) & (p < b)]
+        yield doc_id, mark, start + a, value[a:b].astype(np.uint32).tobytes(), np.unique(value[rarest(inside, order)]), held[a:b].tobytes(), known[a : b + WIDTH - 1].tobytes()
+
+
+def rest(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages that neither the first holder of their min-hashes nor the holder before holds, edited or verbatim, whatever their min-hashes.
+
+    A window that isn't in found passages and AGREE of whose shingles other documents hold asks for its rarest ones, and
+    earlier documents that offer one of them are compared: the first for each shingle, then one in SOME, then all. What is found
+    asks no more, so many near copies of one text are not compared with each other. A stretch that is known to stand verbatim in an earlier document needn't be
+    offered: the first document that holds it offers it.
     """
     spans = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first_word", "last_word", "runs")).alias("spans"))
-    sequences = rows.where(F.col("low") == WHOLE).select("doc_id", "mark", F.col("shifts").alias("places"), F.col("shingles").alias("hashes")).join(spans, ["doc_id", "mark"], "left")
+    regions = rows.where(F.col("low") == WHOLE).select("doc_id", "mark", "start", F.col("shifts").alias("held"), "shingles").distinct().join(spans, ["doc_id", "mark"], "left")
 
-    def offer(batches):
+    def part(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("asks", pa.bool_())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("shingles", pa.binary()), ("offers", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64())), ("held", pa.binary()), ("known", pa.binary())])
         for batch in batches:
-            for doc_id, mark, places, hashes, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                place, value = np.frombuffer(places, np.int32).astype(np.int64), np.frombuffer(hashes, np.int64)
-                offered, asks = np.ones(len(place), bool), np.ones(len(place), bool)
-                for s in spans or []:
-                    asks &= (place < s["first_word"]) | (place + MIN_WORDS - 1 > s["last_word"])
-                    for a, b in np.frombuffer(s["runs"], np.int32).reshape(-1, 2).tolist():
-                        offered &= (place < a) | (place + LENGTH - 1 > b)
-                i = np.flatnonzero(offered)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((value[i], [doc_id] * len(i), [mark] * len(i), place[i], asks[i]), schema)], schema=schema)
-
-    offers = stage(sequences.mapInArrow(offer, "hash bigint, doc_id bigint, mark bigint, place bigint, asks boolean"), "offers")
-    first = offers.groupBy("hash").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") < F.col("last"))
-    again = offers.where("asks").join(first, "hash").where(F.col("first.doc_id") < F.col("doc_id"))
-    return again.select(
-        "doc_id", "mark", F.col("place").alias("first_word"), (F.col("place") + MIN_WORDS - 1).alias("last_word"),
-        F.col("first.doc_id").alias("holder"), F.col("first.place").alias("holder_first_word"), F.lit(1.0).alias("agreement"),
-    ).distinct()
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for doc_id, mark, start, held, shingles, spans in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    held, value = np.frombuffer(held, np.uint8), np.frombuffer(shingles, np.uint32).astype(np.int64)
+                    shared, n, pad = held > 1, len(held), LENGTH - AGREE
+                    known, runs = np.zeros(n + WIDTH - 1, bool), []
+                    for s in spans or []:
+                        known[max(s["first_word"] - start, 0) : max(s["last_word"] + 1 - start, 0)] = True
+                        runs += (np.frombuffer(s["runs"], np.int32).reshape(-1, 2) - start).tolist()
+                    for a, b in joined_runs(offered(np.flatnonzero(shared), n, runs)):
+                        lo, hi = max(0, a - pad), min(n, b + pad)
+                        out.append((doc_id, mark, start + lo, value[lo:hi].astype(np.uint32).tobytes(), np.unique(value[a:b][shared[a:b]]), None, None, None))
+                    out += [(*x[:4], None, *x[4:]) for x in asking(doc_id, mark, start, held, value, known)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 8, kinds)], schema=kinds)
+
+    def again(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("shingles", pa.binary()), ("asks", pa.list_(pa.int64())), ("held", pa.binary()), ("known", pa.binary())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for doc_id, mark, start, held, shingles, known, spans in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    known = np.frombuffer(known, bool).copy()
+                    for s in spans or []:
+                        known[max(s["first_word"] - start, 0) : max(s["last_word"] + 1 - start, 0)] = True
+                    out += asking(doc_id, mark, start, np.frombuffer(held, np.uint8), np.frombuffer(shingles, np.uint32).astype(np.int64), known)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, kinds)], schema=kinds)
+
+    def verify(batches):
+        import pyarrow as pa
+
+        names = ("doc_id", "mark", "first_word", "last_word", "holder", "holder_first_word", "agreement")
+        kinds = [pa.int64()] * 6 + [pa.float64()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for doc_id, mark, start, holder, there, mine, theirs in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    for first, last, where, share, _ in shared(np.frombuffer(mine, np.uint32), np.frombuffer(theirs, np.uint32), [], True):
+                        out.append((doc_id, mark, start + first, start + last + WIDTH - 1, holder, there + where, share))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=list(names))
+
+    parts = stage(regions.mapInArrow(part, "doc_id bigint, mark bigint, start bigint, shingles binary, offers array<bigint>, asks array<bigint>, held binary, known binary"), "parts")
+    key, theirs = ["doc_id", "mark", "start"], ["holder", "holder_mark", "there"]
+    left = parts.where("asks is not null").drop("offers")
+    offering = parts.where("offers is not null").select(F.col("doc_id").alias("holder"), F.col("mark").alias("holder_mark"), F.col("start").alias("there"), "shingles", "offers")
+    offers = offering.select(*theirs, F.explode("offers").alias("value"))
+    turn = F.pmod(F.xxhash64("holder", "there"), F.lit(SOME))
+    out = []
+    for few in (lambda x: x.groupBy("value").agg(F.min(F.struct(*theirs)).alias("f")).select("value", "f.*"), lambda x: x.where(turn == 0), lambda x: x.where(turn != 0)):
+        asks = left.select(*key, F.explode("asks").alias("value"))
+        values = stage(asks.select("value").distinct(), "values")
+        n = values.count()
+        if not n:
+            break
+        near = few(offers.join(F.broadcast(values) if n <= LISTED else values, "value", "left_semi"))
+        pairs = stage(asks.join(near, "value").where(F.col("holder") < F.col("doc_id")).select(*key, *theirs).distinct(), "pairs")
+        both = pairs.join(left.select(*key, F.col("shingles").alias("mine")).dropDuplicates(key), key).join(offering.select(*theirs, F.col("shingles").alias("theirs")).dropDuplicates(theirs), theirs)
+        got = both.select("doc_id", "mark", "start", "holder", "there", "mine", "theirs").mapInArrow(verify, "doc_id bigint, mark bigint, first_word bigint, last_word bigint, holder bigint, holder_first_word bigint, agreement double")
+        out.append(stage(got.distinct(), "rest"))
+        if len(out) < 3:
+            spans = out[-1].groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
+            open_ = left.join(spans, ["doc_id", "mark"], "left").select(*key, "held", "shingles", "known", "spans")
+            left = stage(open_.mapInArrow(again, "doc_id bigint, mark bigint, start bigint, shingles binary, asks array<bigint>, held binary, known binary"), "left")
+    return reduce(DataFrame.unionByName, out, found.drop("runs", "second").where("false"))
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
