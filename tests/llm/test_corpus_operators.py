@@ -381,3 +381,47 @@ def test_edited_copies_of_a_middle_document(spark, monkeypatch, edit):
     for d, first, n, _ in spans_of(spark, texts):
         got[d].update(range(first, first + n))
     assert {d: got[d] for d in want} == want
+
+
+def test_what_open_windows_ask(spark, monkeypatch):
+    """Near copies with edits of their own: documents that hold a passage first ask nothing, others only for what reaches words not found; whether asked values are listed or joined doesn't matter."""
+    rng = np.random.default_rng(13)
+    base = words(rng, 150, 10**6)
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.integers(0, len(copy), 6):
+            copy[at] = f"e{rng.integers(6)}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(words(rng, 60, 10**6)) for _ in range(20)]
+    texts += texts[40:]
+    staged, stage = defaultdict(list), substring_dedup.stage
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, name: staged[name].append(out := stage(df, name)) or out)
+    got = spans_of(spark, texts)
+    assert {x[0] for x in got if x[0] >= 40} == set(range(60, 80))
+    assert not staged["left"][0].where("doc_id >= 40").count()
+    monkeypatch.setattr(substring_dedup, "LISTED", 0)
+    assert spans_of(spark, texts) == got
+
+
+def test_windows_ask_what_any_useful_holder_has():
+    """Brute force over random holders of a stretch: whoever holds 40 of a window and reaches a word not found has an asked shingle."""
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        n = int(rng.integers(46, 110))
+        held, value = rng.integers(1, 6, n).astype(np.uint8), rng.permutation(n).astype(np.int64)
+        held[rng.random(n) < 0.8] = rng.integers(2, 200)
+        known = np.zeros(n + 4, bool)
+        for a in rng.integers(0, n, 2):
+            known[a : a + int(rng.integers(0, 60))] = True
+        p = substring_dedup.open_windows(held > 1, known)
+        asks = set(substring_dedup.rarest(p, held, np.where(held > 1, held.astype(np.int64), 256) << 32 | value, known).tolist())
+        for _ in range(40):
+            has = held > 1
+            a = int(rng.integers(0, n))
+            has[a : a + int(rng.integers(0, 9))] = False
+            has[: int(rng.integers(0, n))] &= rng.random() < 0.5
+            for w in p.tolist():
+                m = w + np.flatnonzero(has[w : w + 46])
+                if len(m) >= 40 and not known[m[0] : m[-1] + 5].all():
+                    assert asks & set(m.tolist())

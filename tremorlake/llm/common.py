@@ -44,6 +44,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing refers to any more removed now; else they stay until the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names close to the given ones that the table doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -18,9 +18,11 @@ trimmed to shingles that agree.
 Each document is compared with first holders and, where it is another one, with the holder before it (of the values that
 both hold, the largest smaller doc_id), so a passage that thousands share costs two comparisons
 per document, and the first holder keeps its text. What both miss has an exact way (``rest``): blocks also ask how many documents
-hold each shingle. A window of 46 that isn't in found passages and 40 of whose shingles others hold asks for its 7 rarest
-shingles, of which every holder of 40 has one, and earlier documents that offer one are compared with it: some first, then
-all with what is still open. So no passage depends on min-hashes or on which document is the first holder.
+hold each shingle, and then, for windows of 46 that aren't in found passages and 40 of whose shingles others hold, whether
+an earlier document does. A window that still has 40 asks for its rarest shingles, at most 7, of which every holder of 40 has one, or for those that
+reach the words not found yet, where fewer documents hold them; earlier documents that offer one are compared with it: some first, then
+all with what is still open. So no passage depends on min-hashes or on which document is the first holder. Words that a window holds before its first
+agreeing shingle or behind its last one are not in its passage.
 
 Defined edge cases: a null or empty text, one of fewer than 50 words and a row without doc_id have no
 passage; rows that share a doc_id are one document and not compared with each other; passages repeated
@@ -29,15 +31,15 @@ inside one document only are left; repeated rows each get their spans; an empty
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import added, bucket_count, pack, squeeze, stretch, unpack
-from .common import WordHash, fresh, mix, stage, table, window_hashes
+from .blocks import added, answered, assembled, bucket_count, bundle, pack, squeeze, stretch, unbundle, unpack
+from .common import WordHash, fresh, let_go, mix, release, stage, table, window_hashes
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -52,9 +54,13 @@ AGREE = -(-2 * LENGTH * 75 // 175)
 #: A holder's stretch is at most so long: beyond it, even LENGTH agreeing shingles are less than 75 % of the union.
 REACH = 100 * LENGTH // 75
 #: Of at most so many asked values all tasks get the list, and documents offer no others.
-LISTED = 500_000
+LISTED = 2_000_000
+#: Shingles of stretches that ask together.
+CHUNK = 1 << 20
+#: Places of equal shingles, at most, that are counted to leave offsets out.
+COUNTED = 1 << 20
 #: Before all of them are compared, one in so many offering stretches is.
-SOME = 64
+SOME = 8
 
 
 def shingles(text: str, hashed: WordHash) -> np.ndarray:
@@ -101,13 +107,16 @@ class Windows:
         lengths = np.array([len(s) for s in self.sequences], np.int64)
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
+        del texts
         self.flat = np.concatenate([*self.sequences, np.empty(0, np.uint64)])
+        self.sequences = [self.flat[a:b] for a, b in zip(self.starts, self.ends)]
         flat = numbered(self.flat, np.repeat(np.arange(len(lengths)), lengths))
         parts = []
         for k in range(HASHES):
             hk = mix(flat + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
             l, c, r = compact_windows(hk, self.starts, self.ends)
             parts.append((np.full(len(l), k), l, c, r, mix(hk[c] + np.uint64(k))))
+        del flat, hk
         self.k, self.l, self.c, self.r, value = (np.concatenate([p[i] for p in parts]) for i in range(5))
         self.doc = np.searchsorted(self.ends, self.c, "right")
         numbers = np.array([0 if i is None else i for i in self.ids], np.int64)
@@ -157,6 +166,7 @@ class Windows:
         flat = self.flat[self.at]
         key = ((flat >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)
         order = np.argsort(key, kind="stable")
+        del flat
         key, owner = key[order], owner[self.at][order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
@@ -203,9 +213,8 @@ def _unpairs(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.int64)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows of three kinds: candidates (``holder, low, high, shifts, start, shingles`` of a document; places low..high of the holder), holders (``holder`` and ``low`` null, all shingles) and stretches in which a document may share a passage with any other (``low`` WHOLE; how many documents hold each shingle in ``shifts``)."""
-    buckets = bucket_count(docs)
     blocks = pack(docs.withColumn("mark", F.xxhash64("text")), "mark").repartition("block")
 
     def ask(batches):
@@ -224,6 +233,8 @@ def candidates(docs: DataFrame) -> DataFrame:
                     "singles": pa.array([squeeze(x[3]) for x in w.asked], pa.binary()),
                     "held": pa.array([squeeze(x[4]) for x in w.asked], pa.binary()),
                 })
+                del w
+                release()
 
     def answer(requests):
         import pyarrow as pa
@@ -249,7 +260,11 @@ def candidates(docs: DataFrame) -> DataFrame:
         # 0: nobody else; otherwise 1 + twice the holder's place + whether it has more of them, beside its id
         holder[order] = np.where(several[group], d[at][group], 0)
         where[order] = np.where(several[group], (place[order][at][group] >> 1) + 1, 0)
-        return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "holders": pa.array([_pairs(x) for x in np.split(holder, ends)], pa.binary()), "wheres": pa.array([_pairs(x) for x in np.split(where, ends)], pa.binary()), "others": pa.array([_pairs(np.concatenate(x)) for x in zip(*(np.split(y, ends) for y in (before, before_place, named)))], pa.binary()), "counts": pa.array(added(*(requests.column(c).to_pylist() for c in ("singles", "held"))), pa.binary())})
+        out = {"block": requests.column("block"), "bucket": requests.column("bucket"), "holders": pa.array([_pairs(x) for x in np.split(holder, ends)], pa.binary()), "wheres": pa.array([_pairs(x) for x in np.split(where, ends)], pa.binary()), "others": pa.array([_pairs(np.concatenate(x)) for x in zip(*(np.split(y, ends) for y in (before, before_place, named)))], pa.binary())}
+        del hashes, value, doc, place, order, v, d, head, group, mine, start, before, before_place, named, holder, where
+        out["counts"] = pa.array(added(*(requests.column(c).to_pylist() for c in ("singles", "held"))), pa.binary())
+        release()
+        return pa.table(out)
 
     def assemble(packed, answers):
         import pyarrow as pa
@@ -296,6 +311,8 @@ def candidates(docs: DataFrame) -> DataFrame:
                     moved, often = np.unique(moved, return_counts=True)
                     moved = moved[np.argsort(-often, kind="stable")].astype(np.int32)
                     rows.append((w.ids[d], w.marks[d], int(theirs[group[0]]), max(0, int(low)), int(high), moved.tobytes(), l - at, w.sequences[d][l - at : r - at].astype(np.uint32).tobytes(), bool(second[group][inside].any())))
+            del w
+        release()
         names, kinds = ("doc_id", "mark", "holder", "low", "high", "shifts", "start", "shingles", "second"), (*[pa.int64()] * 5, pa.binary(), pa.int64(), pa.binary(), pa.bool_())
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows) if rows else [[]] * 9)})
 
@@ -379,6 +396,17 @@ class Places:
         place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         return np.where((key >> np.uint64(32) == value >> np.uint64(32)) & (abs(place - at - offset) <= DRIFT), place, -1)
 
+    def possible(self, a: np.ndarray, at: np.ndarray, offsets: range):
+        """The offsets within DRIFT of which AGREE shingles of a at these places may stand in the holder (all offsets where equal shingles have too many places to count)."""
+        value = a[at].astype(np.uint64) << np.uint64(32)
+        lo, hi = np.searchsorted(self.keys, value), np.searchsorted(self.keys, value | np.uint64(0xFFFFFFFF), "right")
+        n = hi - lo
+        if n.sum() > COUNTED:
+            return offsets
+        i = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        moved = np.sort((self.keys[i] & np.uint64(0xFFFFFFFF)).astype(np.int64) - np.repeat(at, n))
+        o = np.arange(offsets.start, offsets.stop, offsets.step)
+        return o[np.searchsorted(moved, o + DRIFT, "right") - np.searchsorted(moved, o - DRIFT) >= AGREE].tolist()
 
     def voted(self, a: np.ndarray, at: np.ndarray) -> list[int]:
         """Offsets DRIFT apart around which shingles of a at these places stand in the holder (their first or last place there), most first."""
@@ -419,16 +447,19 @@ def later(make):
     yield from make()
 
 
-def shared(a: np.ndarray, b: np.ndarray, offsets: list[int], everywhere: bool = False) -> list[tuple[int, int, int, float, np.ndarray]]:
+def shared(a: np.ndarray, b: np.ndarray, offsets: list[int], everywhere: bool = False, only: np.ndarray | None = None) -> list[tuple[int, int, int, float, np.ndarray]]:
     """First and last shingle of a, the first one's place in b, the share of agreement and the verbatim runs, for each passage of a that b holds.
 
     Shingles are compared at the given offsets first, then within DRIFT places around them (or around every
     offset), so that words may be inserted and deleted, and at last around offsets that many shingles of what is left share.
+    With ``only``, no more than these windows are looked for around offsets.
     """
     if len(a) < LENGTH or len(b) < LENGTH:
         return []
     out = []
     rest = matchable(a, b) >= AGREE
+    if only is not None:
+        rest &= only
     for offset in offsets:
         if not rest.any():
             return out
@@ -446,7 +477,7 @@ def shared(a: np.ndarray, b: np.ndarray, offsets: list[int], everywhere: bool =
         return out
     places = Places(b)
     view = np.lib.stride_tricks.sliding_window_view
-    tried = range(-len(a) + LENGTH, len(b) - LENGTH + DRIFT, DRIFT) if everywhere else bands(offsets)
+    tried = places.possible(a, covered(rest, len(a)), range(-len(a) + LENGTH, len(b) - LENGTH + DRIFT, DRIFT)) if everywhere else bands(offsets)
     for offset in chain(tried, () if everywhere else later(lambda: places.voted(a, covered(rest, len(a))))):
         on = covered(rest, len(a))
         on = on[(on + offset >= -DRIFT) & (on + offset < len(b) + DRIFT)]
@@ -477,7 +508,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     ``mark`` is xxhash64 of the text; several holders can claim overlapping passages of a document.
     """
-    rows = stage(candidates(docs), "candidates")
+    buckets = bucket_count(docs)
+    rows = stage(candidates(docs, buckets), "candidates")
+    let_go(docs.sparkSession)
     holders = rows.where("holder is null and low is null").select(F.col("doc_id").alias("holder"), "mark", F.col("shingles").alias("whole"))
     if holders.groupBy("holder").count().where("count > 1").limit(1).count():  # rows that share a doc_id
         holders = stage(holders.groupBy("holder").agg(F.min_by("whole", "mark").alias("whole")), "holders")
@@ -501,9 +534,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                     for first, last, there, share, runs in shared(a, b, (start - low - np.frombuffer(shifts, np.int32)).tolist(), everywhere):
                         out.append((doc_id, mark, start + first, start + last + WIDTH - 1, holder, low + there, share, (start + runs).astype(np.int32).tobytes(), second))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=list(names))
+        release()
 
     found = stage(joined.mapInArrow(verify, "doc_id bigint, mark bigint, first_word bigint, last_word bigint, holder bigint, holder_first_word bigint, agreement double, runs binary, second boolean").distinct(), "found")
-    return without_second(found).drop("runs").unionByName(rest(rows, found))
+    del joined
+    let_go(docs.sparkSession)
+    return without_second(found).drop("runs").unionByName(rest(rows, found, buckets))
 
 
 def without_second(found: DataFrame) -> DataFrame:
@@ -546,12 +582,35 @@ def open_windows(shared: np.ndarray, found: np.ndarray) -> np.ndarray:
     return p[left[before[p + LENGTH - 1] + WIDTH] > left[behind[p]]]
 
 
-def rarest(p: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The places of the LENGTH - AGREE + 1 rarest shingles of each window: a holder of AGREE of its shingles holds one of them."""
+def rarest(p: np.ndarray, held: np.ndarray, order: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The places of shared shingles of each open window of which any holder that adds to found passages holds one.
+
+    They are its rarest ones, one more than a holder of AGREE shingles can do without, or, where fewer documents hold them, all that
+    reach its first word outside found passages or lie behind it, or all that reach its last one or lie before it: the stretch that a holder agrees with ends there.
+    """
     view = np.lib.stride_tricks.sliding_window_view(order, LENGTH)
-    k = LENGTH - AGREE + 1
-    parts = [p[i : i + 4096, None] + np.argpartition(view[p[i : i + 4096]], k - 1, axis=1)[:, :k] for i in range(0, len(p), 4096)]
-    return np.unique(np.concatenate(parts)) if parts else p
+    shared, n = held > 1, len(held)
+    total, often = np.append(0, np.cumsum(shared)), np.append(0, np.cumsum(np.where(shared, held, 0), dtype=np.int64))
+    place, words = np.arange(n), np.arange(len(known))
+    behind = np.minimum.accumulate(np.where(shared, place, n)[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(shared, place, -1))
+    following = np.minimum.accumulate(np.where(known, len(known), words)[::-1])[::-1]
+    last = np.maximum.accumulate(np.where(known, -1, words))
+    k, rare, ranges = LENGTH - AGREE + 1, np.zeros(n + 1, bool), np.zeros(n + 1, np.int64)
+    for i in range(0, len(p), 4096):
+        at = p[i : i + 4096]
+        end = at + LENGTH
+        few = np.argpartition(view[at], k - 1, axis=1)[:, :k]
+        few = np.take_along_axis(few, np.argsort(np.take_along_axis(view[at], few, axis=1), axis=1), axis=1) + at[:, None]
+        few[np.arange(k) >= (total[end] - total[at] - AGREE + 1)[:, None]] = n
+        right, left = np.maximum(at, following[behind[at]] - WIDTH + 1), np.minimum(end, last[before[end - 1] + WIDTH - 1] + 1)
+        cost = np.stack([np.append(held, 0)[few].sum(1, dtype=np.int64), often[end] - often[right], often[left] - often[at]])
+        best = cost.argmin(0)
+        rare[few[best == 0].ravel()] = True
+        for which, lo, hi in ((1, right, end), (2, at, left)):
+            np.add.at(ranges, lo[best == which], 1)
+            np.add.at(ranges, hi[best == which], -1)
+    return np.flatnonzero((rare | (np.cumsum(ranges) > 0))[:n] & shared)
 
 
 def asking(doc_id: int, mark: int, start: int, held: np.ndarray, value: np.ndarray, known: np.ndarray):
@@ -561,44 +620,162 @@ def asking(doc_id: int, mark: int, start: int, held: np.ndarray, value: np.ndarr
     order = np.where(shared, held.astype(np.int64), 256) << 32 | value
     for a, b in joined_runs(marked(p, p + LENGTH, n)):
         inside = p[(p >= a) & (p < b)]
-        yield doc_id, mark, start + a, value[a:b].astype(np.uint32).tobytes(), np.unique(value[rarest(inside, order)]), held[a:b].tobytes(), known[a : b + WIDTH - 1].tobytes()
+        yield doc_id, mark, start + a, value[a:b].astype(np.uint32).tobytes(), signed(np.unique(value[rarest(inside, held, order, known)])), held[a:b].tobytes(), known[a : b + WIDTH - 1].tobytes()
+
+
+def signed(values: np.ndarray) -> np.ndarray:
+    """32-bit hashes as Spark's integers."""
+    return values.astype(np.uint32).view(np.int32)
+
+
+def by_bucket(values: np.ndarray, buckets: int) -> tuple[list[int], list[np.ndarray]]:
+    """The places of distinct ascending values by bucket."""
+    bucket = (mix(values.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return bucket[order][edges].tolist(), np.split(order, edges[1:]) if len(edges) else []
+
+
+def table_bytes(columns: dict) -> bytes:
+    import pyarrow as pa
+
+    sink, whole = pa.BufferOutputStream(), pa.table(columns)
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as stream:
+        stream.write_table(whole)
+    return sink.getvalue().to_pybytes()
+
+
+LEFT = "doc_id bigint, mark bigint, start bigint, shingles binary, asks array<int>, held binary, known binary"
+
+
+def left_rows(out: list[tuple]):
+    import pyarrow as pa
+
+    kinds = (*[pa.int64()] * 3, pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, t, c in zip(("doc_id", "mark", "start", "shingles", "asks", "held", "known"), kinds, zip(*out) if out else [[]] * 7)})
 
 
-def rest(rows: DataFrame, found: DataFrame) -> DataFrame:
+def open_stretches(parts: DataFrame, buckets: int) -> DataFrame:
+    """The stretches with open windows, and what they ask for: a shingle counts as shared where an earlier document offers it.
+
+    Each chunk of rows asks once for each shingle, in the name of the first document of the chunk that has it, whether an earlier
+    one offers it. So documents that hold a passage first, as most do, ask for nothing.
+    """
+
+    def request(columns: list[list]):
+        import pyarrow as pa
+        import xxhash
+
+        kept, values, docs, mine = {n: [] for n in ("doc_id", "mark", "start", "shingles", "held", "known")}, [], [], []
+        for doc_id, mark, start, shingles, held, known, offers in zip(*columns):
+            value, held, known = np.frombuffer(shingles, np.uint32), np.frombuffer(held, np.uint8), np.frombuffer(known, bool)
+            shared = held > 1
+            p = open_windows(shared, known)
+            asks = marked(p, p + LENGTH, len(held))
+            use = shared & (np.frombuffer(offers, bool) | asks)
+            values.append(value[use])
+            docs.append(np.full(int(use.sum()), doc_id, np.int64))
+            mine.append(asks[use])
+            for a, b in joined_runs(asks):
+                for n, x in zip(kept, (doc_id, mark, start + a, value[a:b], held[a:b].copy(), known[a : b + WIDTH - 1].tobytes())):
+                    kept[n].append(x)
+        value, doc, mine = (np.concatenate(x) for x in (values, docs, mine))
+        order = np.lexsort((doc, value))
+        value, doc, mine = value[order], doc[order], mine[order]
+        at = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+        if not len(at):
+            return None
+        distinct, first, asked = value[at], doc[at], np.logical_or.reduceat(mine, at)
+        # what an earlier document of the chunk offers is known here
+        local = [first[np.minimum(np.searchsorted(distinct, v), len(distinct) - 1)] < d for d, v in zip(kept["doc_id"], kept["shingles"])]
+        kept["local"] = [x.tobytes() for x in local]
+        kept["shingles"], kept["held"] = [x.tobytes() for x in kept["shingles"]], [x.tobytes() for x in kept["held"]]
+        data = table_bytes(kept)
+        number = -(xxhash.xxh64_intdigest(data + distinct.tobytes() + first.tobytes()) >> 1) - 1
+        keys, cells = [number], [data]
+        for b, i in zip(*by_bucket(distinct, buckets)):
+            yes, no = i[asked[i]], i[~asked[i]]
+            keys.append(b)
+            cells.append(bundle(*(np.diff(distinct[x], prepend=np.uint32(0)).astype(np.uint32) if k == 0 else first[x] for x in (yes, no) for k in (0, 1))))
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "block": pa.array([number] * len(keys), pa.int64()), "data": pa.array(cells, pa.binary())})
+
+    def cut(batches):
+        held, n = None, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = [c.to_pylist() for c in batch.slice(at, 64).columns]
+                held = part if held is None else [x + y for x, y in zip(held, part)]
+                n += sum(map(len, part[4]))
+                if n >= CHUNK:
+                    if (out := request(held)) is not None:
+                        yield out
+                    held, n = None, 0
+        if held and (out := request(held)) is not None:
+            yield out
+        release()
+
+    def answer(requests: list[bytes]) -> list[bytes]:
+        read = [unbundle(x) for x in requests]
+        read = [(np.cumsum(a, dtype=np.uint32), b, np.cumsum(c, dtype=np.uint32), d) for a, b, c, d in read]
+        value, doc = (np.concatenate([y for x in read for y in (x[i], x[i + 2])]) for i in (0, 1))
+        order = np.lexsort((doc, value))
+        value, doc = value[order], doc[order]
+        at = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+        distinct, first = value[at], doc[at]
+        return [np.packbits(first[np.searchsorted(distinct, v)] < d).tobytes() for v, d, _, _ in read]
+
+    def assemble(data: bytes, found: dict[int, bytes]):
+        import pyarrow as pa
+
+        rows, out = pa.ipc.open_stream(data).read_all().to_pylist(), []
+        for r in rows:
+            for n, kind in (("shingles", np.uint32), ("held", np.uint8), ("known", bool), ("local", bool)):
+                r[n] = np.frombuffer(r[n], kind)
+        distinct = np.unique(np.concatenate([np.empty(0, np.uint32), *(r["shingles"][r["held"] > 1] for r in rows)]))
+        earlier = np.zeros(len(distinct), bool)
+        for b, i in zip(*by_bucket(distinct, buckets)):
+            earlier[i] = np.unpackbits(np.frombuffer(found[b], np.uint8), count=len(i))
+        for r in rows:
+            shared = r["held"] > 1
+            shared[shared] = r["local"][shared] | earlier[np.searchsorted(distinct, r["shingles"][shared])]
+            out += asking(r["doc_id"], r["mark"], r["start"], np.where(shared, r["held"], 1).astype(np.uint8), r["shingles"].astype(np.int64), r["known"])
+        return left_rows(out)
+
+    cells = parts.mapInArrow(cut, "key bigint, block bigint, data binary").repartition("key")
+    return assembled(cells, answered(cells, answer), assemble, LEFT)
+
+
+def rest(rows: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """The passages that neither the first holder of their min-hashes nor the holder before holds, edited or verbatim, whatever their min-hashes.
 
-    A window that isn't in found passages and AGREE of whose shingles other documents hold asks for its rarest ones, and
+    A window that isn't in found passages and AGREE of whose shingles earlier documents offer asks for its rarest ones, and
     earlier documents that offer one of them are compared: the first for each shingle, then one in SOME, then all. What is found
-    asks no more, so many near copies of one text are not compared with each other. A stretch that is known to stand verbatim in an earlier document needn't be
-    offered: the first document that holds it offers it.
+    asks no more, so many near copies of one text are not compared with each other; told is what a holder adds to found passages. A
+    stretch that is known to stand verbatim in an earlier document needn't be offered: the first document that holds it offers it.
     """
     spans = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first_word", "last_word", "runs")).alias("spans"))
-    regions = rows.where(F.col("low") == WHOLE).select("doc_id", "mark", "start", F.col("shifts").alias("held"), "shingles").distinct().join(spans, ["doc_id", "mark"], "left")
+    regions = rows.where(F.col("low") == WHOLE).select("doc_id", "mark", "start", F.col("shifts").alias("held"), "shingles").join(spans, ["doc_id", "mark"], "left").dropDuplicates(["doc_id", "mark", "start"])
 
     def part(batches):
         import pyarrow as pa
 
-        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("shingles", pa.binary()), ("offers", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64())), ("held", pa.binary()), ("known", pa.binary())])
+        kinds = pa.schema([*((n, pa.int64()) for n in ("doc_id", "mark", "start")), *((n, pa.binary()) for n in ("shingles", "held", "known", "offers"))])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
                 for doc_id, mark, start, held, shingles, spans in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    held, value = np.frombuffer(held, np.uint8), np.frombuffer(shingles, np.uint32).astype(np.int64)
-                    shared, n, pad = held > 1, len(held), LENGTH - AGREE
-                    known, runs = np.zeros(n + WIDTH - 1, bool), []
+                    shared = np.frombuffer(held, np.uint8) > 1
+                    n, known, runs = len(shared), np.zeros(len(shared) + WIDTH - 1, bool), []
                     for s in spans or []:
                         known[max(s["first_word"] - start, 0) : max(s["last_word"] + 1 - start, 0)] = True
                         runs += (np.frombuffer(s["runs"], np.int32).reshape(-1, 2) - start).tolist()
-                    for a, b in joined_runs(offered(np.flatnonzero(shared), n, runs)):
-                        lo, hi = max(0, a - pad), min(n, b + pad)
-                        out.append((doc_id, mark, start + lo, value[lo:hi].astype(np.uint32).tobytes(), np.unique(value[a:b][shared[a:b]]), None, None, None))
-                    out += [(*x[:4], None, *x[4:]) for x in asking(doc_id, mark, start, held, value, known)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 8, kinds)], schema=kinds)
+                    offers = offered(np.flatnonzero(shared), n, runs)
+                    if offers.any() or len(open_windows(shared, known)):
+                        out.append((doc_id, mark, start, shingles, held, known.tobytes(), offers.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, kinds)], schema=kinds)
+        release()
 
     def again(batches):
-        import pyarrow as pa
-
-        kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("shingles", pa.binary()), ("asks", pa.list_(pa.int64())), ("held", pa.binary()), ("known", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
@@ -607,7 +784,8 @@ def rest(rows: DataFrame, found: DataFrame) -> DataFrame:
                     for s in spans or []:
                         known[max(s["first_word"] - start, 0) : max(s["last_word"] + 1 - start, 0)] = True
                     out += asking(doc_id, mark, start, np.frombuffer(held, np.uint8), np.frombuffer(shingles, np.uint32).astype(np.int64), known)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 7, kinds)], schema=kinds)
+                yield from left_rows(out).to_batches()
+        release()
 
     def verify(batches):
         import pyarrow as pa
@@ -617,16 +795,38 @@ def rest(rows: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out = []
-                for doc_id, mark, start, holder, there, mine, theirs in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                    for first, last, where, share, _ in shared(np.frombuffer(mine, np.uint32), np.frombuffer(theirs, np.uint32), [], True):
+                for doc_id, mark, start, holder, there, mine, held, known, theirs in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    only = np.zeros(max(0, len(held) - LENGTH + 1), bool)
+                    only[open_windows(np.frombuffer(held, np.uint8) > 1, np.frombuffer(known, bool))] = True
+                    for first, last, where, share, _ in shared(np.frombuffer(mine, np.uint32), np.frombuffer(theirs, np.uint32), [], True, only):
                         out.append((doc_id, mark, start + first, start + last + WIDTH - 1, holder, there + where, share))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], names=list(names))
+        release()
+
+    parts = stage(regions.mapInArrow(part, "doc_id bigint, mark bigint, start bigint, shingles binary, held binary, known binary, offers binary"), "parts")
+    left = stage(open_stretches(parts, buckets), "left")
+    def offer(batches, listed):
+        import pyarrow as pa
+
+        pad, kinds = LENGTH - AGREE, (*[pa.int64()] * 3, pa.binary(), pa.list_(pa.int32()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for doc_id, mark, start, shingles, held, _, offers in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                    value, use = np.frombuffer(shingles, np.uint32), np.frombuffer(offers, bool)
+                    for a, b in joined_runs(use):
+                        v = signed(np.unique(value[a:b][np.frombuffer(held, np.uint8)[a:b] > 1]))
+                        if listed is not None:
+                            v = v[listed.value[np.minimum(np.searchsorted(listed.value, v), len(listed.value) - 1)] == v]
+                        if len(v):
+                            lo, hi = max(0, a - pad), min(len(value), b + pad)
+                            out.append((doc_id, mark, start + lo, value[lo:hi].tobytes(), v))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["holder", "holder_mark", "there", "shingles", "offers"])
+        release()
 
-    parts = stage(regions.mapInArrow(part, "doc_id bigint, mark bigint, start bigint, shingles binary, offers array<bigint>, asks array<bigint>, held binary, known binary"), "parts")
     key, theirs = ["doc_id", "mark", "start"], ["holder", "holder_mark", "there"]
-    left = parts.where("asks is not null").drop("offers")
-    offering = parts.where("offers is not null").select(F.col("doc_id").alias("holder"), F.col("mark").alias("holder_mark"), F.col("start").alias("there"), "shingles", "offers")
-    offers = offering.select(*theirs, F.explode("offers").alias("value"))
+    left = stage(open_stretches(parts, buckets), "left")
+    let_go(parts.sparkSession)
     turn = F.pmod(F.xxhash64("holder", "there"), F.lit(SOME))
     out = []
     for few in (lambda x: x.groupBy("value").agg(F.min(F.struct(*theirs)).alias("f")).select("value", "f.*"), lambda x: x.where(turn == 0), lambda x: x.where(turn != 0)):
@@ -635,15 +835,18 @@ def rest(rows: DataFrame, found: DataFrame) -> DataFrame:
         n = values.count()
         if not n:
             break
-        near = few(offers.join(F.broadcast(values) if n <= LISTED else values, "value", "left_semi"))
-        pairs = stage(asks.join(near, "value").where(F.col("holder") < F.col("doc_id")).select(*key, *theirs).distinct(), "pairs")
-        both = pairs.join(left.select(*key, F.col("shingles").alias("mine")).dropDuplicates(key), key).join(offering.select(*theirs, F.col("shingles").alias("theirs")).dropDuplicates(theirs), theirs)
-        got = both.select("doc_id", "mark", "start", "holder", "there", "mine", "theirs").mapInArrow(verify, "doc_id bigint, mark bigint, first_word bigint, last_word bigint, holder bigint, holder_first_word bigint, agreement double")
+        listed = parts.sparkSession.sparkContext.broadcast(np.sort(values.toArrow().column(0).to_numpy())) if n <= LISTED else None
+        offering = stage(parts.mapInArrow(partial(offer, listed=listed), "holder bigint, holder_mark bigint, there bigint, shingles binary, offers array<int>"), "offering")
+        offers = offering.select(*theirs, F.explode("offers").alias("value"))
+        offers = offers if listed else offers.join(values, "value", "left_semi")
+        pairs = stage(asks.join(few(offers), "value").where(F.col("holder") < F.col("doc_id")).select(*key, *theirs).distinct(), "pairs")
+        both = pairs.join(left.select(*key, F.col("shingles").alias("mine"), "held", "known").dropDuplicates(key), key).join(offering.select(*theirs, F.col("shingles").alias("theirs")).dropDuplicates(theirs), theirs)
+        got = both.select("doc_id", "mark", "start", "holder", "there", "mine", "held", "known", "theirs").mapInArrow(verify, "doc_id bigint, mark bigint, first_word bigint, last_word bigint, holder bigint, holder_first_word bigint, agreement double")
         out.append(stage(got.distinct(), "rest"))
         if len(out) < 3:
             spans = out[-1].groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
             open_ = left.join(spans, ["doc_id", "mark"], "left").select(*key, "held", "shingles", "known", "spans")
-            left = stage(open_.mapInArrow(again, "doc_id bigint, mark bigint, start bigint, shingles binary, asks array<bigint>, held binary, known binary"), "left")
+            left = stage(open_.mapInArrow(again, LEFT), "left")
     return reduce(DataFrame.unionByName, out, found.drop("runs", "second").where("false"))
 
 
