@@ -16,10 +16,13 @@ def mahalanobis(train: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((d @ precision) * d).sum(axis=1), 0))
 
 
-def linear_residuals(cov: np.ndarray, y: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """Residuals of all rows from a least-squares fit on the kept ones."""
+def linear_residuals(cov: np.ndarray, y: np.ndarray, keep: np.ndarray) -> np.ndarray | None:
+    """Residuals of all rows from a least-squares fit on the kept ones; None where the covariates depend on each other there, so many fits are as good."""
     c, m = cov[keep].mean(axis=0), y[keep].mean(axis=0)
-    slopes = np.linalg.lstsq(cov[keep] - c, y[keep] - m, rcond=None)[0]
+    z = cov[keep] - c
+    if dense.dependent(z.T @ z / len(z)):
+        return None
+    slopes = np.linalg.lstsq(z, y[keep] - m, rcond=None)[0]
     return y - m - (cov - c) @ slopes
 
 
@@ -40,7 +43,7 @@ def standard(y: np.ndarray, keep: np.ndarray) -> np.ndarray:
 
 
 def fold_scores(arm: str, seconds: np.ndarray, temperature: np.ndarray, environment: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Scores of the rows ``out`` from an arm fitted on the other rows, which are in time order."""
+    """Scores of the rows ``out`` from an arm fitted on the other rows, which are in time order; NaN where there is no fit."""
     keep = ~out
     if arm == "raw_frequencies":
         return mahalanobis(y[keep], y[out])
@@ -64,4 +67,4 @@ def fold_scores(arm: str, seconds: np.ndarray, temperature: np.ndarray, environm
     else:
         columns = [temperature, np.minimum(temperature, 0), *(environment.T if arm == "environment_normalized" else [])]
         r = linear_residuals(np.column_stack(columns), y, keep)
-    return mahalanobis(r[keep], r[out])
+    return np.full(int(out.sum()), np.nan) if r is None else mahalanobis(r[keep], r[out])

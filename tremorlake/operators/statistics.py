@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import centred, finite, total
+from ..functions.dense import dependent
 from .selection import medians
 
 MIN_HOURS = 6
@@ -91,14 +92,17 @@ class LinearBaseline:
         return rows.withColumns({t: F.col(t) - self.predict(i) for i, t in enumerate(self.targets)})
 
 
+class Dependent(ValueError):
+    """The covariates depend on each other, so there is no single fit."""
+
+
 def fit_linear(rows: DataFrame, covariates: list[str], targets: list[str]) -> LinearBaseline:
     """Least squares from joint moments; covariates that depend on each other are refused."""
     joint = moments(rows, [*covariates, *targets])
     k = len(covariates)
     sxx, sxy = joint.covariance[:k, :k], joint.covariance[:k, k:]
-    scale = np.sqrt(np.diag(sxx))
-    if (scale == 0).any() or np.linalg.matrix_rank(sxx / np.outer(scale, scale), tol=1e-10) < k:
-        raise ValueError("the covariates are linearly dependent")
+    if dependent(sxx):
+        raise Dependent("the covariates are linearly dependent")
     return LinearBaseline(list(covariates), list(targets), joint.mean[:k], joint.mean[k:], np.linalg.solve(sxx, sxy).T)
 
 

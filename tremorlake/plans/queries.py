@@ -300,10 +300,10 @@ CAST(min(CASE WHEN p <= 0.100000000001 THEN day END) - min(a) AS BIGINT) AS dela
 round(CAST(sum(CASE WHEN p <= 0.100000000001 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS alarm_rate FROM p JOIN seg ON day >= a AND day < z JOIN lim USING (arm) GROUP BY 1, 2""")
 def protocol_alarms(spark, sf_dir):
     """The whole protocol over hourly means of ``events`` with the mean minute as temperature: alarms of the raw and the linear arm."""
-    from .protocol import Protocol, run_protocol
+    from .protocol import Protocol, judged_days
 
     arms = ["raw_frequencies", "temperature_normalized"]
-    out = run_protocol(*protocol_tables(spark, sf_dir), Protocol(*PROTOCOL_SEGMENTS.values(), alpha=0.1), [0], arms)
+    out = judged_days(*protocol_tables(spark, sf_dir), Protocol(*PROTOCOL_SEGMENTS.values(), alpha=0.1), [0], arms)
     return rounded(out["alarms"].where(F.col("arm").isin(arms)), 6, min_over_limit=5, max_over_limit=5)
 
 
