@@ -47,9 +47,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def let_go(spark: SparkSession) -> None:
     """Have the files of shuffles that nothing refers to any more removed now; else they stay until the driver happens to collect its garbage."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may be what held on to others
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # files are removed beside it
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -184,6 +187,56 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by)
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """xxh64 of the words of all texts (A-Z in lower case, split at ASCII blanks), and how many words each text has.
+
+    The values are those of ``WordHash.of(text.encode().lower().split())``, but words of one length are hashed together.
+    """
+    import xxhash
+
+    data = [t.encode().lower() for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in data])
+    joined = b" ".join([*data, b"       "])  # a blank behind each text, and room to read eight bytes from any place
+    del data
+    raw = np.frombuffer(joined, np.uint8)
+    edge = np.diff(_BLANK[raw].view(np.int8), prepend=np.int8(1))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    del edge
+    counts = np.diff(np.searchsorted(start, ends), prepend=0)
+    size = stop - start
+    out = np.empty(len(start), np.uint64)
+    # eight and four bytes from every place on
+    eight = np.ndarray((max(0, len(raw) - 7),), "<u8", joined, strides=(1,))
+    four = np.ndarray((max(0, len(raw) - 3),), "<u4", joined, strides=(1,))
+    order = np.argsort(np.minimum(size, 32).astype(np.int8), kind="stable")
+    for which in np.split(order, np.flatnonzero(np.diff(np.minimum(size, 32)[order])) + 1) if len(order) else []:
+        at, n = start[which], int(size[which[0]])
+        if n >= 32:
+            out[which] = [xxhash.xxh64_intdigest(joined[a : a + s]) for a, s in zip(at.tolist(), size[which].tolist())]
+            continue
+        h, done = np.full(len(at), (int(_P5) + n) & 0xFFFFFFFFFFFFFFFF, np.uint64), 0
+        while n - done >= 8:
+            h = _turned(h ^ _turned(eight[at + done] * _P2, 31) * _P1, 27) * _P1 + _P4
+            done += 8
+        if n - done >= 4:
+            h = _turned(h ^ four[at + done].astype(np.uint64) * _P1, 23) * _P2 + _P3
+            done += 4
+        for k in range(done, n):
+            h = _turned(h ^ raw[at + k].astype(np.uint64) * _P5, 11) * _P1
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        out[which] = h ^ h >> np.uint64(32)
+    return out, counts
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -38,8 +38,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import added, answered, assembled, bucket_count, bundle, pack, squeeze, stretch, unbundle, unpack
-from .common import WordHash, fresh, let_go, mix, release, stage, table, window_hashes
+from .blocks import answered, assembled, bucket_count, bundle, from_planes, pack, planes, squeeze, stretch, unbundle, unpack
+from .common import fresh, hashed_words, let_go, mix, release, stage, table, window_hashes
 
 WIDTH = 5
 MIN_WORDS = 50
@@ -63,8 +63,22 @@ COUNTED = 1 << 20
 SOME = 8
 
 
-def shingles(text: str, hashed: WordHash) -> np.ndarray:
-    return window_hashes(hashed.of(text.encode().lower().split()), WIDTH)
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, one text after another, and how many each has."""
+    words, counts = hashed_words(texts)
+    lengths, ends = np.maximum(counts - WIDTH + 1, 0), np.cumsum(counts)
+    # windows that reach into the next text go
+    left = np.repeat(ends, counts) - np.arange(len(words))
+    return window_hashes(words, WIDTH)[left[: max(0, len(words) - WIDTH + 1)] >= WIDTH], lengths
+
+
+def ascending(key: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of keys of so many bits; where there is room beside them for their places, by one plain sort, which is several times faster."""
+    place = np.uint64(max(1, len(key).bit_length()))
+    if bits + int(place) > 64:
+        return np.argsort(key, kind="stable")
+    both = np.sort(key << place | np.arange(len(key), dtype=np.uint64))
+    return (both & (np.uint64(1) << place) - np.uint64(1)).astype(np.int64)
 
 
 def compact_windows(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,14 +115,12 @@ def numbered(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 class Windows:
     """The compact windows of a block's documents, and the requests for them in a fixed order."""
 
-    def __init__(self, payload, hashed: WordHash, buckets: int):
+    def __init__(self, payload, buckets: int):
         self.ids, texts, self.marks = unpack(payload)
-        self.sequences = [shingles(t, hashed) if i is not None else np.empty(0, np.uint64) for i, t in zip(self.ids, texts)]
-        lengths = np.array([len(s) for s in self.sequences], np.int64)
+        self.flat, lengths = shingles(["" if i is None else t for i, t in zip(self.ids, texts)])
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         del texts
-        self.flat = np.concatenate([*self.sequences, np.empty(0, np.uint64)])
         self.sequences = [self.flat[a:b] for a, b in zip(self.starts, self.ends)]
         flat = numbered(self.flat, np.repeat(np.arange(len(lengths)), lengths))
         parts = []
@@ -165,8 +177,8 @@ class Windows:
             return {}
         flat = self.flat[self.at]
         key = ((flat >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | flat & np.uint64(0xFFFFFFFF)
-        order = np.argsort(key, kind="stable")
         del flat
+        order = ascending(key, 32 + buckets.bit_length())
         key, owner = key[order], owner[self.at][order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
@@ -185,7 +197,7 @@ class Windows:
         They are the spans of REACH places that hold AGREE shingles that others hold too, and the places around them that a window can reach.
         """
         held = np.ones(len(self.flat), np.uint8)
-        held[self.at] = np.minimum(answers[self.single], 255)
+        held[self.at] = answers[self.single]
         at = np.flatnonzero(held > 1)
         doc = np.searchsorted(self.ends, at, "right")
         last = np.searchsorted(at, np.minimum(at + REACH, self.ends[doc]), "left") - 1
@@ -203,14 +215,13 @@ class Windows:
 def _pairs(values: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(planes(values.astype(np.int64)))
 
 
 def _unpairs(data: bytes) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(np.int64)
+    return from_planes(zstandard.ZstdDecompressor().decompress(data), np.int64)
 
 
 def candidates(docs: DataFrame, buckets: int) -> DataFrame:
@@ -220,18 +231,16 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
     def ask(batches):
         import pyarrow as pa
 
-        hashed = WordHash()
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                w = Windows(payload.as_buffer(), hashed, buckets)
+                w = Windows(payload.as_buffer(), buckets)
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(w.names, pa.int32()),
                     "block": pa.array([number] * len(w.names), pa.int64()),
                     "hashes": pa.array([squeeze(x[0]) for x in w.asked], pa.binary()),
                     "docs": pa.array([_pairs(x[1]) for x in w.asked], pa.binary()),
                     "places": pa.array([_pairs(x[2]) for x in w.asked], pa.binary()),
-                    "singles": pa.array([squeeze(x[3]) for x in w.asked], pa.binary()),
-                    "held": pa.array([squeeze(x[4]) for x in w.asked], pa.binary()),
+                    "singles": pa.array([bundle(np.diff(x[3], prepend=np.uint64(0)).astype(np.uint32), x[4].astype(np.min_scalar_type(x[4].max(initial=0)))) for x in w.asked], pa.binary()),
                 })
                 del w
                 release()
@@ -262,17 +271,17 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         where[order] = np.where(several[group], (place[order][at][group] >> 1) + 1, 0)
         out = {"block": requests.column("block"), "bucket": requests.column("bucket"), "holders": pa.array([_pairs(x) for x in np.split(holder, ends)], pa.binary()), "wheres": pa.array([_pairs(x) for x in np.split(where, ends)], pa.binary()), "others": pa.array([_pairs(np.concatenate(x)) for x in zip(*(np.split(y, ends) for y in (before, before_place, named)))], pa.binary())}
         del hashes, value, doc, place, order, v, d, head, group, mine, start, before, before_place, named, holder, where
-        out["counts"] = pa.array(added(*(requests.column(c).to_pylist() for c in ("singles", "held"))), pa.binary())
+        out["counts"] = pa.array(documents(requests.column("singles").to_pylist()), pa.binary())
         release()
         return pa.table(out)
 
     def assemble(packed, answers):
         import pyarrow as pa
 
-        hashed, rows = WordHash(), []
+        rows = []
         replies = {b: x for b, *x in zip(*(answers.column(c).to_pylist() for c in ("bucket", "holders", "wheres", "others", "counts")))}
         for payload in packed.column("payload"):
-            w = Windows(payload.as_buffer(), hashed, buckets)
+            w = Windows(payload.as_buffer(), buckets)
             if not w.names:
                 continue
             holder, where = (np.concatenate([_unpairs(replies[b][i]) for b in w.names])[w.request] for i in (0, 1))
@@ -285,7 +294,7 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
             holds = np.union1d(np.union1d(w.doc[own], w.named), w.doc[(named > 0) & ~local])
             for d in holds.tolist():
                 rows.append((w.ids[d], w.marks[d], None, None, None, None, None, w.sequences[d].astype(np.uint32).tobytes(), None))
-            for d, a, b, held in w.regions(np.concatenate([stretch(replies[b][3]) for b in w.names])):
+            for d, a, b, held in w.regions(np.concatenate([unbundle(replies[b][3])[0] for b in w.names])):
                 rows.append((w.ids[d], w.marks[d], None, WHOLE, None, held.tobytes(), a - int(w.starts[d]), w.flat[a : b + 1].astype(np.uint32).tobytes(), None))
             # windows that the first holder holds, and those that the holder before holds, where that is another one
             hit = np.flatnonzero((where > 0) & ~own)
@@ -316,10 +325,25 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         names, kinds = ("doc_id", "mark", "holder", "low", "high", "shifts", "start", "shingles", "second"), (*[pa.int64()] * 5, pa.binary(), pa.int64(), pa.binary(), pa.bool_())
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows) if rows else [[]] * 9)})
 
-    answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, docs binary, places binary, singles binary, held binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, holders binary, wheres binary, others binary, counts binary")
+    answers = blocks.mapInArrow(ask, "bucket int, block bigint, hashes binary, docs binary, places binary, singles binary").groupBy("bucket").applyInArrow(answer, "block bigint, bucket int, holders binary, wheres binary, others binary, counts binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, "doc_id bigint, mark bigint, holder bigint, low bigint, high bigint, shifts binary, start bigint, shingles binary, second boolean")
 
 
+def documents(requests: list[bytes]) -> list[bytes]:
+    """For each request (ascending distinct shingles, as differences, and how many documents of the block hold each) how many of all hold them (255: or more)."""
+    read = [unbundle(x) for x in requests]
+    value = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in read])
+    order = ascending(value, 32)
+    value = value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    held = np.empty(len(value), np.uint8)
+    if len(value):
+        total = np.add.reduceat(np.concatenate([x.astype(np.uint64) for _, x in read])[order], np.flatnonzero(new))
+        held[order] = np.minimum(total, 255).astype(np.uint8)[np.cumsum(new) - 1]
+    return [bundle(x) for x in np.split(held, np.cumsum([len(x) for x, _ in read])[:-1])]
+
+
 def agreed(k: np.ndarray, l: np.ndarray, r: np.ndarray) -> list[tuple[int, int]]:
     """Unions of overlapping intervals [l, r) that hold windows of at least MIN_HASHES hash functions."""
     order = np.argsort(l, kind="stable")
@@ -457,22 +481,28 @@ def shared(a: np.ndarray, b: np.ndarray, offsets: list[int], everywhere: bool =
     if len(a) < LENGTH or len(b) < LENGTH:
         return []
     out = []
-    rest = matchable(a, b) >= AGREE
-    if only is not None:
-        rest &= only
+    matching = lambda: (matchable(a, b) >= AGREE) & (True if only is None else only)
+    rest = None  # not counted before an offset leaves windows open: one that agrees at an offset can be matched
     for offset in offsets:
-        if not rest.any():
-            return out
         lo, hi = max(0, -offset), min(len(a), len(b) - offset)
         if hi - lo < LENGTH:
             continue
+        if rest is not None and not rest.any():
+            return out
+        same = a[lo:hi] == b[lo + offset : hi + offset]
+        if rest is None and hi - lo == len(a) and same.all():
+            return [(0, len(a) - 1, offset, 1.0, np.array([0, len(a) - 1]))]
         equal = np.zeros(len(a), bool)
-        equal[lo:hi] = a[lo:hi] == b[lo + offset : hi + offset]
+        equal[lo:hi] = same
         good = in_windows(equal) >= AGREE
         if good.any():
             to = np.where(equal, np.arange(len(a)) + offset, -1)
             out += [(first, last, first + offset, share, verbatim_runs(to, first, last)) for first, last, share in passages(good, equal)]
-            rest &= ~good
+            if rest is None and good.all():
+                return out
+        rest = (matching() if rest is None else rest) & ~good
+    if rest is None:
+        rest = matching()
     if not rest.any():
         return out
     places = Places(b)
@@ -804,7 +834,7 @@ def rest(rows: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
         release()
 
     parts = stage(regions.mapInArrow(part, "doc_id bigint, mark bigint, start bigint, shingles binary, held binary, known binary, offers binary"), "parts")
-    left = stage(open_stretches(parts, buckets), "left")
+
     def offer(batches, listed):
         import pyarrow as pa
 
